@@ -30,7 +30,7 @@ def is_private(ip: Column) -> Column:
 
 def network_base(number: Column, bits: Column) -> Column:
     """The address with its host bits cleared."""
-    host = F.shiftright(F.lit(0xFFFFFFFF).cast("bigint"), bits)
+    host = F.call_function("shiftright", F.lit(0xFFFFFFFF).cast("bigint"), bits)
     return number.bitwiseAND(F.bitwise_not(host))
 
 

@@ -1,0 +1,177 @@
+"""Greedy choice of non-overlapping spans per key, as Spark jobs.
+
+Input: candidate spans [s, e] per (rule, key), where e never falls as s rises. Output:
+the spans taken by "take the first candidate that starts after the last one taken
+ended". A position is (microseconds, tie), compared in that order.
+
+The choice is sequential per key, so a hot key must not be walked whole in one task.
+Candidates come partitioned by (rule, key, slice), and three steps follow:
+
+1. Per slice, in parallel: follow the choice for *every* position at which the choice
+   might enter the slice. Entries that lead to the same candidate merge for good, so
+   this is one pass with a queue no longer than one window. It gives the candidates
+   that some entry takes, each with the range of entries that take it, and for each
+   entry range the position at which it leaves the slice.
+2. Per key: chain the leaving positions over the slices. Only these small rows, a few
+   per slice, come together per key.
+3. Join the actual entry of each slice back to the candidates and keep those whose
+   entry range holds it.
+"""
+
+from __future__ import annotations
+
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+LOWEST = -(2**63)
+HIGHEST = 2**63 - 1
+
+CANDIDATE_COLUMNS = [
+    "rule_id", "entity_key", "slice", "entry_until",
+    "s_t", "s_tie", "e_t", "e_tie", "steps",
+]
+_TAKEN = (
+    "rule_id string, entity_key string, slice bigint, leaves boolean, "
+    "s_t bigint, s_tie bigint, e_t bigint, e_tie bigint, steps array<bigint>, "
+    "lo_t bigint, lo_tie bigint, hi_t bigint, hi_tie bigint"
+)
+_TAKEN_ARROW = pa.schema(
+    [("rule_id", pa.string()), ("entity_key", pa.string()), ("slice", pa.int64()),
+     ("leaves", pa.bool_())]
+    + [(n, pa.int64()) for n in ("s_t", "s_tie", "e_t", "e_tie")]
+    + [("steps", pa.list_(pa.int64()))]
+    + [(n, pa.int64()) for n in ("lo_t", "lo_tie", "hi_t", "hi_tie")]
+)
+_ENTRY = (
+    "rule_id string, entity_key string, slice bigint, b_t bigint, b_tie bigint"
+)
+_ENTRY_ARROW = pa.schema(
+    [("rule_id", pa.string()), ("entity_key", pa.string())]
+    + [(n, pa.int64()) for n in ("slice", "b_t", "b_tie")]
+)
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else ([] for _ in schema)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema
+    )
+
+
+def _merge(ranges: list[tuple], more: list[tuple]) -> list[tuple]:
+    """Union of entry ranges, adjacent ones joined."""
+    out: list[tuple] = []
+    for lo, hi in sorted(ranges + more):
+        if out and out[-1][1] == lo:
+            out[-1] = (out[-1][0], hi)
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def _follow_all_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Step 1 over rows sorted by (rule, key, slice, s)."""
+    group = None
+    last_s = None
+    waiting: deque = deque()  # (e, entry ranges whose choice now waits for s > e)
+
+    def leave(rows: list[tuple]) -> None:
+        for e, ranges in waiting:
+            for lo, hi in ranges:
+                rows.append((*group, True, None, None, *e, None, *lo, *hi))
+        waiting.clear()
+
+    for batch in batches:
+        rows: list[tuple] = []
+        for rule, key, start, until, s_t, s_tie, e_t, e_tie, steps in zip(
+            *(c.to_pylist() for c in batch.columns)
+        ):
+            if (rule, key, start) != group:
+                if group is not None:
+                    leave(rows)
+                group, last_s = (rule, key, start), (LOWEST, LOWEST)
+            s, e = (s_t, s_tie), (e_t, e_tie)
+            ranges: list[tuple] = []
+            while waiting and waiting[0][0] < s:
+                ranges = _merge(ranges, waiting.popleft()[1])
+            if last_s < s and last_s[0] <= until:
+                ranges = _merge(ranges, [(last_s, s)])
+            last_s = s
+            if not ranges:
+                continue
+            waiting.append((e, ranges))
+            for lo, hi in ranges:
+                rows.append((*group, False, *s, *e, steps, *lo, *hi))
+        yield _table(rows, _TAKEN_ARROW)
+    if group is not None:
+        rows = []
+        leave(rows)
+        yield _table(rows, _TAKEN_ARROW)
+
+
+def _chain_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Step 2 over leaving rows sorted by (rule, key, slice)."""
+    key = start = None
+    bound = (LOWEST, LOWEST)
+    left = None  # where the current slice's entry leaves it
+    for batch in batches:
+        rows: list[tuple] = []
+        for rule, entity, at, e_t, e_tie, lo_t, lo_tie, hi_t, hi_tie in zip(
+            *(c.to_pylist() for c in batch.columns)
+        ):
+            if (rule, entity) != key:
+                key, start, bound, left = (rule, entity), None, (LOWEST, LOWEST), None
+            if at != start:
+                bound = left or bound
+                start, left = at, None
+                rows.append((rule, entity, at, *bound))
+            if (lo_t, lo_tie) <= bound < (hi_t, hi_tie):
+                left = (e_t, e_tie)
+        yield _table(rows, _ENTRY_ARROW)
+
+
+def choose(candidates: DataFrame, entered: DataFrame | None = None) -> DataFrame:
+    """The greedy spans among candidates.
+
+    `candidates` has CANDIDATE_COLUMNS and is already partitioned by (rule_id,
+    entity_key, slice), as window and aggregate results are; `entry_until` is the
+    latest time at which the choice can enter the slice. `entered` gives positions
+    (rule_id, entity_key, b_t, b_tie) already taken up by earlier spans.
+    """
+    taken = (
+        candidates.select(*CANDIDATE_COLUMNS)
+        .sortWithinPartitions("rule_id", "entity_key", "slice", "s_t", "s_tie")
+        .mapInArrow(_follow_all_entries, _TAKEN)
+    )
+    leaving = taken.filter("leaves").select(
+        "rule_id", "entity_key", "slice", "e_t", "e_tie",
+        "lo_t", "lo_tie", "hi_t", "hi_tie",
+    )
+    if entered is not None:
+        low, high = F.lit(LOWEST), F.lit(HIGHEST)
+        leaving = leaving.unionByName(
+            entered.select(
+                "rule_id", "entity_key", low.alias("slice"),
+                F.col("b_t").alias("e_t"), F.col("b_tie").alias("e_tie"),
+                low.alias("lo_t"), low.alias("lo_tie"),
+                high.alias("hi_t"), high.alias("hi_tie"),
+            )
+        )
+    entries = (
+        leaving.repartition("rule_id", "entity_key")
+        .sortWithinPartitions("rule_id", "entity_key", "slice")
+        .mapInArrow(_chain_slices, _ENTRY)
+    )
+    entry = F.struct("b_t", "b_tie")
+    return (
+        taken.filter(~F.col("leaves"))
+        .join(entries, ["rule_id", "entity_key", "slice"])
+        .filter(
+            (F.struct("lo_t", "lo_tie") <= entry) & (entry < F.struct("hi_t", "hi_tie"))
+        )
+        .select("rule_id", "entity_key", "s_t", "s_tie", "e_t", "e_tie", "steps")
+    )

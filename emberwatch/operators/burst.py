@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberwatch.operators import greedy
-from emberwatch.operators.slices import SLICE_WINDOWS, slice_start, touched
+from emberwatch.operators.sweep import spread, sweep
 
 _KEY = ["rule_id", "entity_key"]
 
@@ -31,63 +31,38 @@ def starts(hits: DataFrame, distinct: bool) -> DataFrame:
     distinct values, only the first of a value's overlapping windows adds and only the
     last takes back.
     """
-    t, w = F.col("t"), F.col("w")
+    w = F.col("w")
     ticks = hits.groupBy(*_KEY, "w", "need", "counts_values", "value", "t").agg(
         F.sum("weight").alias("on")
     )
-    sliced = ticks.select("*", F.explode(touched(t, t + w, w)).alias("slice"))
+    sliced = spread(ticks, w)
+    on = off = F.col("on")
     if distinct:
-        # one shuffle for both windows below
+        # one shuffle for the windows here and in the sweep
         sliced = sliced.repartition(*_KEY, "slice")
         same = Window.partitionBy(*_KEY, "slice", "value").orderBy("t")
-        before, after = t - F.lag("t").over(same), F.lead("t").over(same) - t
+        t = F.col("t")
+        sliced = sliced.withColumns(
+            {"before": t - F.lag("t").over(same), "after": F.lead("t").over(same) - t}
+        )
 
         def alone(gap: Column) -> Column:
             # a row without a value can start a burst but adds nothing to the tally
             counts = F.col("value").isNotNull() & F.coalesce(gap > w, F.lit(True))
             return F.when(counts, 1).otherwise(0)
 
-        sliced = sliced.withColumns(
-            {
-                "_on": F.when(F.col("counts_values"), alone(before)).otherwise(F.col("on")),
-                "_off": F.when(F.col("counts_values"), alone(after)).otherwise(F.col("on")),
-            }
-        )
-    else:
-        sliced = sliced.withColumns({"_on": F.col("on"), "_off": F.col("on")})
-    # odd places are ends of windows: they come after every tick of the same time
-    tick = F.struct(
-        (t * 2).alias("at"), F.col("_on").alias("change"), F.lit(None).cast("bigint").alias("s_t")
-    )
-    end = F.struct(
-        ((t + w) * 2 + 1).alias("at"), (-F.col("_off")).alias("change"), t.alias("s_t")
-    )
-    ends_here = slice_start(t + w, w) == F.col("slice")
-    marks = sliced.select(
+        on = F.when(F.col("counts_values"), alone(F.col("before"))).otherwise(on)
+        off = F.when(F.col("counts_values"), alone(F.col("after"))).otherwise(off)
+    swept = sweep(sliced, _KEY, w, on, off, ["need"])
+    return swept.filter(F.col("ends") & (F.col("tally") >= F.col("need"))).select(
         *_KEY,
         "slice",
-        "w",
-        "need",
-        F.explode(F.when(ends_here, F.array(tick, end)).otherwise(F.array(tick))).alias("m"),
-    ).select(*_KEY, "slice", "w", "need", "m.*")
-    earlier = (
-        Window.partitionBy(*_KEY, "slice")
-        .orderBy("at")
-        .rangeBetween(Window.unboundedPreceding, -1)
-    )
-    return (
-        marks.withColumn("tally", F.sum("change").over(earlier))
-        .filter(F.col("s_t").isNotNull() & (F.col("tally") >= F.col("need")))
-        .select(
-            *_KEY,
-            "slice",
-            F.col("slice").alias("entry_until"),
-            "s_t",
-            F.lit(greedy.LOWEST).alias("s_tie"),
-            (F.col("s_t") + F.col("w")).alias("e_t"),
-            F.lit(greedy.HIGHEST).alias("e_tie"),
-            F.lit(None).cast("array<bigint>").alias("steps"),
-        )
+        F.col("slice").alias("entry_until"),
+        F.col("t").alias("s_t"),
+        F.lit(greedy.LOWEST).alias("s_tie"),
+        (F.col("t") + F.col("w")).alias("e_t"),
+        F.lit(greedy.HIGHEST).alias("e_tie"),
+        F.lit(None).cast("array<bigint>").alias("steps"),
     )
 
 

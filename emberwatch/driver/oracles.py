@@ -73,6 +73,8 @@ BURSTS = {
     "burst_first_event": ("status = 'failure'", 24, 1, "count"),
     "burst_distinct": ("status = 'failure'", 96, 4, "distinct"),
     "burst_sum": ("status = 'failure'", 72, 20000, "total"),
+    "by_ip": ("status = 'failure'", 24, 1, "count"),
+    "burst_half": ("status = 'failure' AND ts < TIMESTAMP '2024-01-16'", 72, 4, "count"),
 }
 SEQUENCES = {
     "sequence_two": (48, [("error", 2), ("purchase", 1)]),
@@ -182,7 +184,7 @@ def _sequence(name: str) -> str:
 
 
 def _pipeline() -> str:
-    names = [*BURSTS, *SEQUENCES]
+    names = [n for n in BURSTS if n not in ("by_ip", "burst_half")] + list(SEQUENCES)
     ctes = [c for n in names for c in _evidence_ctes(n)]
     return _with(*ctes) + " UNION ALL ".join(
         f"SELECT '{n}' AS rule_id, k AS entity_key, min(ts) AS first_seen, max(ts) AS "
@@ -245,8 +247,8 @@ def _alert_id(rule: str, key: str = "k", ts: str = "alert_ts") -> str:
 
 def _listed(p: str, column: str, n: int) -> str:
     return (
-        f"(SELECT string_agg(v, ', ' ORDER BY at) FROM (SELECT CAST({column} AS VARCHAR) AS v, "
-        f"min(ts) AS at, row_number() OVER (ORDER BY min(ts)) AS rn FROM {p}_k z WHERE z.k = "
+        f"(SELECT string_agg(v, ', ' ORDER BY seen_at) FROM (SELECT CAST({column} AS VARCHAR) AS v, "
+        f"min(ts) AS seen_at, row_number() OVER (ORDER BY min(ts)) AS rn FROM {p}_k z WHERE z.k = "
         f"a.k AND z.alert_ts = a.alert_ts AND {column} IS NOT NULL GROUP BY 1) WHERE rn <= {n})"
     )
 
@@ -258,8 +260,8 @@ def _alerts() -> str:
         + " AS alert_id, 'burst_count' AS rule_id, 'burst count' AS rule_name, 'high' AS "
         "severity, 'T1110' AS mitre_id, k AS entity_key, k AS entity_user, min(ts) AS "
         "first_seen, max(ts) AS last_seen, count(*) AS evidence_count, max(n_matches) AS "
-        "n_matches, (SELECT string_agg(source, ',' ORDER BY at) FROM (SELECT source, min(ts) AS "
-        "at FROM a_k z WHERE z.k = a_k.k AND z.alert_ts = a_k.alert_ts GROUP BY source)) AS "
+        "n_matches, (SELECT string_agg(source, ',' ORDER BY seen_at) FROM (SELECT source, min(ts) AS "
+        "seen_at FROM a_k z WHERE z.k = a_k.k AND z.alert_ts = a_k.alert_ts GROUP BY source)) AS "
         "sources FROM a_k GROUP BY k, alert_ts"
     )
 
@@ -568,7 +570,19 @@ def oracle_sql() -> dict[str, str]:
         "WHERE place <= 100",
         "alert_search": _with(*_many_alerts(list(_ALERT_RULES)))
         + "SELECT alert_id, severity, entity_key FROM al WHERE severity IN ('critical', 'high') "
-        "AND list_has_any(sources, ['windows', 'firewall'])",
+        "AND rule_id LIKE 'sequence%' AND list_has_any(sources, ['windows', 'firewall'])",
+        "alert_places": _with(
+            _geo(), PLACED, *_burst_ctes("by_ip", "src_ip"), *_alert_ctes("by_ip_e", 24, "a")
+        )
+        + f"SELECT DISTINCT {_alert_id('by_ip')} AS alert_id, k AS src_ip, city, cc FROM a_k LEFT "
+        "JOIN placed ON ip = k",
+        "new_alerts": _with(
+            *_burst_ctes("burst_count"), *_alert_ctes("burst_count_e", 72, "a"),
+            *_burst_ctes("burst_half"), *_alert_ctes("burst_half_e", 72, "b"),
+        )
+        + f"SELECT {_alert_id('burst_count')} AS alert_id, count(*) AS evidence_count FROM a_k "
+        "WHERE NOT EXISTS (SELECT 1 FROM b_k WHERE b_k.k = a_k.k AND b_k.alert_ts = a_k.alert_ts)"
+        " GROUP BY k, alert_ts",
         "severity_mix": _with(*_many_alerts(list(_ALERT_RULES)))
         + "SELECT severity, count(alert_id) AS alerts, round(coalesce(count(alert_id) / nullif("
         "(SELECT count(*) FROM al), 0)::DOUBLE, 0), 6) AS share FROM (VALUES ('critical'), "

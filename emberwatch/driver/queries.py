@@ -220,7 +220,7 @@ def armed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def alert_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _alerts(spark, sf_dir, *_ALERT_RULES)
     kept = P.alerts_with(
-        P.search_alerts(found, "14"), ["critical", "high"], ["windows", "firewall"]
+        P.search_alerts(found, "Purchase BY"), ["critical", "high"], ["windows", "firewall"]
     )
     return kept.select("alert_id", "severity", "entity_key")
 
@@ -474,10 +474,10 @@ def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     return rows.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-        X.kv_last(line, "DPT").alias("dpt"),
-        X.kv_last(line, "MISSING").alias("missing"),
+        X.kv_last(X.words(line), "DPT").alias("dpt"),
+        X.kv_last(X.words(line), "MISSING").alias("missing"),
         X.safe_int(F.concat(F.lit("9"), F.col("l_returnflag"))).alias("no_int"),
-        X.safe_int(X.kv_last(line, "SPT")).alias("spt"),
+        X.safe_int(X.kv_last(X.words(line), "SPT")).alias("spt"),
         net.megabytes(cents).alias("mb"),
     )
 

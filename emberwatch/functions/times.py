@@ -24,13 +24,9 @@ def month_number(name: Column) -> Column:
 
 def _at(date: Column, clock: Column) -> Column:
     """Date plus hh:mm:ss as a UTC instant; out-of-range clock values roll over."""
-    hms = F.split(clock, ":")
-    seconds = (
-        F.element_at(hms, 1).try_cast("bigint") * 3600
-        + F.element_at(hms, 2).try_cast("bigint") * 60
-        + F.element_at(hms, 3).try_cast("bigint")
-    )
-    return F.timestamp_seconds(F.unix_date(date) * F.lit(86400).cast("bigint") + seconds)
+    h, m, s = (F.split_part(clock, F.lit(":"), F.lit(i)).try_cast("bigint") for i in (1, 2, 3))
+    days = F.unix_date(date) * F.lit(86400).cast("bigint")
+    return F.timestamp_seconds(days + h * 3600 + m * 60 + s)
 
 
 def syslog_time(month: Column, day: Column, clock: Column, year: int) -> Column:
@@ -40,11 +36,25 @@ def syslog_time(month: Column, day: Column, clock: Column, year: int) -> Column:
 
 
 def clf_time(text: Column) -> Column:
-    """Common-log-format time ('12/Mar/2025:08:14:22 +0000', zone optional) as UTC."""
-    zoned = F.try_to_timestamp(text, F.lit("dd/MMM/yyyy:HH:mm:ss Z"))
-    tight = F.try_to_timestamp(text, F.lit("dd/MMM/yyyy:HH:mm:ssZ"))
-    bare = F.try_to_timestamp(text, F.lit("dd/MMM/yyyy:HH:mm:ss"))
-    return F.coalesce(zoned, tight, bare)
+    """Common-log-format time ('12/Mar/2025:08:14:22 +0000', zone optional) as UTC.
+
+    Days past the month's end roll over.
+    """
+    valid = text.rlike(r"^\d{2}/\w{3}/\d{4}:\d{2}:\d{2}:\d{2}\s*([+-]\d{4})?\z")
+    first = F.make_date(
+        F.substring(text, 8, 4).try_cast("int"), month_number(F.substring(text, 4, 3)), F.lit(1)
+    )
+    local = _at(
+        F.date_add(first, F.substring(text, 1, 2).try_cast("int") - 1), F.substring(text, 13, 8)
+    )
+    zone = F.when(F.char_length(text) > 20, F.right(text, F.lit(5)))
+    minutes = (
+        F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 4, 2).try_cast("int")
+    )
+    ahead = F.when(zone.startswith("-"), -minutes).otherwise(minutes)
+    return F.when(
+        valid, F.timestamp_seconds(F.unix_seconds(local) - F.coalesce(ahead, F.lit(0)) * 60)
+    )
 
 
 def iso_time(text: Column) -> Column:

@@ -22,7 +22,7 @@ def starts(hits: DataFrame, distinct: bool) -> DataFrame:
     """Candidate burst starts, partitioned by (rule_id, entity_key, slice).
 
     `hits`: rule_id, entity_key, w and need (window and threshold of the rule), t,
-    weight (1, or the amount to total), value (NULL unless distinct values count).
+    amount (1, or the field to total), counted (NULL unless distinct values count).
     `distinct` says whether any rule counts distinct values.
 
     Rows of one tick are summed before the first shuffle, so a hot key costs at most
@@ -32,15 +32,15 @@ def starts(hits: DataFrame, distinct: bool) -> DataFrame:
     last takes back.
     """
     w = F.col("w")
-    ticks = hits.groupBy(*_KEY, "w", "need", "counts_values", "value", "t").agg(
-        F.sum("weight").alias("on")
+    ticks = hits.groupBy(*_KEY, "w", "need", "counts_values", "counted", "t").agg(
+        F.sum("amount").alias("on")
     )
     sliced = spread(ticks, w)
     on = off = F.col("on")
     if distinct:
         # one shuffle for the windows here and in the sweep
         sliced = sliced.repartition(*_KEY, "slice")
-        same = Window.partitionBy(*_KEY, "slice", "value").orderBy("t")
+        same = Window.partitionBy(*_KEY, "slice", "counted").orderBy("t")
         t = F.col("t")
         sliced = sliced.withColumns(
             {"before": t - F.lag("t").over(same), "after": F.lead("t").over(same) - t}
@@ -48,7 +48,7 @@ def starts(hits: DataFrame, distinct: bool) -> DataFrame:
 
         def alone(gap: Column) -> Column:
             # a row without a value can start a burst but adds nothing to the tally
-            counts = F.col("value").isNotNull() & F.coalesce(gap > w, F.lit(True))
+            counts = F.col("counted").isNotNull() & F.coalesce(gap > w, F.lit(True))
             return F.when(counts, 1).otherwise(0)
 
         on = F.when(F.col("counts_values"), alone(F.col("before"))).otherwise(on)

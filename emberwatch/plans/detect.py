@@ -55,7 +55,7 @@ def _amount_type(rules: Seq[Rule], event_schema: T.StructType) -> str:
 def fan_out(events: DataFrame, rules: Seq[Rule]) -> DataFrame:
     """One row per event and rule that the event can matter to.
 
-    Adds rule_id, entity_key, entity, t, tie, weight, value and mask to the event.
+    Adds rule_id, entity_key, entity, t, tie, amount, counted and mask to the event.
     Events without a part of the rule's key are dropped. Expects `tie`, or feed_order
     and line_no, to order events of equal time.
     """
@@ -102,8 +102,8 @@ def fan_out(events: DataFrame, rules: Seq[Rule]) -> DataFrame:
                     F.lit(rule.id).alias("rule_id"),
                     F.concat_ws("|", *parts).alias("entity_key"),
                     entity.alias("entity"),
-                    weight.cast(amount).alias("weight"),
-                    value.cast("string").alias("value"),
+                    weight.cast(amount).alias("amount"),
+                    value.cast("string").alias("counted"),
                     mask.alias("mask"),
                 ),
             )
@@ -113,10 +113,12 @@ def fan_out(events: DataFrame, rules: Seq[Rule]) -> DataFrame:
         if "tie" in s.names
         else schema.position(column("feed_order"), column("line_no"))
     )
-    hits = F.filter(F.array(*found), lambda x: x.isNotNull())
+    # the partition id, never negative, keeps the optimizer from repeating the predicates
+    # in a filter below the explode
+    hits = F.filter(F.array(*found), lambda x: x.isNotNull() & (F.spark_partition_id() >= 0))
     return (
-        events.withColumns({"t": times.micros(F.col("ts")), "tie": position})
-        .withColumn("_hit", F.explode(hits))
+        events.withColumns({"t": times.micros(F.col("ts")), "tie": position, "_hits": hits})
+        .withColumn("_hit", F.explode("_hits"))
         .select(*s.names, *([] if "tie" in s.names else ["tie"]), "t", "_hit.*")
     )
 
@@ -266,7 +268,7 @@ def matches(rows: DataFrame, rules: Seq[Rule]) -> DataFrame:
     )
     extra = [
         F.min_by("entity", F.struct("t", "tie")).alias("entity"),
-        F.sum("weight").alias("total"),
+        F.sum("amount").alias("total"),
         F.array(
             *(
                 F.sum(F.when(sequence.matches_step(F.col("mask"), back), 1).otherwise(0))
@@ -275,7 +277,7 @@ def matches(rows: DataFrame, rules: Seq[Rule]) -> DataFrame:
         ).cast("array<bigint>").alias("hits_from_last"),
     ]
     if any(r.detect.distinct for r in _of(Burst, rules)):
-        extra.append(F.count_distinct("value").alias("distinct_values"))
+        extra.append(F.count_distinct("counted").alias("distinct_values"))
     else:
         extra.append(F.lit(None).cast("bigint").alias("distinct_values"))
     rolled = rows.groupBy(*MATCH).agg(*_rollup(set(rows.columns)), *extra)
@@ -359,42 +361,42 @@ def alert_id(rule_id: Column, entity_key: Column, first_t: Column) -> Column:
     return F.concat_ws("::", rule_id, entity_key, F.floor(first_t / 1000).cast("string"))
 
 
-def alert_evidence(rows: DataFrame, rules: Seq[Rule]) -> DataFrame:
+def alert_matches(rows: DataFrame, rules: Seq[Rule]) -> DataFrame:
+    """Matches with the alert they fold into (alert_t)."""
+    found = matches(rows, rules)
+    return found.join(correlate.alert_of(found), MATCH)
+
+
+def alert_evidence(rows: DataFrame, own: DataFrame, rules: Seq[Rule]) -> DataFrame:
     """Evidence rows with the alert they belong to (alert_t, alert_id).
 
-    A row that several matches of an alert share is kept for the first of them. That
-    can only happen to sequences and travel: a burst takes all rows of a time or none.
+    `own` is alert_matches. A row that several matches of an alert share is kept for the
+    first of them. That can only happen to sequences and travel: a burst takes all rows
+    of a time or none.
     """
-    spans = rows.groupBy(*MATCH).agg(
-        F.min("t").alias("first_t"), F.max("t").alias("last_t")
-    ).withColumn("w", _per_rule({r.id: _window(r) for r in rules}, "bigint"))
-    labelled = rows.join(correlate.alert_of(spans), MATCH)
+    labelled = rows.join(own.select(*MATCH, "alert_t"), MATCH)
     sharing = [r.id for r in rules if not isinstance(r.detect, Burst)]
     if sharing and "raw" in rows.columns:
         shared = F.col("rule_id").isin(sharing)
-        labelled = labelled.filter(~shared).unionByName(
-            correlate.unseen_evidence(labelled.filter(shared))
-        )
+        once = correlate.unseen_evidence(labelled.filter(shared))
+        bursts = labelled.filter(~shared)
+        labelled = bursts.unionByName(once) if len(sharing) < len(rules) else once
     return labelled.withColumn(
         "alert_id", alert_id(F.col("rule_id"), F.col("entity_key"), F.col("alert_t"))
     )
 
 
 def alerts(
-    rows: DataFrame,
+    kept: DataFrame,
+    own: DataFrame,
     rules: Seq[Rule],
     pairs: DataFrame | None = None,
 ) -> DataFrame:
-    """Alerts from match evidence: one row per alert, in the alert schema.
+    """One row per alert, in the alert schema.
 
-    `pairs` (the travel pairs) fills the place values of travel headlines.
+    `kept` is alert_evidence and `own` alert_matches; `pairs` (the travel pairs) fills
+    the place values of travel headlines.
     """
-    own = matches(rows, rules).join(
-        correlate.alert_of(
-            matches(rows, rules).select(*MATCH, "w", "first_t", "last_t")
-        ),
-        MATCH,
-    )
     if pairs is not None:
         place = pairs.select(
             *MATCH,
@@ -415,8 +417,7 @@ def alerts(
     )
     if pairs is not None:
         folded = folded.withColumn("pair", F.col("last.pair"))
-    kept = alert_evidence(rows, rules)
-    names = set(rows.columns)
+    names = set(kept.columns)
     rolled = kept.groupBy(*ALERT).agg(*_rollup(names))
     out = folded.join(rolled, ALERT)
     needed = _placeholders(rules)
@@ -472,8 +473,8 @@ def detect(
 ) -> tuple[DataFrame, DataFrame]:
     """Alerts, and their evidence with alert_id, of the enabled rules.
 
-    Match evidence is staged in the checkpoint folder: it is far smaller than the
-    events and is read for matches, correlation and both results.
+    Match evidence and matches are staged in the checkpoint folder: they are far smaller
+    than the events, and several results read them.
     """
     rules = [r for r in rules if r.enabled]
     pairs = None
@@ -481,7 +482,9 @@ def detect(
         place = G.shipped_geo(events.sparkSession) if geo is None else geo
         pairs = staged(travel_pairs(fan_out(events, rules), rules, place))
     rows = staged(evidence(events, rules, pairs=pairs))
-    return alerts(rows, rules, pairs), alert_evidence(rows, rules)
+    own = staged(alert_matches(rows, rules))
+    kept = alert_evidence(rows, own, rules)
+    return alerts(kept, own, rules, pairs), kept
 
 
 def recent_evidence(rows: DataFrame, n: int = 14) -> DataFrame:

@@ -21,6 +21,15 @@ def _line() -> Column:
     return F.col("line")
 
 
+def _event_if(usable: Column, event: Column) -> Column:
+    """The event where the line is usable.
+
+    The partition id, which is never negative, keeps the optimizer from moving filters
+    on the event below the parse: a moved filter would repeat every regex it rests on.
+    """
+    return F.when(usable & (F.spark_partition_id() >= 0), event).alias("event")
+
+
 
 
 # --- SSH and sudo ---------------------------------------------------------------
@@ -87,11 +96,11 @@ def parse_ssh(lines: DataFrame, year: int) -> DataFrame:
         F.lit(""),
         F.lit("sudo"),
         F.when(denied, "failure").otherwise("success"),
-        F.regexp_extract(rest, rf"^({NS}+){S}*:", 1),
+        X.extract(rest, rf"^({NS}+){S}*:"),
         F.lit(""),
         F.lit(""),
         F.when(denied, F.lit("sudo denied")).otherwise(
-            F.concat(F.lit("sudo to "), F.coalesce(X.kv_last(rest, "USER"), F.lit("root")))
+            F.concat(F.lit("sudo to "), F.coalesce(X.kv_last(X.words(rest), "USER"), F.lit("root")))
         ),
     )
     staged = (
@@ -100,13 +109,15 @@ def parse_ssh(lines: DataFrame, year: int) -> DataFrame:
         .withColumns(
             {
                 "_ts": times.syslog_time(group(h, 1), group(h, 2), group(h, 3), year),
-                "_m": F.when(is_sudo, sudo).when(prog.startswith("sshd"), _ssh_message(rest)),
+                "_m": F.when(is_sudo, sudo).when(
+                    prog.startswith("sshd"), X.apart(rest, _ssh_message)
+                ),
             }
         )
     )
     command = F.when(
         is_sudo & rest.rlike("COMMAND="),
-        X.trim(F.regexp_extract(rest, rf"COMMAND=({ANY}*){END}", 1)),
+        X.trim(X.extract(rest, rf"COMMAND=({ANY}*){END}")),
     )
     event = schema.event_struct(
         ts=F.col("_ts"),
@@ -122,7 +133,7 @@ def parse_ssh(lines: DataFrame, year: int) -> DataFrame:
         msg=group(m, 6),
     )
     usable = F.col("_ts").isNotNull() & (F.size("_m") > 1)
-    return staged.select(*lines.columns, F.when(usable, event).alias("event"))
+    return staged.select(*lines.columns, _event_if(usable, event))
 
 
 # --- Web access logs ------------------------------------------------------------
@@ -149,16 +160,18 @@ def parse_web(lines: DataFrame) -> DataFrame:
         return F.nullif(X.nonempty(c), F.lit("-"))
 
     staged = (
-        lines.withColumn("_h", X.capture(_line(), _COMBINED, *X.groups(9)))
-        .withColumn("_r", X.capture(group(h, 5), _REQUEST, *X.groups(3)))
+        lines.withColumn("_h", X.apart(_line(), lambda c: X.capture(c, _COMBINED, *X.groups(9))))
+        .withColumn("_clock", X.trim(group(h, 4)))
+        .withColumn("_r", X.apart(group(h, 5), lambda c: X.capture(c, _REQUEST, *X.groups(3))))
         .withColumns(
             {
-                "_ts": times.clf_time(X.trim(group(h, 4))),
+                "_ts": times.clf_time(F.col("_clock")),
                 "_code": group(h, 6).try_cast("int"),
                 "_method": F.coalesce(group(r, 1), F.lit("-")),
                 "_path": F.coalesce(group(r, 2), group(h, 5)),
             }
         )
+        .withColumn("_decoded", X.apart(F.col("_path"), X.url_decode))
     )
     event = schema.event_struct(
         ts=F.col("_ts"),
@@ -169,7 +182,7 @@ def parse_web(lines: DataFrame) -> DataFrame:
         src_ip=group(h, 1),
         user=dash(group(h, 3)),
         method=F.col("_method"),
-        path=X.url_decode(F.col("_path")),
+        path=F.col("_decoded"),
         http_status=F.col("_code"),
         bytes=X.safe_int(dash(group(h, 7))),
         user_agent=dash(group(h, 9)),
@@ -178,9 +191,7 @@ def parse_web(lines: DataFrame) -> DataFrame:
             F.col("_code").cast("string"),
         ),
     )
-    return staged.select(
-        *lines.columns, F.when(F.col("_ts").isNotNull(), event).alias("event")
-    )
+    return staged.select(*lines.columns, _event_if(F.col("_ts").isNotNull(), event))
 
 
 # --- Windows security JSON ------------------------------------------------------
@@ -217,7 +228,8 @@ def json_object(text: Column, ddl: str) -> Column:
         f"array<struct<{ddl}>>",
         {"allowSingleQuotes": "false"},
     )
-    shaped = F.when(text.rlike(rf"^{S}*\{{[\s\S]*\}}{S}*{END}"), items)
+    trimmed = F.btrim(text)
+    shaped = F.when(trimmed.startswith("{") & trimmed.endswith("}"), items)
     return F.when(F.size(shaped) == 1, F.get(shaped, F.lit(0)))
 
 
@@ -268,7 +280,7 @@ def parse_windows(lines: DataFrame) -> DataFrame:
         process=X.nonempty(o["process"]),
     )
     usable = F.col("_ts").isNotNull() & F.col("_id").isNotNull()
-    return staged.select(*lines.columns, F.when(usable, event).alias("event"))
+    return staged.select(*lines.columns, _event_if(usable, event))
 
 
 # --- Firewalls ------------------------------------------------------------------
@@ -325,14 +337,19 @@ def parse_firewall(lines: DataFrame, year: int) -> DataFrame:
             F.coalesce(F.concat(lit(":"), X.nonempty(dpt)), lit("")),
         ),
     )
-    deny = X.capture(
-        rest, rf"^{ANY}*?{_ASA_DENY}",
-        "blocked", "$1", "$2", "$4", "$5", "", "deny $1 $2 -> $4:$5",
-    )
-    teardown = X.capture(
-        rest, rf"^{ANY}*?{_ASA_TEARDOWN}",
-        "allowed", "$1", "$2", "$4", "$5", "$6", "flow closed $2 -> $4:$5 $6 bytes",
-    )
+
+    def deny(text: Column) -> Column:
+        return X.capture(
+            text, rf"^{ANY}*?{_ASA_DENY}",
+            "blocked", "$1", "$2", "$4", "$5", "", "deny $1 $2 -> $4:$5",
+        )
+
+    def teardown(text: Column) -> Column:
+        return X.capture(
+            text, rf"^{ANY}*?{_ASA_TEARDOWN}",
+            "allowed", "$1", "$2", "$4", "$5", "$6", "flow closed $2 -> $4:$5 $6 bytes",
+        )
+
     staged = (
         lines.withColumn("_h", X.capture(_line(), _FW_HEADER, *X.groups(5)))
         .withColumn("_rest", group(h, 5))
@@ -344,17 +361,18 @@ def parse_firewall(lines: DataFrame, year: int) -> DataFrame:
                 ),
             }
         )
+        .withColumn("_words", X.words(group(u, 3)))
         .withColumns(
             {
-                f"_{key.lower()}": X.kv_last(group(u, 3), key)
+                f"_{key.lower()}": X.kv_last(F.col("_words"), key)
                 for key in ("SRC", "DST", "DPT", "PROTO")
             }
         )
         .withColumn(
             "_m",
             F.when(X.nonempty(src).isNotNull(), netfilter)
-            .when(rest.rlike(_ASA_DENY), deny)
-            .when(rest.contains("-302014:"), teardown),
+            .when(rest.contains("-106023:") & rest.rlike(_ASA_DENY), X.apart(rest, deny))
+            .when(rest.contains("-302014:"), X.apart(rest, teardown)),
         )
     )
     event = schema.event_struct(
@@ -372,14 +390,14 @@ def parse_firewall(lines: DataFrame, year: int) -> DataFrame:
         msg=group(m, 7),
     )
     usable = F.col("_ts").isNotNull() & (F.size("_m") > 1)
-    return staged.select(*lines.columns, F.when(usable, event).alias("event"))
+    return staged.select(*lines.columns, _event_if(usable, event))
 
 
 # --- Generic collector lines ----------------------------------------------------
 
 _GENERIC_SYSLOG = (
     rf"^(?:<(\d{{1,3}})>)?([A-Za-z]{{3}}{S}+\d+{S}+[\d:]+|\d{{4}}-\d{{2}}-\d{{2}}T[\d:.]+Z?)"
-    rf"{S}+({NS}+){S}+([^:\[{X.WS}]+)(?:\[(\d+)\])?:{S}*([^\n]*){END}"
+    rf"{S}+({NS}+){S}+([^:{X.WS}\[]+)(?:\[(\d+)\])?:{S}*([^\n]*){END}"
 )
 _GENERIC_JSON = (
     "timestamp string, time string, source string, host string, hostname string, "
@@ -405,10 +423,16 @@ def parse_generic(lines: DataFrame, year: int, sender: str | None = None) -> Dat
         group(h, 2), rf"^([A-Za-z]{{3}}){S}+(\d+){S}+(\d+:\d+:\d+){END}", *X.groups(3)
     )
     staged = (
-        lines.withColumn("_text", X.trim(_line()))
+        lines.withColumn("_text", X.apart(_line(), X.trim))
         .withColumn("_o", json_object(F.col("_text"), _GENERIC_JSON))
         .withColumn(
-            "_h", F.when(o.isNull(), X.capture(F.col("_text"), _GENERIC_SYSLOG, *X.groups(6)))
+            "_h",
+            F.when(
+                o.isNull(),
+                X.apart(
+                    F.col("_text"), lambda c: X.capture(c, _GENERIC_SYSLOG, *X.groups(6))
+                ),
+            ),
         )
         .withColumns({"_msg": group(h, 6), "_stamp": stamp})
     )
@@ -461,9 +485,7 @@ def parse_generic(lines: DataFrame, year: int, sender: str | None = None) -> Dat
         ),
         raw=F.col("_text"),
     )
-    return staged.select(
-        *lines.columns, F.when(F.col("_text") != "", event).alias("event")
-    )
+    return staged.select(*lines.columns, _event_if(F.col("_text") != "", event))
 
 
 # --- Routing --------------------------------------------------------------------

@@ -66,6 +66,6 @@ def starts(hits: DataFrame, distinct: bool) -> DataFrame:
     )
 
 
-def spans(hits: DataFrame, distinct: bool, entered: DataFrame | None = None) -> DataFrame:
+def spans(hits: DataFrame, distinct: bool) -> DataFrame:
     """Bursts as spans (rule_id, entity_key, s_t, s_tie, e_t, e_tie, steps)."""
-    return greedy.choose(starts(hits, distinct), entered)
+    return greedy.choose(starts(hits, distinct))

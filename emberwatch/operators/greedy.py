@@ -134,13 +134,12 @@ def _chain_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield _table(rows, _ENTRY_ARROW)
 
 
-def choose(candidates: DataFrame, entered: DataFrame | None = None) -> DataFrame:
+def choose(candidates: DataFrame) -> DataFrame:
     """The greedy spans among candidates.
 
     `candidates` has CANDIDATE_COLUMNS and is already partitioned by (rule_id,
     entity_key, slice), as window and aggregate results are; `entry_until` is the
-    latest time at which the choice can enter the slice. `entered` gives positions
-    (rule_id, entity_key, b_t, b_tie) already taken up by earlier spans.
+    latest time at which the choice can enter the slice.
     """
     taken = (
         candidates.select(*CANDIDATE_COLUMNS)
@@ -151,16 +150,6 @@ def choose(candidates: DataFrame, entered: DataFrame | None = None) -> DataFrame
         "rule_id", "entity_key", "slice", "e_t", "e_tie",
         "lo_t", "lo_tie", "hi_t", "hi_tie",
     )
-    if entered is not None:
-        low, high = F.lit(LOWEST), F.lit(HIGHEST)
-        leaving = leaving.unionByName(
-            entered.select(
-                "rule_id", "entity_key", low.alias("slice"),
-                F.col("b_t").alias("e_t"), F.col("b_tie").alias("e_tie"),
-                low.alias("lo_t"), low.alias("lo_tie"),
-                high.alias("hi_t"), high.alias("hi_tie"),
-            )
-        )
     entries = (
         leaving.repartition("rule_id", "entity_key")
         .sortWithinPartitions("rule_id", "entity_key", "slice")

@@ -83,11 +83,9 @@ def candidates(hits: DataFrame, needs: dict[str, list[int]]) -> DataFrame:
     )
 
 
-def spans(
-    hits: DataFrame, needs: dict[str, list[int]], entered: DataFrame | None = None
-) -> DataFrame:
+def spans(hits: DataFrame, needs: dict[str, list[int]]) -> DataFrame:
     """Completed sequences as spans (rule_id, entity_key, s_t, s_tie, e_t, e_tie, steps)."""
-    return greedy.choose(candidates(hits, needs), entered)
+    return greedy.choose(candidates(hits, needs))
 
 
 def is_evidence(mask: Column, steps: Column, at: Column, n_steps: int) -> Column:

@@ -30,11 +30,11 @@ MATCH = [*KEY, "s_t", "s_tie"]
 ALERT = [*KEY, "alert_t"]
 
 
-def _window(rule: Rule) -> int:
+def window_micros(rule: Rule) -> int:
     return times.span_micros(rule.detect.within)
 
 
-def _per_rule(values: dict[str, object], data_type: str) -> Column:
+def per_rule(values: dict[str, object], data_type: str) -> Column:
     """A rule's constant, by rule_id."""
     out = F.lit(None).cast(data_type)
     for rule_id, value in values.items():
@@ -129,31 +129,29 @@ def _of(kind: type, rules: Seq[Rule]) -> list[Rule]:
 
 def _only(hits: DataFrame, rules: Seq[Rule]) -> DataFrame:
     return hits.filter(F.col("rule_id").isin([r.id for r in rules])).withColumn(
-        "w", _per_rule({r.id: _window(r) for r in rules}, "bigint")
+        "w", per_rule({r.id: window_micros(r) for r in rules}, "bigint")
     )
 
 
-def burst_spans(hits: DataFrame, rules: Seq[Rule], entered: DataFrame | None = None) -> DataFrame:
+def burst_spans(hits: DataFrame, rules: Seq[Rule]) -> DataFrame:
     """Spans of the burst rules among `rules`, from fanned-out hits."""
     rules = _of(Burst, rules)
     wanted = _only(hits, rules).withColumns(
         {
-            "need": _per_rule({r.id: r.detect.count for r in rules}, "bigint"),
-            "counts_values": _per_rule(
+            "need": per_rule({r.id: r.detect.count for r in rules}, "bigint"),
+            "counts_values": per_rule(
                 {r.id: r.detect.distinct is not None for r in rules}, "boolean"
             ),
         }
     )
-    return burst.spans(wanted, any(r.detect.distinct for r in rules), entered)
+    return burst.spans(wanted, any(r.detect.distinct for r in rules))
 
 
-def sequence_spans(
-    hits: DataFrame, rules: Seq[Rule], entered: DataFrame | None = None
-) -> DataFrame:
+def sequence_spans(hits: DataFrame, rules: Seq[Rule]) -> DataFrame:
     """Spans of the sequence rules among `rules`, from fanned-out hits."""
     rules = _of(Sequence, rules)
     needs = {r.id: [step.count for step in r.detect.steps] for r in rules}
-    return sequence.spans(_only(hits, rules), needs, entered)
+    return sequence.spans(_only(hits, rules), needs)
 
 
 def travel_pairs(hits: DataFrame, rules: Seq[Rule], geo: DataFrame) -> DataFrame:
@@ -161,16 +159,16 @@ def travel_pairs(hits: DataFrame, rules: Seq[Rule], geo: DataFrame) -> DataFrame
     rules = _of(Travel, rules)
     wanted = _only(hits, rules).withColumns(
         {
-            "min_km": _per_rule({r.id: r.detect.min_km for r in rules}, "double"),
-            "min_kmh": _per_rule({r.id: r.detect.min_kmh for r in rules}, "double"),
+            "min_km": per_rule({r.id: r.detect.min_km for r in rules}, "double"),
+            "min_kmh": per_rule({r.id: r.detect.min_kmh for r in rules}, "double"),
         }
     )
     return travel.pairs(wanted, geo)
 
 
-def _span_evidence(hits: DataFrame, spans: DataFrame, rules: Seq[Rule]) -> DataFrame:
+def span_evidence(hits: DataFrame, spans: DataFrame, rules: Seq[Rule]) -> DataFrame:
     """Hits inside their span, joined per (rule, key, slice)."""
-    w = _per_rule({r.id: _window(r) for r in rules}, "bigint")
+    w = per_rule({r.id: window_micros(r) for r in rules}, "bigint")
     spread = spans.withColumn("w", w).withColumn(
         "slice", F.explode(touched(F.col("s_t"), F.col("e_t"), F.col("w")))
     )
@@ -186,10 +184,12 @@ def _span_evidence(hits: DataFrame, spans: DataFrame, rules: Seq[Rule]) -> DataF
             F.col("rule_id") == r.id,
             sequence.is_evidence(F.col("mask"), F.col("steps"), at, len(r.detect.steps)),
         ).otherwise(is_evidence)
-    return rows.filter(is_evidence).drop("slice", "steps")
+    return rows.filter(is_evidence).select(
+        *hits.columns, "s_t", "s_tie", "e_t", "e_tie"
+    )
 
 
-def _pair_evidence(hits: DataFrame, pairs: DataFrame, rules: Seq[Rule]) -> DataFrame:
+def pair_evidence(hits: DataFrame, pairs: DataFrame, rules: Seq[Rule]) -> DataFrame:
     """Both events of each pair."""
     ends = pairs.select(
         *MATCH,
@@ -202,7 +202,12 @@ def _pair_evidence(hits: DataFrame, pairs: DataFrame, rules: Seq[Rule]) -> DataF
             )
         ).alias("at"),
     ).select(*MATCH, "e_t", "e_tie", "at.*")
-    return _only(hits, rules).drop("w").join(ends, [*KEY, "t", "tie"])
+    return (
+        _only(hits, rules)
+        .drop("w")
+        .join(ends, [*KEY, "t", "tie"])
+        .select(*hits.columns, "s_t", "s_tie", "e_t", "e_tie")
+    )
 
 
 def evidence(
@@ -216,22 +221,21 @@ def evidence(
     `pairs` gives the travel pairs where they are known already.
     """
     hits = fan_out(events, rules)
-    columns = [*hits.columns, "s_t", "s_tie", "e_t", "e_tie"]
     parts = []
     if _of(Burst, rules):
-        parts.append(_span_evidence(hits, burst_spans(hits, rules), _of(Burst, rules)))
+        parts.append(span_evidence(hits, burst_spans(hits, rules), _of(Burst, rules)))
     if _of(Sequence, rules):
-        parts.append(_span_evidence(hits, sequence_spans(hits, rules), _of(Sequence, rules)))
+        parts.append(span_evidence(hits, sequence_spans(hits, rules), _of(Sequence, rules)))
     if _of(Travel, rules):
         if pairs is None:
             place = G.shipped_geo(events.sparkSession) if geo is None else geo
             pairs = travel_pairs(hits, rules, place)
-        parts.append(_pair_evidence(hits, pairs, _of(Travel, rules)))
+        parts.append(pair_evidence(hits, pairs, _of(Travel, rules)))
     if not parts:
         raise ValueError("no rule is armed")
-    out = parts[0].select(*columns)
+    out = parts[0]
     for part in parts[1:]:
-        out = out.unionByName(part.select(*columns))
+        out = out.unionByName(part)
     return out
 
 
@@ -281,7 +285,7 @@ def matches(rows: DataFrame, rules: Seq[Rule]) -> DataFrame:
     else:
         extra.append(F.lit(None).cast("bigint").alias("distinct_values"))
     rolled = rows.groupBy(*MATCH).agg(*_rollup(set(rows.columns)), *extra)
-    return rolled.withColumn("w", _per_rule({r.id: _window(r) for r in rules}, "bigint"))
+    return rolled.withColumn("w", per_rule({r.id: window_micros(r) for r in rules}, "bigint"))
 
 
 def with_times(rows: DataFrame) -> DataFrame:
@@ -457,7 +461,7 @@ def alerts(
     }
     named = named.withColumns(
         {
-            c: _per_rule({r.id: getattr(r, attr) for r in rules}, "string")
+            c: per_rule({r.id: getattr(r, attr) for r in rules}, "string")
             for c, attr in about.items()
         }
     )

@@ -8,19 +8,16 @@ from pyspark.sql import functions as F
 # Fixed values.
 PRIVATE_PREFIXES = r"^(10\.|192\.168\.|127\.|169\.254\.|172\.(1[6-9]|2\d|3[01])\.)"
 EARTH_RADIUS_KM = 6371
+_OCTET = r"0*(25[0-5]|2[0-4]\d|1?\d{1,2})"
 BYTES_PER_MB = 1048576
 
 
 def ipv4_number(ip: Column) -> Column:
     """Dotted quad as BIGINT, NULL unless four octets of 0-255."""
-    octets = F.split(ip, r"\.")
     number = F.lit(0).cast("bigint")
-    valid = F.size(octets) == 4
-    for i in range(4):
-        octet = F.get(octets, F.lit(i)).try_cast("bigint")
-        valid = valid & octet.between(0, 255)
-        number = number * 256 + octet
-    return F.when(valid, number)
+    for i in (1, 2, 3, 4):
+        number = number * 256 + F.split_part(ip, F.lit("."), F.lit(i)).try_cast("bigint")
+    return F.when(ip.rlike(rf"^{_OCTET}(\.{_OCTET}){{3}}\z"), number)
 
 
 def is_private(ip: Column) -> Column:

@@ -28,6 +28,8 @@ def _quick(pattern: str) -> str:
 
 def by_script(text: Column, pattern: str, build: Callable[[Column, str], Column]) -> Column:
     """`build(text, pattern)`, with a much faster equal pattern for ASCII text."""
+    if _quick(pattern) == pattern:
+        return build(text, pattern)
     ascii_only = F.octet_length(text) == F.char_length(text)
     return F.when(ascii_only, build(text, _quick(pattern))).otherwise(build(text, pattern))
 
@@ -44,7 +46,7 @@ def capture(text: Column, pattern: str, *slots: str) -> Column:
     joined = "".join(_MARK + slot for slot in slots)
 
     def split(value: Column, regex: str) -> Column:
-        clean = value if regex != pattern else F.translate(value, _MARK, "")
+        clean = F.translate(value, _MARK, "") if regex == pattern else value
         return F.split(F.regexp_replace(clean, rf"{regex}[\s\S]*", joined), _MARK)
 
     return by_script(text, pattern, split)

@@ -35,11 +35,9 @@ def starts(hits: DataFrame, distinct: bool) -> DataFrame:
     ticks = hits.groupBy(*_KEY, "w", "need", "counts_values", "counted", "t").agg(
         F.sum("amount").alias("on")
     )
-    sliced = spread(ticks, w)
+    sliced = spread(ticks, _KEY, w)
     on = off = F.col("on")
     if distinct:
-        # one shuffle for the windows here and in the sweep
-        sliced = sliced.repartition(*_KEY, "slice")
         same = Window.partitionBy(*_KEY, "slice", "counted").orderBy("t")
         t = F.col("t")
         sliced = sliced.withColumns(

@@ -130,7 +130,9 @@ def matches(name: str, pattern: str) -> Predicate:
     def build(s: T.StructType) -> Column:
         if _kind(s, name) != "text":
             return F.lit(False)
-        return _no_null(F.col(name).rlike(f"(?i){pattern}"))
+        return _no_null(
+            X.by_script(F.col(name), pattern, lambda t, p: t.rlike(f"(?i){p}"))
+        )
 
     return Predicate(build)
 

@@ -30,7 +30,7 @@ def candidates(failures: DataFrame, within: timedelta, count: int) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
     )
     n, before = F.col("n"), F.col("tally")
-    swept = sweep(spread(ticks, w), _KEY, w, n, n, ["n"])
+    swept = sweep(spread(ticks, _KEY, w), _KEY, w, n, n, ["n"])
     return swept.filter(~F.col("ends") & (before + n >= count)).select(
         *_KEY,
         "slice",

@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 from emberwatch.operators.slices import slice_start, touched
 
 
-def spread(ticks: DataFrame, w: Column) -> DataFrame:
-    """Ticks with each slice in which their window [t, t + w] adds to a tally."""
+def spread(ticks: DataFrame, keys: Sequence[str], w: Column) -> DataFrame:
+    """Ticks with each slice in which their window [t, t + w] adds to a tally.
+
+    Shuffled here, by (keys, slice), so that the marks of a sweep need not be.
+    """
     t = F.col("t")
-    return ticks.select("*", F.explode(touched(t, t + w, w)).alias("slice"))
+    return ticks.select("*", F.explode(touched(t, t + w, w)).alias("slice")).repartition(
+        *keys, "slice"
+    )
 
 
 def sweep(
@@ -58,7 +63,7 @@ def sweep(
 def tallies(ticks: DataFrame, keys: Sequence[str], w: Column) -> DataFrame:
     """Per key and tick: rows in [t - w, t] and in [t, t + w]. `ticks`: keys, t, n."""
     n = F.col("n")
-    swept = sweep(spread(ticks, w), keys, w, n, n, ["n"])
+    swept = sweep(spread(ticks, keys, w), keys, w, n, n, ["n"])
     return swept.groupBy(*keys, "t").agg(
         F.max(F.when(~F.col("ends"), F.col("tally") + n)).alias("trailing"),
         F.max(F.when(F.col("ends"), F.col("tally"))).alias("leading"),

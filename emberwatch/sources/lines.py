@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberwatch.functions import text as X
+from emberwatch.operators.staging import staged
+
+# About 100 MB of split offsets; 128 TB of text in splits of 128 MB.
+BROADCAST_SPLITS = 1_000_000
 
 
 def read_lines(
@@ -17,7 +21,9 @@ def read_lines(
 
     Files stay splittable: each split's rows are numbered by their place in the split,
     and the line counts of earlier splits of the file are added from a table with one
-    row per split. Bytes that are not UTF-8 decode to U+FFFD.
+    row per split. That table is counted once and joined by broadcast while it has at
+    most BROADCAST_SPLITS rows, so the lines themselves are not shuffled. Bytes that are
+    not UTF-8 decode to U+FFFD.
     """
     rows = (
         spark.read.option("lineSep", "\n")
@@ -35,13 +41,15 @@ def read_lines(
     before = Window.partitionBy("_file").orderBy("_start").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    offsets = splits.select(
+    offsets = staged(splits.select(
         "_file",
         "_start",
         (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias(
             "_shift"
         ),
-    )
+    ))
+    if offsets.count() <= BROADCAST_SPLITS:
+        offsets = F.broadcast(offsets)
     return (
         rows.join(offsets, ["_file", "_start"])
         .filter(~X.blank(F.col("line")))
@@ -77,27 +85,14 @@ def read_json_array(
 ) -> DataFrame:
     """Files holding one JSON array, as one line per element.
 
-    The multi-line JSON reader streams the elements; a file that does not parse comes
-    back as one line with its first 200 characters.
+    An array has no place to split at, so each file is read whole by one task; large
+    exports belong in JSON lines. A file that does not parse gives one line with its
+    first 200 characters. Element numbers start at 1 in each file.
     """
-    items = (
-        spark.read.option("multiLine", True)
-        .option("mode", "PERMISSIVE")
-        .option("singleVariantColumn", "item")
-        .json(path)
-        .select(
-            F.col("item"),
-            F.col("_metadata.file_path").alias("_file"),
-            F.monotonically_increasing_id().alias("_row"),
-        )
-    )
-    first = items.groupBy("_file").agg(F.min("_row").alias("_first"))
-    return items.join(first, "_file").select(
-        F.lit(feed).alias("feed"),
-        F.lit(feed_order).alias("feed_order"),
-        (F.col("_row") - F.col("_first") + 1).alias("line_no"),
-        F.to_json("item").alias("line"),
+    texts = spark.read.text(path, wholetext=True).select(
+        F.lit(feed).alias("feed"), F.col("value").alias("text")
     )
+    return json_array_lines(texts).withColumn("feed_order", F.lit(feed_order))
 
 
 def json_array_lines(texts: DataFrame, text: str = "text", feed: str = "feed") -> DataFrame:

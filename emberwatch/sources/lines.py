@@ -41,22 +41,33 @@ def read_lines(
     before = Window.partitionBy("_file").orderBy("_start").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    offsets = staged(splits.select(
-        "_file",
-        "_start",
-        (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias(
-            "_shift"
-        ),
-    ))
+    offsets = staged(
+        splits.select(
+            "_file",
+            "_start",
+            "_first",
+            "_n",
+            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_earlier"),
+        )
+    )
     if offsets.count() <= BROADCAST_SPLITS:
         offsets = F.broadcast(offsets)
+    place = F.col("_row") - F.col("_first")
+    changed = F.raise_error(
+        F.lit(
+            "file splits changed between counting and reading lines; "
+            "set spark.sql.files.minPartitionNum to pin them"
+        )
+    ).cast("bigint")
     return (
-        rows.join(offsets, ["_file", "_start"])
+        rows.join(offsets, ["_file", "_start"], "left")
         .filter(~X.blank(F.col("line")))
         .select(
             F.lit(feed).alias("feed"),
             F.lit(feed_order).alias("feed_order"),
-            (F.col("_row") + F.col("_shift")).alias("line_no"),
+            F.when(
+                (place >= 0) & (place < F.col("_n")), place + F.col("_earlier") + 1
+            ).otherwise(changed).alias("line_no"),
             "line",
         )
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +34,13 @@ SHIPPED_GEO = [
 
 
 def shipped_geo(spark: SparkSession) -> DataFrame:
-    """The bundled CIDR table; any table of GEO_SCHEMA can take its place."""
-    return spark.createDataFrame(SHIPPED_GEO, GEO_SCHEMA)
+    """The bundled CIDR table; any table of GEO_SCHEMA can take its place.
+
+    From Arrow it becomes a local relation, whose small size Spark then knows.
+    """
+    columns = [c.split()[0] for c in GEO_SCHEMA.split(", ")]
+    table = pa.table(dict(zip(columns, map(list, zip(*SHIPPED_GEO)))))
+    return spark.createDataFrame(table)
 
 
 def locate(ips: DataFrame, geo: DataFrame, ip: str = "ip") -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mixed, shared_folder, slices, staged, unstage
+from .common import WORD, WordHashes, mixed, shared_folder, slices, staged, unstage
 from .components import components
 
 #: Rows of an estimation cell on either side; cells, not whole buckets, meet in a task.
@@ -264,7 +264,7 @@ def near_duplicates(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, least: int = 85,
     sketch: Sketch | None = None,
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, n_links, node): one row per row of docs.
+    """(doc_id, n_shingles, component_id, kept, n_links, node, component, text_hash): a row per row of docs.
 
     Texts are sets of distinct k-word shingles (A-Z lower-cased; the whole sequence if there are fewer
     words). Rows with the same set are one node. Nodes that share a band of registers are
@@ -274,7 +274,8 @@ def near_duplicates(
     connected or compared. Links need
     100 * intersection >= least * union of the full sets. component_id is the smallest doc_id
     that can be reached; n_links counts the links of the row's set to other sets that were confirmed on the way
-    (at least one if it has any).
+    (at least one if it has any); node and component are
+    digests of the set and of the component's smallest set (null for empty sets).
 
     Nulls and texts without words are empty sets: linked with nothing, component_id is their
     own id. Null ids never become a component_id unless no other is there; kept compares
@@ -317,18 +318,39 @@ def near_duplicates(
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     grouped = nodes.join(labels, "node").select("node", "rep_id", "label").checkpoint()
     least_id = grouped.groupBy("label").agg(F.min("rep_id").alias("least_id")).checkpoint()
-    named = grouped.join(least_id, "label").join(degree, "node").select("node", "least_id", "n_links").checkpoint()
+    named = grouped.join(least_id, "label").join(degree, "node").select("node", "label", "least_id", "n_links").checkpoint()
     named = staged(
         nodes.select("node", "rep_id").join(named, "node", "left").select(
-            "node", F.coalesce("least_id", "rep_id").alias("least_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+            "node", F.coalesce("label", "node").alias("component"), F.coalesce("least_id", "rep_id").alias("least_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
         ),
         "node-components",
     )
     for own in (members, nodes):
         unstage(own)
-    return drawn.select("doc_id", "n_shingles", "node").join(named, "node", "left").select(
+    return drawn.select("doc_id", "text_hash", "n_shingles", "node").join(named, "node", "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least_id")).alias("component_id"),
         F.when(F.col("node").isNull(), True).otherwise(F.col("doc_id").eqNullSafe(F.col("least_id"))).alias("kept"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "node",
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "node", "component", "text_hash",
     )
+
+
+def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, least: int = 85) -> DataFrame:
+    """The rows of docs with all their columns, one row of each group of near-duplicates.
+
+    The row with the smallest id stays (nulls last; then the smallest text hash). Rows that
+    repeat id and text count as one. Rows without words all stay.
+    """
+    found = near_duplicates(docs, doc_id=doc_id, text=text, k=k, least=least)
+    best = found.where("node is not null").groupBy("component").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("best")
+    ).select(
+        F.col("best.no_id").alias("_no_id"), F.coalesce("best.doc_id", F.lit(0)).alias("_id"),
+        F.col("best.text_hash").alias("_hash"),
+    ).checkpoint()
+    own = F.col(doc_id).cast("long")
+    keyed = docs.withColumns({"_no_id": own.isNull(), "_id": F.coalesce(own, F.lit(0)), "_hash": F.xxhash64(text)})
+    worded = F.coalesce(F.col(text).rlike(WORD), F.lit(False))
+    keys = ["_no_id", "_id", "_hash"]
+    some = keyed.where(worded).dropDuplicates(keys).join(best, keys, "left_semi")
+    return some.select(docs.columns).union(keyed.where(~worded).select(docs.columns))

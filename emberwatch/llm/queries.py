@@ -6,17 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup
-from .common import table
+from . import neardup, quality
+from .common import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared_folder(spark)
+    docs = table(spark, sf_dir, "documents")
+    weights = quality.gram_weights(quality.with_trust(docs, table(spark, sf_dir, "labels"))).checkpoint()
+    return quality.quality_rules(docs, weights)
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=5, least=85)
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_quality_rules": op1_quality_rules,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
     }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, quality
+from . import decontaminate, neardup, passages, quality
 from .common import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,8 +23,20 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=5, least=85)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_chunks", "removed_words", "spans")
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = decontaminate.indexes(decontaminate.questions(table(spark, sf_dir, "benchmark")))
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), made)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
+        "op5_substring_dedup": op5_substring_dedup,
+        "op6_benchmark_decontamination": op6_benchmark_decontamination,
     }

@@ -16,6 +16,13 @@ from .common import slices
 #: Items of a postings block.
 BLOCK = 16
 
+#: A-Z to lower case, other ASCII signs than letters and digits to spaces; bytes of other scripts stay.
+_FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+
+
+def _words(text: bytes | None) -> list[bytes]:
+    return (text or b"").translate(_FOLD).split()
+
 
 def _grams(words: list[bytes], k: int) -> set[tuple[bytes, ...]]:
     if not words:
@@ -33,7 +40,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, bytes, bytes]], least: float, overlap: float, k: int, k1: float = 1.2, b: float = 0.75) -> None:
         self.least, self.overlap, self.k = least, overlap, k
-        split = [(i, q.lower().split(), a.lower().split()) for i, q, a in items]
+        split = [(i, _words(q), _words(a)) for i, q, a in items]
         split = sorted((x for x in split if x[1] or x[2]), key=lambda x: x[0])
         self.ids = [x[0] for x in split]
         self.question = [_grams(q, k) for _, q, _ in split]
@@ -142,7 +149,7 @@ def _per_row(batch: pa.RecordBatch, index: Index) -> Iterator[tuple[int, int, li
     for start, end, texts in slices(batch, "_bytes"):
         found = []
         for value in texts:
-            words = (value or b"").lower().split()
+            words = _words(value)
             terms = np.fromiter((look(w, -1) for w in words), np.int64, len(words))
             found.append(index.matches(words, terms) if len(words) else {})
         yield start, end, found
@@ -153,7 +160,7 @@ def contaminated(docs: DataFrame, made: list[Index], *, doc_id: str = "doc_id",
 
     Every passage of every text queries the index; items that score at least `least` of
     their own score and whose question and answer both share at least `overlap` of
-    their k-word shingles with the passage are returned. Null and empty texts match nothing;
+    their k-word shingles with the passage are returned. Case (A-Z) and ASCII punctuation don't matter. Null and empty texts match nothing;
     a null doc_id stays null; repeated rows repeat their pairs; other columns are ignored.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_passages", pa.int64()), *((c, pa.float64()) for c in ("score", "question_overlap", "answer_overlap"))])

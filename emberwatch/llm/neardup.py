@@ -117,8 +117,9 @@ def sketches(docs: DataFrame, doc_id: str, text: str, k: int, sketch: Sketch) ->
     )
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
+def _sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
     """(node, shingles) of the wanted nodes, from the texts of their representatives."""
+    wanted = nodes.join(wanted, "node").select("rep_id", "rep_hash").checkpoint()
     schema = pa.schema([("node", pa.binary()), ("shingles", pa.list_(pa.int64()))])
     own = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"),
@@ -136,8 +137,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, k: in
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, least: int) -> DataFrame:
     """The pairs (a, b) for which 100 * intersection size >= least * union size."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = nodes.join(ends, "node").select("rep_id", "rep_hash").checkpoint()
-    sets = staged(_full_sets(docs, wanted, doc_id, text, k), "shingle-sets")
+    sets = staged(_sets_of(ends, nodes, docs, doc_id, text, k), "shingle-sets")
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
     both = F.size(F.array_intersect("set_a", "set_b"))
@@ -195,13 +195,14 @@ def _small_pairs(members: DataFrame, labels: DataFrame, least: int) -> DataFrame
     ).select("a", "b").distinct()
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, sketch: Sketch, least: int, first: bool) -> DataFrame:
-    """Likely pairs of one bucket of more than SMALL nodes whose ends are in different components so far.
+def _cell_links(members: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, sketch: Sketch, least: int) -> DataFrame:
+    """Links that join different components in buckets of more than SMALL nodes.
 
     A bucket is dealt into cells of at most about CELL by CELL rows: blocks of its largest component
-    against blocks of the rest, and blocks of the rest against each other. Only pairs that
-    the likelihood allows leave a cell, each only from the first band that its ends share.
-    first: only the likeliest pair of each node in a cell.
+    against blocks of the rest, and blocks of the rest against each other. A cell compares
+    full sets where the registers allow it, likeliest pairs first, skips what it
+    has connected already, and so returns fewer links than it has rows. A pair is looked
+    at only in the bucket of the first band that its ends share.
     """
     own = members.where(F.col("met") > SMALL).join(labels, "node", "left").select(
         "key", "band", "node", F.coalesce("label", "node").alias("label")
@@ -214,50 +215,64 @@ def _open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, sketch:
         F.ceil(F.col("top.n") / CELL).alias("top_blocks"),
         F.ceil((F.col("all") - F.col("top.n")) / CELL).alias("rest_blocks"),
     ).checkpoint()
-    rows = own.join(largest, "key").withColumn("is_top", F.col("label") == F.col("top"))
-    block = F.pmod(F.xxhash64("node"), F.when(F.col("is_top"), F.col("top_blocks")).otherwise(F.col("rest_blocks")))
-    against_top = F.transform(F.sequence(F.lit(0), F.col("top_blocks") - 1), lambda i: F.struct(
-        F.lit(0).alias("kind"), i.cast("long").alias("i"), F.col("block").alias("j")))
-    against_rest = F.transform(F.sequence(F.lit(0), F.col("rest_blocks") - 1), lambda j: F.struct(
-        F.lit(0).alias("kind"), F.col("block").alias("i"), j.cast("long").alias("j")))
-    within_rest = F.transform(F.sequence(F.lit(0), F.col("rest_blocks") - 1), lambda j: F.struct(
-        F.lit(1).alias("kind"), F.least(F.col("block"), j.cast("long")).alias("i"), F.greatest(F.col("block"), j.cast("long")).alias("j")))
-    cells = F.when(F.col("is_top"), against_rest).otherwise(F.concat(against_top, within_rest))
-    dealt = rows.withColumn("block", block).select("key", "band", "node", "label", "is_top", "block", F.explode(cells).alias("cell"))
-    dealt = dealt.select("key", "band", "node", "label", "is_top", "block", "cell.*").join(
-        nodes.select("node", "registers", "n_shingles"), "node"
-    )
-
-    def pairs(table: pa.Table) -> pa.Table:
+    rows = own.join(largest, "key").withColumn("is_top", F.col("label") == F.col("top")).withColumn(
+        "block", F.pmod(F.xxhash64("node"), F.when(F.col("is_top"), F.col("top_blocks")).otherwise(F.col("rest_blocks")))
+    ).checkpoint()
+    sets = staged(_sets_of(rows.select("node").distinct(), nodes, docs, doc_id, text, k), "cell-sets")
+    every = lambda n, make: F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), make)
+    cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    block = F.col("block")
+    cells = F.when(F.col("is_top"), every("rest_blocks", lambda j: cell(0, block, j))).otherwise(F.concat(
+        every("top_blocks", lambda i: cell(0, i, block)),
+        every("rest_blocks", lambda j: cell(1, F.least(block, j), F.greatest(block, j))),
+    ))
+    dealt = rows.join(sets, "node").join(nodes.select("node", "registers"), "node").withColumn("cell", F.explode(cells))
+    dealt = dealt.select("key", "band", "node", "label", "is_top", "block", "registers", "shingles", "cell.*")
+
+    def links(table: pa.Table) -> pa.Table:
         kind, i, j, band = (table.column(c)[0].as_py() for c in ("kind", "i", "j", "band"))
         top, at = table.column("is_top").to_numpy(zero_copy_only=False), table.column("block").to_numpy()
         left = np.flatnonzero(top) if kind == 0 else np.flatnonzero(at == i)
         right = np.flatnonzero(~top) if kind == 0 else np.flatnonzero(at == j)
         reg = _matrix(table.column("registers").to_pylist(), sketch)
-        size = table.column("n_shingles").to_numpy()
+        whole = [frozenset(x) for x in table.column("shingles").to_pylist()]
+        size = np.fromiter(map(len, whole), np.int64, len(whole))
         node = table.column("node").to_pylist()
         label = np.unique(np.array(table.column("label").to_pylist(), dtype=object), return_inverse=True)[1]
         n, m = size[left][:, None], size[right][None, :]
         x, y = np.nonzero((label[left][:, None] != label[right][None, :]) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * least))
         x, y = left[x], right[y]
-        found: list[tuple[bytes, bytes]] = []
-        taken: set[int] = set()
+        likely = []
         for s in range(0, len(x), 1 << 14):
             p, q = x[s : s + (1 << 14)], y[s : s + (1 << 14)]
-            same = (reg[p] == reg[q]).reshape(len(p), sketch.bands, sketch.rows).all(-1)
-            own = same[:, :band].sum(-1) == 0  # else an earlier bucket has the pair
-            p, q = p[own], q[own]
+            same = (reg[p] == reg[q]).reshape(len(p), sketch.bands, sketch.rows)
+            own = same[:, :band].all(-1).sum(-1) == 0
+            p, q, same = p[own], q[own], same[own].sum((1, 2))
             own = sketch.may_reach(reg[p], reg[q], size[p], size[q], least / 100)
-            p, q = p[own], q[own]
-            for u in np.argsort(-(reg[p] == reg[q]).sum(-1), kind="stable"):
-                if first and q[u] in taken:
-                    continue
-                taken.add(q[u])
-                found.append(tuple(sorted((node[p[u]], node[q[u]]))))
-        found = list(dict.fromkeys(found))
+            likely.append(np.stack([same[own], p[own], q[own]]))
+        pairs = np.concatenate(likely, 1) if likely else np.zeros((3, 0), np.int64)
+        above = list(range(label.max() + 1))
+
+        def root(v: int) -> int:
+            while above[v] != v:
+                above[v] = above[above[v]]
+                v = above[v]
+            return v
+
+        found = []
+        for u in np.argsort(-pairs[0], kind="stable"):
+            a, b = int(pairs[1, u]), int(pairs[2, u])
+            one, two = root(label[a]), root(label[b])
+            if one != two:
+                both = len(whole[a] & whole[b])
+                if both * 100 >= (size[a] + size[b] - both) * least:
+                    above[max(one, two)] = min(one, two)
+                    found.append(sorted((node[a], node[b])))
         return pa.table({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
 
-    return dealt.groupBy("key", "kind", "i", "j").applyInArrow(pairs, "a binary, b binary").distinct()
+    made = dealt.groupBy("key", "kind", "i", "j").applyInArrow(links, "a binary, b binary").distinct().checkpoint()
+    unstage(sets)
+    return made
 
 
 def near_duplicates(
@@ -270,7 +285,7 @@ def near_duplicates(
     words). Rows with the same set are one node. Nodes that share a band of registers are
     candidates. In each bucket the node that meets the most others is compared with the
     rest; what is not connected then is compared in pairs (small buckets) or in cells (large
-    ones, first each node's likeliest pair), so that every candidate pair is either
+    ones), so that every candidate pair is either
     connected or compared. Links need
     100 * intersection >= least * union of the full sets. component_id is the smallest doc_id
     that can be reached; n_links counts the links of the row's set to other sets that were confirmed on the way
@@ -305,16 +320,11 @@ def near_duplicates(
     ).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct().checkpoint()
     links = _verified(_likely(stars, nodes, sketch, least).checkpoint(), nodes, docs, doc_id, text, k, least)
     labels = components(links)
-    for first in (True, False):
-        rest = _open_pairs(members, labels, nodes, sketch, least, first)
-        if first:
-            few = _small_pairs(members, labels, least).join(stars, ["a", "b"], "left_anti")
-            rest = rest.union(_likely(few, nodes, sketch, least))
-        rest = rest.join(stars, ["a", "b"], "left_anti").distinct().checkpoint()
-        if not rest.isEmpty():
-            stars = stars.union(rest)
-            links = links.union(_verified(rest, nodes, docs, doc_id, text, k, least))
-            labels = components(links)
+    few = _small_pairs(members, labels, least).join(stars, ["a", "b"], "left_anti")
+    few = _likely(few, nodes, sketch, least).checkpoint()
+    more = _cell_links(members, labels, nodes, docs, doc_id, text, k, sketch, least)
+    links = links.union(_verified(few, nodes, docs, doc_id, text, k, least)).union(more).distinct().checkpoint()
+    labels = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     grouped = nodes.join(labels, "node").select("node", "rep_id", "label").checkpoint()
     least_id = grouped.groupBy("label").agg(F.min("rep_id").alias("least_id")).checkpoint()

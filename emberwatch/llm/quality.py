@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, words_of
+from .common import WORD, shared_folder, words_of
 
 #: Windows of so many words are looked for twice in a text.
 WINDOW = 5
@@ -75,22 +75,23 @@ def gram_weights(docs: DataFrame, *, text: str = "text", trusted: str = "trusted
     return full.withColumn("weight", F.round(share("target") - share("raw"), 6))
 
 
-def quality_rules(docs: DataFrame, weights: DataFrame, *, doc_id: str = "doc_id", text: str = "text", buckets: int = 1 << 14, least: float = -0.2) -> DataFrame:
-    """docs' columns named by doc_id, then the counts, llr, base_failed and kept.
-
-    n_words, word_chars (code points in words), n_symbols, n_dup_lines, n_repeat_words are counts of the
-    whole text. base_failed: n_words < 10 or 100 * n_repeat_words > 20 * n_words. llr: mean
-    weight of the text's grams, rounded to 6 digits (0 without grams). kept: not base_failed
-    and llr >= least.
+def verdict(weights: DataFrame, *, text: str = "text", buckets: int = 1 << 14, least: float = -0.2) -> Column:
+    """A struct of n_words, word_chars, n_repeat_words, llr, base_failed and kept of a text.
 
-    A null text counts as empty: no words, so base_failed. Repeated rows each get a row; other
-    columns are ignored. weights is a table of exactly `buckets` rows (`gram_weights`); it
-    becomes one constant array of that fixed size.
+    weights is a table of exactly `buckets` rows (`gram_weights`); it becomes one constant
+    array of that fixed size.
     """
     known = weights.select("bucket", F.format_string("%.6f", "weight").alias("w")).collect()  # `buckets` rows
     values = ",".join(r["w"] for r in sorted(known))
-    table = F.split(F.lit(values), ",").cast("array<double>")  # a constant, folded once
-    body = F.coalesce(F.col(text), F.lit(""))
+    table = F.split(F.lit(values), ",").cast("array<double>")  # folded once
+
+    def judged(c: Column) -> Column:
+        failed = (c["n_words"] < 10) | (c["n_repeat_words"] * 100 > c["n_words"] * 20)
+        return F.struct(
+            *[c[n].alias(n) for n in ("n_words", "word_chars", "n_repeat_words", "llr")],
+            failed.alias("base_failed"), (~failed & (c["llr"] >= least)).alias("kept"),
+        )
+
     counts = _once(table, lambda weights: _once(words_of(F.col(text)), lambda w: F.struct(
         F.size(w).cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
@@ -99,16 +100,29 @@ def quality_rules(docs: DataFrame, weights: DataFrame, *, doc_id: str = "doc_id"
             F.size(g) > 0, F.round(F.aggregate(g, F.lit(0.0), lambda s, b: s + F.get(weights, b)) / F.size(g), 6)
         ).otherwise(0.0)).alias("llr"),
     )))
+    return _once(counts, judged)
+
+
+def quality_rules(docs: DataFrame, weights: DataFrame, *, doc_id: str = "doc_id", text: str = "text", buckets: int = 1 << 14, least: float = -0.2) -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, llr, base_failed, kept), a row per row of docs.
+
+    The counts are of the whole text. base_failed: n_words < 10 or 100 * n_repeat_words >
+    20 * n_words. llr: mean weight of the text's grams, to 6 digits (0 without grams). kept:
+    not base_failed and llr >= least.
+
+    A null text counts as empty: no words, so base_failed. Repeated rows each get a row; other
+    columns are ignored.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
     counted = docs.select(
         F.col(doc_id).alias("doc_id"),
         (F.length(body) - F.length(F.regexp_replace(body, r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
         _once(F.filter(F.split(body, "\n"), lambda x: x.rlike(WORD)), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        counts.alias("counts"),
+        verdict(weights, text=text, buckets=buckets, least=least).alias("v"),
+    )
+    return counted.select(
+        "doc_id", "v.n_words", "v.word_chars", "n_symbols", "n_dup_lines", "v.n_repeat_words", "v.llr", "v.base_failed", "v.kept"
     )
-    scored = counted.select(
-        "doc_id", "counts.n_words", "counts.word_chars", "n_symbols", "n_dup_lines", "counts.n_repeat_words", "counts.llr"
-    ).withColumn("base_failed", (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20))
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= least))
 
 
 def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -117,3 +131,10 @@ def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.max((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("trusted")
     )
     return docs.select("doc_id", "text").join(good, "doc_id", "left").select("text", "trusted")
+
+
+def filtered(docs: DataFrame, labels: DataFrame, *, least: float = -0.2) -> DataFrame:
+    """The rows of docs, all columns, that the rules keep, with weights learnt from docs and labels."""
+    shared_folder(docs.sparkSession)
+    weights = gram_weights(with_trust(docs, labels)).checkpoint()
+    return docs.where(verdict(weights, least=least)["kept"])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, neardup, passages, quality
+from . import decontaminate, mixing, neardup, passages, quality
 from .common import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,10 +33,16 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), made)
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs, repeats=2.0).drop("text")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
+        "op9_source_mixing": op9_source_mixing,
     }

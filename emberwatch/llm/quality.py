@@ -61,13 +61,14 @@ def gram_weights(docs: DataFrame, *, text: str = "text", trusted: str = "trusted
     docs has a boolean column `trusted`; all rows are the raw corpus, the true ones the
     target. Both have `smoothing` added to each bucket. Without any target gram all weights are 0.
     """
+    shared_folder(docs.sparkSession)
     found = _once(words_of(F.col(text)), lambda w: grams(w, buckets))
     one = docs.select(F.explode(found).alias("bucket"), F.coalesce(trusted, F.lit(False)).alias("trusted"))
     counts = one.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("trusted").alias("target"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     full = every.join(counts, "bucket", "left").select(
         "bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target")
-    )
+    ).checkpoint()
     total = full.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).first()
     if not total["target"]:
         return full.withColumn("weight", F.lit(0.0))

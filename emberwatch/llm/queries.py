@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, neardup, passages, quality
-from .common import shared_folder, table
+from . import classify, decontaminate, language, mixing, neardup, passages, quality
+from .common import held_out, shared_folder, staged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +34,22 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), made)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = held_out(F.col("doc_id"), 5, 0)
+    model = language.trained(docs.where(~out))
+    return language.identified(docs.select("doc_id", "text"), model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared_folder(spark)
+    features = staged(classify.with_statistics(table(spark, sf_dir, "documents")), "features")
+    out = held_out(F.col("doc_id"), 3, 1)
+    labels = table(spark, sf_dir, "labels").where(~out).select("doc_id", F.col("quality").alias("label"))
+    model = classify.trained(features, labels)
+    return classify.scored(features, model).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs, repeats=2.0).drop("text")
@@ -44,5 +61,7 @@ def queries() -> dict[str, Query]:
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
+        "op7_language_id": op7_language_id,
+        "op8_quality_classifier": op8_quality_classifier,
         "op9_source_mixing": op9_source_mixing,
     }

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classify, decontaminate, language, mixing, neardup, passages, quality
+from . import chat, classify, decontaminate, language, mixing, neardup, passages, quality, tokens
 from .common import held_out, shared_folder, staged, table
 
+#: A public sentencepiece model whose pieces serve as the vocabulary.
+VOCABULARY = os.environ.get("PIECE_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -24,6 +28,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=5, least=85)
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"), tokens.sentencepiece_pieces(VOCABULARY))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = passages.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_chunks", "removed_words", "spans")
@@ -55,13 +63,19 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, repeats=2.0).drop("text")
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(chat.turns_as_calls(table(spark, sf_dir, "conversations")), chat.REPLY_SCHEMAS)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
+        "op4_token_counts": op4_token_counts,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
         "op7_language_id": op7_language_id,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_source_mixing": op9_source_mixing,
+        "op10_chat_formatting": op10_chat_formatting,
     }

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classify, decontaminate, language, mixing, neardup, passages, quality, tokens
+from . import chat, classify, decontaminate, language, maxent, mixing, neardup, passages, quality, tokens
 from .common import held_out, shared_folder, staged, table
 
 #: A public sentencepiece model whose pieces serve as the vocabulary.
@@ -24,6 +24,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs, weights)
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.scored(table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 10, 0))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=5, least=85)
 
@@ -70,6 +74,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_lm_scoring": op2_lm_scoring,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
         "op4_token_counts": op4_token_counts,
         "op5_substring_dedup": op5_substring_dedup,

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import slices
 
 #: Items of a postings block.
-BLOCK = 16
+BLOCK = 4
 
 #: A-Z to lower case, other ASCII signs than letters and digits to spaces; bytes of other scripts stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -34,7 +34,7 @@ class Index:
     """BM25 impacts of test items, each as a share of the item's score against itself.
 
     items: (item_id, question, answer) with the texts as bytes. Passages are pairs of
-    neighbouring blocks of `step` words, step being the longest item's length, so that each
+    neighbouring parts of `step` words, step being the longest item's length, so that each
     occurrence of an item lies within a passage.
     """
 
@@ -52,54 +52,51 @@ class Index:
         df = Counter(w for c in words for w in c)
         idf = {w: math.log(1 + (len(words) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
         self.term = {w: t for t, w in enumerate(sorted(df))}
-        postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
+        blocks = -(-len(words) // BLOCK) or 1
+        #: Per block of items and term, the greatest impact; per block, its terms and their impacts on its items.
+        self.block_bound = np.zeros((len(self.term), blocks), np.float32)
+        postings: list[dict[int, np.ndarray]] = [defaultdict(lambda: np.zeros(BLOCK)) for _ in range(blocks)]
         for item, (c, size) in enumerate(zip(words, sizes, strict=True)):
             impact = {w: idf[w] * n * (k1 + 1) / (n + k1 * (1 - b + b * size / usual)) for w, n in c.items()}
             own = sum(impact.values())
             for w, x in impact.items():
-                postings[self.term[w]].append((item, x / own))
-        self.postings = {t: (np.array([i for i, _ in p]), np.array([x for _, x in p])) for t, p in postings.items()}
-        self.bound = np.zeros(len(self.term) + 1)  # the last is of words that no item has
-        self.block_bound = np.zeros((len(self.term), -(-len(words) // BLOCK) or 1))
-        for t, (i, x) in self.postings.items():
-            self.bound[t] = x.max()
-            np.maximum.at(self.block_bound[t], i // BLOCK, x)
-
-    def retrieve(self, terms: np.ndarray) -> list[tuple[int, float]]:
-        """Items that the passage with these distinct terms scores at least `least` on.
-
-        Blocks whose sum of block maxima is less are skipped; only the others are scored.
-        """
-        alive = self.block_bound[terms].sum(0) >= self.least
-        if not alive.any():
-            return []
-        score = np.zeros(len(self.ids))
-        for t in terms:
-            i, x = self.postings[t]
-            use = alive[i // BLOCK]
-            score[i[use]] += x[use]
-        return [(int(i), float(score[i])) for i in np.flatnonzero(score >= self.least)]
+                t, block = self.term[w], item // BLOCK
+                postings[block][t][item % BLOCK] = x / own
+                self.block_bound[t, block] = max(self.block_bound[t, block], x / own)
+        self.block_terms = [np.array(sorted(p), np.int64) for p in postings]
+        self.block_impacts = [np.array([p[t] for t in sorted(p)]).reshape(-1, BLOCK) for p in postings]
+
+    def retrieve(self, terms: np.ndarray, block: int) -> list[tuple[int, float]]:
+        """Items of the block that the passage with these distinct terms scores at least `least` on."""
+        own = self.block_terms[block]
+        at = np.searchsorted(own, terms)
+        at[at == len(own)] = 0
+        score = self.block_impacts[block][at[own[at] == terms]].sum(0)
+        return [(block * BLOCK + int(i), float(score[i])) for i in np.flatnonzero(score >= self.least)]
 
     def matches(self, words: list[bytes], terms: np.ndarray) -> dict[int, tuple[int, float, float, float]]:
-        """item: (passages, best score, question overlap, answer overlap) of the verified ones."""
+        """item: (passages, best score, question overlap, answer overlap) of the verified ones.
+
+        A passage's sum of block maxima bounds its score on each item of the block; only blocks where that
+        reaches `least` are scored.
+        """
         found: dict[int, tuple[int, float, float, float]] = {}
         known = np.flatnonzero(terms >= 0)
         if not len(known):
             return found
-        block = known // self.step
-        pair = np.unique(block * len(self.term) + terms[known])
-        block, term = pair // len(self.term), pair % len(self.term)
+        pair = np.unique(known // self.step * len(self.term) + terms[known])
+        part, term = pair // len(self.term), pair % len(self.term)
         n = -(-len(words) // self.step)
-        sums = np.bincount(block, self.bound[term], n)
-        passage = sums + np.append(sums[1:], 0) if n > 1 else sums
-        edge = np.searchsorted(block, np.arange(n + 1))
-        for p in np.flatnonzero(passage >= self.least):
-            own = np.unique(term[edge[p] : edge[min(p + 2, n)]])
-            hits = self.retrieve(own)
-            if not hits:
-                continue
-            grams = _grams_of_all_sizes(words[p * self.step : (p + 2) * self.step], self.k)
-            for item, score in hits:
+        edge = np.searchsorted(part, np.arange(n + 1))
+        sums = np.zeros((n + 1, self.block_bound.shape[1]), np.float32)
+        full = np.flatnonzero(edge[1:] > edge[:-1])
+        sums[full] = np.add.reduceat(self.block_bound[term], edge[full], axis=0)
+        passages = sums[:-1] + sums[1:]
+        grams_of, grams = -1, set()
+        for p, block in zip(*np.nonzero(passages >= self.least - 1e-4), strict=True):
+            for item, score in self.retrieve(np.unique(term[edge[p] : edge[min(p + 2, n)]]), block):
+                if grams_of != p:
+                    grams_of, grams = p, _grams_of_all_sizes(words[p * self.step : (p + 2) * self.step], self.k)
                 q, a = (_covered(x, grams) for x in (self.question[item], self.answer[item]))
                 if q >= self.overlap and a >= self.overlap:
                     before = found.get(item, (0, 0.0, 0.0, 0.0))
@@ -128,7 +125,7 @@ def questions(benchmark: DataFrame, *, item_id: str = "item_id", text: str = "te
     ).distinct()
 
 
-def indexes(items: DataFrame, *, least: float = 0.5, overlap: float = 0.8, k: int = 5, shard_words: int = 500_000) -> list[Index]:
+def indexes(items: DataFrame, *, least: float = 0.5, overlap: float = 0.8, k: int = 5, shard_words: int = 50_000) -> list[Index]:
     """One index per shard of items; a shard has about `shard_words` words, so that it can be sent to each task.
 
     More items make more shards, each of which reads the documents again.
@@ -150,7 +147,7 @@ def _per_row(batch: pa.RecordBatch, index: Index) -> Iterator[tuple[int, int, li
         found = []
         for value in texts:
             words = _words(value)
-            terms = np.fromiter((look(w, -1) for w in words), np.int64, len(words))
+            terms = np.array([look(w, -1) for w in words], np.int64)
             found.append(index.matches(words, terms) if len(words) else {})
         yield start, end, found
 

@@ -565,9 +565,8 @@ def oracle_sql() -> dict[str, str]:
         + f"SELECT {_alert_id('burst_first_event')} AS alert_id, tie FROM (SELECT *, row_number() "
         "OVER (PARTITION BY k, alert_ts ORDER BY ts DESC, tie DESC) AS rn FROM a_k) WHERE rn <= 14",
         "alert_order": _with(*_many_alerts(list(_ALERT_RULES)))
-        + "SELECT alert_id, severity, last_seen, CAST(place AS INT) AS place FROM (SELECT *, "
-        f"row_number() OVER (ORDER BY {_RANK}, last_seen DESC, alert_id) AS place FROM al) "
-        "WHERE place <= 100",
+        + "SELECT alert_id, severity, last_seen, CAST(row_number() OVER (ORDER BY "
+        f"{_RANK}, last_seen DESC, alert_id) AS INT) AS place FROM al",
         "alert_search": _with(*_many_alerts(list(_ALERT_RULES)))
         + "SELECT alert_id, severity, entity_key FROM al WHERE severity IN ('critical', 'high') "
         "AND rule_id LIKE 'sequence%' AND list_has_any(sources, ['windows', 'firewall'])",
@@ -676,7 +675,7 @@ def oracle_sql() -> dict[str, str]:
         "severity = 'critical') AS critical, (SELECT count(*) FROM al WHERE severity = 'high') AS "
         "high FROM ev WHERE source <> 'windows'",
         "classify_feeds": f"WITH {EV} SELECT DISTINCT {_FEED} AS feed, source AS parser FROM ev "
-        "UNION ALL SELECT 'prose', NULL",
+        f"UNION ALL SELECT 'document ' || doc_id, NULL FROM documents WHERE regexp_matches(text, '[^{WS}]')",
         "text_lines": "SELECT CAST(doc_id AS VARCHAR) AS feed, line_no, md5(line) AS digest FROM "
         "(SELECT doc_id, generate_subscripts(parts, 1) AS line_no, unnest(parts) AS line FROM "
         "(SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS parts FROM documents)) WHERE "

@@ -192,13 +192,8 @@ _ALERT_RULES = ("burst_count", "burst_distinct", "burst_sum", "sequence_two", "s
 
 def alert_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _alerts(spark, sf_dir, *_ALERT_RULES)
-    by = Window.orderBy(schema.severity_rank(F.col("severity")), F.desc("last_seen"), "alert_id")
-    shown = E.alert_order(found).limit(100)
-    return T.plain_time(
-        shown.select(
-            "alert_id", "severity", "last_seen", F.row_number().over(by).alias("place")
-        )
-    )
+    placed = E.with_place(found.select("alert_id", "severity", "last_seen"), E.alert_ordering())
+    return T.plain_time(placed)
 
 
 def severity_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -393,7 +388,9 @@ def funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def classify_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = T.security_events(spark, sf_dir)
     documents = L.lines_of_text(
-        T.read(spark, sf_dir, "documents").select(F.lit("prose").alias("feed"), "text")
+        T.read(spark, sf_dir, "documents").select(
+            F.concat(F.lit("document "), "doc_id").alias("feed"), "text"
+        )
     )
     lines = T.all_lines(events).drop("parser").unionByName(documents)
     return L.classify_feeds(lines).select("feed", "parser")

@@ -58,8 +58,8 @@ def clf_time(text: Column) -> Column:
 
 
 def iso_time(text: Column) -> Column:
-    """ISO-8601 time as UTC, NULL when malformed. Needs session zone UTC."""
-    return text.try_cast("timestamp")
+    """ISO-8601 time as UTC, NULL when malformed or without a date. Needs session zone UTC."""
+    return F.when(text.rlike(r"^\s*[+-]?\d{4,}(-|\s*$)"), text.try_cast("timestamp"))
 
 
 def micros(ts: Column) -> Column:

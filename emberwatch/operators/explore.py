@@ -11,6 +11,7 @@ from emberwatch import schema
 from emberwatch.functions import times
 from emberwatch.functions.share import share
 from emberwatch.operators import geo as G
+from emberwatch.operators.staging import staged
 
 MINUTE = 60_000_000
 SHOWN_EVENTS = 200
@@ -147,8 +148,41 @@ def alerts_per(alerts: DataFrame, column: str = "severity") -> DataFrame:
 
 def alert_order(alerts: DataFrame, newest_first: bool = False) -> DataFrame:
     """Alerts by severity then newest, or by newest alone."""
+    return alerts.orderBy(*alert_ordering(newest_first))
+
+
+def alert_ordering(newest_first: bool = False) -> list[Column]:
+    """The columns of `alert_order`."""
     by = [] if newest_first else [schema.severity_rank(F.col("severity"))]
-    return alerts.orderBy(*by, F.desc("last_seen"), "alert_id")
+    return [*by, F.desc("last_seen"), F.col("alert_id")]
+
+
+def with_place(rows: DataFrame, by: Sequence[Column], name: str = "place") -> DataFrame:
+    """rows with their place, from 1, in a total order, without one task seeing all rows.
+
+    The rows are dealt out by ranges of the order and sorted there; the row counts of
+    earlier ranges (one number per range) are added to the place in the range.
+    """
+    # the lower 33 bits of the id count a partition's rows, the upper ones number it
+    sorted_rows = staged(
+        rows.repartitionByRange(*by)
+        .sortWithinPartitions(*by)
+        .withColumn("_id", F.monotonically_increasing_id())
+    )
+    part = F.shiftright("_id", 33)
+    sizes = {r["p"]: r["n"] for r in sorted_rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    earlier, total = [], 0
+    for p in sorted(sizes):
+        earlier.append((p, total))
+        total += sizes[p]
+    table = rows.sparkSession.createDataFrame(earlier, "_part bigint, _earlier bigint")
+    in_part = F.col("_id") - F.shiftleft(part, 33)
+    return (
+        sorted_rows.withColumn("_part", part)
+        .join(table, "_part")
+        .withColumn(name, (F.col("_earlier") + in_part + 1).cast("int"))
+        .drop("_id", "_part", "_earlier")
+    )
 
 
 def feed_stats(parsed: DataFrame) -> DataFrame:

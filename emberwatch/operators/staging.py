@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -10,11 +11,13 @@ from pyspark.sql import DataFrame
 def staged(rows: DataFrame) -> DataFrame:
     """The rows, computed once and kept in the session's checkpoint folder.
 
-    On a cluster `spark.checkpoint.dir` names a shared folder, so the result survives
-    lost executors. Only where it is unset (tests, a laptop) a local one is made.
+    On a cluster `spark.checkpoint.dir` must name a shared folder, so the result survives
+    lost executors. Only a local session without one gets a temporary folder.
     """
     context = rows.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="emberwatch-"))
     return rows.checkpoint(eager=True)

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from emberwatch.functions import text as X
 from emberwatch.operators.staging import staged
 
-# About 100 MB of split offsets; 128 TB of text in splits of 128 MB.
-BROADCAST_SPLITS = 1_000_000
-
 
 def read_lines(
     spark: SparkSession, path: str | Sequence[str], feed: str, feed_order: int = 0
@@ -20,10 +17,9 @@ def read_lines(
     """Text files as numbered lines, blank ones dropped but counted.
 
     Files stay splittable: each split's rows are numbered by their place in the split,
-    and the line counts of earlier splits of the file are added from a table with one
-    row per split. That table is counted once and joined by broadcast while it has at
-    most BROADCAST_SPLITS rows, so the lines themselves are not shuffled. Bytes that are
-    not UTF-8 decode to U+FFFD.
+    and the line counts of earlier files (by path) and splits are added from a table with
+    one row per split, so numbers are unique over all files of the feed. Spark broadcasts
+    that table as long as its size allows. Bytes that are not UTF-8 decode to U+FFFD.
     """
     rows = (
         spark.read.option("lineSep", "\n")
@@ -41,17 +37,26 @@ def read_lines(
     before = Window.partitionBy("_file").orderBy("_start").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    offsets = staged(
+    counted = staged(
         splits.select(
             "_file",
             "_start",
             "_first",
             "_n",
-            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_earlier"),
+            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_in_file"),
         )
     )
-    if offsets.count() <= BROADCAST_SPLITS:
-        offsets = F.broadcast(offsets)
+    files = counted.groupBy("_file").agg(F.sum("_n").alias("_n")).select(
+        "_file",
+        F.coalesce(
+            # one row per file
+            F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)),
+            F.lit(0),
+        ).alias("_files"),
+    )
+    offsets = counted.join(files, "_file").withColumn(
+        "_earlier", F.col("_in_file") + F.col("_files")
+    )
     place = F.col("_row") - F.col("_first")
     changed = F.raise_error(
         F.lit(
@@ -98,7 +103,7 @@ def read_json_array(
 
     An array has no place to split at, so each file is read whole by one task; large
     exports belong in JSON lines. A file that does not parse gives one line with its
-    first 200 characters. Element numbers start at 1 in each file.
+    whole text. Element numbers start at 1 in each file.
     """
     texts = spark.read.text(path, wholetext=True).select(
         F.lit(feed).alias("feed"), F.col("value").alias("text")
@@ -121,7 +126,7 @@ def json_array_lines(texts: DataFrame, text: str = "text", feed: str = "feed") -
         .select(
             "feed",
             F.posexplode(
-                F.coalesce("_items", F.array(F.substring("_whole", 1, 200)))
+                F.coalesce("_items", F.array("_whole"))
             ).alias("_at", "line"),
         )
         .select(

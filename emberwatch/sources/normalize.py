@@ -259,9 +259,10 @@ def parse_windows(lines: DataFrame) -> DataFrame:
                     X.nonempty(F.coalesce(o["@timestamp"], o["timestamp"]))
                 ),
                 "_id": F.when(F.abs(number) < 2147483648.0, number.cast("int")),
+                "_whole": number == F.floor(number),
             }
         )
-        .withColumn("_known", F.try_element_at(table, F.col("_id")))
+        .withColumn("_known", F.when(F.col("_whole"), F.try_element_at(table, F.col("_id"))))
     )
     known = F.col("_known")
     user = F.coalesce(o["target_user"], o["user"], o["subject_user"])

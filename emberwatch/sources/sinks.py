@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberwatch.operators.explore import new_since
+from emberwatch.operators.staging import staged
 
 
 def write_events(events: DataFrame, path: str) -> None:
@@ -33,7 +34,25 @@ def write_alerts(alerts: DataFrame, path: str) -> None:
     )
 
 
-def append_new_alerts(alerts: DataFrame, path: str) -> None:
-    """Append only alerts whose alert_id the table lacks."""
-    known = alerts.sparkSession.read.schema("alert_id string").parquet(path)
-    write_alerts(new_since(alerts, known), path)
+def merge_alerts(alerts: DataFrame, path: str) -> None:
+    """Bring the table of alerts up to date: new ids are added, known ones replaced.
+
+    The table need not exist yet. An alert that has grown keeps its id and the day it began,
+    so only the days of the given alerts are written anew.
+    """
+    spark = alerts.sparkSession
+    days = F.to_date("first_seen")
+    now = staged(alerts.withColumn("day", days))
+    try:
+        before = spark.read.schema(now.schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        before = now.limit(0)
+    kept = before.join(now.select("day").distinct(), "day", "left_semi").join(
+        now.select("alert_id"), "alert_id", "left_anti"
+    )
+    rows = staged(now.unionByName(kept.select(now.columns)))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "day"
+    ).parquet(path)

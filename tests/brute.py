@@ -1,8 +1,9 @@
-"""Plain re-statements of the detectors for small inputs, one key at a time.
+"""The detectors' definitions, tried out on all candidates of small inputs, one key at a time.
 
 Rows are dicts with t (any integer unit), tie and whatever the predicates read.
 """
 
+import itertools
 import math
 
 
@@ -10,91 +11,98 @@ def ordered(rows):
     return sorted(rows, key=lambda r: (r["t"], r["tie"]))
 
 
+def disjoint(candidates):
+    """Of (first, last, value) intervals, one per start and in any order: the first, then
+    the first that starts after its end, and so on."""
+    out, end = [], -1
+    for first, last, value in sorted(candidates, key=lambda c: c[0]):
+        if first > end:
+            out.append(value)
+            end = last
+    return out
+
+
 def bursts(rows, within, need, tally):
+    """Windows opened by each row, of those in which the tally of some prefix suffices."""
     rows = ordered(rows)
-    out, floor, j = [], 0, 0
-    while j < len(rows):
-        lo = next(i for i in range(floor, j + 1) if rows[j]["t"] - rows[i]["t"] <= within)
-        if tally(rows[lo : j + 1]) >= need:
-            inside = [r for r in rows[lo:] if r["t"] - rows[lo]["t"] <= within]
-            out.append(inside)
-            floor = j = lo + len(inside)
-        else:
-            floor, j = lo, j + 1
-    return out
+    candidates = []
+    for i, r in enumerate(rows):
+        n = sum(1 for x in rows[i:] if x["t"] - r["t"] <= within)
+        window = rows[i : i + n]
+        if any(tally(window[: k + 1]) >= need for k in range(n)):
+            candidates.append((i, i + n - 1, window))
+    return disjoint(candidates)
 
 
 def sequences(rows, within, steps):
-    """steps: [(test, need)]; returns the evidence rows of each match."""
+    """steps: [(test, need)]; the evidence rows of each match.
+
+    From an anchor row, step k + 1 begins at the first row of its kind once step k has its
+    `need` rows; the match ends when the last step has enough.
+    """
     rows = ordered(rows)
-    out, i = [], 0
-    while i < len(rows):
-        took = _walk(rows, i, within, steps) if steps[0][0](rows[i]) else None
-        if took is None:
-            i += 1
-        else:
-            taken, end = took
-            out.append(taken)
-            i = end + 1
-    return out
+    candidates = []
+    for i, anchor in enumerate(rows):
+        if not steps[0][0](anchor):
+            continue
+        window = [j for j in range(i, len(rows)) if rows[j]["t"] - anchor["t"] <= within]
+        begins = [i]
+        for (test, need), (following, _) in itertools.pairwise(steps):
+            own = [j for j in window if j >= begins[-1] and test(rows[j])]
+            enough = own[need - 1] if len(own) >= need else len(rows)
+            begins.append(next((j for j in window if j > enough and following(rows[j])), len(rows)))
+        last, need = steps[-1]
+        final = [j for j in window if j >= begins[-1] and last(rows[j])][:need]
+        if len(final) < need:
+            continue
+        spans = [*itertools.pairwise(begins), (begins[-1], final[-1] + 1)]
+        taken = [
+            rows[j]
+            for (a, b), (test, _) in zip(spans, steps, strict=True)
+            for j in range(a, b)
+            if test(rows[j])
+        ]
+        candidates.append((i, final[-1], taken))
+    return disjoint(candidates)
 
 
-def _walk(rows, i, within, steps):
-    step, got, taken = 0, 0, []
-    for j in range(i, len(rows)):
-        r = rows[j]
-        if r["t"] - rows[i]["t"] > within:
-            return None
-        if step + 1 < len(steps) and got >= steps[step][1] and steps[step + 1][0](r):
-            step, got = step + 1, 0
-        if steps[step][0](r):
-            taken.append(r)
-            got += 1
-            if step == len(steps) - 1 and got >= steps[step][1]:
-                return taken, j
-    return None
+def unit(place):
+    lat, lon = map(math.radians, place)
+    return math.cos(lat) * math.cos(lon), math.cos(lat) * math.sin(lon), math.sin(lat)
 
 
 def km_between(a, b):
-    lat1, lon1, lat2, lon2 = (math.radians(x) for x in (*a, *b))
-    h = math.sin((lat2 - lat1) / 2) ** 2 + (
-        math.sin((lon2 - lon1) / 2) ** 2 * math.cos(lat1) * math.cos(lat2)
-    )
-    return 2 * 6371 * math.asin(min(1.0, math.sqrt(h)))
+    """By the chord between points of the unit sphere."""
+    return 2 * 6371 * math.asin(min(1.0, math.dist(unit(a), unit(b)) / 2))
 
 
 def travels(rows, within, min_km, min_kmh, hour, place):
-    rows = ordered(rows)
-    out = []
-    for a, b in zip(rows, rows[1:]):
-        dt = b["t"] - a["t"]
-        if a["ip"] == b["ip"] or not 0 < dt <= within:
-            continue
-        if place(a["ip"]) is None or place(b["ip"]) is None:
-            continue
-        km = km_between(place(a["ip"]), place(b["ip"]))
-        if km >= min_km and km / (dt / hour) >= min_kmh:
-            out.append([a, b])
-    return out
+    """Pairs of neighbours with places that no one can reach in the time between."""
+
+    def possible(a, b):
+        gap = b["t"] - a["t"]
+        ends = place(a["ip"]), place(b["ip"])
+        if a["ip"] == b["ip"] or gap <= 0 or gap > within or None in ends:
+            return True
+        km = km_between(*ends)
+        return km < min_km or km * hour < min_kmh * gap
+
+    return [list(p) for p in itertools.pairwise(ordered(rows)) if not possible(*p)]
 
 
 def fold(matches, within):
-    """Lists of matches (each a list of rows) that form one alert."""
-    out = []
-    for m in sorted(matches, key=lambda m: m[0]["t"]):
-        if out and m[0]["t"] - out[-1][1] <= within:
-            out[-1][0].append(m)
-            out[-1][1] = max(out[-1][1], m[-1]["t"])
-        else:
-            out.append([[m], m[-1]["t"]])
-    return [group for group, _ in out]
+    """Connected runs of matches: those whose spans, lengthened by `within`, touch."""
+    spans = sorted(matches, key=lambda m: m[0]["t"])
+    reach = list(itertools.accumulate((m[-1]["t"] + within for m in spans), max))
+    fresh = [i == 0 or m[0]["t"] > reach[i - 1] for i, m in enumerate(spans)]
+    number = list(itertools.accumulate(fresh))
+    return [[m for m, n in zip(spans, number, strict=True) if n == k] for k in sorted(set(number))]
 
 
 def merged(group):
-    """Evidence of an alert without rows an earlier match has."""
-    seen, out = set(), []
-    for m in group:
-        new = [r for r in m if (r["raw"], r["t"]) not in seen]
-        out += new
-        seen |= {(r["raw"], r["t"]) for r in m}
-    return ordered(out)
+    """Evidence of an alert: per raw text and time, the rows of the first match that has it."""
+    owner = {}
+    for i, m in enumerate(group):
+        for r in m:
+            owner.setdefault((r["raw"], r["t"]), i)
+    return ordered(r for i, m in enumerate(group) for r in m if owner[r["raw"], r["t"]] == i)

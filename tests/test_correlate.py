@@ -65,8 +65,8 @@ def test_folding_and_edges(spark, tmp_path):
     assert kept.count() == sum(a.evidence_count for a in found)
     path = str(tmp_path / "alerts")
     sinks.write_alerts(alerts.filter("entity_key = 'run'"), path)
-    sinks.append_new_alerts(alerts, path)
-    sinks.append_new_alerts(alerts, path)
+    sinks.merge_alerts(alerts, path)
+    sinks.merge_alerts(alerts, path)
     assert spark.read.parquet(path).count() == len(found)
     mix = {r.severity: (r.alerts, r.share) for r in E.severity_mix(alerts).collect()}
     assert mix["high"] == (len(found), 1.0) and mix["info"] == (0, 0.0)

@@ -59,6 +59,17 @@ def unstage(df: DataFrame) -> None:
             break
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each led by underscores until df has no column like it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def held_out(doc_id: Column, divisor: int, remainder: int) -> Column:
     """Whether crc32 of the id's text leaves this remainder; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % divisor == remainder, F.lit(False))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import fresh, slices
 
 #: Items of a postings block.
 BLOCK = 4
@@ -141,9 +141,9 @@ def indexes(items: DataFrame, *, least: float = 0.5, overlap: float = 0.8, k: in
     return made
 
 
-def _per_row(batch: pa.RecordBatch, index: Index) -> Iterator[tuple[int, int, list[dict]]]:
+def _per_row(batch: pa.RecordBatch, index: Index, column: str = "_bytes") -> Iterator[tuple[int, int, list[dict]]]:
     look = index.term.get
-    for start, end, texts in slices(batch, "_bytes"):
+    for start, end, texts in slices(batch, column):
         found = []
         for value in texts:
             words = _words(value)
@@ -187,15 +187,16 @@ def contaminated(docs: DataFrame, made: list[Index], *, doc_id: str = "doc_id",
 def decontaminated(docs: DataFrame, made: list[Index], *, text: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose text holds no test item (as `contaminated` finds them)."""
     names = docs.columns
+    (bytes_,) = fresh(docs, "_bytes")
 
     def scan(df: DataFrame, sent) -> DataFrame:
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for start, end, found in _per_row(batch, sent.value):
+                for start, end, found in _per_row(batch, sent.value, bytes_):
                     part = batch.slice(start, end - start).filter(pa.array([not x for x in found], pa.bool_()))
                     yield part.select(names)
 
-        return df.withColumn("_bytes", F.col(text).cast("binary")).mapInArrow(emit, docs.schema)
+        return df.withColumn(bytes_, F.col(text).cast("binary")).mapInArrow(emit, docs.schema)
 
     for index in made:
         docs = scan(docs, docs.sparkSession.sparkContext.broadcast(index))

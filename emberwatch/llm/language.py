@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_folder, slices
+from .common import fresh, shared_folder, slices
 
 #: Byte symbols: the most frequent bytes in training have one each, all others share the last.
 SYMBOLS = 64
@@ -149,12 +149,13 @@ def identified(docs: DataFrame, model: Model, *, text: str = "text") -> DataFram
     """
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    bytes_, letters_ = fresh(docs, "_bytes", "_letters")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         place = model.place()
         for batch in batches:
-            for start, end, texts in slices(batch, "_bytes", 1 << 20):
+            for start, end, texts in slices(batch, bytes_, 1 << 20):
                 if model.langs:
                     bits = model.bits(texts, place)
                     best = bits.argmin(1)
@@ -162,7 +163,7 @@ def identified(docs: DataFrame, model: Model, *, text: str = "text") -> DataFram
                     lang = [model.langs[i] for i in best]
                 else:
                     lang, score = [None] * len(texts), np.zeros(len(texts))
-                letters = batch.column("_letters").slice(start, end - start).to_pylist()
+                letters = batch.column(letters_).slice(start, end - start).to_pylist()
                 known = [bool(x and y) for x, y in zip(letters, lang, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -173,6 +174,6 @@ def identified(docs: DataFrame, model: Model, *, text: str = "text") -> DataFram
                     names=[*names, "lang_pred", "score"],
                 )
 
-    own = docs.select(*names, F.col(text).cast("binary").alias("_bytes"), F.col(text).rlike(r"\p{L}").alias("_letters"))
+    own = docs.select(*names, F.col(text).cast("binary").alias(bytes_), F.col(text).rlike(r"\p{L}").alias(letters_))
     schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.select(*names).schema.fields)
     return own.mapInArrow(emit, f"{schema}, lang_pred string, score double")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shared_folder, staged, unstage, words_of
+from .common import fresh, shared_folder, staged, unstage, words_of
 
 #: Source rows up to which their table is broadcast (a few hundred bytes each).
 FEW_SOURCES = 100_000
@@ -133,20 +133,22 @@ def mix(
         docs.select(name.alias("source"), F.col(doc_id).alias("doc_id"), F.size(words_of(F.col(text))).cast("long").alias("tokens"))
         .groupBy("source", "doc_id").agg(F.sum("tokens").alias("tokens")), "units",
     )
+    inner = ["source", "weight", "epochs", "blocks", "last_block", "last_doc", "block", "epoch"]
+    c = dict(zip(inner, fresh(docs, *[f"_{n}" for n in inner]), strict=True))
     planned = plan(units, repeats=repeats, entropy=entropy, budget=budget, block_tokens=block_tokens).select(
-        F.col("source").alias("_source"), F.col("weight").alias("_weight"), F.col("epochs").alias("_epochs"), F.col("blocks").alias("_blocks"),
-        F.col("last_block_key").alias("_last_block"), F.col("last_doc_key").alias("_last_doc"),
+        F.col("source").alias(c["source"]), F.col("weight").alias(c["weight"]), F.col("epochs").alias(c["epochs"]), F.col("blocks").alias(c["blocks"]),
+        F.col("last_block_key").alias(c["last_block"]), F.col("last_doc_key").alias(c["last_doc"]),
     )
     unstage(units)
     few = planned.count() <= FEW_SOURCES
-    own = docs.drop(*new).withColumn("_source", name).join(F.broadcast(planned) if few else planned, "_source")
-    own = own.withColumn("_block", _block(F.col(doc_id), F.col("_blocks")))
-    block_key = _key(F.col("_source"), F.col("_block"), F.col("_epochs"))
-    partly = (block_key < F.col("_last_block")) | ((block_key == F.col("_last_block")) & (_key(F.col(doc_id), F.col("_epochs")) <= F.col("_last_doc")))
-    times = F.col("_epochs") + F.when(partly, 1).otherwise(0)
+    own = docs.drop(*new).withColumn(c["source"], name).join(F.broadcast(planned) if few else planned, c["source"])
+    own = own.withColumn(c["block"], _block(F.col(doc_id), F.col(c["blocks"])))
+    block_key = _key(F.col(c["source"]), F.col(c["block"]), F.col(c["epochs"]))
+    partly = (block_key < F.col(c["last_block"])) | ((block_key == F.col(c["last_block"])) & (_key(F.col(doc_id), F.col(c["epochs"])) <= F.col(c["last_doc"])))
+    times = F.col(c["epochs"]) + F.when(partly, 1).otherwise(0)
     read = F.when(times > 0, F.sequence(F.lit(0).cast("long"), times - 1)).otherwise(F.array().cast("array<long>"))
-    return own.withColumn("_epoch", F.explode(read)).select(
-        *[c for c in docs.columns if c not in new], F.col("_epoch").alias("epoch"), F.col("_block").alias("block"),
-        _key(F.col("_source"), F.col("_block"), F.col("_epoch")).alias("block_key"), _key(F.col(doc_id), F.col("_epoch")).alias("doc_key"),
-        F.col("_weight").alias("weight"), F.size(words_of(F.col(text))).cast("long").alias("n_tokens"),
+    return own.withColumn(c["epoch"], F.explode(read)).select(
+        *[n for n in docs.columns if n not in new], F.col(c["epoch"]).alias("epoch"), F.col(c["block"]).alias("block"),
+        _key(F.col(c["source"]), F.col(c["block"]), F.col(c["epoch"])).alias("block_key"), _key(F.col(doc_id), F.col(c["epoch"])).alias("doc_key"),
+        F.col(c["weight"]).alias("weight"), F.size(words_of(F.col(text))).cast("long").alias("n_tokens"),
     )

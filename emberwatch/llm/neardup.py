@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, WordHashes, mixed, shared_folder, slices, staged, unstage
+from .common import WORD, WordHashes, fresh, mixed, shared_folder, slices, staged, unstage
 from .components import components
 
 #: Rows of an estimation cell on either side; cells, not whole buckets, meet in a task.
@@ -351,16 +351,16 @@ def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     The row with the smallest id stays (nulls last; then the smallest text hash). Rows that
     repeat id and text count as one. Rows without words all stay.
     """
+    keys = fresh(docs, "_no_id", "_id", "_hash")
     found = near_duplicates(docs, doc_id=doc_id, text=text, k=k, least=least)
     best = found.where("node is not null").groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("best")
     ).select(
-        F.col("best.no_id").alias("_no_id"), F.coalesce("best.doc_id", F.lit(0)).alias("_id"),
-        F.col("best.text_hash").alias("_hash"),
+        F.col("best.no_id").alias(keys[0]), F.coalesce("best.doc_id", F.lit(0)).alias(keys[1]),
+        F.col("best.text_hash").alias(keys[2]),
     ).checkpoint()
     own = F.col(doc_id).cast("long")
-    keyed = docs.withColumns({"_no_id": own.isNull(), "_id": F.coalesce(own, F.lit(0)), "_hash": F.xxhash64(text)})
+    keyed = docs.withColumns({keys[0]: own.isNull(), keys[1]: F.coalesce(own, F.lit(0)), keys[2]: F.xxhash64(text)})
     worded = F.coalesce(F.col(text).rlike(WORD), F.lit(False))
-    keys = ["_no_id", "_id", "_hash"]
     some = keyed.where(worded).dropDuplicates(keys).join(best, keys, "left_semi")
     return some.select(docs.columns).union(keyed.where(~worded).select(docs.columns))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mixed, shared_folder, slices
+from .common import fresh, mixed, shared_folder, slices
 
 #: Bytes that a boundary depends on.
 REACH = 16
@@ -128,14 +128,15 @@ def without_repeats(
     new = ["n_words", "n_chunks", "removed_words", "spans"]
     names = [c for c in docs.columns if c not in new]
     last = (1 << 63) - 1
-    own = docs.select(*names, F.coalesce(F.col(doc_id).cast("long"), F.lit(last)).alias("_id"))
-    bare = own.select("_id", F.col(text).cast("binary").alias("_bytes"))
+    key, bytes_, repeats_ = fresh(docs, "_id", "_bytes", "_repeats")
+    own = docs.select(*names, F.coalesce(F.col(doc_id).cast("long"), F.lit(last)).alias(key))
+    bare = own.select(F.col(key).alias("_id"), F.col(text).cast("binary").alias("_bytes"))
     found = _occurrences(bare, mean, most)
     firsts = found.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("other")).where("first < other")
     firsts = firsts.select("digest", "first").checkpoint()
     repeats = found.join(firsts, "digest").where("id > first").groupBy("id").agg(
-        F.sort_array(F.collect_set("at")).alias("_repeats")
-    ).withColumnRenamed("id", "_id").checkpoint()
+        F.sort_array(F.collect_set("at")).alias(repeats_)
+    ).withColumnRenamed("id", key).checkpoint()
     schema = T.StructType([
         *own.select(*names).schema.fields,
         *(T.StructField(n, T.LongType()) for n in new[:3]),
@@ -144,10 +145,10 @@ def without_repeats(
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, end, texts in slices(batch, "_bytes"):
+            for start, end, texts in slices(batch, bytes_):
                 made = Chunks(texts, mean, most)
                 digests = made.digests()
-                marks = batch.column("_repeats").slice(start, end - start).to_pylist()
+                marks = batch.column(repeats_).slice(start, end - start).to_pylist()
                 out, info = [], []
                 for row, value in enumerate(texts):
                     a, b = made.first_chunk[row], made.first_chunk[row + 1]
@@ -167,5 +168,5 @@ def without_repeats(
                 columns += [pa.array(v, k) for v, k in zip(zip(*info, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, *new])
 
-    joined = own.join(repeats, "_id", "left").select(*names, F.col(text).cast("binary").alias("_bytes"), "_repeats")
+    joined = own.join(repeats, key, "left").select(*names, F.col(text).cast("binary").alias(bytes_), repeats_)
     return joined.mapInArrow(emit, schema)

@@ -98,7 +98,7 @@ def verdict(weights: DataFrame, *, text: str = "text", buckets: int = 1 << 14, l
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         n_repeat_words(w).alias("n_repeat_words"),
         _once(grams(w, buckets), lambda g: F.when(
-            F.size(g) > 0, F.round(F.aggregate(g, F.lit(0.0), lambda s, b: s + F.get(weights, b)) / F.size(g), 6)
+            F.size(g) > 0, F.round(F.aggregate(g, F.lit(0.0), lambda s, b: s + F.get(weights, b)) / F.size(g), 6) + F.lit(0.0)
         ).otherwise(0.0)).alias("llr"),
     )))
     return _once(counts, judged)

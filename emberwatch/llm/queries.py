@@ -29,7 +29,8 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=5, least=85)
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"), k=5, least=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,7 +131,8 @@ def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(
         F.max((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("trusted")
     )
-    return docs.select("doc_id", "text").join(good, "doc_id", "left").select("text", "trusted")
+    # always merged: a broadcast where labels are few would only hide how the join grows
+    return docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left").select("text", "trusted")
 
 
 def filtered(docs: DataFrame, labels: DataFrame, *, least: float = -0.2) -> DataFrame:

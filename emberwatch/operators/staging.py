@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def staged(rows: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in the session's checkpoint folder.
+    """The rows, computed once and kept as Parquet in the session's checkpoint folder.
+
+    Readers take only the columns they need.
 
     On a cluster `spark.checkpoint.dir` must name a shared folder, so the result survives
     lost executors. Only a local session without one gets a temporary folder.
@@ -20,4 +23,7 @@ def staged(rows: DataFrame) -> DataFrame:
         if not named and not re.match(r"local(\[|$)", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="emberwatch-"))
-    return rows.checkpoint(eager=True)
+    folder = context.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/staged-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

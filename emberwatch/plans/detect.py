@@ -215,12 +215,14 @@ def evidence(
     rules: Seq[Rule],
     geo: DataFrame | None = None,
     pairs: DataFrame | None = None,
+    hits: DataFrame | None = None,
 ) -> DataFrame:
     """One row per event of each match, with the match's span (s_t .. e_tie).
 
-    `pairs` gives the travel pairs where they are known already.
+    `pairs` gives the travel pairs, `hits` the fan-out of the events (best staged, so that
+    they are read once), where they are known already.
     """
-    hits = fan_out(events, rules)
+    hits = fan_out(events, rules) if hits is None else hits
     parts = []
     if _of(Burst, rules):
         parts.append(span_evidence(hits, burst_spans(hits, rules), _of(Burst, rules)))
@@ -477,15 +479,16 @@ def detect(
 ) -> tuple[DataFrame, DataFrame]:
     """Alerts, and their evidence with alert_id, of the enabled rules.
 
-    Match evidence and matches are staged in the checkpoint folder: they are far smaller
+    Hits, match evidence and matches are staged as Parquet in the checkpoint folder: they are smaller
     than the events, and several results read them.
     """
     rules = [r for r in rules if r.enabled]
     pairs = None
+    hits = staged(fan_out(events, rules))
     if _of(Travel, rules):
         place = G.shipped_geo(events.sparkSession) if geo is None else geo
-        pairs = staged(travel_pairs(fan_out(events, rules), rules, place))
-    rows = staged(evidence(events, rules, pairs=pairs))
+        pairs = staged(travel_pairs(hits, rules, place))
+    rows = staged(evidence(events, rules, pairs=pairs, hits=hits))
     own = staged(alert_matches(rows, rules))
     kept = alert_evidence(rows, own, rules)
     return alerts(kept, own, rules, pairs), kept

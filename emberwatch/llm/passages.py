@@ -71,27 +71,20 @@ def _first_in_text(digests: np.ndarray) -> np.ndarray:
 
 
 def _occurrences(docs: DataFrame, mean: int, most: int) -> DataFrame:
-    """(digest, id, at): each distinct chunk of each text, at its first place there."""
-    schema = pa.schema([("digest", pa.int64()), ("id", pa.int64()), ("at", pa.int32())])
+    """(digest, id): each distinct chunk of each text."""
+    schema = pa.schema([("digest", pa.int64()), ("id", pa.int64())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, _, texts in slices(batch, "_bytes"):
+            for start, end, texts in slices(batch, "_bytes"):
                 made = Chunks(texts, mean, most)
                 digests = made.digests()
-                keep, ids, at = [], [], []
-                for row in range(len(texts)):
-                    a, b = made.first_chunk[row], made.first_chunk[row + 1]
-                    own = np.flatnonzero(_first_in_text(digests[a:b]))
-                    keep.append(own + a)
-                    at.append(own)
-                    ids.append(np.full(len(own), batch.column("_id")[start + row].as_py()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(digests[np.concatenate(keep)]), pa.array(np.concatenate(ids), pa.int64()), pa.array(np.concatenate(at), pa.int32())],
-                    schema=schema,
-                )
+                edge = made.first_chunk
+                own = [np.unique(digests[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+                ids = np.repeat(batch.column("_id").slice(start, end - start).to_numpy(), [len(x) for x in own])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(ids)], schema=schema)
 
-    return docs.select("_id", "_bytes").mapInArrow(emit, "digest long, id long, at int")
+    return docs.select("_id", "_bytes").mapInArrow(emit, "digest long, id long")
 
 
 def _cut(made: Chunks, row: int, repeated: np.ndarray, least: int) -> tuple[list[tuple[int, int]], int]:
@@ -120,22 +113,23 @@ def without_repeats(
     two at their ends, so with `least` 20 passages of 50 words are found. spans are the cut
     (start, end) in bytes of the UTF-8 text.
 
-    A null text stays null with zeros and no spans; a text may become empty. Rows with the same id are one
-    text for the choice of the original; null ids come last, as one id. The columns
+    A null text stays null with zeros and no spans; a text may become empty. Rows with the same id do
+    not repeat each other; null ids come last, ordered by a hash of the text. The columns
     n_words, n_chunks, removed_words, spans of docs itself, if any, are replaced.
     """
     shared_folder(docs.sparkSession)
     new = ["n_words", "n_chunks", "removed_words", "spans"]
     names = [c for c in docs.columns if c not in new]
-    last = (1 << 63) - 1
+    # behind all ids; a place of its own for each text
+    last = F.xxhash64(text).bitwiseAND(F.lit((1 << 60) - 1)) + F.lit(7 << 60)
     key, bytes_, repeats_ = fresh(docs, "_id", "_bytes", "_repeats")
-    own = docs.select(*names, F.coalesce(F.col(doc_id).cast("long"), F.lit(last)).alias(key))
+    own = docs.select(*names, F.coalesce(F.col(doc_id).cast("long"), last).alias(key))
     bare = own.select(F.col(key).alias("_id"), F.col(text).cast("binary").alias("_bytes"))
     found = _occurrences(bare, mean, most)
     firsts = found.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("other")).where("first < other")
     firsts = firsts.select("digest", "first").checkpoint()
     repeats = found.join(firsts, "digest").where("id > first").groupBy("id").agg(
-        F.sort_array(F.collect_set("at")).alias(repeats_)
+        F.collect_set("digest").alias(repeats_)
     ).withColumnRenamed("id", key).checkpoint()
     schema = T.StructType([
         *own.select(*names).schema.fields,
@@ -154,7 +148,7 @@ def without_repeats(
                     a, b = made.first_chunk[row], made.first_chunk[row + 1]
                     local = digests[a:b]
                     repeated = ~_first_in_text(local)
-                    repeated |= np.isin(local, local[np.array(marks[row] or [], dtype=np.int64)])
+                    repeated |= np.isin(local, np.array(marks[row] or [], dtype=np.int64))
                     spans, gone = _cut(made, row, repeated, least)
                     if spans:
                         edges = [0, *(x for s in spans for x in s), len(value)]

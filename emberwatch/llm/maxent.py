@@ -25,19 +25,19 @@ class Shape:
     """Sizes of the model; none depends on the corpus.
 
     The classes * members most frequent tokens, ranked, form `classes` classes of `members`. All
-    others form `rare` classes by their last byte. Features are the word before, the second and third before (skips) and the
-    two before as a pair, hashed to class_rows rows of class weights and, together with the class, to member_rows rows of
-    member weights. `direct` most frequent words have their counts in each task.
+    others form `rare` classes by their last byte. Features are the word before, the second before (a skip) and the
+    two as a pair, hashed to class_rows rows of class weights and, together with the class, to member_rows rows of
+    member weights (65,536 rows at most). At most `direct` of the most frequent words have their counts in each task.
     """
 
-    classes: int = 16
+    classes: int = 8
     members: int = 64
-    rare: int = 16
-    class_rows: int = 1 << 14
-    member_rows: int = 1 << 14
+    rare: int = 8
+    class_rows: int = 1 << 13
+    member_rows: int = 1 << 13
     direct: int = 1 << 18
     rounds: int = 2
-    batch: int = 8192
+    batch: int = 32768
     rate: float = 0.25
 
     @property
@@ -50,27 +50,25 @@ class Vocabulary:
 
     def __init__(self, shape: Shape, frequent: list[tuple[bytes, int]]) -> None:
         self.shape = shape
-        self.symbol = {w: i for i, (w, _) in enumerate(frequent)}
-        self.end = self.symbol[END]
-
-    def of(self, words: list[bytes]) -> list[int]:
-        known, rare, least = self.symbol.get, self.shape.rare, self.shape.known
-        out = [known(w, -1) for w in words]
-        return [s if s >= 0 else least + w[-1] % rare for s, w in zip(out, words, strict=True)]
-
-
-def _tokens(vocabulary: Vocabulary, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of texts, each led by three ends as context and closed by one; whether each is a token to predict."""
-    end, parts, lengths = vocabulary.end, [], []
-    for words in texts:
-        parts += [[end] * 3, vocabulary.of(words), [end]]
-        lengths.append(len(words) + 4)
-    symbols = np.fromiter((s for p in parts for s in p), np.int64, sum(lengths))
-    use = np.ones(len(symbols), bool)
-    starts = np.cumsum(lengths) - lengths
-    for i in range(3):
-        use[starts + i] = False
-    return symbols, use
+        self.rank = {w: i for i, (w, _) in enumerate(frequent)}
+
+    def tokens(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of texts, each led by two ends as context and closed by one; whether each is a token to predict."""
+        rank, marks, all_words, lengths = self.rank.get, (b"\0", b"\0"), [], []
+        for words in texts:
+            all_words += marks
+            all_words += words
+            all_words.append(b"\0")
+            lengths.append(len(words) + 3)
+        symbols = np.array([rank(w, -1) for w in all_words], np.int64)
+        last = np.array([w[-1] for w in all_words], np.int64)
+        symbols = np.where(symbols < 0, self.shape.known + last % self.shape.rare, symbols)
+        use = np.ones(len(symbols), bool)
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
+        use[starts] = use[starts + 1] = False
+        symbols[starts] = symbols[starts + 1] = symbols[ends - 1] = self.rank[END]
+        return symbols, use
 
 
 class Weights:
@@ -82,14 +80,20 @@ class Weights:
         ]
 
     def features(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Four hashes of the context of each place."""
-        one, two, three = (symbols[at - i].astype(np.uint64) for i in (1, 2, 3))
-        base = np.stack([one * np.uint64(4), two * np.uint64(4) + np.uint64(1), three * np.uint64(4) + np.uint64(2), (one * np.uint64(1 << 20) + two) * np.uint64(4) + np.uint64(3)], 1)
+        """Three hashes of the context of each place, one per row."""
+        one, two = (symbols[at - i].astype(np.uint64) for i in (1, 2))
+        base = np.stack([one * np.uint64(4), two * np.uint64(4) + np.uint64(1), (one * np.uint64(1 << 20) + two) * np.uint64(4) + np.uint64(2)])
         return (base + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
 
     @staticmethod
     def rows(hashes: np.ndarray, size: int) -> np.ndarray:
-        return ((hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)).astype(np.int64) % size
+        return (((hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)) % np.uint64(size)).astype(np.uint16)
+
+    def logits(self, table: int, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        total = bias + self.tables[table].take(rows[0], 0)
+        for r in rows[1:]:
+            total += self.tables[table].take(r, 0)
+        return total
 
     def parts(self, features: np.ndarray, target: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """For classes, then members: table, the places that it concerns, rows of weights, log chances, right column."""
@@ -97,12 +101,11 @@ class Weights:
         known = target < shape.known
         group = np.where(known, target // shape.members, shape.classes + target - shape.known)
         rows = self.rows(features, shape.class_rows)
-        yield 0, np.arange(len(target)), rows, _log_softmax(self.class_bias + self.tables[0][rows].sum(1)), group
+        yield 0, np.arange(len(target)), rows, _log_softmax(self.logits(0, rows, self.class_bias)), group
         own = np.flatnonzero(known)
-        with_class = features[own] + (group[own][:, None].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        with_class = features[:, own] + (group[own].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
         rows = self.rows(with_class, shape.member_rows)
-        logits = self.member_bias[group[own]] + self.tables[1][rows].sum(1)
-        yield 1, own, rows, _log_softmax(logits), target[own] % shape.members
+        yield 1, own, rows, _log_softmax(self.logits(1, rows, self.member_bias.take(group[own], 0))), target[own] % shape.members
 
     def log_chances(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Natural log of the chance of the symbols at these places."""
@@ -118,14 +121,14 @@ class Weights:
         for s in range(0, len(at), self.shape.batch):
             place = at[s : s + self.shape.batch]
             for t, _, rows, logs, column in self.parts(self.features(symbols, place), symbols[place]):
-                if not len(rows):
+                if not rows.size:
                     continue
                 slope = np.exp(logs)
                 slope[np.arange(len(column)), column] -= 1
                 flat = rows.ravel()
                 order = np.argsort(flat, kind="stable")
                 first = np.flatnonzero(np.diff(flat[order], prepend=-1))
-                sums = np.add.reduceat(slope[order // rows.shape[1]], first, axis=0)
+                sums = np.add.reduceat(slope.take(order % rows.shape[1], 0), first, axis=0)
                 own = flat[order][first]
                 squares[t][own] += (sums * sums).mean(1)
                 touched[t][own] += np.diff(np.append(first, len(flat)))
@@ -133,8 +136,9 @@ class Weights:
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+    x -= x.max(1, keepdims=True)
+    x -= np.log(np.exp(x).sum(1, keepdims=True))
+    return x
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
@@ -171,7 +175,7 @@ def _round(docs: DataFrame, weights: Weights, vocabulary: Vocabulary) -> None:
         squares, touched = ([np.zeros(len(t), np.float32) for t in own.tables] for _ in range(2))
         for batch in batches:
             for _, _, texts in slices(batch, "_bytes", 1 << 20):
-                symbols, use = _tokens(vocabulary, [(t or b"").lower().split() for t in texts])
+                symbols, use = vocabulary.tokens([(t or b"").lower().split() for t in texts])
                 own.learn(symbols, np.flatnonzero(use), squares, touched)
         task = TaskContext.get().partitionId()
         blocks, values = [], []
@@ -206,6 +210,18 @@ def _round(docs: DataFrame, weights: Weights, vocabulary: Vocabulary) -> None:
         weights.tables[t][b * BLOCK : (b + 1) * BLOCK] += sums[:, :-1] / np.maximum(sums[:, -1:], 1)
 
 
+def _threshold(counts: DataFrame, most: int) -> int:
+    """A count that at most `most` words reach, from the number of words per eighth of a power of two."""
+    step = F.floor(F.log2("n") * 8).alias("step")
+    found, least = 0, 1 << 62
+    for r in sorted(counts.groupBy(step).count().collect(), reverse=True):  # some hundred rows
+        found += r["count"]
+        if found > most:
+            break
+        least = int(np.ceil(2 ** (r["step"] / 8) - 1e-9))
+    return least
+
+
 def _biases(shape: Shape, counts: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     known = (counts + 0.1).reshape(shape.classes, shape.members)
     groups = np.concatenate([known.sum(1), rare])
@@ -234,10 +250,11 @@ def scored(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text: s
     counts = staged(token_counts(training), "token-counts")
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"] or 0, total["v"] or 0
-    top = counts.orderBy(F.desc("n"), "word").limit(shape.direct).collect()
-    direct = {bytes(r["word"]): r["n"] for r in top}
+    least = _threshold(counts, shape.direct)
+    top = counts.where(F.col("n") >= least).toArrow()
+    direct = dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist(), strict=True))
     direct[END] = training.count()
-    frequent = [(w, c) for w, c in direct.items() if w != END][: shape.known - 1]
+    frequent = sorted(((w, c) for w, c in direct.items() if w != END), key=lambda x: (-x[1], x[0]))[: shape.known - 1]
     frequent = sorted([*frequent, (END, direct[END])], key=lambda x: -x[1])
     frequent += [(b"\x00 %d" % i, 0) for i in range(shape.known - len(frequent))]  # fillers: no word has a space
     vocabulary = Vocabulary(shape, frequent)
@@ -253,38 +270,38 @@ def scored(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text: s
         _round(training.where(part == i), weights, vocabulary)
     sent = spark.sparkContext.broadcast((weights, vocabulary, direct, np.log10(rare)))
     floor = np.log10(n + 0.1 * (v + 1))
-    kinds = [("rid", pa.int64()), ("doc_id", None), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rest", pa.list_(pa.binary())), ("times", pa.list_(pa.int64()))]
+    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+    names_out = ["n_tokens", "n_known", "base", "score", "rest", "times"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, vocabulary, direct, rare = sent.value
+        logs10 = {w: float(np.log10(c + 0.1)) for w, c in direct.items()}
+        zero, get, end = direct[END] == 0, logs10.get, logs10[END]
         for batch in batches:
-            for start, end, texts in slices(batch, "_bytes", 1 << 20):
+            for start, stop, texts in slices(batch, "_bytes", 1 << 20):
                 split = [(t or b"").lower().split() for t in texts]
-                symbols, use = _tokens(vocabulary, split)
+                symbols, use = vocabulary.tokens(split)
                 at = np.flatnonzero(use)
-                logs = weights.log_chances(symbols, at) / np.log(10)
+                chance = weights.log_chances(symbols, at) / np.log(10)
+                counted: list[float] = []
+                for words in split:  # nan for words whose counts are joined later
+                    counted += [get(w, np.nan) for w in words]
+                    counted.append(end)
+                counted = np.array(counted)
+                later = np.isnan(counted)
+                counted[later] = 0
                 is_rare = symbols[at] >= weights.shape.known
-                logs[is_rare] -= rare[symbols[at][is_rare] - weights.shape.known]
-                ends = np.cumsum([len(w) + 1 for w in split])
-                sums = np.add.reduceat(logs, ends - [len(w) + 1 for w in split])
-                rows = []
-                for words, score in zip(split, sums, strict=True):
-                    known, base, more, rest = 0, 0.0, 0.0, {}
-                    for word, times in Counter([*words, END]).items():
-                        c = direct.get(word)
-                        if c is None:
-                            rest[word] = times
-                            continue
-                        known += times if c else 0
-                        log = np.log10((c or 0) + 0.1) * times
-                        base += log
-                        if word not in vocabulary.symbol:
-                            more += log
-                    tokens = len(words) + 1
-                    rows.append((tokens, known, base - floor * tokens, score + more, list(rest), list(rest.values())))
-                columns = [batch.column(c).slice(start, end - start) for c in ("rid", "doc_id", "held_out")]
-                columns += [pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), kinds[3:], strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, [k for k, _ in kinds])
+                chance[is_rare] += counted[is_rare] - rare[symbols[at][is_rare] - weights.shape.known]
+                sizes = np.array([len(w) + 1 for w in split])
+                first = np.cumsum(sizes) - sizes
+                base, score, open_ = (np.add.reduceat(x, first) for x in (counted - floor, chance, later.astype(np.int64)))
+                rest = []
+                for words, k, row in zip(split, open_.tolist(), first, strict=True):
+                    rest.append(Counter(words[i] for i in np.flatnonzero(later[row : row + len(words)])) if k else {})
+                columns = [batch.column(c).slice(start, stop - start) for c in ("rid", "doc_id", "held_out")]
+                made = (sizes, sizes - open_ - zero, base, score, [list(x) for x in rest], [list(x.values()) for x in rest])
+                columns += [pa.array(c, k) for c, k in zip(made, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["rid", "doc_id", "held_out", *names_out])
 
     kind = own.schema["doc_id"].dataType.simpleString()
     made = staged(
@@ -293,8 +310,7 @@ def scored(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text: s
         ), "scores",
     )
     rest = made.select("rid", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("rid", F.col("x.rest").alias("word"), F.col("x.times").alias("times"))
-    least = top[-1]["n"] if len(top) == shape.direct else 0
-    found = rest.join(counts.where(F.col("n") <= least), "word", "left").groupBy("rid").agg(
+    found = rest.join(counts.where(F.col("n") < least), "word", "left").groupBy("rid").agg(
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"),
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("more"),
     )

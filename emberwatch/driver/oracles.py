@@ -477,6 +477,14 @@ _LINE_STATUS = (
     "action WHEN 'error' THEN 'blocked' WHEN 'purchase' THEN 'blocked' WHEN 'view' THEN 'allowed' "
     "ELSE 'info' END END"
 )
+# what the auth, access and ufw lines of the events say
+_PARSED_EV = (
+    "ev AS (SELECT * REPLACE (date_trunc('second', ts) - CASE WHEN source = 'web' AND tie % 2 = 0 "
+    f"THEN INTERVAL 2 HOUR ELSE INTERVAL 0 HOUR END AS ts, {_LINE_STATUS} AS status, CASE WHEN "
+    "source = 'ssh' OR source = 'web' AND tie % 3 <> 0 THEN 'u' || principal END AS principal, "
+    "CASE WHEN source = 'web' AND tie % 6 <> 0 THEN cents END AS cents, raw || tie AS raw) "
+    f"FROM given WHERE source <> 'windows' AND NOT {_SKIPPED})"
+)
 
 _SQLI = (
     rf"(?i)(union[{WS}/*]+select|select[^\n\r\x{{2028}}\x{{2029}}]+from[{WS}]+information_schema|"
@@ -668,12 +676,13 @@ def oracle_sql() -> dict[str, str]:
         f"line FROM ev WHERE {_SKIPPED}",
         "feed_stats": f"WITH {EV} SELECT {_FEED} AS feed, count(*) AS lines, count(*) FILTER (NOT "
         f"{_SKIPPED}) AS events, count(*) FILTER ({_SKIPPED}) AS skipped FROM ev GROUP BY 1",
-        "funnel": _with(*_many_alerts(["burst_count", "burst_sum"]))
+        "funnel": f"WITH RECURSIVE {EV.replace('ev AS', 'given AS', 1)}, {_PARSED_EV}, "
+        + ", ".join(_many_alerts(["burst_count", "burst_sum"])) + " "
         + f"SELECT count(*) AS lines, count(DISTINCT {_FEED}) AS feeds, count(*) FILTER ("
         f"{_SKIPPED}) AS skipped, count(*) FILTER (NOT {_SKIPPED}) AS events, CAST(2 AS BIGINT) "
         "AS armed_rules, (SELECT count(*) FROM al) AS alerts, (SELECT count(*) FROM al WHERE "
         "severity = 'critical') AS critical, (SELECT count(*) FROM al WHERE severity = 'high') AS "
-        "high FROM ev WHERE source <> 'windows'",
+        "high FROM given WHERE source <> 'windows'",
         "classify_feeds": f"WITH {EV} SELECT DISTINCT {_FEED} AS feed, source AS parser FROM ev "
         f"UNION ALL SELECT 'document ' || doc_id, NULL FROM documents WHERE regexp_matches(text, '[^{WS}]')",
         "text_lines": "SELECT CAST(doc_id AS VARCHAR) AS feed, line_no, md5(line) AS digest FROM "

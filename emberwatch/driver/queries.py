@@ -381,7 +381,7 @@ def funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = T.security_events(spark, sf_dir)
     parsed = L.only_feeds(N.parse_routed(T.all_lines(events), 2024), ["auth", "access", "ufw"])
     rules = [demo_rules()[n] for n in ("burst_count", "burst_sum")]
-    found, _ = D.detect(events, rules)
+    found, _ = D.detect(N.events(parsed), rules)
     return E.funnel(parsed, found, len(rules))
 
 

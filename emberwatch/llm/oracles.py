@@ -34,8 +34,8 @@ hashed AS (SELECT doc_id, bucket FROM g JOIN buckets USING (gram)),
 counts AS (SELECT bucket, count(*) AS raw, count(*) FILTER (coalesce(trusted, false)) AS target
   FROM hashed LEFT JOIN good USING (doc_id) GROUP BY bucket),
 totals AS (SELECT sum(raw)::DOUBLE AS raw, sum(target)::DOUBLE AS target FROM counts),
-weights AS (SELECT bucket, CASE WHEN t.target = 0 THEN 0 ELSE round(ln((c.target + 1.0) / (t.target + 16384.0))
-  - ln((c.raw + 1.0) / (t.raw + 16384.0)), 6) END AS weight FROM counts c, totals t),
+weights AS (SELECT bucket, CASE WHEN t.target = 0 THEN 0 ELSE round(ln((c.target::DOUBLE * t.raw / c.raw + 65536.0)
+  / (t.target + 65536.0)), 6) END AS weight FROM counts c, totals t),
 scores AS (SELECT doc_id, round(sum(weight) / count(*), 6) + 0.0 AS llr FROM hashed JOIN weights USING (bucket) GROUP BY doc_id),
 windows AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS pos, unnest(list_transform(range(1, len(w) - 3),
   lambda i: array_to_string(w[i:i + 4], ' '))) AS window_text FROM w WHERE len(w) >= 5),

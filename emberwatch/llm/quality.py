@@ -55,11 +55,12 @@ def grams(words: Column, buckets: int) -> Column:
     )
 
 
-def gram_weights(docs: DataFrame, *, text: str = "text", trusted: str = "trusted", buckets: int = 1 << 14, smoothing: float = 1.0) -> DataFrame:
+def gram_weights(docs: DataFrame, *, text: str = "text", trusted: str = "trusted", buckets: int = 1 << 14, smoothing: float = 4.0) -> DataFrame:
     """(bucket, raw, target, weight): log of target against raw multinomial, for every bucket, to 6 digits.
 
     docs has a boolean column `trusted`; all rows are the raw corpus, the true ones the
-    target. Both have `smoothing` added to each bucket. Without any target gram all weights are 0.
+    target. The target is smoothed by `smoothing` grams a bucket that are spread like the raw corpus, so a small
+    target makes small weights. Buckets without grams, and all without any target gram, weigh 0.
     """
     shared_folder(docs.sparkSession)
     found = _once(words_of(F.col(text)), lambda w: grams(w, buckets))
@@ -72,8 +73,9 @@ def gram_weights(docs: DataFrame, *, text: str = "text", trusted: str = "trusted
     total = full.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).first()
     if not total["target"]:
         return full.withColumn("weight", F.lit(0.0))
-    share = lambda c: F.log((F.col(c) + smoothing) / (float(total[c]) + smoothing * buckets))
-    return full.withColumn("weight", F.round(share("target") - share("raw"), 6))
+    prior = smoothing * buckets
+    ratio = (F.col("target") * float(total["raw"]) / F.col("raw") + prior) / (float(total["target"]) + prior)
+    return full.withColumn("weight", F.when(F.col("raw") > 0, F.round(F.log(ratio), 6)).otherwise(0.0))
 
 
 def verdict(weights: DataFrame, *, text: str = "text", buckets: int = 1 << 14, least: float = -0.2) -> Column:

@@ -34,10 +34,10 @@ def _event_if(usable: Column, event: Column) -> Column:
 
 # --- SSH and sudo ---------------------------------------------------------------
 
-_SSH_HEADER = (
-    rf"^(\w{{3}}){S}+(\d{{1,2}}){S}+(\d{{2}}:\d{{2}}:\d{{2}}){S}+({NS}+){S}+"
-    rf"([\w.\-/]+)(?:\[(\d+)\])?:{S}*({ANY}*){END}"
-)
+# Fixed values, here and for the other formats below: the patterns that decide whether a
+# line is an event of the format at all, or is skipped.
+_SYSLOG = rf"^(\w{{3}}){S}+(\d{{1,2}}){S}+(\d{{2}}:\d{{2}}:\d{{2}}){S}+({NS}+){S}+"
+_SSH_HEADER = rf"{_SYSLOG}([\w.\-/]+)(?:\[(\d+)\])?:{S}*({ANY}*){END}"
 
 _PEER = rf"({NS}+) from ({NS}+) port (\d+)"
 _LEAVER = rf"(?:authenticating user ({NS}+) )?({NS}+) port (\d+)"
@@ -84,6 +84,7 @@ def _ssh_message(rest: Column) -> Column:
     return out
 
 
+# Fixed value.
 _SUDO_DENIED = r"incorrect password attempt|authentication failure|not in the sudoers"
 
 
@@ -138,6 +139,7 @@ def parse_ssh(lines: DataFrame, year: int) -> DataFrame:
 
 # --- Web access logs ------------------------------------------------------------
 
+# Fixed values.
 _COMBINED = (
     rf'^({NS}+){S}+({NS}+){S}+({NS}+){S}+\[([^\]]+)\]{S}+"([^"]*)"{S}+(\d{{3}}){S}+'
     rf'(\d+|-)(?:{S}+"([^"]*)"{S}+"([^"]*)")?'
@@ -286,9 +288,8 @@ def parse_windows(lines: DataFrame) -> DataFrame:
 
 # --- Firewalls ------------------------------------------------------------------
 
-_FW_HEADER = (
-    rf"^(\w{{3}}){S}+(\d{{1,2}}){S}+(\d{{2}}:\d{{2}}:\d{{2}}){S}+({NS}+){S}+({ANY}*){END}"
-)
+# Fixed values.
+_FW_HEADER = rf"{_SYSLOG}({ANY}*){END}"
 _NETFILTER = rf"^kernel:{S}*\[?(UFW|IPTABLES){S}+([A-Z]+)\]?{S}*({ANY}*){END}"
 _ASA_DENY = (
     rf"%ASA-\d-106023:{S}*Deny{S}+(\w+){S}+src{S}+{NS}+:([\d.]+)/(\d+){S}+dst{S}+"
@@ -396,6 +397,7 @@ def parse_firewall(lines: DataFrame, year: int) -> DataFrame:
 
 # --- Generic collector lines ----------------------------------------------------
 
+# Also the field names and words below.
 _GENERIC_SYSLOG = (
     rf"^(?:<(\d{{1,3}})>)?([A-Za-z]{{3}}{S}+\d+{S}+[\d:]+|\d{{4}}-\d{{2}}-\d{{2}}T[\d:.]+Z?)"
     rf"{S}+({NS}+){S}+([^:{X.WS}\[]+)(?:\[(\d+)\])?:{S}*([^\n]*){END}"

@@ -15,8 +15,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id."""
-    return neardup.deduplicated(docs, k=5, least=85)
+    """One document of each group of near-duplicates (0.8 of 5-word shingles) stays: the one with the smallest id."""
+    return neardup.deduplicated(docs, k=5, least=80, sketch=neardup.Sketch(bands=25, rows=4))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -345,14 +345,17 @@ def near_duplicates(
     )
 
 
-def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, least: int = 85) -> DataFrame:
+def deduplicated(
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, least: int = 85,
+    sketch: Sketch | None = None,
+) -> DataFrame:
     """The rows of docs with all their columns, one row of each group of near-duplicates.
 
     The row with the smallest id stays (nulls last; then the smallest text hash). Rows that
     repeat id and text count as one. Rows without words all stay.
     """
     keys = fresh(docs, "_no_id", "_id", "_hash")
-    found = near_duplicates(docs, doc_id=doc_id, text=text, k=k, least=least)
+    found = near_duplicates(docs, doc_id=doc_id, text=text, k=k, least=least, sketch=sketch)
     best = found.where("node is not null").groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("best")
     ).select(

@@ -57,6 +57,26 @@ def test_stages(spark, tables, tmp_path):
     assert sorted(map(str, whole)) == sorted(map(str, docs.collect()))
 
 
+def test_near_copies_from_four_fifths_go(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    shingles = lambda words: {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+    rows, near = [], set()
+    for i in range(20):
+        words = [word() for _ in range(120)]
+        copy = list(words)
+        edits = (30, 90) if i % 2 else (20, 60, 100)
+        for at in edits:
+            copy[at] = word()
+        a, b = shingles(words), shingles(copy)
+        share = len(a & b) / len(a | b)
+        assert 0.80 <= share < 0.85 if i % 2 else 0.75 < share < 0.80
+        near |= {100 + i} if i % 2 else set()
+        rows += [(i, " ".join(words)), (100 + i, " ".join(copy))]
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert {r.doc_id for r in kept.collect()} == {i for i, _ in rows} - near
+
+
 def test_queries_without_the_subpackage():
     """The entry module still works when the subpackage is gone."""
     code = (

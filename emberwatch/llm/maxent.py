@@ -18,28 +18,38 @@ from .common import shared_folder, slices, staged, unstage
 END = b""
 #: Rows of weights that travel together, and partial sums that one task adds up.
 BLOCK, FAN_IN = 64, 64
+#: Training tokens of a task, if there are more than the cluster has cores for: each task sends all the rows it met.
+TASK_TOKENS = 1 << 23
 
 
 @dataclass
 class Shape:
-    """Sizes of the model; none depends on the corpus.
+    """Sizes of the model; the defaults are the least ones, `of` has those for a corpus.
 
     The classes * members most frequent tokens, ranked, form `classes` classes of `members`. All
-    others form `rare` classes by their last byte. Features are the word before, the second before (a skip) and the
-    two as a pair, hashed to class_rows rows of class weights and, together with the class, to member_rows rows of
-    member weights (65,536 rows at most). At most `direct` of the most frequent words have their counts in each task.
+    others form `rare` classes by their last byte. Features are the word before, the second and third before (skips) and the
+    two before as a pair, hashed to class_rows rows of class weights and, together with the class, to member_rows rows of
+    member weights. At most `direct` of the most frequent words have their counts in each task.
     """
 
-    classes: int = 8
+    classes: int = 16
     members: int = 64
-    rare: int = 8
-    class_rows: int = 1 << 13
-    member_rows: int = 1 << 13
+    rare: int = 16
+    class_rows: int = 1 << 14
+    member_rows: int = 1 << 14
     direct: int = 1 << 18
     rounds: int = 2
-    batch: int = 32768
+    batch: int = 8192
     rate: float = 0.25
 
+    @classmethod
+    def of(cls, tokens: int, vocabulary: int) -> Shape:
+        """Modelled words grow with the root of the vocabulary, classes and members alike; rows with the cube root of the tokens."""
+        side = max(1.0, vocabulary / (1 << 16)) ** 0.25
+        rows = round((1 << 14) * max(1.0, tokens / (1 << 24)) ** (1 / 3))
+        classes, members = round(16 * side), round(64 * side)
+        return cls(classes, members, classes, rows, rows, max(1 << 18, 2 * classes * members))
+
     @property
     def known(self) -> int:
         return self.classes * self.members
@@ -53,21 +63,21 @@ class Vocabulary:
         self.rank = {w: i for i, (w, _) in enumerate(frequent)}
 
     def tokens(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols of texts, each led by two ends as context and closed by one; whether each is a token to predict."""
-        rank, marks, all_words, lengths = self.rank.get, (b"\0", b"\0"), [], []
+        """Symbols of texts, each led by three ends as context and closed by one; whether each is a token to predict."""
+        rank, marks, all_words, lengths = self.rank.get, (b"\0", b"\0", b"\0"), [], []
         for words in texts:
             all_words += marks
             all_words += words
             all_words.append(b"\0")
-            lengths.append(len(words) + 3)
+            lengths.append(len(words) + 4)
         symbols = np.array([rank(w, -1) for w in all_words], np.int64)
         last = np.array([w[-1] for w in all_words], np.int64)
         symbols = np.where(symbols < 0, self.shape.known + last % self.shape.rare, symbols)
         use = np.ones(len(symbols), bool)
         ends = np.cumsum(lengths)
         starts = ends - lengths
-        use[starts] = use[starts + 1] = False
-        symbols[starts] = symbols[starts + 1] = symbols[ends - 1] = self.rank[END]
+        use[starts] = use[starts + 1] = use[starts + 2] = False
+        symbols[starts] = symbols[starts + 1] = symbols[starts + 2] = symbols[ends - 1] = self.rank[END]
         return symbols, use
 
 
@@ -80,14 +90,14 @@ class Weights:
         ]
 
     def features(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Three hashes of the context of each place, one per row."""
-        one, two = (symbols[at - i].astype(np.uint64) for i in (1, 2))
-        base = np.stack([one * np.uint64(4), two * np.uint64(4) + np.uint64(1), (one * np.uint64(1 << 20) + two) * np.uint64(4) + np.uint64(2)])
+        """Four hashes of the context of each place, one per row."""
+        one, two, three = (symbols[at - i].astype(np.uint64) for i in (1, 2, 3))
+        base = np.stack([one * np.uint64(4), two * np.uint64(4) + np.uint64(1), three * np.uint64(4) + np.uint64(2), (one * np.uint64(1 << 20) + two) * np.uint64(4) + np.uint64(3)])
         return (base + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
 
     @staticmethod
     def rows(hashes: np.ndarray, size: int) -> np.ndarray:
-        return (((hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)) % np.uint64(size)).astype(np.uint16)
+        return (((hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)) % np.uint64(size)).astype(np.uint16 if size <= 1 << 16 else np.int64)
 
     def logits(self, table: int, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
         total = bias + self.tables[table].take(rows[0], 0)
@@ -204,7 +214,7 @@ def _round(docs: DataFrame, weights: Weights, vocabulary: Vocabulary) -> None:
         partial = grouped.applyInArrow(add, schema)
         if width >= tasks:
             break
-    for r in partial.collect():  # at most the rows of the tables, whatever the corpus
+    for r in partial.collect():  # at most the rows of the tables
         b, t = divmod(r["block"], 2)
         sums = np.frombuffer(r["sums"], np.float32).reshape(-1, widths[t] + 1)
         weights.tables[t][b * BLOCK : (b + 1) * BLOCK] += sums[:, :-1] / np.maximum(sums[:, -1:], 1)
@@ -236,13 +246,13 @@ def scored(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text: s
     token's class given its context, times that of the token in its class, given the context too for frequent ones, by
     training counts (plus 0.1; unseen ones of a class together 0.1) for rare ones. So the chances add up to one.
 
+    Without a shape, the model's sizes follow the training tokens and their vocabulary (Shape.of).
     All training text is read in each of: counting, and `rounds` parts that make one pass of gradient updates. Counts
     of the `direct` most frequent words go to each task; those of others are joined.
 
     A null text is empty: its one token is the end. An empty table, and one without training rows, works: N is 0 then.
     Repeated rows each train and each get a row. Other columns are ignored.
     """
-    shape = shape or Shape()
     spark = docs.sparkSession
     shared_folder(spark)
     own = docs.select(F.col(doc_id).alias("doc_id"), held_out.alias("held_out"), F.col(text).cast("binary").alias("_bytes"))
@@ -250,6 +260,7 @@ def scored(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text: s
     counts = staged(token_counts(training), "token-counts")
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"] or 0, total["v"] or 0
+    shape = shape or Shape.of(n, v)
     least = _threshold(counts, shape.direct)
     top = counts.where(F.col("n") >= least).toArrow()
     direct = dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist(), strict=True))
@@ -266,8 +277,9 @@ def scored(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text: s
         rare[r["r"]] += r["m"]
     weights = Weights(shape, *_biases(shape, np.array([c for _, c in frequent], float), rare))
     part = F.pmod(F.xxhash64(F.lit(3), "_bytes"), F.lit(shape.rounds))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-n // TASK_TOKENS))
     for i in range(shape.rounds):
-        _round(training.where(part == i), weights, vocabulary)
+        _round(training.where(part == i).coalesce(tasks), weights, vocabulary)
     sent = spark.sparkContext.broadcast((weights, vocabulary, direct, np.log10(rare)))
     floor = np.log10(n + 0.1 * (v + 1))
     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]

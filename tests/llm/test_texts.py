@@ -244,3 +244,24 @@ def test_model_chances_add_up():
             other[place] = s
             total += math.exp(weights.log_chances(other, np.array([place]))[0])
         assert abs(total - 1) < 1e-4
+
+
+def test_third_word_before_is_learnt():
+    shape = maxent.Shape(classes=2, members=8, rare=2, batch=256)
+    rng = np.random.default_rng(7)
+    symbols = rng.integers(0, 8, 12000)
+    symbols[3::4] = symbols[0::4]  # each fourth word repeats the third before it; all else is chance
+    at = np.arange(7, 12000, 4)
+    weights = maxent.Weights(shape, np.zeros(4), np.zeros((2, 8)))
+    zeros = [[np.zeros(len(t), np.float32) for t in weights.tables] for _ in range(2)]
+    weights.learn(symbols, at[:2000], *zeros)
+    assert np.exp(weights.log_chances(symbols, at[2000:]).mean()) > 0.5
+
+
+def test_model_grows_with_the_corpus():
+    small, large, huge = (maxent.Shape.of(*x) for x in ((1000, 100), (1 << 27, 1 << 20), (1 << 34, 1 << 26)))
+    assert small == maxent.Shape() and small.known == 1024
+    assert (large.known, large.class_rows) == (4096, 1 << 15) and huge.known > 30_000
+    hashes = np.random.default_rng(1).integers(0, 1 << 62, 1 << 20).astype(np.uint64)
+    rows = maxent.Weights.rows(hashes, huge.member_rows)
+    assert huge.member_rows > 1 << 16 and rows.max() == huge.member_rows - 1

@@ -1,4 +1,4 @@
-"""Repeated passages: content-defined chunks by a gear rolling hash, deduplicated by digest."""
+"""Repeated passages: content-defined chunks by a gear rolling hash, deduplicated by digests of stretches of chunks."""
 
 from __future__ import annotations
 
@@ -15,6 +15,9 @@ from .common import fresh, mixed, shared_folder, slices
 
 #: Bytes that a boundary depends on.
 REACH = 16
+#: Odd base of the sums of chunk digests, and its inverse modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 #: One number per byte value; 0 for the byte that parts texts.
 GEAR = (mixed(np.arange(256, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 SPACE = np.zeros(256, dtype=bool)
@@ -63,6 +66,28 @@ class Chunks:
         return np.fromiter((digest(whole[a:b]) for a, b in spans), np.uint64, len(first)).view(np.int64)
 
 
+    def stretches(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First chunk, chunk after the last, and digest of each stretch, by place; of each text, the number of its first, one more at the end.
+
+        From each chunk on, and back from each, the fewest chunks of one text with `least` words make a stretch.
+        So each chunk of a passage with that many words in whole chunks is in a stretch of the passage.
+        """
+        words, n = self.chunk_word, len(self.chunk_word) - 1
+        text = np.repeat(np.arange(len(self.begin)), np.diff(self.first_chunk))
+        first = np.arange(n)
+        after = np.searchsorted(words, words[:-1] + least)
+        before = np.searchsorted(words, words[1:] - least, "right") - 1
+        forth, back = after <= self.first_chunk[text + 1], before >= self.first_chunk[text]
+        pairs = np.unique(np.concatenate([first[forth] * (n + 1) + after[forth], before[back] * (n + 1) + first[back] + 1]))
+        start, stop = np.divmod(pairs, n + 1)
+        powers, inverses = (np.full(n + 1, x, np.uint64) for x in (BASE, INVERSE))
+        powers[0] = inverses[0] = 1
+        powers, inverses = np.cumprod(powers), np.cumprod(inverses)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.digests().view(np.uint64) * powers[:n], dtype=np.uint64)])
+        digest = mixed((sums[stop] - sums[start]) * inverses[start] + (stop - start).astype(np.uint64))
+        return start, stop, digest.view(np.int64), np.searchsorted(start, self.first_chunk)
+
+
 def _first_in_text(digests: np.ndarray) -> np.ndarray:
     """Whether each digest is the first of its kind."""
     first = np.zeros(len(digests), dtype=bool)
@@ -70,16 +95,14 @@ def _first_in_text(digests: np.ndarray) -> np.ndarray:
     return first
 
 
-def _occurrences(docs: DataFrame, mean: int, most: int) -> DataFrame:
-    """(digest, id): each distinct chunk of each text."""
+def _occurrences(docs: DataFrame, mean: int, most: int, least: int) -> DataFrame:
+    """(digest, id): each distinct stretch of each text."""
     schema = pa.schema([("digest", pa.int64()), ("id", pa.int64())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, end, texts in slices(batch, "_bytes"):
-                made = Chunks(texts, mean, most)
-                digests = made.digests()
-                edge = made.first_chunk
+                _, _, digests, edge = Chunks(texts, mean, most).stretches(least)
                 own = [np.unique(digests[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
                 ids = np.repeat(batch.column("_id").slice(start, end - start).to_numpy(), [len(x) for x in own])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(ids)], schema=schema)
@@ -88,7 +111,7 @@ def _occurrences(docs: DataFrame, mean: int, most: int) -> DataFrame:
 
 
 def _cut(made: Chunks, row: int, repeated: np.ndarray, least: int) -> tuple[list[tuple[int, int]], int]:
-    """Byte spans of the runs of repeated chunks with at least so many words, and their words."""
+    """Byte spans of the runs of repeated chunks, which have at least so many words, and their words."""
     a = made.first_chunk[row]
     words = made.chunk_word[a : made.first_chunk[row + 1] + 1]
     edge = np.flatnonzero(np.diff(np.concatenate([[0], repeated.astype(np.int8), [0]])))
@@ -107,9 +130,10 @@ def without_repeats(
 ) -> DataFrame:
     """docs' columns, text without repeated passages, and n_words, n_chunks, removed_words, spans.
 
-    Of each chunk, the occurrence in the text with the smallest id counts as the original
-    (there, the first place); all others are repeats. A run of repeats with at least
-    `least` words is cut out; shorter ones stay, so common phrases and lines do. Passages lose up to a chunk or
+    Stretches are the shortest runs of chunks with at least `least` words. Of each stretch, the occurrence in the
+    text with the smallest id counts as the original (there, the first place); all others are repeats and are cut
+    out. So whatever is cut stands in one piece of `least` words or more in an earlier place, and shorter repeats stay, as common phrases
+    and lines do, even if one follows the other. Passages lose up to a chunk or
     two at their ends, so with `least` 20 passages of 50 words are found. spans are the cut
     (start, end) in bytes of the UTF-8 text.
 
@@ -125,7 +149,7 @@ def without_repeats(
     key, bytes_, repeats_ = fresh(docs, "_id", "_bytes", "_repeats")
     own = docs.select(*names, F.coalesce(F.col(doc_id).cast("long"), last).alias(key))
     bare = own.select(F.col(key).alias("_id"), F.col(text).cast("binary").alias("_bytes"))
-    found = _occurrences(bare, mean, most)
+    found = _occurrences(bare, mean, most, least)
     firsts = found.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("other")).where("first < other")
     firsts = firsts.select("digest", "first").checkpoint()
     repeats = found.join(firsts, "digest").where("id > first").groupBy("id").agg(
@@ -141,14 +165,18 @@ def without_repeats(
         for batch in batches:
             for start, end, texts in slices(batch, bytes_):
                 made = Chunks(texts, mean, most)
-                digests = made.digests()
+                starts, stops, digests, edge = made.stretches(least)
                 marks = batch.column(repeats_).slice(start, end - start).to_pylist()
                 out, info = [], []
                 for row, value in enumerate(texts):
                     a, b = made.first_chunk[row], made.first_chunk[row + 1]
-                    local = digests[a:b]
-                    repeated = ~_first_in_text(local)
-                    repeated |= np.isin(local, np.array(marks[row] or [], dtype=np.int64))
+                    local = digests[edge[row] : edge[row + 1]]
+                    again = ~_first_in_text(local)
+                    again |= np.isin(local, np.array(marks[row] or [], dtype=np.int64))
+                    turns = np.zeros(b - a + 1, dtype=np.int64)
+                    np.add.at(turns, starts[edge[row] : edge[row + 1]][again] - a, 1)
+                    np.add.at(turns, stops[edge[row] : edge[row + 1]][again] - a, -1)
+                    repeated = np.cumsum(turns)[:-1] > 0
                     spans, gone = _cut(made, row, repeated, least)
                     if spans:
                         edges = [0, *(x for s in spans for x in s), len(value)]

@@ -182,6 +182,49 @@ def test_repeated_passages(spark):
     assert passages.without_repeats(docs.limit(0)).isEmpty()
 
 
+def test_text_pieced_together_stays(spark):
+    """One chunk from each of many texts: every chunk stood somewhere, no 20 words of it did."""
+    rng = random.Random(14)
+    rows, pieces, seen = [], [], set()
+    for i in range(150):
+        text = " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(60)).encode()
+        rows.append((i, text.decode()))
+        made = passages.Chunks([text], 24, 32)
+        seen |= set(made.digests().tolist())
+        cut = made.chunk_word
+        pieces += [text.split()[a:b] for a, b in zip(cut[1:-2], cut[2:-1]) if 4 <= b - a <= 9][:1]
+    patched = b" ".join(w for p in pieces for w in p)
+    made = passages.Chunks([patched], 24, 32)
+    run = most = 0
+    for d, n in zip(made.digests().tolist(), np.diff(made.chunk_word).tolist()):
+        run = run + n if d in seen else 0
+        most = max(most, run)
+    assert most >= 40
+    rows += [(200, patched.decode()), (201, rows[3][1] + " and " + rows[4][1])]
+    got = {r.doc_id: r for r in passages.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].text == t for i, t in rows[:-1])
+    assert got[201].removed_words > 100
+
+
+def test_stretches_cover_passages():
+    """Whatever stands around it, a passage's stretches are the same and cover all its whole chunks."""
+    rng = random.Random(15)
+    text = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randrange(1, 9))) for _ in range(n)).encode()
+    for _ in range(20):
+        body = text(60)
+        chunks = passages.Chunks([text(30) + b" " + body + b" " + text(30), b"", None, b"few words", text(7) + b" " + body], 24, 32)
+        start, stop, digest, edge = chunks.stretches(20)
+        words = np.diff(chunks.chunk_word)
+        assert edge[1] == edge[2] == edge[3] == edge[4] and edge[5] == len(digest)
+        assert all(words[a:b].sum() >= 20 and min(words[a + 1 : b].sum(), words[a : b - 1].sum()) < 20 for a, b in zip(start, stop))
+        same = np.isin(digest[edge[4] :], digest[: edge[1]])
+        whole = np.isin(chunks.digests()[chunks.first_chunk[4] :], chunks.digests()[: chunks.first_chunk[1]])
+        cover = np.zeros(len(whole), bool)
+        for a, b in zip(start[edge[4] :][same], stop[edge[4] :][same]):
+            cover[a - chunks.first_chunk[4] : b - chunks.first_chunk[4]] = True
+        assert (cover == whole).all() and words[chunks.first_chunk[4] :][cover].sum() >= 40
+
+
 def test_chunks_resist_shifts():
     rng = random.Random(8)
     body = " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(400)).encode()

@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classify, decontaminate, language, maxent, mixing, neardup, passages, quality, tokens
+from . import (
+    chat, classify, decontaminate, language, maxent, mixing, neardup, neighbours, passages, quality, spelling, tokens,
+    whitening,
+)
 from .common import held_out, shared_folder, staged, table
 
 #: A public sentencepiece model whose pieces serve as the vocabulary.
@@ -72,6 +75,21 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted(chat.turns_as_calls(table(spark, sf_dir, "conversations")), chat.REPLY_SCHEMAS)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.whitened(rows, whitening.fitted(rows, most=32))
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(rows, F.col("vec_id") % 20 == 0, k=20)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.vocabulary(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spelling.variants(words)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -84,4 +102,7 @@ def queries() -> dict[str, Query]:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_source_mixing": op9_source_mixing,
         "op10_chat_formatting": op10_chat_formatting,
+        "op11_embedding_whitening": op11_embedding_whitening,
+        "op12_nearest_neighbours": op12_nearest_neighbours,
+        "op13_spelling_variants": op13_spelling_variants,
     }

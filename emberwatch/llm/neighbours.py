@@ -31,7 +31,7 @@ columns are not looked at, whatever their names.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,9 +49,11 @@ _BALL = [np.concatenate(_FLIPS[: i + 1]) for i in range(17)]
 
 
 class Code:
-    """Rotations, the largest norm, and what the sample says about radii."""
+    """Rotations, the largest norm, and what the sample says about radii. `bits` is a multiple of 64."""
 
     def __init__(self, sample: np.ndarray, longest: float, bits: int = 256, k: int = 20, turns: int = 15) -> None:
+        if bits <= 0 or bits % 64:
+            raise ValueError("bits must be a multiple of 64")
         self.longest, self.bits, self.k = longest, bits, k
         rng = np.random.default_rng(12)
         rows = self._filled(sample)
@@ -78,7 +80,7 @@ class Code:
     def codes(self, rows: np.ndarray, query: bool = False) -> np.ndarray:
         """Signs as packed 16-bit substrings; a query's filling coordinate is 0."""
         full = np.hstack([rows / self.longest, np.zeros((len(rows), 1))]) if query else self._filled(rows)
-        return np.packbits(full @ self.rotations >= 0, axis=1).view(np.uint16)
+        return np.packbits(full @ self.rotations >= 0, axis=1).view(np.uint16)  # whole 64-bit words
 
     def expected(self, cosine: float) -> tuple[float, float]:
         """Mean and deviation of the number of differing signs at an angle."""
@@ -91,14 +93,14 @@ class Code:
 
     def _measure(self, sample: np.ndarray) -> None:
         """How far differing signs exceed their mean among near pairs, and how they lie among all."""
-        own = self.codes(sample)
+        own = self.codes(sample).view(np.uint64)
         asked = sample[:256]
         scores = asked @ sample.T
         scores[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
         norms = np.linalg.norm(asked, axis=1) * self.longest
         over, counts = [], np.zeros(self.bits + 1)
         for i, code in enumerate(self.codes(asked, query=True)):
-            apart = _POP16[own ^ code].sum(axis=1, dtype=np.int64)
+            apart = np.bitwise_count(own ^ code.view(np.uint64)).sum(axis=1, dtype=np.int64)
             counts += np.bincount(apart, minlength=self.bits + 1)
             for j in np.argpartition(-scores[i], self.k)[: self.k]:
                 mean, deviation = self.expected(scores[i, j] / norms[i])
@@ -122,8 +124,30 @@ class Index:
             starts = np.concatenate([[0], np.cumsum(counts)])
             self.tables.append((values, starts, np.argsort(column, kind="stable"), place))
 
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """All rows whose code is within the radius: probe by the pigeonhole, then count all bits."""
+    def probe(self, code: np.ndarray) -> Callable[[int], np.ndarray]:
+        """A function from a radius to all rows whose code is within it.
+
+        By the pigeonhole the indexes are probed, and all bits of what they hold are counted. Once
+        that is half of the rows, the bits of all rows are counted, and kept for larger radii.
+        """
+        apart: np.ndarray | None = None
+        words = self.codes.view(np.uint64)
+        bits = np.ascontiguousarray(code).view(np.uint64)
+
+        def within(radius: int) -> np.ndarray:
+            nonlocal apart
+            if apart is None:
+                near = self._probed(code, radius)
+                if near is not None:
+                    rows = np.flatnonzero(near)
+                    return rows[np.bitwise_count(words[rows] ^ bits).sum(axis=1, dtype=np.int64) <= radius]
+                apart = np.bitwise_count(words ^ bits).sum(axis=1, dtype=np.int64)
+            return np.flatnonzero(apart <= radius)
+
+        return within
+
+    def _probed(self, code: np.ndarray, radius: int) -> np.ndarray | None:
+        """Which rows share a substring up to its part of the radius; None once they are half of all."""
         m = len(self.tables)
         each, rest = divmod(radius, m)
         near = np.zeros(len(self.codes), dtype=bool)
@@ -144,9 +168,9 @@ class Index:
                 hit = np.zeros(len(values), dtype=bool)
                 hit[found] = True
                 near |= hit[place]
-        rows = np.flatnonzero(near)
-        apart = _POP16[self.codes[rows] ^ code].sum(axis=1, dtype=np.int64)
-        return rows[apart <= radius]
+                if 2 * np.count_nonzero(near) > len(near):
+                    return None
+        return near
 
 
 def _search(code: Code, vectors: np.ndarray, ids: list[np.ndarray], asked: np.ndarray, asked_ids: np.ndarray) -> Iterator[tuple]:
@@ -157,8 +181,10 @@ def _search(code: Code, vectors: np.ndarray, ids: list[np.ndarray], asked: np.nd
     lone = np.array([x[0] for x in ids])
     for at, (vector, own, bits) in enumerate(zip(asked, asked_ids, code.codes(asked, query=True), strict=True)):
 
-        def ranked(radius: int, vector=vector, own=own, bits=bits) -> list[tuple]:
-            rows = index.within(bits, radius)
+        within = index.probe(bits)
+
+        def ranked(radius: int, vector=vector, own=own, within=within) -> list[tuple]:
+            rows = within(radius)
             rows = rows[(sizes[rows] > 1) | (lone[rows] != own)]
             scores = (vectors[rows] * vector).sum(axis=1)
             if len(rows) > k:

@@ -188,6 +188,8 @@ def test_index_holds_every_code_within_a_radius():
     codes = np.vstack([base, base ^ (rng.random((40, 8, 16)) < 0.05).dot(1 << np.arange(16)).astype(np.uint16)])
     index = neighbours.Index(codes)
     for code in codes[::7]:
+        growing = index.probe(code)
         apart = np.bitwise_count(codes ^ code).sum(axis=1)
         for radius in (0, 1, 7, 8, 9, 20, 63, 64, 100, 128):
-            assert index.within(code, radius).tolist() == np.flatnonzero(apart <= radius).tolist()
+            assert index.probe(code)(radius).tolist() == np.flatnonzero(apart <= radius).tolist()
+            assert growing(radius).tolist() == np.flatnonzero(apart <= radius).tolist()

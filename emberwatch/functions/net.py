@@ -32,13 +32,14 @@ def network_base(number: Column, bits: Column) -> Column:
 
 
 def great_circle_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Haversine distance in km."""
+    """Haversine distance in km; NULL unless both places are known."""
     lat_half = F.radians(lat2 - lat1) / 2
     lon_half = F.radians(lon2 - lon1) / 2
     h = F.pow(F.sin(lat_half), 2) + F.pow(F.sin(lon_half), 2) * F.cos(
         F.radians(lat1)
     ) * F.cos(F.radians(lat2))
-    return 2 * EARTH_RADIUS_KM * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    # least() passes over NULLs
+    return F.when(h.isNotNull(), 2 * EARTH_RADIUS_KM * F.asin(F.least(F.lit(1.0), F.sqrt(h))))
 
 
 def megabytes(total: Column) -> Column:

@@ -9,61 +9,29 @@ So the forward tally of every tick decides who can start, and the greedy choice
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberwatch.operators import greedy
-from emberwatch.operators.sweep import spread, sweep
+from emberwatch.operators import blocks, kernels
 
 _KEY = ["rule_id", "entity_key"]
+_RULE = ["w", "need", "counts_values"]
+LABELS = "rule_id string, entity_key string, t bigint, s_t bigint, s_tie bigint, e_t bigint, e_tie bigint"
 
 
-def starts(hits: DataFrame, distinct: bool) -> DataFrame:
-    """Candidate burst starts, partitioned by (rule_id, entity_key, slice).
+def _ticks(rows: DataFrame) -> DataFrame:
+    """Rows of one time summed, one per value where values count."""
+    value = F.when(F.col("counts_values"), F.col("counted"))
+    kind = rows.schema["amount"].dataType
+    return rows.groupBy(*_KEY, *_RULE, "t", value.alias("counted")).agg(F.sum("amount").cast(kind).alias("amount"))
 
-    `hits`: rule_id, entity_key, w and need (window and threshold of the rule), t,
-    amount (1, or the field to total), counted (NULL unless distinct values count).
-    `distinct` says whether any rule counts distinct values.
 
-    Rows of one tick are summed before the first shuffle, so a hot key costs at most
-    one row per tick and value. The tally is one running sum: each tick adds at t and
-    takes back after t + within, where the sum is that tick's forward tally. Counting
-    distinct values, only the first of a value's overlapping windows adds and only the
-    last takes back.
-    """
-    w = F.col("w")
-    ticks = hits.groupBy(*_KEY, "w", "need", "counts_values", "counted", "t").agg(
-        F.sum("amount").alias("on")
-    )
-    sliced = spread(ticks, _KEY, w)
-    on = off = F.col("on")
-    if distinct:
-        same = Window.partitionBy(*_KEY, "slice", "counted").orderBy("t")
-        t = F.col("t")
-        sliced = sliced.withColumns(
-            {"before": t - F.lag("t").over(same), "after": F.lead("t").over(same) - t}
-        )
-
-        def alone(gap: Column) -> Column:
-            # a row without a value can start a burst but adds nothing to the tally
-            counts = F.col("counted").isNotNull() & F.coalesce(gap > w, F.lit(True))
-            return F.when(counts, 1).otherwise(0)
-
-        on = F.when(F.col("counts_values"), alone(F.col("before"))).otherwise(on)
-        off = F.when(F.col("counts_values"), alone(F.col("after"))).otherwise(off)
-    swept = sweep(sliced, _KEY, w, on, off, ["need"])
-    return swept.filter(F.col("ends") & (F.col("tally") >= F.col("need"))).select(
-        *_KEY,
-        "slice",
-        F.col("slice").alias("entry_until"),
-        F.col("t").alias("s_t"),
-        F.lit(greedy.LOWEST).alias("s_tie"),
-        (F.col("t") + F.col("w")).alias("e_t"),
-        F.lit(greedy.HIGHEST).alias("e_tie"),
-        F.lit(None).cast("array<bigint>").alias("steps"),
-    )
+def labels(hits: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """The ticks inside bursts, with the burst's span: rule_id, entity_key, t, s_t, s_tie, e_t, e_tie.
 
-
-def spans(hits: DataFrame, distinct: bool) -> DataFrame:
-    """Bursts as spans (rule_id, entity_key, s_t, s_tie, e_t, e_tie, steps)."""
-    return greedy.choose(starts(hits, distinct))
+    `hits`: rule_id, entity_key, w and need (window and threshold of the rule),
+    counts_values (whether distinct values count), t, amount (1, or the field to total; not
+    negative) and counted (the value). `hot` names keys whose rows are cut into blocks.
+    """
+    rows = hits.select(*_KEY, *_RULE, "t", "counted", "amount")
+    return blocks.solve(rows, kernels.bursts, LABELS, ["t"], hot, merged=_ticks)

@@ -8,39 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch.functions import times
-from emberwatch.operators import greedy
-from emberwatch.operators.sweep import spread, sweep
+from emberwatch.operators import blocks, kernels
+from emberwatch.operators.staging import staged
 
 # Fixed values.
 RULE_ID, SEVERITY, MITRE_ID = "brute-force", "high", "T1110"
 _KEY = ["rule_id", "entity_key"]
 
 
-def candidates(failures: DataFrame, within: timedelta, count: int) -> DataFrame:
-    """Ticks at which the trailing tally of a key reaches the count.
-
-    `failures`: entity_key, t. One running sum per slice: each tick adds its rows at t
-    and takes them back after t + within. `steps` holds the tally at the row that
-    raises the alert, which is the first row of the tick from which the count is met.
-    """
-    w = F.lit(times.span_micros(within)).cast("bigint")
-    ticks = (
-        failures.withColumn("rule_id", F.lit(RULE_ID))
-        .groupBy(*_KEY, "t")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    n, before = F.col("n"), F.col("tally")
-    swept = sweep(spread(ticks, _KEY, w), _KEY, w, n, n, ["n"])
-    return swept.filter(~F.col("ends") & (before + n >= count)).select(
-        *_KEY,
-        "slice",
-        (F.col("slice") + w).alias("entry_until"),
-        F.col("t").alias("s_t"),
-        F.lit(greedy.LOWEST).alias("s_tie"),
-        (F.col("t") + w).alias("e_t"),
-        F.lit(greedy.HIGHEST).alias("e_tie"),
-        F.array(F.greatest(F.lit(count).cast("bigint"), before + 1)).alias("steps"),
-    )
+def _ticks(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*_KEY, "w", "need", "t").agg(F.sum("n").alias("n"))
 
 
 def rolling_alerts(
@@ -51,14 +28,23 @@ def rolling_alerts(
 ) -> DataFrame:
     """An alert when a failure makes `count` of its key in the last `within`.
 
-    After an alert, the key stays quiet for as long. Time is event time.
+    After an alert, the key stays quiet for as long. Time is event time. The count in an alert is
+    the tally at the row that raises it, the first row of its time from which the count is met.
     """
     address = F.col(key).cast("string")
-    failures = events.filter(
-        (F.col("status") == "failure") & F.coalesce(address != "", F.lit(False))
-    ).select(address.alias("entity_key"), times.micros(F.col("ts")).alias("t"))
-    chosen = greedy.choose(candidates(failures, within, count))
-    n = F.get("steps", F.lit(0))
+    number = lambda n: F.lit(n).cast("bigint")
+    failures = staged(
+        events.filter((F.col("status") == "failure") & F.coalesce(address != "", F.lit(False))).select(
+            F.lit(RULE_ID).alias("rule_id"), address.alias("entity_key"), times.micros(F.col("ts")).alias("t"),
+            number(times.span_micros(within)).alias("w"), number(count).alias("need"), number(1).alias("n"),
+        )
+    )
+    chosen = blocks.solve(
+        failures, kernels.rolling,
+        "rule_id string, entity_key string, t bigint, tally bigint, s_t bigint, s_tie bigint, e_t bigint, e_tie bigint", ["t"],
+        blocks.hot_keys(failures), before=True, merged=_ticks,
+    )
+    n = F.col("tally")
     return chosen.select(
         F.timestamp_micros("s_t").alias("timestamp"),
         "rule_id",
@@ -71,4 +57,3 @@ def rolling_alerts(
         n.alias("event_count"),
         F.lit(MITRE_ID).alias("mitre_id"),
     )
-

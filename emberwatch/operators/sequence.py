@@ -2,19 +2,21 @@
 
 From a first-step event, a step collects its events until it has as many as it needs
 and the next step's event arrives. Where that ends depends only on the rows after the
-first event, so it is computed for all rows at once, last step first: the end from a
+first event, so it is found for all rows at once, last step first: the end from a
 row of step k is the end from the next row of step k+1 after step k's need is met.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberwatch.operators import greedy
-from emberwatch.operators.slices import slice_start, touched
+from emberwatch.operators import blocks, kernels
 
-_KEY = ["rule_id", "entity_key"]
+LABELS = (
+    "rule_id string, entity_key string, t bigint, tie bigint, mask bigint, "
+    "s_t bigint, s_tie bigint, e_t bigint, e_tie bigint"
+)
 
 
 def matches_step(mask: Column, back: int) -> Column:
@@ -22,76 +24,11 @@ def matches_step(mask: Column, back: int) -> Column:
     return F.shiftright(mask, back).bitwiseAND(F.lit(1).cast("bigint")) == 1
 
 
-def candidates(hits: DataFrame, needs: dict[str, list[int]]) -> DataFrame:
-    """First-step rows from which the sequence completes within the window.
+def labels(hits: DataFrame, needs: dict[str, list[int]], hot: DataFrame | None = None) -> DataFrame:
+    """The rows inside completed sequences that match the step open at their place, with the span.
 
-    `hits`: rule_id, entity_key, w, t, tie, mask (bit 0 is the last step). `needs`
-    gives each rule's counts, first step first. `steps` of the result lists the
-    positions (time, tie) of the first row of each later step and of the last row.
+    `hits`: rule_id, entity_key, w, t, tie, mask (bit 0 is the last step). `needs` gives each
+    rule's counts, first step first. `hot` names keys whose rows are cut into blocks.
     """
-    t, w = F.col("t"), F.col("w")
-    rows = hits.select(
-        *_KEY, "w", "t", "tie", "mask", F.explode(touched(t - w, t, w)).alias("slice")
-    )
-    part = [*_KEY, "slice"]
-    rows = rows.repartition(*part)  # one shuffle for all windows below
-    following = (
-        Window.partitionBy(*part)
-        .orderBy(F.desc("t"), F.desc("tie"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    here = F.array("t", "tie")
-    longest = max(len(n) for n in needs.values())
-    rows = rows.withColumn("_done", F.lit(None).cast("array<bigint>"))
-    for back in range(longest):
-        need = {r: n[-1 - back] for r, n in needs.items() if len(n) > back}
-        whole = [r for r, n in needs.items() if len(n) == back + 1]
-        later = F.last(
-            F.when(
-                matches_step(F.col("mask"), back - 1) & F.col("_end").isNotNull(),
-                F.concat(here, F.col("_end")),
-            ),
-            ignorenulls=True,
-        ).over(following) if back else here
-        rows = rows.withColumns(
-            {"_on": matches_step(F.col("mask"), back), "_then": later}
-        )
-        same_step = Window.partitionBy(*part, "_on").orderBy(F.desc("t"), F.desc("tie"))
-        end = F.lit(None).cast("array<bigint>")
-        for n in sorted(set(need.values())):
-            nth = F.col("_then") if n == 1 else F.lag("_then", n - 1).over(same_step)
-            end = F.when(
-                F.col("rule_id").isin([r for r, v in need.items() if v == n]), nth
-            ).otherwise(end)
-        rows = rows.withColumn("_end", F.when(F.col("_on"), end)).withColumn(
-            "_done",
-            F.when(F.col("rule_id").isin(whole), F.col("_end")).otherwise(F.col("_done")),
-        )
-    steps = F.col("_done")
-    e_t, e_tie = F.try_element_at(steps, F.lit(-2)), F.try_element_at(steps, F.lit(-1))
-    return rows.filter(
-        steps.isNotNull() & (slice_start(t, w) == F.col("slice")) & (e_t - t <= w)
-    ).select(
-        *_KEY,
-        "slice",
-        (F.col("slice") + w).alias("entry_until"),
-        t.alias("s_t"),
-        F.col("tie").alias("s_tie"),
-        e_t.alias("e_t"),
-        e_tie.alias("e_tie"),
-        steps.alias("steps"),
-    )
-
-
-def spans(hits: DataFrame, needs: dict[str, list[int]]) -> DataFrame:
-    """Completed sequences as spans (rule_id, entity_key, s_t, s_tie, e_t, e_tie, steps)."""
-    return greedy.choose(candidates(hits, needs))
-
-
-def is_evidence(mask: Column, steps: Column, at: Column, n_steps: int) -> Column:
-    """Whether a row inside the span matches the step that was open at its position."""
-    hit = matches_step(mask, n_steps - 1)
-    for k in range(1, n_steps):
-        opened = F.struct(F.get(steps, F.lit(2 * k - 2)), F.get(steps, F.lit(2 * k - 1)))
-        hit = F.when(at >= opened, matches_step(mask, n_steps - 1 - k)).otherwise(hit)
-    return hit
+    rows = hits.select("rule_id", "entity_key", "w", "t", "tie", "mask")
+    return blocks.solve(rows, kernels.sequences(needs), LABELS, ["t", "tie", "mask"], hot)

@@ -1,8 +1,9 @@
 """The detection plan: events and rules to matches, evidence and alerts.
 
-All armed rules share one scan: each event fans out to the rules it can matter to.
-Bursts and sequences become spans of time per (rule, key), travel becomes pairs; spans
-are joined back to the events for their evidence; matches that touch fold into alerts.
+All armed rules share one scan of the events: each event fans out to the rules it can matter
+to, and these hits are staged. Detectors read their narrow columns of the hits and label the
+places inside a match; the labels pick the evidence out of the hits, with all its columns;
+matches that touch fold into alerts.
 
 Evidence is a table of its own (one row per event and match), never an array inside an
 alert, so a match of any size stays spread over the cluster.
@@ -20,14 +21,15 @@ from pyspark.sql import types as T
 from emberwatch import schema
 from emberwatch.functions import net, times
 from emberwatch.functions import text as X
-from emberwatch.operators import burst, correlate, geo as G, sequence, travel
-from emberwatch.operators.slices import slice_start, touched
+from emberwatch.operators import blocks, burst, correlate, geo as G, membership, sequence, travel
 from emberwatch.operators.staging import staged
 from emberwatch.plans.rules import Burst, Rule, Sequence, Travel
 
 KEY = ["rule_id", "entity_key"]
 MATCH = [*KEY, "s_t", "s_tie"]
 ALERT = [*KEY, "alert_t"]
+#: Above so many labels, hits are thinned out by a bitmap before they are joined.
+MANY_LABELS = 200_000
 
 
 def window_micros(rule: Rule) -> int:
@@ -56,10 +58,12 @@ def fan_out(events: DataFrame, rules: Seq[Rule]) -> DataFrame:
     """One row per event and rule that the event can matter to.
 
     Adds rule_id, entity_key, entity, t, tie, amount, counted and mask to the event.
-    Events without a part of the rule's key are dropped. Expects `tie`, or feed_order
-    and line_no, to order events of equal time.
+    Events without a part of the rule's key are dropped. `tie`, or line_no and feed_order (0
+    if there is none), order events of equal time; without either there is no right order.
     """
     s = events.schema
+    if not {"tie", "line_no"} & set(s.names):
+        raise ValueError("events need a `tie` or `line_no` column, which orders those of equal time")
     amount = _amount_type(rules, s)
 
     def column(name: str) -> Column:
@@ -133,8 +137,8 @@ def _only(hits: DataFrame, rules: Seq[Rule]) -> DataFrame:
     )
 
 
-def burst_spans(hits: DataFrame, rules: Seq[Rule]) -> DataFrame:
-    """Spans of the burst rules among `rules`, from fanned-out hits."""
+def burst_labels(hits: DataFrame, rules: Seq[Rule], hot: DataFrame | None = None) -> DataFrame:
+    """Ticks inside the bursts of the burst rules among `rules`, from fanned-out hits."""
     rules = _of(Burst, rules)
     wanted = _only(hits, rules).withColumns(
         {
@@ -144,17 +148,19 @@ def burst_spans(hits: DataFrame, rules: Seq[Rule]) -> DataFrame:
             ),
         }
     )
-    return burst.spans(wanted, any(r.detect.distinct for r in rules))
+    return burst.labels(wanted, hot)
 
 
-def sequence_spans(hits: DataFrame, rules: Seq[Rule]) -> DataFrame:
-    """Spans of the sequence rules among `rules`, from fanned-out hits."""
+def sequence_labels(hits: DataFrame, rules: Seq[Rule], hot: DataFrame | None = None) -> DataFrame:
+    """Rows inside the sequences of the sequence rules among `rules`, from fanned-out hits."""
     rules = _of(Sequence, rules)
     needs = {r.id: [step.count for step in r.detect.steps] for r in rules}
-    return sequence.spans(_only(hits, rules), needs)
+    return sequence.labels(_only(hits, rules), needs, hot)
 
 
-def travel_pairs(hits: DataFrame, rules: Seq[Rule], geo: DataFrame) -> DataFrame:
+def travel_pairs(
+    hits: DataFrame, rules: Seq[Rule], geo: DataFrame, hot: DataFrame | None = None
+) -> DataFrame:
     """Pairs of the travel rules among `rules`, from fanned-out hits."""
     rules = _of(Travel, rules)
     wanted = _only(hits, rules).withColumns(
@@ -163,50 +169,37 @@ def travel_pairs(hits: DataFrame, rules: Seq[Rule], geo: DataFrame) -> DataFrame
             "min_kmh": per_rule({r.id: r.detect.min_kmh for r in rules}, "double"),
         }
     )
-    return travel.pairs(wanted, geo)
+    return travel.pairs(wanted, geo, hot)
 
 
-def span_evidence(hits: DataFrame, spans: DataFrame, rules: Seq[Rule]) -> DataFrame:
-    """Hits inside their span, joined per (rule, key, slice)."""
-    w = per_rule({r.id: window_micros(r) for r in rules}, "bigint")
-    spread = spans.withColumn("w", w).withColumn(
-        "slice", F.explode(touched(F.col("s_t"), F.col("e_t"), F.col("w")))
+def pair_labels(pairs: DataFrame) -> DataFrame:
+    """Both rows of each pair, with its span."""
+    ends = F.array(
+        F.struct(F.col("s_t").alias("t"), F.col("s_tie").alias("tie")),
+        F.struct(F.col("e_t").alias("t"), F.col("e_tie").alias("tie")),
     )
-    placed = _only(hits, rules)
-    placed = placed.withColumn("slice", slice_start(F.col("t"), F.col("w"))).drop("w")
-    at = F.struct("t", "tie")
-    rows = placed.join(spread.drop("w"), [*KEY, "slice"]).filter(
-        (at >= F.struct("s_t", "s_tie")) & (at <= F.struct("e_t", "e_tie"))
-    )
-    is_evidence = F.lit(True)
-    for r in _of(Sequence, rules):
-        is_evidence = F.when(
-            F.col("rule_id") == r.id,
-            sequence.is_evidence(F.col("mask"), F.col("steps"), at, len(r.detect.steps)),
-        ).otherwise(is_evidence)
-    return rows.filter(is_evidence).select(
-        *hits.columns, "s_t", "s_tie", "e_t", "e_tie"
+    return pairs.select(*MATCH, "e_t", "e_tie", F.explode(ends).alias("at")).select(
+        *KEY, "at.*", "s_t", "s_tie", "e_t", "e_tie"
     )
 
 
-def pair_evidence(hits: DataFrame, pairs: DataFrame, rules: Seq[Rule]) -> DataFrame:
-    """Both events of each pair."""
-    ends = pairs.select(
-        *MATCH,
-        "e_t",
-        "e_tie",
-        F.explode(
-            F.array(
-                F.struct(F.col("s_t").alias("t"), F.col("s_tie").alias("tie")),
-                F.struct(F.col("e_t").alias("t"), F.col("e_tie").alias("tie")),
-            )
-        ).alias("at"),
-    ).select(*MATCH, "e_t", "e_tie", "at.*")
-    return (
-        _only(hits, rules)
-        .drop("w")
-        .join(ends, [*KEY, "t", "tie"])
-        .select(*hits.columns, "s_t", "s_tie", "e_t", "e_tie")
+def labelled(hits: DataFrame, labels: DataFrame, rules: Seq[Rule]) -> DataFrame:
+    """Hits at the labelled places, with the span of each label.
+
+    Labels are narrow and often few: Spark then sends them to the hits, which stay where they
+    are. Many labels first thin out the hits by a bitmap of (rule, key, window), before any
+    column of theirs is shuffled.
+    """
+    on = [c for c in labels.columns if c not in ("s_t", "s_tie", "e_t", "e_tie")]
+    rows = _only(hits, rules)
+    labels = staged(labels)
+    if labels.count() > MANY_LABELS:
+        w = per_rule({r.id: window_micros(r) for r in rules}, "bigint")
+        place = ["rule_id", "entity_key", F.floor(F.col("t") / F.col("w"))]
+        marks = membership.bitmap(labels.withColumn("w", w), place)
+        rows = membership.maybe_in(rows, place, marks)
+    return rows.drop("w").join(labels, on).select(
+        *hits.columns, "s_t", "s_tie", "e_t", "e_tie"
     )
 
 
@@ -219,20 +212,21 @@ def evidence(
 ) -> DataFrame:
     """One row per event of each match, with the match's span (s_t .. e_tie).
 
-    `pairs` gives the travel pairs, `hits` the fan-out of the events (best staged, so that
+    `pairs` gives the travel pairs, `hits` the fan-out of the events (staged, so that
     they are read once), where they are known already.
     """
-    hits = fan_out(events, rules) if hits is None else hits
+    hits = staged(fan_out(events, rules)) if hits is None else hits
+    hot = blocks.hot_keys(hits)
     parts = []
     if _of(Burst, rules):
-        parts.append(span_evidence(hits, burst_spans(hits, rules), _of(Burst, rules)))
+        parts.append(labelled(hits, burst_labels(hits, rules, hot), _of(Burst, rules)))
     if _of(Sequence, rules):
-        parts.append(span_evidence(hits, sequence_spans(hits, rules), _of(Sequence, rules)))
+        parts.append(labelled(hits, sequence_labels(hits, rules, hot), _of(Sequence, rules)))
     if _of(Travel, rules):
         if pairs is None:
             place = G.shipped_geo(events.sparkSession) if geo is None else geo
-            pairs = travel_pairs(hits, rules, place)
-        parts.append(pair_evidence(hits, pairs, _of(Travel, rules)))
+            pairs = travel_pairs(hits, rules, place, hot)
+        parts.append(labelled(hits, pair_labels(pairs), _of(Travel, rules)))
     if not parts:
         raise ValueError("no rule is armed")
     out = parts[0]
@@ -487,7 +481,7 @@ def detect(
     hits = staged(fan_out(events, rules))
     if _of(Travel, rules):
         place = G.shipped_geo(events.sparkSession) if geo is None else geo
-        pairs = staged(travel_pairs(hits, rules, place))
+        pairs = staged(travel_pairs(hits, rules, place, blocks.hot_keys(hits)))
     rows = staged(evidence(events, rules, pairs=pairs, hits=hits))
     own = staged(alert_matches(rows, rules))
     kept = alert_evidence(rows, own, rules)

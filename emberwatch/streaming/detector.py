@@ -105,11 +105,12 @@ class StreamDetector:
         parts = []
         still = rows.filter(F.col("t") > mark - w)
         if spanned:
-            final = staged(self._spans(rows, spanned).filter(F.col("e_t") <= mark))
-            parts.append(D.span_evidence(rows, final, spanned))
-            ends = final.groupBy("rule_id", "entity_key").agg(
-                F.max(F.struct("e_t", "e_tie")).alias("taken")
-            )
+            final = [staged(x.filter(F.col("e_t") <= mark)) for x in self._labels(rows, spanned)]
+            parts += [D.labelled(rows, x, spanned) for x in final]
+            ends = [x.select("rule_id", "entity_key", "e_t", "e_tie") for x in final]
+            ends = (ends[0] if len(ends) == 1 else ends[0].unionByName(ends[1])).groupBy(
+                "rule_id", "entity_key"
+            ).agg(F.max(F.struct("e_t", "e_tie")).alias("taken"))
             here = F.struct("t", "tie")
             still = (
                 still.join(ends, ["rule_id", "entity_key"], "left")
@@ -123,7 +124,7 @@ class StreamDetector:
             if was is not None:  # earlier ones are written already
                 pairs = pairs.filter(F.col("e_t") > was)
             pairs = staged(pairs)
-            parts.append(D.pair_evidence(rows, pairs, travel))
+            parts.append(D.labelled(rows, D.pair_labels(pairs), travel))
             self._write(pairs, "pairs", batch_id)
         evidence = parts[0]
         for part in parts[1:]:
@@ -131,13 +132,13 @@ class StreamDetector:
         self._write(evidence, "evidence", batch_id)
         self._write(still.select(*rows.columns), "open", batch_id)
 
-    def _spans(self, rows: DataFrame, rules: Seq[Rule]) -> DataFrame:
+    def _labels(self, rows: DataFrame, rules: Seq[Rule]) -> list[DataFrame]:
         found = []
         if any(isinstance(r.detect, Burst) for r in rules):
-            found.append(D.burst_spans(rows, rules))
+            found.append(D.burst_labels(rows, rules))
         if any(isinstance(r.detect, Sequence) for r in rules):
-            found.append(D.sequence_spans(rows, rules))
-        return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+            found.append(D.sequence_labels(rows, rules))
+        return found
 
     def _write(self, rows: DataFrame, what: str, batch_id: int) -> None:
         rows.write.mode("overwrite").parquet(self._path(what, batch_id))

@@ -9,11 +9,13 @@ from collections import defaultdict
 from datetime import datetime, timedelta, timezone
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from emberwatch.operators import predicates as P
+from emberwatch.operators import blocks, burst, kernels, membership
 from emberwatch.operators import geo as G
+from emberwatch.operators import predicates as P
 from emberwatch.plans import detect as D
 from emberwatch.plans.rules import Burst, Rule, Sequence, Step, Travel
 
@@ -129,8 +131,16 @@ def sequence_rules():
     ]
 
 
+@pytest.fixture(params=["whole", "blocks"])
+def cut(request, monkeypatch):
+    """Keys solved whole, and keys of over 25 rows cut into blocks that meet two at a time."""
+    if request.param == "blocks":
+        monkeypatch.setattr(blocks, "BLOCK_ROWS", 25)
+        monkeypatch.setattr(blocks, "FAN", 2)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
-def test_bursts(spark, seed):
+def test_bursts(spark, seed, cut):
     rows = random_rows(seed)
     rules = [rule(name, d) for name, (d, _, _) in BURSTS.items()]
     got = got_evidence(D.evidence(as_events(spark, rows), rules))
@@ -144,7 +154,7 @@ def test_bursts(spark, seed):
 
 
 @pytest.mark.parametrize("seed", [3, 4])
-def test_sequences(spark, seed):
+def test_sequences(spark, seed, cut):
     rows = random_rows(seed)
     got = got_evidence(D.evidence(as_events(spark, rows), sequence_rules()))
     want = {}
@@ -157,7 +167,7 @@ def test_sequences(spark, seed):
     assert got == want
 
 
-def test_steps_that_share_events(spark):
+def test_steps_that_share_events(spark, cut):
     rows = random_rows(5)
     either = P.one_of("action", ["a", "b"])
     detect = Sequence(("user",), W, (Step("x", either, 2), Step("y", P.eq("action", "b"), 2)))
@@ -182,7 +192,7 @@ def place(ip):
     return best and best[1]
 
 
-def test_travel(spark):
+def test_travel(spark, cut):
     rows = random_rows(6)
     detect = Travel(FAIL, ("user",), W, 700, 100_000)
     got = got_evidence(D.evidence(as_events(spark, rows), [rule("t", detect)]))
@@ -195,7 +205,7 @@ def test_travel(spark):
     assert want and got == want
 
 
-def test_alerts(spark):
+def test_alerts(spark, cut):
     rows = random_rows(7, keys=60)
     rules = [
         rule("count4", BURSTS["count4"][0], "{count} from {user} in {span} {ports}"),
@@ -229,3 +239,113 @@ def test_alerts(spark):
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
     counts = {r.alert_id: r["count"] for r in kept.groupBy("alert_id").count().collect()}
     assert counts == {a.alert_id: a.evidence_count for a in found}
+
+
+def followed(maps, entry):
+    """Bound by bound: the first one above the entry gives the way out."""
+    for bounds, outs in maps:
+        entry = next((o for b, o in zip(bounds, outs) if b > entry), entry)
+    return entry
+
+
+def test_composed_maps():
+    rng = random.Random(6)
+    for _ in range(200):
+        maps, low = [], 0
+        for _ in range(rng.randrange(1, 6)):
+            bounds = sorted(rng.sample(range(low, low + 30), rng.randrange(1, 8)))
+            outs = sorted(b + rng.randrange(0, 20) for b in bounds)
+            maps.append((np.array(bounds), np.array(outs)))
+            low = bounds[0] + rng.randrange(0, 25)
+        hi, out = blocks.composed(maps)
+        assert (np.diff(hi) > 0).all() and (len(maps) == 1 or (np.diff(out) != 0).all())
+        for entry in range(-1, low + 60):
+            assert blocks.through(hi, out, np.array([entry]))[0] == followed(maps, entry)
+
+
+def test_pointer_doubling():
+    rng = random.Random(7)
+    for m in (0, 1, 5, 60):
+        following = np.array([rng.randrange(i + 1, m + 1) for i in range(m)], dtype=np.int64)
+        for first in range(m + 1):
+            want, at = [], first
+            while at < m:
+                want.append(at)
+                at = following[at]
+            assert kernels.chain(following, first).tolist() == want
+        ends = kernels.chain_ends(following)
+        assert [kernels.chain(following, i)[-1] for i in range(m)] == ends.tolist()
+
+
+def test_million_ticks_of_one_key(spark, monkeypatch):
+    """A key that never goes quiet, with a million distinct times, in blocks of 20,000."""
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 20_000)
+    n, w = 1_000_000, 20_000_000
+    at = F.col("id") * 700_000 + F.pmod(F.hash("id"), F.lit(699_999))
+    hits = spark.range(n).select(
+        F.lit("r").alias("rule_id"), F.lit("k").alias("entity_key"), F.lit(w).cast("long").alias("w"),
+        F.lit(30).cast("long").alias("need"), F.lit(False).alias("counts_values"), at.cast("long").alias("t"),
+        F.lit(None).cast("string").alias("counted"), F.lit(1).cast("long").alias("amount"),
+    )
+    found = burst.labels(hits, blocks.hot_keys(hits))
+    got = found.groupBy("s_t").agg(F.count(F.lit(1)).alias("n")).toPandas().set_index("s_t").n.to_dict()
+    t = np.sort(np.array([r.t for r in hits.select("t").collect()]))
+    last = np.searchsorted(t, t + w, side="right")
+    want, i = {}, 0
+    while i < n:
+        if last[i] - i >= 30:
+            want[t[i]] = last[i] - i
+            i = last[i]
+        else:
+            i += 1
+    assert len(want) > 1_000 and got == want
+
+
+def test_hot_key_inside_eight_windows(spark, monkeypatch):
+    """All rows of a key in eight windows, with ties: several tasks, the same bursts and sequences."""
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 300)
+    rng = random.Random(12)
+    rows = [
+        dict(t=rng.randrange(8 * WITHIN), user="hot", action=rng.choice("abcabx"), status="failure",
+             port=rng.choice([None, *range(9)]), bytes=rng.randrange(30), ip="82.102.20.14")
+        for _ in range(4_000)
+    ]
+    for i, r in enumerate(rows):
+        r["tie"], r["raw"] = i, str(i)
+    events = as_events(spark, rows)
+    rules = [*(rule(name, d) for name, (d, _, _) in BURSTS.items()), *sequence_rules()]
+    hits = D.fan_out(events, rules)
+    assert blocks.hot_keys(hits).count() == len(rules)
+    got = got_evidence(D.evidence(events, rules, hits=hits))
+    want = {(n, "hot"): ties(brute.bursts(rows, WITHIN, need, tally)) for n, (_, need, tally) in BURSTS.items()}
+    for name, steps in SEQUENCES.items():
+        tests = [(lambda r, a=a: r["action"] == a, n) for a, n in steps]
+        want[(name, "hot")] = ties(brute.sequences(rows, WITHIN, tests))
+    assert got == want
+    pieces, most = blocks._pieces(
+        hits.filter("rule_id = 'count1'").withColumn("w", F.lit(WITHIN * 10**6).cast("long"))
+        .repartitionByRange(6, "rule_id", "entity_key", "t").withColumn("block", F.spark_partition_id())
+    )
+    assert most >= 5 and pieces.count() == most
+
+
+def test_bitmap_keeps_members(spark):
+    rows = spark.range(5_000).select("id", F.concat(F.lit("k"), F.col("id") % 100).alias("key"))
+    marks = membership.bitmap(rows.filter("id % 10 = 3"), ["id", "key"])
+    kept = {r.id for r in membership.maybe_in(rows, ["id", "key"], marks).collect()}
+    members = set(range(3, 5_000, 10))
+    assert members <= kept and len(kept) < len(members) + 100
+
+
+def test_many_labels_take_the_bitmap(spark, monkeypatch):
+    rows = random_rows(1)
+    rules = [rule(name, d) for name, (d, _, _) in BURSTS.items()] + sequence_rules()
+    want = got_evidence(D.evidence(as_events(spark, rows), rules))
+    monkeypatch.setattr(D, "MANY_LABELS", 0)
+    assert got_evidence(D.evidence(as_events(spark, rows), rules)) == want
+
+
+def test_no_order_is_an_error(spark):
+    events = as_events(spark, random_rows(1, keys=2)).drop("line_no")
+    with pytest.raises(ValueError, match="tie"):
+        D.fan_out(events, sequence_rules())

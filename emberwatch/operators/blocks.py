@@ -46,9 +46,10 @@ def _arrow(ddl: str) -> pa.Schema:
 
 def hot_keys(rows: DataFrame) -> DataFrame | None:
     """Keys with more rows than one task should take; None if there are none. Reads only the key columns."""
-    large = rows.groupBy(*KEY).count().where(F.col("count") > BLOCK_ROWS).select(*KEY)
-    large = staged(large)
-    return None if large.isEmpty() else large
+    sizes = rows.groupBy(*KEY).count()
+    if (sizes.agg(F.max("count")).first()[0] or 0) <= BLOCK_ROWS:
+        return None
+    return staged(sizes.where(F.col("count") > BLOCK_ROWS).select(*KEY))
 
 
 def solve(

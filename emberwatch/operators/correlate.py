@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from emberwatch.operators import blocks, kernels
 from emberwatch.operators.slices import slice_start
+from emberwatch.operators.staging import staged
+from emberwatch.packaging import ship
 
 _KEY = ["rule_id", "entity_key"]
 
@@ -21,12 +28,32 @@ def _islands(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     ).withColumn("_island", F.sum("_new").over(upto))
 
 
+def with_alert(matches: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """Matches with the alert each belongs to (alert_t, the first_t of the alert's first match).
+
+    `matches`: rule_id, entity_key, w, s_t, s_tie, first_t, last_t, no longer than w. Keys are
+    folded whole; those that `hot` names, by slices of time.
+    """
+    ship(matches.sparkSession)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in kernels.whole_groups(batches, _KEY):
+            yield from table.append_column("alert_t", pa.array(kernels.islands(table), pa.int64())).to_batches()
+
+    schema = T.StructType([*matches.schema.fields, T.StructField("alert_t", T.LongType())])
+    cold = matches if hot is None else matches.join(hot, _KEY, "left_anti")
+    folded = blocks.grouped(cold, _KEY, ["first_t", "s_t", "s_tie"]).mapInArrow(task, schema)
+    if hot is None:
+        return folded
+    warm = staged(matches.join(hot, _KEY, "left_semi"))
+    return folded.unionByName(warm.join(alert_of(warm), [*_KEY, "s_t", "s_tie"]))
+
+
 def alert_of(matches: DataFrame) -> DataFrame:
     """Which alert each match belongs to: rule_id, entity_key, s_t, s_tie, alert_t.
 
-    `matches`: rule_id, entity_key, w, s_t, s_tie, first_t, last_t. `alert_t` is the
-    first_t of the alert's first match. Runs are found per time slice first; only one
-    row per run and slice then comes together per key to join runs over slice borders.
+    Runs are found per time slice first; only one row per run and slice then comes together per
+    key to join runs over slice borders.
     """
     local = _islands(
         matches.select(*_KEY, "w", "s_t", "s_tie", "first_t", "last_t").withColumn(
@@ -73,11 +100,11 @@ def unseen_evidence(evidence: DataFrame) -> DataFrame:
 
 
 def first_values(
-    rows: DataFrame, keys: list[str], wanted: dict[str, tuple[Column, int]]
+    rows: DataFrame, keys: list[str], wanted: dict[str, tuple[Column, int | None]]
 ) -> DataFrame:
-    """Per key, the first few distinct values of each wanted column, joined by ', '.
+    """Per key, arrays of the first few distinct values of each wanted column.
 
-    `wanted`: name -> (text column, how many). Values are in order of first appearance.
+    `wanted`: name -> (text column, how many; None: all). Values are in order of first appearance.
     Rows are reduced to one per value before anything is ranked.
     """
     items = F.array(
@@ -92,21 +119,20 @@ def first_values(
         .groupBy(*keys, F.col("i.kind").alias("kind"), F.col("i.value").alias("value"))
         .agg(F.min("at").alias("at"))
     )
-    rank = Window.partitionBy(*keys, "kind").orderBy("at", "value")
-    limits = {name: n for name, (_, n) in wanted.items()}
-    limit = F.create_map(*(F.lit(x) for pair in limits.items() for x in pair))
-    kept = firsts.withColumn("n", F.row_number().over(rank)).filter(
-        (F.col("n") <= max(limits.values())) & (F.col("n") <= limit[F.col("kind")])
-    )
-    picked = F.struct("n", "value")
+    limits = {name: n for name, (_, n) in wanted.items() if n is not None}
+    kept = firsts.filter(~F.col("kind").isin(list(limits)))
+    if limits:
+        rank = Window.partitionBy(*keys, "kind").orderBy("at", "value")
+        limit = F.create_map(*(F.lit(x) for pair in limits.items() for x in pair))
+        few = firsts.filter(F.col("kind").isin(list(limits))).withColumn("n", F.row_number().over(rank))
+        few = few.filter((F.col("n") <= max(limits.values())) & (F.col("n") <= limit[F.col("kind")]))
+        kept = few.drop("n") if len(limits) == len(wanted) else few.drop("n").unionByName(kept)
+    picked = F.struct("at", "value")
     return kept.groupBy(*keys).agg(
         *(
-            F.array_join(
-                F.transform(
-                    F.sort_array(F.collect_list(F.when(F.col("kind") == name, picked))),
-                    lambda x: x["value"],
-                ),
-                ", ",
+            F.transform(
+                F.sort_array(F.collect_list(F.when(F.col("kind") == name, picked))),
+                lambda x: x["value"],
             ).alias(name)
             for name in wanted
         )

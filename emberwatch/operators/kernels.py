@@ -284,3 +284,18 @@ def sequences(needs: dict[str, list[int]]) -> Callable[[pa.Table], Found]:
         return Found(table, row, row, end, (t[row], tie[row]), (t[end], tie[end]), inside, ["t", "tie", "mask"])
 
     return kernel
+
+
+def islands(table: pa.Table) -> np.ndarray:
+    """The first_t of the first row of each row's island, for rows in order of first_t.
+
+    A row joins the island before it if it begins at most w after anything in it ended. Rows end
+    at most w after they begin.
+    """
+    first, last, w = (column(table, c) for c in ("first_t", "last_t", "w"))
+    starts = group_starts(table, KEY)
+    axis = time_axis(first, starts, 2 * w)
+    reach = np.maximum.accumulate(axis + (last - first))
+    fresh = starts.copy()
+    fresh[1:] |= axis[1:] - reach[:-1] > w[1:]
+    return first[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]

@@ -27,3 +27,8 @@ def staged(rows: DataFrame) -> DataFrame:
     path = f"{folder.rstrip('/')}/staged-{uuid.uuid4().hex}"
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def staged_bytes(rows: DataFrame) -> int:
+    """The size of a staged table's files, as Spark's planner knows it."""
+    return int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

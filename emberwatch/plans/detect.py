@@ -22,14 +22,14 @@ from emberwatch import schema
 from emberwatch.functions import net, times
 from emberwatch.functions import text as X
 from emberwatch.operators import blocks, burst, correlate, geo as G, membership, sequence, travel
-from emberwatch.operators.staging import staged
+from emberwatch.operators.staging import staged, staged_bytes
 from emberwatch.plans.rules import Burst, Rule, Sequence, Travel
 
 KEY = ["rule_id", "entity_key"]
 MATCH = [*KEY, "s_t", "s_tie"]
 ALERT = [*KEY, "alert_t"]
-#: Above so many labels, hits are thinned out by a bitmap before they are joined.
-MANY_LABELS = 200_000
+#: Above so many bytes of labels, hits are thinned out by a bitmap before they are joined.
+MANY_BYTES = 8 << 20
 
 
 def window_micros(rule: Rule) -> int:
@@ -193,7 +193,7 @@ def labelled(hits: DataFrame, labels: DataFrame, rules: Seq[Rule]) -> DataFrame:
     on = [c for c in labels.columns if c not in ("s_t", "s_tie", "e_t", "e_tie")]
     rows = _only(hits, rules)
     labels = staged(labels)
-    if labels.count() > MANY_LABELS:
+    if staged_bytes(labels) > MANY_BYTES:
         w = per_rule({r.id: window_micros(r) for r in rules}, "bigint")
         place = ["rule_id", "entity_key", F.floor(F.col("t") / F.col("w"))]
         marks = membership.bitmap(labels.withColumn("w", w), place)
@@ -209,14 +209,16 @@ def evidence(
     geo: DataFrame | None = None,
     pairs: DataFrame | None = None,
     hits: DataFrame | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """One row per event of each match, with the match's span (s_t .. e_tie).
 
     `pairs` gives the travel pairs, `hits` the fan-out of the events (staged, so that
-    they are read once), where they are known already.
+    they are read once) and `hot` their keys with very many rows, where they are known already.
     """
-    hits = staged(fan_out(events, rules)) if hits is None else hits
-    hot = blocks.hot_keys(hits)
+    if hits is None:
+        hits = staged(fan_out(events, rules))
+        hot = blocks.hot_keys(hits)
     parts = []
     if _of(Burst, rules):
         parts.append(labelled(hits, burst_labels(hits, rules, hot), _of(Burst, rules)))
@@ -361,10 +363,11 @@ def alert_id(rule_id: Column, entity_key: Column, first_t: Column) -> Column:
     return F.concat_ws("::", rule_id, entity_key, F.floor(first_t / 1000).cast("string"))
 
 
-def alert_matches(rows: DataFrame, rules: Seq[Rule]) -> DataFrame:
-    """Matches with the alert they fold into (alert_t)."""
-    found = matches(rows, rules)
-    return found.join(correlate.alert_of(found), MATCH)
+def alert_matches(
+    rows: DataFrame, rules: Seq[Rule], hot: DataFrame | None = None
+) -> DataFrame:
+    """Matches with the alert they fold into (alert_t). `hot` names keys with very many rows."""
+    return correlate.with_alert(matches(rows, rules), hot)
 
 
 def alert_evidence(rows: DataFrame, own: DataFrame, rules: Seq[Rule]) -> DataFrame:
@@ -428,22 +431,14 @@ def alerts(
         for name, (c, n) in LISTED.items()
         if name in needed and c in names
     }
+    if "source" in names:
+        lists["sources"] = (F.col("source"), None)
     if lists:
         out = out.join(correlate.first_values(kept, ALERT, lists), ALERT, "left")
     for name in LISTED:
-        if name not in lists:
-            out = out.withColumn(name, F.lit(""))
-    if "source" in names:
-        at = F.struct("t", "tie")
-        seen = kept.groupBy(*ALERT, "source").agg(F.min(at).alias("at"))
-        sources = seen.groupBy(*ALERT).agg(
-            F.transform(
-                F.sort_array(F.collect_list(F.struct("at", "source"))),
-                lambda x: x["source"],
-            ).alias("sources")
-        )
-        out = out.join(sources, ALERT)
-    else:
+        text = F.array_join(name, ", ") if name in lists else F.lit("")
+        out = out.withColumn(name, text)
+    if "sources" not in lists:
         out = out.withColumn("sources", F.array().cast("array<string>"))
     named = out.withColumns(
         {
@@ -479,11 +474,12 @@ def detect(
     rules = [r for r in rules if r.enabled]
     pairs = None
     hits = staged(fan_out(events, rules))
+    hot = blocks.hot_keys(hits)
     if _of(Travel, rules):
         place = G.shipped_geo(events.sparkSession) if geo is None else geo
-        pairs = staged(travel_pairs(hits, rules, place, blocks.hot_keys(hits)))
-    rows = staged(evidence(events, rules, pairs=pairs, hits=hits))
-    own = staged(alert_matches(rows, rules))
+        pairs = staged(travel_pairs(hits, rules, place, hot))
+    rows = staged(evidence(events, rules, pairs=pairs, hits=hits, hot=hot))
+    own = staged(alert_matches(rows, rules, hot))
     kept = alert_evidence(rows, own, rules)
     return alerts(kept, own, rules, pairs), kept
 

@@ -316,7 +316,7 @@ def test_hot_key_inside_eight_windows(spark, monkeypatch):
     rules = [*(rule(name, d) for name, (d, _, _) in BURSTS.items()), *sequence_rules()]
     hits = D.fan_out(events, rules)
     assert blocks.hot_keys(hits).count() == len(rules)
-    got = got_evidence(D.evidence(events, rules, hits=hits))
+    got = got_evidence(D.evidence(events, rules))
     want = {(n, "hot"): ties(brute.bursts(rows, WITHIN, need, tally)) for n, (_, need, tally) in BURSTS.items()}
     for name, steps in SEQUENCES.items():
         tests = [(lambda r, a=a: r["action"] == a, n) for a, n in steps]
@@ -341,7 +341,7 @@ def test_many_labels_take_the_bitmap(spark, monkeypatch):
     rows = random_rows(1)
     rules = [rule(name, d) for name, (d, _, _) in BURSTS.items()] + sequence_rules()
     want = got_evidence(D.evidence(as_events(spark, rows), rules))
-    monkeypatch.setattr(D, "MANY_LABELS", 0)
+    monkeypatch.setattr(D, "MANY_BYTES", 0)
     assert got_evidence(D.evidence(as_events(spark, rows), rules)) == want
 
 

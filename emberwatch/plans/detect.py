@@ -44,7 +44,7 @@ def per_rule(values: dict[str, object], data_type: str) -> Column:
     return out
 
 
-def _amount_type(rules: Seq[Rule], event_schema: T.StructType) -> str:
+def amount_type(rules: Seq[Rule], event_schema: T.StructType) -> str:
     fields = {r.detect.total for r in rules if isinstance(r.detect, Burst) and r.detect.total}
     whole = all(
         isinstance(event_schema[f].dataType, T.IntegralType)
@@ -64,7 +64,7 @@ def fan_out(events: DataFrame, rules: Seq[Rule]) -> DataFrame:
     s = events.schema
     if not {"tie", "line_no"} & set(s.names):
         raise ValueError("events need a `tie` or `line_no` column, which orders those of equal time")
-    amount = _amount_type(rules, s)
+    amount = amount_type(rules, s)
 
     def column(name: str) -> Column:
         return F.col(name) if name in s.names else F.lit(None)
@@ -96,6 +96,8 @@ def fan_out(events: DataFrame, rules: Seq[Rule]) -> DataFrame:
         if isinstance(d, Burst) and d.total:
             numeric = d.total in s.names and isinstance(s[d.total].dataType, T.NumericType)
             weight = F.coalesce(F.col(d.total), F.lit(0)) if numeric else F.lit(0)
+            below = F.raise_error(F.lit(f"{d.total}: amounts that a burst totals must not be negative"))
+            weight = F.when(weight < 0, below.cast(amount)).otherwise(weight.cast(amount))
         entity = F.map_from_arrays(
             F.array(*(F.lit(f) for f in d.group_by)), F.array(*parts)
         )
@@ -379,7 +381,9 @@ def alert_evidence(rows: DataFrame, own: DataFrame, rules: Seq[Rule]) -> DataFra
     """
     labelled = rows.join(own.select(*MATCH, "alert_t"), MATCH)
     sharing = [r.id for r in rules if not isinstance(r.detect, Burst)]
-    if sharing and "raw" in rows.columns:
+    if sharing and "raw" not in rows.columns:
+        raise ValueError("events need a `raw` column, by which shared evidence of sequences and travel is told")
+    if sharing:
         shared = F.col("rule_id").isin(sharing)
         once = correlate.unseen_evidence(labelled.filter(shared))
         bursts = labelled.filter(~shared)
@@ -440,9 +444,19 @@ def alerts(
         out = out.withColumn(name, text)
     if "sources" not in lists:
         out = out.withColumn("sources", F.array().cast("array<string>"))
-    named = out.withColumns(
+    return described(out, rules, pairs is not None)
+
+
+def described(rolled: DataFrame, rules: Seq[Rule], has_pairs: bool) -> DataFrame:
+    """Alerts with headline, id and what is known about their rule, in the alert schema.
+
+    `rolled`: rule_id, entity_key, alert_t, entity, n_matches, last (values of the last match),
+    n, first_t, last_t, last_user, last_host, users, ports and paths (as text), sources, and pair
+    if `has_pairs`.
+    """
+    named = rolled.withColumns(
         {
-            "narrative": _narratives(rules, pairs is not None),
+            "narrative": _narratives(rules, has_pairs),
             "alert_id": alert_id(F.col("rule_id"), F.col("entity_key"), F.col("alert_t")),
         }
     )

@@ -1,42 +1,320 @@
-"""Detection over an event stream with the batch plan and bounded state.
+"""Detection over an event stream: Spark's keyed state, one detector per (rule, key).
 
-Each micro-batch runs the batch detectors over the rows it brings and the rows still
-open: those of the last window before the watermark. Spans that end at or before the
-watermark can no longer change, and are written with their evidence. What carries over
-is the rows of one window that no span has taken, so state does not grow with the
-length of a burst or of the stream, and a hot key is spread over tasks as in batch.
+Events fan out as in batch. The state of a rule and key is the rows of its open window, the end of
+the last match, and the alert that later matches may still join, as totals and first values. Timers
+of event time settle it: a match is told once the watermark has passed its end, an alert once no
+later match can join it. So state does not grow with the stream or with an alert, a batch costs what
+it brings, and each result is written once. Matches come from the kernels of the batch detectors.
 
-State and results are Parquet folders named by micro-batch. A micro-batch reads the
-state of the one before it and overwrites its own folders, so one that is run again
-after a failure gives the same result once.
+Results equal batch results as long as no row is later than `lateness`; later rows are left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence as Seq
+import json
+from collections.abc import Iterator, Sequence as Seq
+from dataclasses import dataclass
 from datetime import timedelta
+from decimal import Decimal
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from emberwatch import schema
 from emberwatch.functions import times
 from emberwatch.operators import geo as G
-from emberwatch.operators.staging import staged
+from emberwatch.operators import kernels as K
+from emberwatch.packaging import ship
 from emberwatch.plans import detect as D
 from emberwatch.plans.rules import Burst, Rule, Sequence, Travel
 
-# Event columns that evidence and alerts read, whatever the rules.
-KEPT = ("ts", "source", "raw", "src_ip", "port", "user", "host", "path")
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+# Event columns that evidence and alerts keep.
+EVIDENCE = {"source": "string", "raw": "string", "src_ip": "string", "port": "int", "user": "string", "host": "string", "path": "string"}
+_PLACE = {"city": "string", "cc": "string", "lat": "double", "lon": "double"}
+_INPUT = {
+    "t": "bigint", "tie": "bigint", "mask": "bigint", "amount": "string", "counted": "string", "entity": "string",
+    **EVIDENCE, **_PLACE,
+}
+_ARROW = {"bigint": pa.int64(), "string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+_ROWS = pa.schema([(n, _ARROW[k]) for n, k in _INPUT.items()])
+_SPAN = {"alert_t": "bigint", "s_t": "bigint", "s_tie": "bigint", "e_t": "bigint", "e_tie": "bigint"}
+_OUTPUT = {
+    "kind": "string", "rule_id": "string", "entity_key": "string", **_SPAN, "t": "bigint", "tie": "bigint",
+    **EVIDENCE, "body": "string",
+}
+
+
+def _ddl(columns: dict[str, str]) -> str:
+    return ", ".join(f"{n} {k}" for n, k in columns.items())
+
+
+@dataclass(frozen=True)
+class _Keyed:
+    """What the state of a rule needs to know about it."""
+
+    window: int
+    kind: str
+    need: int = 0
+    distinct: bool = False
+    steps: tuple[int, ...] = ()
+    min_km: float = 0.0
+    min_kmh: float = 0.0
+
+    @staticmethod
+    def of(rule: Rule) -> _Keyed:
+        d, w = rule.detect, D.window_micros(rule)
+        if isinstance(d, Burst):
+            return _Keyed(w, "burst", need=d.count, distinct=d.distinct is not None)
+        if isinstance(d, Sequence):
+            return _Keyed(w, "sequence", steps=tuple(s.count for s in d.steps))
+        return _Keyed(w, "travel", min_km=d.min_km, min_kmh=d.min_kmh)
+
+
+def _first(values: list, value, most: int | None = None) -> None:
+    """Add a value that is not there yet, up to a number of them."""
+    if value not in (None, "") and value not in values and (most is None or len(values) < most):
+        values.append(value)
+
+
+class _Alert:
+    """The alert that matches of a rule and key fold into, as bounded totals (a JSON object)."""
+
+    def __init__(self, body: dict) -> None:
+        self.body = body
+
+    @staticmethod
+    def begin(t: int, entity: str) -> _Alert:
+        lists = {name: [] for name in (*D.LISTED, "sources")}
+        return _Alert(
+            {"alert_t": t, "entity": json.loads(entity), "n_matches": 0, "n": 0, "first_t": t, "last_t": t,
+             "last_user": None, "last_host": None, **lists, "last": {}, "pair": None, "edge": [t, []]}
+        )
+
+    def joins(self, first_t: int, window: int) -> bool:
+        return first_t - self.body["last_t"] <= window
+
+    def add(self, rows: list[dict], last: dict, pair: dict | None, shares: bool) -> list[dict]:
+        """Fold a match in; its rows without those that an earlier match of the alert has."""
+        b = self.body
+        # an earlier match can share rows of the time at which it ended only
+        edge_t, edge = b["edge"]
+        kept = [r for r in rows if not (shares and r["t"] == edge_t and r["raw"] in edge)]
+        b["n_matches"] += 1
+        b["last"], b["pair"] = last, pair
+        for r in kept:
+            b["n"] += 1
+            b["last_user"] = r["user"] or b["last_user"]
+            b["last_host"] = r["host"] or b["last_host"]
+            for name, (column, most) in D.LISTED.items():
+                _first(b[name], r[column], most)
+            _first(b["sources"], r["source"])
+        end = max(r["t"] for r in rows)
+        if end > b["last_t"] or b["n_matches"] == 1:
+            b["edge"] = [end, []]
+        b["last_t"] = max(b["last_t"], end)
+        if shares:
+            b["edge"][1] += [r["raw"] for r in rows if r["t"] == b["last_t"] and r["raw"] not in b["edge"][1]]
+        return kept
+
+
+class _Memory(dict):
+    """What is kept of a key besides its rows: `after` (the last match's end), `timer`, `alert`, `before`."""
+
+
+class KeyedDetector(StatefulProcessor):
+    """Finds and folds the matches of one rule and key."""
+
+    def __init__(self, rules: dict[str, _Keyed]) -> None:
+        self.rules = rules
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", "chunk binary")
+        self.memory = handle.getValueState("memory", "body string")
+
+    def close(self) -> None:
+        pass
+
+    # --- state ---
+
+    def _load(self) -> _Memory:
+        if not self.memory.exists():
+            return _Memory(after=[K.LOWEST, K.LOWEST], timer=None, alert=None, before=None)
+        return _Memory(json.loads(self.memory.get()[0]))
+
+    def _table(self) -> pa.Table:
+        chunks = [pa.ipc.read_record_batch(pa.py_buffer(bytes(c[0])), _ROWS) for c in self.rows.get()]
+        return pa.Table.from_batches(chunks, _ROWS).sort_by([(c, "ascending") for c in ("t", "tie", "mask")]).combine_chunks()
+
+    def _keep(self, rows: pa.Table) -> None:
+        if len(rows):
+            self.rows.put([(rows.combine_chunks().to_batches()[0].serialize().to_pybytes(),)])
+        else:
+            self.rows.clear()
+
+    def _set_timer(self, memory: _Memory, at: int | None, now: int) -> None:
+        """One timer, in milliseconds of event time, for `at` microseconds."""
+        wanted = None if at is None else -(-at // 1000)
+        if wanted == memory["timer"]:
+            return
+        if memory["timer"] is not None and memory["timer"] > now:
+            self.handle.deleteTimer(memory["timer"])
+        if wanted is not None:
+            self.handle.registerTimer(wanted)
+        memory["timer"] = wanted
+
+    # --- Spark's calls ---
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        rule = self.rules[key[0]]
+        memory, earliest = self._load(), None
+        for part in rows:
+            chunk = pa.RecordBatch.from_pandas(part[list(_INPUT)], _ROWS, preserve_index=False)
+            self.rows.appendValue((chunk.serialize().to_pybytes(),))
+            least = int(part["t"].min())
+            earliest = least if earliest is None else min(earliest, least)
+        if earliest is not None:
+            due = earliest if rule.kind == "travel" else earliest + rule.window
+            if memory["timer"] is None or -(-due // 1000) < memory["timer"]:
+                self._set_timer(memory, due, timerValues.getCurrentWatermarkInMs())
+        self.memory.update((json.dumps(memory),))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now_ms = timerValues.getCurrentWatermarkInMs()
+        now, rule, memory = now_ms * 1000, self.rules[key[0]], self._load()
+        memory["timer"] = None  # it has just fired
+        table = self._table() if self.rows.exists() else _ROWS.empty_table()
+        out: list[dict] = []
+        find = self._pairs if rule.kind == "travel" else self._spans
+        kept = find(key, rule, memory, table, now, out)
+        if memory["alert"] and now >= memory["alert"]["last_t"] + 2 * rule.window:
+            out.append(self._told("alert", key, memory["alert"]))
+            memory["alert"] = None
+        self._keep(kept)
+        due = []
+        if len(kept):
+            first = kept.column("t")[0].as_py()
+            due.append(first if rule.kind == "travel" else first + rule.window)
+        if memory["alert"]:
+            due.append(memory["alert"]["last_t"] + 2 * rule.window)
+        self._set_timer(memory, min(due, default=None), now_ms)
+        if not due and memory["before"] is None:
+            self.memory.clear()
+            self.rows.clear()
+        else:
+            self.memory.update((json.dumps(memory),))
+        if out:
+            kinds = {"bigint": "Int64", "int": "Int32", "string": object}
+            columns = {n: pd.Series([r.get(n) for r in out], dtype=kinds[k]) for n, k in _OUTPUT.items()}
+            frame = pd.DataFrame(columns)
+            yield frame
+
+    # --- matches ---
+
+    def _spans(self, key, rule: _Keyed, memory: _Memory, table: pa.Table, now: int, out: list[dict]) -> pa.Table:
+        """Tell bursts and sequences that end by now; the rows that can still begin or continue one."""
+        n = len(table)
+        if not n:
+            return table
+        constant = {"rule_id": key[0], "entity_key": key[1], "w": rule.window, "need": rule.need, "counts_values": rule.distinct}
+        given = table.drop_columns(["amount"])
+        for name, value in constant.items():
+            given = given.append_column(name, pa.array([value] * n))
+        given = given.append_column("amount", self._amounts(table))
+        found = K.bursts(given) if rule.kind == "burst" else K.sequences({key[0]: list(rule.steps)})(given)
+        every = np.arange(len(found.rows))
+        path = K.chain(found.among(every), found.first_after(every, *memory["after"]))
+        path = path[found.end[0][path] <= now]
+        which, row = found.inside(path)
+        held = table.take(pa.array(row)).to_pylist()
+        edges = np.flatnonzero(np.diff(which, prepend=-1, append=-1))
+        for a, b in zip(edges, edges[1:], strict=False):
+            c = which[a]
+            span = [int(x[c]) for x in (*found.start, *found.end)]
+            self._fold(key, rule, memory, held[a:b], span, None, out)
+        if len(path):
+            memory["after"] = [int(found.end[0][path[-1]]), int(found.end[1][path[-1]])]
+        t, tie = K.column(table, "t"), K.column(table, "tie")
+        after_t, after_tie = memory["after"]
+        open_rows = (t > now - rule.window) & ((t > after_t) | ((t == after_t) & (tie > after_tie)))
+        return table.filter(pa.array(open_rows))
+
+    @staticmethod
+    def _amounts(table: pa.Table) -> pa.Array:
+        texts = table.column("amount").to_pylist()
+        if any("." in x for x in texts):
+            return pa.array([Decimal(x) for x in texts], pa.decimal128(38, 6))
+        return pa.array([int(x) for x in texts], pa.int64())
+
+    def _pairs(self, key, rule: _Keyed, memory: _Memory, table: pa.Table, now: int, out: list[dict]) -> pa.Table:
+        """Tell pairs of neighbouring rows by now that no traveller can make; the later rows."""
+        known = K.column(table, "t") <= now if len(table) else np.zeros(0, dtype=bool)
+        before = memory["before"]
+        for row in table.filter(pa.array(known)).to_pylist():
+            if before:
+                pair = _journey(before, row, rule)
+                if pair:
+                    span = [before["t"], before["tie"], row["t"], row["tie"]]
+                    self._fold(key, rule, memory, [before, row], span, pair, out)
+            before = row
+        memory["before"] = before if before and before["t"] > now - rule.window else None
+        return table.filter(pa.array(~known))
+
+    def _fold(self, key, rule: _Keyed, memory: _Memory, rows: list[dict], span: list[int], pair: dict | None, out: list[dict]) -> None:
+        alert = _Alert(memory["alert"]) if memory["alert"] else None
+        first_t = min(r["t"] for r in rows)
+        if alert is None or not alert.joins(first_t, rule.window):
+            if alert:
+                out.append(self._told("alert", key, alert.body))
+            alert = _Alert.begin(first_t, rows[0]["entity"])
+        last = {
+            "distinct_values": len({r["counted"] for r in rows} - {None}),
+            "total": str(sum(Decimal(r["amount"]) for r in rows)),
+            "hits_from_last": [sum(r["mask"] >> back & 1 for r in rows) for back in range(max(1, len(rule.steps)))],
+        }
+        kept = alert.add(rows, last, pair, shares=rule.kind != "burst")
+        memory["alert"] = alert.body
+        spans = dict(zip(_SPAN, [alert.body["alert_t"], *span], strict=True))
+        for r in kept:
+            out.append({"kind": "evidence", "rule_id": key[0], "entity_key": key[1], **spans, **{c: r[c] for c in ("t", "tie", *EVIDENCE)}})
+        out.append(self._told("open", key, alert.body))
+
+    @staticmethod
+    def _told(kind: str, key, body: dict) -> dict:
+        shown = {k: v for k, v in body.items() if k != "edge"}
+        return {"kind": kind, "rule_id": key[0], "entity_key": key[1], "alert_t": body["alert_t"], "body": json.dumps(shown)}
+
+
+def _journey(a: dict, b: dict, rule: _Keyed) -> dict | None:
+    """The way between two rows, if it is too far for the time."""
+    gap = b["t"] - a["t"]
+    if a["src_ip"] == b["src_ip"] or not 0 < gap <= rule.window or a["lat"] is None or b["lat"] is None:
+        return None
+    lat1, lon1, lat2, lon2 = np.radians([a["lat"], a["lon"], b["lat"], b["lon"]])
+    h = np.sin((lat2 - lat1) / 2) ** 2 + np.sin((lon2 - lon1) / 2) ** 2 * np.cos(lat1) * np.cos(lat2)
+    km = float(2 * G.net.EARTH_RADIUS_KM * np.arcsin(min(1.0, np.sqrt(h))))
+    kmh = km / (gap / 3_600_000_000)
+    if km < rule.min_km or kmh < rule.min_kmh:
+        return None
+    place = {f"{side}_{c}": r[c] for side, r in (("from", a), ("to", b)) for c in ("city", "cc")}
+    return {"from_ip": a["src_ip"], "to_ip": b["src_ip"], **place, "km": km, "kmh": kmh, "gap": gap}
 
 
 class StreamDetector:
-    """Finds matches of rules in a stream of events.
+    """Finds matches of rules in a stream of events and folds them into alerts.
 
-    `folder` is shared storage for state and results. `lateness` is how far behind the
-    newest event a row may arrive; later rows are left out. `lateness` also delays
-    results: a match is written once its window and the lateness have passed.
+    `folder` is shared storage for the results. `lateness` is how far behind the newest event a row
+    may arrive; it also delays results: a match is told once its window and the lateness have
+    passed. Events need a `ts` TIMESTAMP and `tie` or `line_no`, as in batch; `amounts` is the type
+    of the fields that bursts total.
     """
 
     def __init__(
@@ -45,115 +323,88 @@ class StreamDetector:
         folder: str,
         lateness: timedelta,
         geo: DataFrame | None = None,
+        amounts: str = "bigint",
     ):
         self.rules = [r for r in rules if r.enabled]
         self.folder = folder.rstrip("/")
         self.lateness = times.span_micros(lateness)
         self.geo = geo
+        self._amount = amounts
 
-    def start(self, events: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
-        writer = events.writeStream.foreachBatch(self.process).option(
-            "checkpointLocation", checkpoint
-        )
-        return (writer.trigger(**trigger) if trigger else writer).start()
-
-    def _path(self, what: str, batch_id: int) -> str:
-        return f"{self.folder}/{what}/batch={batch_id}"
-
-    def _load(self, spark: SparkSession, what: str, batch_id: int) -> DataFrame | None:
-        return None if batch_id < 0 else spark.read.parquet(self._path(what, batch_id))
-
-    def process(self, batch: DataFrame, batch_id: int) -> None:
-        """Take in one micro-batch."""
-        spark = batch.sparkSession
-        clock = self._load(spark, "clock", batch_id - 1)
-        was = clock.first()["watermark"] if clock is not None else None
-        columns = self._columns()
-        fresh = D.fan_out(batch.select(*(c for c in batch.columns if c in columns)), self.rules)
-        if was is not None:
-            fresh = fresh.filter(F.col("t") > was)
-        before = self._load(spark, "open", batch_id - 1)
-        rows = staged(fresh if before is None else before.unionByName(fresh))
-        newest = batch.agg(F.max(times.micros(F.col("ts"))).alias("t")).first()["t"]
-        marks = [] if newest is None else [newest - self.lateness]
-        watermark = max(marks + ([] if was is None else [was]), default=None)
-        if watermark is None:
-            self._write(rows, "open", batch_id)
+    def hits(self, events: DataFrame) -> DataFrame:
+        """The stream's events, fanned out, with what the state keeps of each."""
+        names = events.columns
+        if D.amount_type(self.rules, events.schema) != self._amount:
+            raise ValueError(f"amounts are not of type {self._amount}")
+        hits = D.fan_out(events.withWatermark("ts", f"{self.lateness} microseconds"), self.rules)
+        if any(isinstance(r.detect, Travel) for r in self.rules):
+            place = G.shipped_geo(events.sparkSession) if self.geo is None else self.geo
+            hits = G.with_place(hits, place, "src_ip", "_at_")
+            place_columns = {c: F.col(f"_at_{c}") for c in _PLACE}
         else:
-            self._settle(rows, was, watermark, batch_id)
-        now = spark.createDataFrame([(watermark,)], "watermark bigint")
-        self._write(now, "clock", batch_id)
-
-    def _columns(self) -> set[str]:
-        """Event columns that rules, evidence and alerts can read."""
-        out = {*KEPT, *schema.EVENT_COLUMNS, "tie", "feed_order", "line_no"}
-        for r in self.rules:
-            d = r.detect
-            out |= set(d.group_by)
-            if isinstance(d, Burst):
-                out |= {f for f in (d.distinct, d.total) if f}
-        return out
-
-    def _settle(
-        self, rows: DataFrame, was: int | None, watermark: int, batch_id: int
-    ) -> None:
-        """Write what can no longer change, and keep the rows that still can."""
-        mark = F.lit(watermark).cast("bigint")
-        w = D.per_rule({r.id: D.window_micros(r) for r in self.rules}, "bigint")
-        spanned = [r for r in self.rules if not isinstance(r.detect, Travel)]
-        travel = [r for r in self.rules if isinstance(r.detect, Travel)]
-        parts = []
-        still = rows.filter(F.col("t") > mark - w)
-        if spanned:
-            final = [staged(x.filter(F.col("e_t") <= mark)) for x in self._labels(rows, spanned)]
-            parts += [D.labelled(rows, x, spanned) for x in final]
-            ends = [x.select("rule_id", "entity_key", "e_t", "e_tie") for x in final]
-            ends = (ends[0] if len(ends) == 1 else ends[0].unionByName(ends[1])).groupBy(
-                "rule_id", "entity_key"
-            ).agg(F.max(F.struct("e_t", "e_tie")).alias("taken"))
-            here = F.struct("t", "tie")
-            still = (
-                still.join(ends, ["rule_id", "entity_key"], "left")
-                .filter(F.col("taken").isNull() | (here > F.col("taken")))
-                .drop("taken")
+            place_columns = {c: F.lit(None) for c in _PLACE}
+        own = {c: F.col(c) if c in names else F.lit(None) for c in EVIDENCE}
+        columns = {**{c: F.col(c) for c in ("t", "tie", "mask", "amount", "counted")}, "entity": F.to_json("entity"), **own, **place_columns}
+        return hits.select(
+            "ts", "rule_id", "entity_key", *(columns[c].cast(kind).alias(c) for c, kind in _INPUT.items())
+        )
+
+    def found(self, events: DataFrame) -> DataFrame:
+        """The stream of evidence rows, open alerts whenever they change, and settled alerts."""
+        ship(events.sparkSession)
+        keyed = KeyedDetector({r.id: _Keyed.of(r) for r in self.rules})
+        return self.hits(events).groupBy("rule_id", "entity_key").transformWithStateInPandas(
+            keyed, _ddl(_OUTPUT), "Append", "EventTime"
+        )
+
+    def start(self, events: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
+        """Write what is found to `folder`, exactly once."""
+        spark = events.sparkSession
+        before = spark.conf.get(_STORE, None)
+        spark.conf.set(_STORE, _ROCKS)  # timers and list state need it; read when the query starts
+        try:
+            writer = (
+                self.found(events).writeStream.format("parquet").partitionBy("kind")
+                .option("path", self.folder).option("checkpointLocation", checkpoint)
             )
-        if travel:
-            spark = rows.sparkSession
-            place = G.shipped_geo(spark) if self.geo is None else self.geo
-            pairs = D.travel_pairs(rows, self.rules, place).filter(F.col("e_t") <= mark)
-            if was is not None:  # earlier ones are written already
-                pairs = pairs.filter(F.col("e_t") > was)
-            pairs = staged(pairs)
-            parts.append(D.labelled(rows, D.pair_labels(pairs), travel))
-            self._write(pairs, "pairs", batch_id)
-        evidence = parts[0]
-        for part in parts[1:]:
-            evidence = evidence.unionByName(part)
-        self._write(evidence, "evidence", batch_id)
-        self._write(still.select(*rows.columns), "open", batch_id)
-
-    def _labels(self, rows: DataFrame, rules: Seq[Rule]) -> list[DataFrame]:
-        found = []
-        if any(isinstance(r.detect, Burst) for r in rules):
-            found.append(D.burst_labels(rows, rules))
-        if any(isinstance(r.detect, Sequence) for r in rules):
-            found.append(D.sequence_labels(rows, rules))
-        return found
-
-    def _write(self, rows: DataFrame, what: str, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(self._path(what, batch_id))
+            return (writer.trigger(**trigger) if trigger else writer).start()
+        finally:
+            if before is None:
+                spark.conf.unset(_STORE)
+            else:
+                spark.conf.set(_STORE, before)
+
+    def _read(self, spark: SparkSession, kind: str) -> DataFrame:
+        return spark.read.schema(_ddl(_OUTPUT)).parquet(self.folder).where(F.col("kind") == kind).drop("kind")
 
     def evidence(self, spark: SparkSession) -> DataFrame:
-        """Evidence of all matches written so far."""
-        return spark.read.option("basePath", f"{self.folder}/evidence").parquet(
-            f"{self.folder}/evidence"
-        ).drop("batch")
-
-    def alerts(self, spark: SparkSession) -> DataFrame:
-        """Alerts over all matches written so far; ids stay the same between calls."""
-        rows = self.evidence(spark)
-        pairs = None
-        if any(isinstance(r.detect, Travel) for r in self.rules):
-            pairs = spark.read.parquet(f"{self.folder}/pairs").drop("batch")
-        own = staged(D.alert_matches(rows, self.rules))
-        return D.alerts(D.alert_evidence(rows, own, self.rules), own, self.rules, pairs)
+        """Evidence told so far, with its alert's id."""
+        rows = self._read(spark, "evidence").drop("body")
+        return rows.withColumn("alert_id", D.alert_id(F.col("rule_id"), F.col("entity_key"), F.col("alert_t")))
+
+    def alerts(self, spark: SparkSession, settled: bool = True) -> DataFrame:
+        """Settled alerts; or else all alerts as they are now, whose ids stay the same while they grow."""
+        if settled:
+            return self._described(self._read(spark, "alert"))
+        body = F.from_json("body", "n_matches bigint").getField("n_matches")
+        rows = self._read(spark, "open").withColumn("n_matches", body)
+        newest = rows.groupBy(*D.ALERT).agg(F.max_by("body", "n_matches").alias("body"))
+        return self._described(newest)
+
+    def _described(self, told: DataFrame) -> DataFrame:
+        pair = "pair struct<from_ip:string, to_ip:string, from_city:string, from_cc:string, to_city:string, to_cc:string, km:double, kmh:double, gap:bigint>"
+        schema = (
+            "entity map<string,string>, n_matches bigint, n bigint, first_t bigint, last_t bigint, last_user string, "
+            "last_host string, users array<string>, ports array<string>, paths array<string>, sources array<string>, "
+            f"last struct<distinct_values:bigint, total:string, hits_from_last:array<bigint>>, {pair}"
+        )
+        rolled = told.select(*D.ALERT, F.from_json("body", schema).alias("b")).select(*D.ALERT, "b.*")
+        rolled = rolled.withColumns(
+            {
+                **{name: F.array_join(name, ", ") for name in D.LISTED},
+                "last": F.col("last").withField("total", F.col("last.total").cast(self._amount)),
+                "last_user": F.coalesce("last_user", F.lit("an unknown account")),
+                "last_host": F.coalesce("last_host", F.lit("an unknown host")),
+            }
+        )
+        return D.described(rolled, self.rules, any(isinstance(r.detect, Travel) for r in self.rules))

@@ -14,15 +14,17 @@ from emberwatch.streaming.detector import StreamDetector
 
 def test_matches_equal_batch(spark, tmp_path):
     rows = TD.random_rows(11, keys=40)
+    text = "{count} in {span} from {user} on {ports} {paths} {distinct} {sum}"
     rules = [
-        *(TD.rule(n, TD.BURSTS[n][0]) for n in ("count4", "ports3")),
-        *(r for r in TD.sequence_rules() if r.id in ("a3b", "a2b2c")),
-        TD.rule("t", Travel(TD.FAIL, ("user",), TD.W, 700, 100_000)),
+        *(TD.rule(n, d, text) for n, (d, _, _) in TD.BURSTS.items()),
+        *TD.sequence_rules(),
+        TD.rule("t", Travel(TD.FAIL, ("user",), TD.W, 700, 100_000), "{from} to {to} in {gap}, {km} at {kmh}"),
     ]
     # a last row far in the future lets every span settle
-    flush = dict(rows[0], t=100_000, user="flush", tie=len(rows), ip="198.18.7.7")
+    flush = dict(rows[0], t=100_000, user="flush", tie=len(rows), status="success", action="z")
     events = TD.as_events(spark, [*rows, flush])
-    want = TD.got_evidence(D.evidence(events, rules))
+    batch_alerts, kept = D.detect(events, rules)
+    want = TD.got_evidence(kept)
     rng = random.Random(2)
     late = 40
     arrival = sorted(rows, key=lambda r: r["t"] + rng.random() * late) + [flush]
@@ -39,11 +41,13 @@ def test_matches_equal_batch(spark, tmp_path):
         assert query.exception() is None
     got = TD.got_evidence(detector.evidence(spark))
     assert got == want
-    batch_alerts, _ = D.detect(events, rules)
-    columns = ["alert_id", "evidence_count", "n_matches", "narrative"]
-    assert sorted(detector.alerts(spark).select(*columns).collect()) == sorted(
-        batch_alerts.select(*columns).collect()
-    )
+    columns = [
+        "alert_id", "evidence_count", "n_matches", "narrative", "first_seen", "last_seen", "sources",
+        F.to_json("entity"),
+    ]
+    want = sorted(batch_alerts.select(*columns).collect())
+    assert sorted(detector.alerts(spark).select(*columns).collect()) == want
+    assert sorted(detector.alerts(spark, settled=False).select(*columns).collect()) == want
 
 
 def test_lines_stream_through_their_parsers(spark, tmp_path):

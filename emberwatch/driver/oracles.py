@@ -85,31 +85,42 @@ SEQUENCES = {
 def _burst_ctes(name: str, key: str = "principal") -> list[str]:
     """Evidence rows `{name}_e` (k, s, ev columns) of a burst."""
     where, hours, need, mode = BURSTS[name]
-    n = name
+    return burst_ctes(name, where, f"{hours} HOUR", need, _TALLIES[mode], key)
+
+
+def burst_ctes(n: str, where: str, window: str, need: int, tally: str, key: str) -> list[str]:
+    """Evidence rows `{n}_e` (k, s, ev columns): windows of events whose tally reaches the need."""
+    amount, unit = window.split()
+    longer = f"INTERVAL '{amount} {unit.lower()}s 1 microsecond'"
     return [
         f"{n}_h AS (SELECT {key} AS k, * FROM ev WHERE {where})",
-        f"{n}_q AS (SELECT DISTINCT k, ts FROM (SELECT k, ts, {_TALLIES[mode]} OVER "
-        f"(PARTITION BY k ORDER BY ts RANGE BETWEEN CURRENT ROW AND INTERVAL {hours} HOUR "
+        f"{n}_q AS (SELECT DISTINCT k, ts FROM (SELECT k, ts, {tally} OVER "
+        f"(PARTITION BY k ORDER BY ts RANGE BETWEEN CURRENT ROW AND INTERVAL {window} "
         f"FOLLOWING) AS c FROM {n}_h) WHERE c >= {need})",
         f"{n}_x AS (SELECT k, ts, min(ts) OVER (PARTITION BY k ORDER BY ts RANGE BETWEEN "
-        f"INTERVAL '{hours} hours 1 microsecond' FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt "
+        f"{longer} FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt "
         f"FROM {n}_q)",
         f"{n}_s AS (SELECT k, min(ts) AS s FROM {n}_q GROUP BY k UNION ALL "
         f"SELECT x.k, x.nxt FROM {n}_s p JOIN {n}_x x ON x.k = p.k AND x.ts = p.s "
         "WHERE x.nxt IS NOT NULL)",
         f"{n}_e AS (SELECT p.s, h.* FROM {n}_s p JOIN {n}_h h ON h.k = p.k AND h.ts "
-        f"BETWEEN p.s AND p.s + INTERVAL {hours} HOUR)",
+        f"BETWEEN p.s AND p.s + INTERVAL {window})",
     ]
 
 
 def _sequence_ctes(name: str) -> list[str]:
-    """Evidence rows `{name}_e` (k, s, step, ev columns) of a sequence."""
     hours, steps = SEQUENCES[name]
-    n = name
+    return sequence_ctes(name, f"{hours} HOUR", steps)
+
+
+def sequence_ctes(
+    n: str, window: str, steps: list[tuple[str, int]], key: str = "principal", base: str = "ev"
+) -> list[str]:
+    """Evidence rows `{n}_e` (k, s, step, ev columns) of a sequence of actions."""
     kinds = ", ".join(f"'{a}'" for a, _ in steps)
     ctes = [
-        f"{n}_h AS (SELECT principal AS k, row_number() OVER (PARTITION BY principal "
-        f"ORDER BY ts, tie) AS rn, * FROM ev WHERE action IN ({kinds}))",
+        f"{n}_h AS (SELECT {key} AS k, row_number() OVER (PARTITION BY {key} "
+        f"ORDER BY ts, tie) AS rn, * FROM {base} WHERE action IN ({kinds}))",
     ]
     later = ", ".join(
         f"min(CASE WHEN action = '{a}' THEN rn END) OVER (PARTITION BY k ORDER BY rn ROWS "
@@ -136,7 +147,7 @@ def _sequence_ctes(name: str) -> list[str]:
     ctes.append(
         f"{n}_o AS (SELECT a.k, a.ts AS s, {', '.join(picks)}, {final}.rn AS e FROM {n}_w a "
         f"{' '.join(joins)} WHERE a.action = '{steps[0][0]}' AND {final}.ts <= a.ts + "
-        f"INTERVAL {hours} HOUR)"
+        f"INTERVAL {window})"
     )
     ctes.append(
         f"{n}_x AS (SELECT a.k, a.p0, min(b.p0) AS nxt FROM {n}_o a JOIN {n}_o b ON b.k = a.k "
@@ -213,23 +224,33 @@ PAIRS = [
     "WHERE km >= 700 AND km / (date_diff('microsecond', p_ts, ts) / 3600000000.0) >= 900)",
 ]
 _KMH = "CAST(floor(km / (date_diff('microsecond', p_ts, ts) / 3600000000.0) + 0.5) AS BIGINT)"
-_PAIR_ROWS = (
-    "travel_e AS (SELECT p.p_ts AS s, p.tie AS by_tie, e.principal AS k, e.* FROM pairs p JOIN "
-    "ev e ON e.principal = p.k AND e.tie IN (p.tie, p.p_tie))"
-)
+
+
+def pair_rows(name: str) -> str:
+    """Both events of each pair, as evidence rows."""
+    return (
+        f"{name} AS (SELECT p.p_ts AS s, p.tie AS by_tie, e.principal AS k, e.* FROM pairs p JOIN "
+        "ev e ON e.principal = p.k AND e.tie IN (p.tie, p.p_tie))"
+    )
+
+
+_PAIR_ROWS = pair_rows("travel_e")
 
 
 # --- alerts -------------------------------------------------------------------------
 
 
 def _alert_ctes(source: str, hours: int, prefix: str) -> list[str]:
-    """`{prefix}_m` matches with their alert, `{prefix}_k` kept evidence per alert."""
-    p = prefix
+    return alert_ctes(source, f"{hours} HOUR", prefix)
+
+
+def alert_ctes(source: str, window: str, p: str) -> list[str]:
+    """`{p}_m` matches with their alert, `{p}_k` kept evidence per alert."""
     return [
         f"{p}_r AS (SELECT k, s, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n "
         f"FROM {source} GROUP BY k, s)",
         f"{p}_g AS (SELECT *, CASE WHEN first_ts <= max(last_ts) OVER (PARTITION BY k ORDER BY "
-        f"s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + INTERVAL {hours} HOUR THEN 0 "
+        f"s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + INTERVAL {window} THEN 0 "
         f"ELSE 1 END AS opens FROM {p}_r)",
         f"{p}_i AS (SELECT *, sum(opens) OVER (PARTITION BY k ORDER BY s) AS island FROM {p}_g)",
         f"{p}_m AS (SELECT *, min(first_ts) OVER (PARTITION BY k, island) AS alert_ts, "
@@ -241,7 +262,7 @@ def _alert_ctes(source: str, hours: int, prefix: str) -> list[str]:
     ]
 
 
-def _alert_id(rule: str, key: str = "k", ts: str = "alert_ts") -> str:
+def alert_id(rule: str, key: str = "k", ts: str = "alert_ts") -> str:
     return f"'{rule}::' || {key} || '::' || (epoch_us({ts}) // 1000)"
 
 
@@ -256,7 +277,7 @@ def _listed(p: str, column: str, n: int) -> str:
 def _alerts() -> str:
     return (
         _with(*_burst_ctes("burst_count"), *_alert_ctes("burst_count_e", 72, "a"))
-        + "SELECT " + _alert_id("burst_count")
+        + "SELECT " + alert_id("burst_count")
         + " AS alert_id, 'burst_count' AS rule_id, 'burst count' AS rule_name, 'high' AS "
         "severity, 'T1110' AS mitre_id, k AS entity_key, k AS entity_user, min(ts) AS "
         "first_seen, max(ts) AS last_seen, count(*) AS evidence_count, max(n_matches) AS "
@@ -284,7 +305,7 @@ def _narrative(name: str, headline: str, last: str = "NULL") -> str:
             "first_ts, max(ts) AS last_ts, arg_max(host, ts) AS last_host FROM a_k GROUP BY k, "
             "alert_ts)",
         )
-        + f"SELECT {_alert_id(name, 'a.k', 'a.alert_ts')} AS alert_id, a.n AS evidence_count, "
+        + f"SELECT {alert_id(name, 'a.k', 'a.alert_ts')} AS alert_id, a.n AS evidence_count, "
         f"a.n_matches, {headline} AS narrative FROM a JOIN a_m m ON m.k = a.k AND m.alert_ts = "
         "a.alert_ts AND m.from_last = 1 JOIN own l ON l.k = m.k AND l.s = m.s"
     )
@@ -302,7 +323,7 @@ def _many_alerts(names: list[str]) -> list[str]:
         hours = BURSTS[n][1] if n in BURSTS else SEQUENCES[n][0]
         ctes += [*_evidence_ctes(n), *_alert_ctes(f"{n}_e", hours, f"{n}_a")]
     rows = " UNION ALL ".join(
-        f"SELECT {_alert_id(n)} AS alert_id, '{n}' AS rule_id, '{n.replace('_', ' ')}' AS "
+        f"SELECT {alert_id(n)} AS alert_id, '{n}' AS rule_id, '{n.replace('_', ' ')}' AS "
         f"rule_name, '{_ALERT_RULES[n]}' AS severity, k AS entity_key, max(ts) AS last_seen, "
         f"count(*) AS evidence_count, list(DISTINCT source) AS sources, min(ts) AS first_seen, "
         f"max(n_matches) AS n_matches FROM {n}_a_k GROUP BY k, alert_ts"
@@ -566,11 +587,11 @@ def oracle_sql() -> dict[str, str]:
             "3600000000.0) + 0.5) AS BIGINT) || ' km/h (' || a.n || ' events)'",
         ),
         "alert_evidence": _with(*PAIRS, _PAIR_ROWS, *_alert_ctes("travel_e", 24, "a"))
-        + f"SELECT {_alert_id('geo_velocity')} AS alert_id, tie, raw, src_ip FROM a_k",
+        + f"SELECT {alert_id('geo_velocity')} AS alert_id, tie, raw, src_ip FROM a_k",
         "recent_evidence": _with(
             *_burst_ctes("burst_first_event"), *_alert_ctes("burst_first_event_e", 24, "a")
         )
-        + f"SELECT {_alert_id('burst_first_event')} AS alert_id, tie FROM (SELECT *, row_number() "
+        + f"SELECT {alert_id('burst_first_event')} AS alert_id, tie FROM (SELECT *, row_number() "
         "OVER (PARTITION BY k, alert_ts ORDER BY ts DESC, tie DESC) AS rn FROM a_k) WHERE rn <= 14",
         "alert_order": _with(*_many_alerts(list(_ALERT_RULES)))
         + "SELECT alert_id, severity, last_seen, CAST(row_number() OVER (ORDER BY "
@@ -581,13 +602,13 @@ def oracle_sql() -> dict[str, str]:
         "alert_places": _with(
             _geo(), PLACED, *_burst_ctes("by_ip", "src_ip"), *_alert_ctes("by_ip_e", 24, "a")
         )
-        + f"SELECT DISTINCT {_alert_id('by_ip')} AS alert_id, k AS src_ip, city, cc FROM a_k LEFT "
+        + f"SELECT DISTINCT {alert_id('by_ip')} AS alert_id, k AS src_ip, city, cc FROM a_k LEFT "
         "JOIN placed ON ip = k",
         "new_alerts": _with(
             *_burst_ctes("burst_count"), *_alert_ctes("burst_count_e", 72, "a"),
             *_burst_ctes("burst_half"), *_alert_ctes("burst_half_e", 72, "b"),
         )
-        + f"SELECT {_alert_id('burst_count')} AS alert_id, count(*) AS evidence_count FROM a_k "
+        + f"SELECT {alert_id('burst_count')} AS alert_id, count(*) AS evidence_count FROM a_k "
         "WHERE NOT EXISTS (SELECT 1 FROM b_k WHERE b_k.k = a_k.k AND b_k.alert_ts = a_k.alert_ts)"
         " GROUP BY k, alert_ts",
         "severity_mix": _with(*_many_alerts(list(_ALERT_RULES)))

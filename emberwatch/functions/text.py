@@ -160,3 +160,8 @@ def template(text: str, value_of) -> Column:
     if at < len(text):
         parts.append(F.lit(text[at:]))
     return F.concat(*parts) if parts else F.lit("")
+
+
+def valid_utf8(text: Column) -> Column:
+    """Text whose bytes that are not UTF-8 have become U+FFFD."""
+    return F.call_function("make_valid_utf8", text)

@@ -6,25 +6,27 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(rows: DataFrame) -> DataFrame:
-    """The rows, computed once and kept as Parquet in the session's checkpoint folder.
-
-    Readers take only the columns they need.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder.
 
-    On a cluster `spark.checkpoint.dir` must name a shared folder, so the result survives
-    lost executors. Only a local session without one gets a temporary folder.
+    On a cluster `spark.checkpoint.dir` must name a shared folder, so that results survive lost
+    executors. Only a local session without one gets a temporary folder.
     """
-    context = rows.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
         if not named and not re.match(r"local(\[|$)", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="emberwatch-"))
-    folder = context.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/staged-{uuid.uuid4().hex}"
+    return context.getCheckpointDir().rstrip("/")
+
+
+def staged(rows: DataFrame) -> DataFrame:
+    """The rows, computed once and kept as Parquet in the shared folder. Readers take only the columns they need."""
+    path = f"{shared_folder(rows.sparkSession)}/staged-{uuid.uuid4().hex}"
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 

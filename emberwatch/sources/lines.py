@@ -25,7 +25,7 @@ def read_lines(
         spark.read.option("lineSep", "\n")
         .text(path)
         .select(
-            F.regexp_replace("value", r"\r\z", "").alias("line"),
+            F.regexp_replace(X.valid_utf8(F.col("value")), r"\r\z", "").alias("line"),
             F.col("_metadata.file_path").alias("_file"),
             F.col("_metadata.file_block_start").alias("_start"),
             F.monotonically_increasing_id().alias("_row"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from emberwatch.driver.tables import EVENT_SELECT
+from emberwatch.driver.tables import EVENT_SELECT, NETWORK_STARTS
 from emberwatch.operators.geo import SHIPPED_GEO
 
 EV = f"ev AS (SELECT {', '.join(EVENT_SELECT)} FROM events)"
@@ -638,6 +638,15 @@ def oracle_sql() -> dict[str, str]:
         "AND INTERVAL 24 HOUR FOLLOWING) AS leading FROM ev",
         "cidr_lookup": _with(_geo(), PLACED)
         + "SELECT tie, src_ip, city, country, cc, org FROM ev LEFT JOIN placed ON ip = src_ip",
+        "cidr_lookup_custom": f"WITH {EV}, c AS (SELECT s_name, s_nationkey, 12 + s_suppkey % 13 AS bits, "
+        "CASE s_suppkey % 5 " + " ".join(
+            f"WHEN {i} THEN {int(a) * 16777216 + int(b) * 65536}::BIGINT" for i, (a, b) in enumerate(s.split(".")[:2] for s in NETWORK_STARTS)
+        ) + " END + (s_suppkey % 256) * 256 AS n FROM supplier), g AS (SELECT *, CAST(pow(2, 32 - bits) AS BIGINT) AS size "
+        "FROM c), h AS (SELECT bits, n - n % size AS lo, n - n % size + size - 1 AS hi, min((s_name, "
+        "CAST(s_nationkey AS VARCHAR))) AS place FROM g GROUP BY ALL), e AS (SELECT tie, CASE WHEN tie % 11 <> 0 THEN src_ip "
+        f"END AS src_ip FROM ev), p AS (SELECT i.src_ip AS ip, arg_max(place, bits) AS place FROM (SELECT DISTINCT src_ip FROM e "
+        f"WHERE src_ip IS NOT NULL) i JOIN h ON {_ip('i.src_ip')} BETWEEN lo AND hi GROUP BY ALL) SELECT tie, src_ip, place[1] AS "
+        "city, place[2] AS country FROM e LEFT JOIN p ON ip = src_ip",
         "address_functions": f"WITH {EV} SELECT tie, {_ip('src_ip')} AS number, CASE WHEN tie % 9 "
         f"= 0 THEN NULL WHEN tie % 9 = 1 AND CAST('9' || split_part(src_ip, '.', 1) AS BIGINT) > "
         f"255 THEN NULL WHEN tie % 9 = 1 THEN {_ip(chr(39) + '9' + chr(39) + ' || src_ip')} ELSE "
@@ -657,6 +666,8 @@ def oracle_sql() -> dict[str, str]:
         "placed ON ip = src_ip",
         "event_totals": f"WITH {EV} SELECT min(ts) AS first_seen, max(ts) AS last_seen, count(*) "
         "AS events, count(DISTINCT src_ip) AS addresses FROM ev",
+        "address_sketches": f"WITH {EV} SELECT source, count(DISTINCT src_ip) AS exact, true AS close FROM ev GROUP BY "
+        "source UNION ALL SELECT 'all', count(DISTINCT src_ip), true FROM ev",
         "events_per_source": f"WITH {EV} SELECT source, count(*) AS events FROM ev GROUP BY source",
         "event_tail": f"WITH {EV} SELECT tie, ts, source, src_ip FROM ev ORDER BY ts DESC, tie "
         "DESC LIMIT 200",
@@ -710,12 +721,22 @@ def oracle_sql() -> dict[str, str]:
         "(SELECT doc_id, generate_subscripts(parts, 1) AS line_no, unnest(parts) AS line FROM "
         "(SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS parts FROM documents)) WHERE "
         f"regexp_matches(line, '[^{WS}]')",
-        "json_array": f"WITH {EV}, g AS (SELECT *, principal || '@' || CAST(CAST(ts AS DATE) AS "
-        "VARCHAR) AS feed, count(*) FILTER (tie % 30 = 11) OVER (PARTITION BY principal, "
-        "CAST(ts AS DATE)) AS broken FROM ev) SELECT feed, row_number() OVER (PARTITION BY feed "
+        "json_array": f"WITH {EV}, n AS (SELECT *, principal || '@' || CAST(CAST(ts AS DATE) AS "
+        "VARCHAR) || '@' || ((row_number() OVER (PARTITION BY principal, CAST(ts AS DATE) ORDER BY "
+        "tie) - 1) // 500) AS feed FROM ev), g AS (SELECT *, count(*) FILTER (tie % 30 = 11) OVER "
+        "(PARTITION BY feed) AS broken FROM n) SELECT feed, row_number() OVER (PARTITION BY feed "
         "ORDER BY tie) AS line_no, date_trunc('second', ts) AS ts, CAST(CASE action WHEN 'error' "
         "THEN 4625 WHEN 'purchase' THEN 4624 WHEN 'click' THEN 4672 WHEN 'view' THEN 5158 ELSE "
         "1102 END AS INT) AS event_id, host FROM g WHERE broken = 0",
+        "json_array_files": f"WITH {EV}, g AS (SELECT *, tie % 16 AS file, count(*) FILTER (tie % 30 "
+        "= 11 AND tie % 16 % 5 = 0) OVER (PARTITION BY tie % 16) AS broken FROM ev WHERE tie % 16 % 5 "
+        "= 0 OR tie % 30 <> 11) SELECT CAST(file AS VARCHAR) AS feed, row_number() OVER (PARTITION BY "
+        "file ORDER BY tie) AS line_no, date_trunc('second', ts) AS ts, CAST(CASE action WHEN 'error' "
+        "THEN 4625 WHEN 'purchase' THEN 4624 WHEN 'click' THEN 4672 WHEN 'view' THEN 5158 ELSE 1102 "
+        "END AS INT) AS event_id FROM g WHERE broken = 0 UNION ALL SELECT DISTINCT CAST(file AS "
+        "VARCHAR), 1, CAST(NULL AS TIMESTAMP), CAST(NULL AS INT) FROM g WHERE broken > 0",
+        "sniff_feeds": f"WITH {EV} SELECT DISTINCT {_FEED} AS feed, source AS parser FROM ev UNION "
+        "ALL SELECT 'prose', NULL",
         "attack_phases": f"WITH {EV} SELECT action AS phase, source, {_LINE_STATUS} AS status, "
         f"count(*) AS events FROM ev WHERE NOT {_SKIPPED} GROUP BY ALL",
         "union_feeds": f"WITH {EV} SELECT action AS feed, CAST(CASE action WHEN 'view' THEN 0 "

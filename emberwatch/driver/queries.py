@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import timedelta
 
@@ -16,9 +17,11 @@ from emberwatch.operators import explore as E
 from emberwatch.operators import geo as G
 from emberwatch.operators import predicates as P
 from emberwatch.operators.rolling import rolling_alerts
+from emberwatch.operators.staging import shared_folder, staged
 from emberwatch.operators.sweep import tallies
 from emberwatch.plans import detect as D
 from emberwatch.plans.rules import Burst, Rule, Sequence, Step, Travel, armed
+from emberwatch.sources import arrays as A
 from emberwatch.sources import lines as L
 from emberwatch.sources import normalize as N
 
@@ -265,6 +268,20 @@ def cidr_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def cidr_lookup_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of events, some missing, in a table of nested networks made from the suppliers."""
+    key = F.col("s_suppkey")
+    start = F.element_at(F.array(*(F.lit(p) for p in T.NETWORK_STARTS)), (key % len(T.NETWORK_STARTS) + 1).cast("int"))
+    cidr = F.concat(start, (key % 256).cast("string"), F.lit(".0/"), (12 + key % 13).cast("string"))
+    nation = F.col("s_nationkey").cast("string")
+    geo = T.read(spark, sf_dir, "supplier").select(
+        cidr.alias("cidr"), F.col("s_name").alias("city"), nation.alias("country"), nation.alias("cc"),
+        F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"), F.col("s_name").alias("org"),
+    )
+    events = T.security_events(spark, sf_dir).select("tie", F.when(F.col("tie") % 11 != 0, F.col("src_ip")).alias("src_ip"))
+    return G.with_place(events, geo, "src_ip").select("tie", "src_ip", "city", "country")
+
+
 def address_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ip = F.col("src_ip")
     broken = F.when(F.col("tie") % 9 == 0, F.concat(ip, F.lit(".1"))).when(
@@ -313,6 +330,19 @@ def event_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.plain_time(E.time_range(events).withColumn("addresses", addresses))
 
 
+def address_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact distinct addresses per source and in all, and whether merged daily sketches are within 5 %."""
+    events = T.security_events(spark, sf_dir)
+    stored = staged(E.address_sketches(events))
+    exact = events.groupBy("source").agg(F.count_distinct("src_ip").alias("exact"))
+    exact = exact.unionByName(events.agg(F.lit("all").alias("source"), F.count_distinct("src_ip").alias("exact")))
+    about = E.estimated_addresses(stored, "source").unionByName(
+        E.estimated_addresses(stored).withColumn("source", F.lit("all"))
+    )
+    close = F.abs(F.col("addresses") - F.col("exact")) <= 0.05 * F.col("exact")
+    return exact.join(about, "source").select("source", "exact", close.alias("close"))
+
+
 def events_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.events_per(T.security_events(spark, sf_dir), "source")
 
@@ -396,6 +426,17 @@ def classify_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.classify_feeds(lines).select("feed", "parser")
 
 
+def sniff_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsers of log folders, told by the heads of their files; one folder holds prose."""
+    events = T.security_events(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/feeds-{uuid.uuid4().hex}"
+    lines = T.all_lines(events).select("feed", F.col("line").alias("value"))
+    prose = T.read(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.lit("prose").alias("feed"), F.col("text").alias("value"))
+    lines.unionByName(prose).write.partitionBy("feed").text(folder)
+    feeds = {name: f"{folder}/feed={name}" for name in ("auth", "access", "security", "ufw", "prose")}
+    return L.sniff_feeds(spark, feeds).select("feed", "parser")
+
+
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts as numbered lines, blank ones counted but dropped."""
     texts = T.read(spark, sf_dir, "documents").select(
@@ -406,13 +447,14 @@ def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One JSON array of Windows events per user and day, back to events."""
+    """JSON arrays of up to 500 Windows events of a user and day, back to events."""
     events = T.security_events(spark, sf_dir)
+    day = Window.partitionBy("user", "day").orderBy("line_no")
     items = T.windows_lines(events).join(
         events.select(F.col("tie").alias("line_no"), "user", F.to_date("ts").alias("day")),
         "line_no",
-    )
-    arrays = items.groupBy(F.concat_ws("@", "user", "day").alias("feed")).agg(
+    ).withColumn("block", F.floor((F.row_number().over(day) - 1) / 500))
+    arrays = items.groupBy(F.concat_ws("@", "user", "day", "block").alias("feed")).agg(
         F.concat(
             F.lit("["),
             F.array_join(
@@ -429,6 +471,26 @@ def json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.plain_time(found.select("feed", "line_no", "ts", "event_id", "host"))
 
 
+def json_array_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen files that hold a JSON array of Windows events each, read in splits; every fifth is broken."""
+    events = T.security_events(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/arrays-{uuid.uuid4().hex}"
+    file = F.pmod(F.col("line_no"), F.lit(16))
+    rows = T.windows_lines(events).withColumn("file", file).where((file % 5 == 0) | (F.col("line_no") % 30 != 11))
+    in_file = Window.partitionBy("file").orderBy("line_no")
+    start = F.when(F.lag("line_no").over(in_file).isNull(), "[").otherwise("")
+    end = F.when(F.lead("line_no").over(in_file).isNull(), "]").otherwise(",")
+    rows.select("file", "line_no", F.concat(start, "line", end).alias("value")).repartition(
+        16, "file"
+    ).sortWithinPartitions("file", "line_no").select("file", "value").write.partitionBy("file").text(folder)
+    lines = A.read_json_array(spark, f"{folder}/*")
+    lines = lines.withColumn("feed", F.regexp_extract("feed", r"file=(\d+)", 1))
+    parsed = N.parse_windows(lines)
+    whole = N.events(parsed).select("feed", "line_no", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id")
+    broken = N.skipped(parsed).groupBy("feed", "line_no").agg(F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit(None).cast("int").alias("event_id"))
+    return whole.unionByName(broken)
+
+
 def time_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log time formats of every event, read back; some with days past the month's end."""
     events = T.security_events(spark, sf_dir)
@@ -587,12 +649,14 @@ def queries() -> dict[str, Query]:
         "rolling_suppressed": rolling_suppressed,
         "range_tally": range_tally,
         "cidr_lookup": cidr_lookup,
+        "cidr_lookup_custom": cidr_lookup_custom,
         "address_functions": address_functions,
         "great_circle": great_circle,
         "time_buckets": time_buckets,
         "time_buckets_table": time_buckets_table,
         "top_talkers": top_talkers,
         "event_totals": event_totals,
+        "address_sketches": address_sketches,
         "events_per_source": events_per_source,
         "event_tail": event_tail,
         "event_search": event_search,
@@ -627,8 +691,10 @@ def queries() -> dict[str, Query]:
         "feed_stats": feed_stats,
         "funnel": funnel,
         "classify_feeds": classify_feeds,
+        "sniff_feeds": sniff_feeds,
         "text_lines": text_lines,
         "json_array": json_array,
+        "json_array_files": json_array_files,
         "attack_phases": attack_phases,
         "union_feeds": union_feeds,
         "entity_keys": entity_keys,

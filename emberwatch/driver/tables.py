@@ -32,6 +32,9 @@ EVENT_SELECT = [
     "CASE WHEN event_id % 5 = 0 THEN 'Checked by Robot ' || CAST(user_id AS STRING) END AS msg",
 ]
 
+#: Where the networks of the table made from suppliers start.
+NETWORK_STARTS = ["159.223.", "10.0.", "82.102.", "198.18.", "203.0."]
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")

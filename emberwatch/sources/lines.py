@@ -96,23 +96,11 @@ def lines_of_text(
     )
 
 
-def read_json_array(
-    spark: SparkSession, path: str | Sequence[str], feed: str, feed_order: int = 0
-) -> DataFrame:
-    """Files holding one JSON array, as one line per element.
+def json_array_lines(texts: DataFrame, text: str = "text", feed: str = "feed") -> DataFrame:
+    """One line per element of JSON-array texts, one array a row; an unparsable text gives one line.
 
-    An array has no place to split at, so each file is read whole by one task; large
-    exports belong in JSON lines. A file that does not parse gives one line with its
-    whole text. Element numbers start at 1 in each file.
+    For arrays that fit in a row; `arrays.read_json_array` reads files of any size in splits.
     """
-    texts = spark.read.text(path, wholetext=True).select(
-        F.lit(feed).alias("feed"), F.col("value").alias("text")
-    )
-    return json_array_lines(texts).withColumn("feed_order", F.lit(feed_order))
-
-
-def json_array_lines(texts: DataFrame, text: str = "text", feed: str = "feed") -> DataFrame:
-    """One line per element of a JSON-array text; unparsable text gives one line."""
     trimmed = X.trim(F.col(text))
     return (
         texts.filter(trimmed.startswith("["))
@@ -180,8 +168,28 @@ def _looks_like(line: Column, name: str) -> Column:
     return hit
 
 
+def sniff_feeds(spark: SparkSession, feeds: Mapping[str, str | Sequence[str]]) -> DataFrame:
+    """Best-matching parser per feed, a folder or list of files, from the head of its files.
+
+    Files are taken in order of their names, and only as long as a feed still lacks lines. Of a file,
+    Spark reads the first split, stops at the last line that is needed, and goes on to further splits
+    only for want of lines. At most 40 lines a feed come together.
+    """
+    rows = []
+    for feed, path in feeds.items():
+        found: list[str] = []
+        for file in sorted(spark.read.text(path).inputFiles()):
+            line = F.regexp_replace(X.valid_utf8(F.col("value")), r"\r\z", "").alias("line")
+            head = spark.read.option("lineSep", "\n").text(file).select(line).filter(~X.blank(F.col("line")))
+            found += [r.line for r in head.limit(SNIFF_LINES - len(found)).collect()]
+            if len(found) >= SNIFF_LINES:
+                break
+        rows += [(feed, i + 1, line) for i, line in enumerate(found)]
+    return classify_feeds(spark.createDataFrame(rows, "feed string, line_no bigint, line string"))
+
+
 def classify_feeds(lines: DataFrame) -> DataFrame:
-    """Best-matching parser per feed from its first 40 non-blank lines.
+    """Best-matching parser per feed from its first 40 non-blank lines, for feeds that are in a table.
 
     Two points per matching line; ties go to the earlier format; no match gives NULL.
     """

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from emberwatch.functions import net, times
 from emberwatch.functions import text as X
+from emberwatch.sources import arrays as A
 from emberwatch.sources import lines as L
 from emberwatch.sources import normalize as N
 from emberwatch.sources import sinks
@@ -208,7 +209,7 @@ def test_read_lines(spark, tmp_path):
 def test_json_array_file(spark, tmp_path):
     items = [{"timestamp": "2024-02-29T00:00:0%dZ" % i, "event_id": 4624 + i} for i in range(3)]
     (tmp_path / "a.json").write_text(json.dumps(items))
-    events = N.events(N.parse_windows(L.read_json_array(spark, str(tmp_path / "a.json"), "w")))
+    events = N.events(N.parse_windows(A.read_json_array(spark, str(tmp_path / "a.json"), "w")))
     assert sorted((r.line_no, r.event_id) for r in events.collect()) == [
         (1, 4624), (2, 4625), (3, 4626)
     ]

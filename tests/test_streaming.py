@@ -7,7 +7,9 @@ import test_detectors as TD
 from pyspark.sql import functions as F
 
 from emberwatch.plans import detect as D
-from emberwatch.plans.rules import Travel
+from emberwatch.plans.rules import Travel, shipped_rules
+from emberwatch.sources import lines as L
+from emberwatch.sources import normalize as N
 from emberwatch.streaming import ingest
 from emberwatch.streaming.detector import StreamDetector
 
@@ -87,3 +89,45 @@ def test_text_stream(spark, tmp_path):
     )
     query.awaitTermination()
     assert [tuple(r) for r in spark.table("text_out").collect()] == [("access", 404)]
+
+
+def test_lines_of_one_second_keep_their_order(spark, tmp_path):
+    """Eight failures and then a success in one second, and a success first, however rows are split and dealt."""
+    source = tmp_path / "logs"
+    source.mkdir()
+
+    def lines(ip, accepted_at):
+        stamp = "Mar 12 12:06:00 w sshd[1]:"
+        out = [f"{stamp} Failed password for a from {ip} port {i} ssh2" for i in range(8)]
+        out.insert(accepted_at, f"{stamp} Accepted password for a from {ip} port 9 ssh2")
+        return "\n".join(out) + "\n"
+
+    (source / "a.log").write_text(lines("9.9.9.1", 8) + lines("9.9.9.2", 0) + lines("9.9.9.3", 7))
+    (source / "b.log").write_text(lines("9.9.9.4", 8))
+    (source / "z.log").write_text("Mar 14 12:06:00 w sudo: z : TTY=pts/0 ; USER=root ; COMMAND=/bin/id\n")
+    rules = [r for r in shipped_rules() if r.id == "ssh-brute-force"]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")
+    try:
+        stream = ingest.stream_lines(spark, str(source), "auth", feed_order=3)
+        dealt = ingest.stream_events(stream, 2025, "ssh").repartition(7, F.xxhash64("raw"))
+        detector = StreamDetector(rules, str(tmp_path / "found"), timedelta(minutes=5))
+        detector.start(dealt, str(tmp_path / "c"), availableNow=True).awaitTermination()
+        batch = N.events(N.parse_ssh(L.read_lines(spark, str(source), "auth"), 2025))
+        found, kept = D.detect(batch, rules)
+        got = {r.entity_key: (r.evidence_count, r.narrative) for r in detector.alerts(spark).collect()}
+        assert {k: n for k, (n, _) in got.items()} == {"9.9.9.1": 9, "9.9.9.4": 9}
+        assert got == {r.entity_key: (r.evidence_count, r.narrative) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_numbers_of_rows_in_splits():
+    import pyarrow as pa
+
+    def batch(rows):
+        return pa.RecordBatch.from_pydict({"_file": [r[0] for r in rows], "_start": [r[1] for r in rows]})
+
+    parts = [[("a", 0)] * 3, [("a", 0)] * 2 + [("a", 9)] * 2, [], [("a", 9)], [("b", 0), ("c", 0), ("c", 0)], [("c", 0), ("a", 0)]]
+    got = [r for b in ingest._numbered(iter([batch(p) for p in parts])) for r in b.column("_row").to_pylist()]
+    assert got == [0, 1, 2, 3, 4, 0, 1, 2, 0, 0, 1, 2, 0]

@@ -53,8 +53,8 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = held_out(F.col("doc_id"), 5, 0)
-    model = language.trained(docs.where(~out))
-    return language.identified(docs.select("doc_id", "text"), model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+    models = language.trained(docs.where(~out))
+    return language.identified(docs.select("doc_id", "text"), models).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, shared_folder, slices
+from .common import WordHashes, shared_folder, slices, staged
 from .neardup import shingles
 
 FEATURES = (
@@ -147,16 +147,19 @@ def boosted(x: np.ndarray, y: np.ndarray, *, trees: int = 60, depth: int = 4, ra
 
 
 def trained(features: DataFrame, labels: DataFrame, *, rows: int = 50_000) -> Trees:
-    """Trees from about `rows` labelled documents at most, chosen by a hash of the id.
+    """Trees from about `rows` labelled documents at most, chosen by a hash of the id and the features.
 
     features: (doc_id, features); labels: (doc_id, label 0/1). Labels that are null, or differ for one
-    id, are left out. The sample's features go to the driver: `rows` times 64 bytes.
+    id, are left out; copies of an id and its features count once. The sample's features go to the
+    driver: `rows` times 64 bytes.
     """
     one = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other"))
-    one = one.where("label = other").select("doc_id", "label").checkpoint()
-    share = min(1.0, rows / max(1, one.count()))
-    one = one.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    drawn = features.join(one, "doc_id").select("doc_id", "features", "label").limit(2 * rows).toPandas().sort_values("doc_id", kind="stable")
+    one = one.where("label = other").select("doc_id", "label")
+    known = staged(features.select("doc_id", "features").distinct().join(one, "doc_id"), "labelled")
+    share = min(1.0, rows / max(1, known.count()))
+    place = F.xxhash64(F.lit(11), "doc_id", "features")
+    drawn = known.where(F.pmod(place, F.lit(1 << 30)) < int(share * (1 << 30))).withColumn("place", place).toPandas()
+    drawn = drawn.sort_values(["doc_id", "place"], kind="stable")
     x = np.array(drawn["features"].tolist(), np.float32).reshape(-1, len(FEATURES))
     return boosted(x.astype(np.float64), drawn["label"].to_numpy(np.float64))
 

@@ -13,8 +13,8 @@ from .common import fresh, shared_folder, staged, unstage, words_of
 
 #: Source rows up to which their table is broadcast (a few hundred bytes each).
 FEW_SOURCES = 100_000
-#: At most so many blocks per source, so that ordering them is a small task.
-MOST_BLOCKS = 4096
+#: Digits of a block's key by which blocks are first summed, so that only one in 16^KEY_DIGITS of a source's is ordered.
+KEY_DIGITS = 3
 
 
 def exponent(sources: DataFrame, *, repeats: float | None = None, entropy: float | None = None) -> float:
@@ -83,7 +83,7 @@ def plan(units: DataFrame, *, repeats: float | None = None, entropy: float | Non
         target = F.floor(F.lit(float(budget)) * weight)
     planned = sources.select(
         "source", "tokens", "docs", weight.alias("weight"), F.coalesce(target, F.lit(0)).cast("long").alias("target"),
-        F.greatest(F.lit(1), F.least(F.lit(MOST_BLOCKS), F.ceil(F.greatest(F.col("tokens") / block_tokens, F.col("docs") / 10_000)))).cast("long").alias("blocks"),
+        F.greatest(F.lit(1), F.ceil(F.greatest(F.col("tokens") / block_tokens, F.col("docs") / 10_000))).cast("long").alias("blocks"),
     ).withColumn("epochs", F.when(some.isNull(), F.lit(1)).otherwise(F.expr("target div tokens")).cast("long"))
     planned = planned.withColumn("rest", F.when(some.isNull(), F.lit(0)).otherwise(F.col("target") - F.col("epochs") * F.col("tokens"))).checkpoint()
     own = _with_sources(units, planned.where("rest > 0").select("source", "blocks", "epochs", "rest"))
@@ -91,8 +91,16 @@ def plan(units: DataFrame, *, repeats: float | None = None, entropy: float | Non
     blocks = own.groupBy("source", "block", "epochs", "rest").agg(F.sum("tokens").alias("tokens")).withColumn(
         "block_key", _key(F.col("source"), F.col("block"), F.col("epochs"))
     )
+    # keys are hashes: the first digits say in which small part of the order the rest ends
+    blocks = staged(blocks.withColumn("digits", F.substring("block_key", 1, KEY_DIGITS)), "blocks")
+    coarse = blocks.groupBy("source", "digits", "rest").agg(F.sum("tokens").alias("tokens"))
+    through = F.sum("tokens").over(Window.partitionBy("source").orderBy("digits"))
+    part = coarse.withColumn("through", through).where("through > rest").groupBy("source").agg(
+        F.min(F.struct("digits", (F.col("through") - F.col("tokens")).alias("before"))).alias("part")
+    ).select("source", "part.*")
     order = Window.partitionBy("source").orderBy("block_key")
-    last = blocks.withColumn("through", F.sum("tokens").over(order)).where("through > rest").groupBy("source").agg(
+    few = blocks.join(part, ["source", "digits"]).withColumn("through", F.col("before") + F.sum("tokens").over(order))
+    last = few.where("through > rest").groupBy("source").agg(
         F.min(F.struct("block_key", "block", (F.col("rest") - F.col("through") + F.col("tokens")).alias("left"))).alias("last")
     ).select("source", "last.*").checkpoint()
     docs = _with_sources(own.select("source", "doc_id", "tokens", "block", "epochs"), last.select("source", F.col("block").alias("last_block"), "left"))

@@ -83,7 +83,7 @@ chosen AS (SELECT CASE WHEN count(p) <= 1 THEN 1.0 WHEN max(p) = min(p) THEN 0.0
 norm AS (SELECT sum(pow(p, a)) AS z, min(pow(p, a - 1)) AS low FROM shares, chosen),
 targets AS (SELECT s, tokens, coalesce(round(pow(p, a) / z, 9), 0.0) AS weight,
   coalesce(floor(tokens * round(pow(p, a - 1) / low, 6)), 0)::BIGINT AS target,
-  greatest(1, least(4096, ceil(greatest(tokens / 1048576.0, docs / 10000.0))))::BIGINT AS blocks FROM shares, chosen, norm),
+  greatest(1, ceil(greatest(tokens / 1048576.0, docs / 10000.0)))::BIGINT AS blocks FROM shares, chosen, norm),
 plan AS (SELECT *, CASE WHEN tokens = 0 THEN 1 ELSE target // tokens END AS epochs, CASE WHEN tokens = 0 THEN 0 ELSE target % tokens END AS rest FROM targets),
 own AS (SELECT u.s, u.doc_id, u.tokens, epochs, rest, {_BLOCK} AS block FROM units u JOIN plan p ON p.s = u.s WHERE rest > 0),
 sums AS (SELECT s, block, epochs, rest, sum(tokens) AS tokens, {_key('s', 'block', 'epochs')} AS block_key FROM own GROUP BY ALL),

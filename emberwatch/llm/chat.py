@@ -6,6 +6,8 @@ DataFrame functions only, but for checking arguments against schemas, which is A
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
 from typing import Any
 
@@ -15,27 +17,60 @@ from pyspark.sql import functions as F
 
 from .common import shared_folder
 
+_SURROGATE = re.compile("[\ud800-\udfff]")
 _KINDS = {
     "object": dict, "array": list, "string": str, "boolean": bool, "null": type(None), "integer": int, "number": (int, float),
 }
 
 
+def _plain(value: Any) -> Any:
+    """The value with whole numbers as integers, however they were written."""
+    if isinstance(value, float) and value.is_integer() and abs(value) < 2**53:
+        return int(value)
+    if isinstance(value, dict):
+        return {k: _plain(v) for k, v in value.items()}
+    return [_plain(v) for v in value] if isinstance(value, list) else value
+
+
 def canonical(value: Any) -> str:
-    """JSON with sorted keys, no white space, non-ASCII characters as they are."""
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
+    """JSON with sorted keys, no white space, whole numbers without a fraction, characters as they are but for lone surrogates."""
+    text = json.dumps(_plain(value), ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
+    return _SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def _same(a: Any, b: Any) -> bool:
+    """Equality of JSON values: true and 1 differ, 1 and 1.0 do not."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(_same, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(_same(a[k], b[k]) for k in a)
+    return a == b
+
+
+def _number(text: str) -> float:
+    value = float(text)
+    if math.isinf(value):
+        raise OverflowError(text)
+    return value
+
+
+def _no_number(text: str) -> None:
+    raise ValueError(text)
 
 
 def violations(value: Any, schema: dict[str, Any], at: str = "$") -> list[str]:
     """Where value breaks a JSON schema of type, enum, required, properties, additionalProperties, items,
-    minimum, maximum, minLength and maxLength."""
+    minimum, maximum, minLength and maxLength. Nothing is of a type that JSON does not have."""
     found = []
     kinds = schema.get("type")
     if kinds is not None:
         kinds = kinds if isinstance(kinds, list) else [kinds]
-        fits = lambda k: isinstance(value, _KINDS[k]) and not (isinstance(value, bool) and k in ("integer", "number"))
+        fits = lambda k: isinstance(value, _KINDS.get(k, ())) and not (isinstance(value, bool) and k in ("integer", "number"))
         if not any(fits(k) or (k == "integer" and isinstance(value, float) and value.is_integer()) for k in kinds):
             return [f"{at}: not of type {'|'.join(kinds)}"]
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(_same(value, x) for x in schema["enum"]):
         found.append(f"{at}: not in enum")
     if isinstance(value, dict):
         known = schema.get("properties", {})
@@ -62,17 +97,28 @@ def violations(value: Any, schema: dict[str, Any], at: str = "$") -> list[str]:
 
 
 def _serialised(schemas: dict[str, dict[str, Any]], role: str | None, call: str | None, name: str | None, body: str | None) -> tuple[str, str | None]:
-    """The message as canonical JSON and what is wrong with its arguments, if anything."""
+    """The message as canonical JSON and what is wrong with its arguments, if anything.
+
+    Arguments that are not JSON, hold a number beyond a double's range, or are nested too deeply to be read, stay text.
+    """
     if role != "call":
         message = {"role": "tool", "tool_call_id": call, "content": body} if role == "result" else {"role": role, "content": body}
         return canonical(message), None
+
+    def told(arguments: Any) -> str:
+        function = {"name": name, "arguments": arguments}
+        return canonical({"role": "assistant", "tool_calls": [{"id": call, "type": "function", "function": function}]})
+
     try:
-        arguments = json.loads(body or "", parse_constant=lambda x: (_ for _ in ()).throw(ValueError(x)))
+        arguments = json.loads(body or "", parse_float=_number, parse_constant=_no_number)
         wrong = "; ".join(violations(arguments, schemas[name])) or None if name in schemas else "unknown tool"
+        return told(arguments), wrong
     except ValueError:
-        arguments, wrong = body, "arguments are not JSON"
-    function = {"name": name, "arguments": arguments}
-    return canonical({"role": "assistant", "tool_calls": [{"id": call, "type": "function", "function": function}]}), wrong
+        return told(body), "arguments are not JSON"
+    except OverflowError:
+        return told(body), "arguments hold a number out of range"
+    except RecursionError:
+        return told(body), "arguments are nested too deeply"
 
 
 def linked(messages: DataFrame) -> DataFrame:
@@ -82,8 +128,10 @@ def linked(messages: DataFrame) -> DataFrame:
     results, any other for plain messages; needs: the ids of calls that a call uses the results of. Calls and results of a
     conversation meet in a join by identifier. Of several calls, or results, with one id the
     first counts (then by body); the others are `repeated`. Null conversations are one conversation; a null id links nothing.
+    Other columns are left out.
     """
     shared_folder(messages.sparkSession)
+    messages = messages.select("conv_id", "turn", "role", "call_id", "name", "body", "needs")
     keyed = messages.withColumns({"_conv": F.coalesce("conv_id", F.lit(-1 << 62)), "_key": F.xxhash64("turn", "name", "body")})
     one = keyed.where(F.col("role").isin("call", "result") & F.col("call_id").isNotNull()).groupBy("_conv", "call_id", "role").agg(
         F.min(F.struct("turn", "_key")).alias("first")

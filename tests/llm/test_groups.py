@@ -366,7 +366,7 @@ def test_tool_calls(spark):
     problems = {k: r.problem for k, r in by.items() if r.problem}
     assert problems == {
         (1, 3, "call", "c"): "$.y: missing; $.x: not of type integer", (1, 5, "call", "a"): "$.x: missing; $.y: missing",
-        (2, 0, "call", "p"): "unknown tool" if False else problems[(2, 0, "call", "p")], (2, 1, "call", "q"): "arguments are not JSON",
+        (2, 0, "call", "p"): "arguments are not JSON", (2, 1, "call", "q"): "arguments are not JSON",
         (2, 2, "call", "r"): "unknown tool", (2, 3, "call", None): "arguments are not JSON", (None, 0, "call", "a"): "$.é: not allowed",
     }
     assert {k[3] for k, r in by.items() if r.cyclic} == {"p", "q"}
@@ -390,3 +390,42 @@ def test_schema_checks():
     assert chat.violations([2], schema) == ["$[0]: not in enum"] and chat.violations({}, schema) == ["$: not of type array|null"]
     assert chat.violations(True, {"type": "integer"}) and not chat.violations(3.0, {"type": "integer"})
     assert chat.violations("ab", {"minLength": 3}) and chat.violations(5, {"maximum": 4}) and chat.violations(5, {"minimum": 6})
+
+
+def test_any_json_is_formatted(spark):
+    """Numbers out of range, deep nesting, lone surrogates, and whole numbers with a fraction."""
+    deep = "[" * 100_000 + "]" * 100_000
+    bodies = ['{"a":1e999}', deep, '{"a":"\\ud800 \\ude00\\ud83d\\ude00"}', '{"b":2.0,"a":-0.0,"c":1e2,"d":0.5}', '"x"', "", "1e400", "[true]"]
+    schemas = {"f": {"properties": {"b": {"enum": [2]}}}, "g": {"type": "thing"}}
+    rows = [(i, 0, "call", "c", "f", b, []) for i, b in enumerate(bodies)] + [(99, 0, "call", "c", "g", "{}", [])]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, call_id string, name string, body string, needs array<string>")
+    got = {r.conv_id: r for r in chat.formatted(messages, schemas).collect()}
+    problems = {k: r.problem for k, r in got.items()}
+    assert problems == {
+        0: "arguments hold a number out of range", 1: "arguments are nested too deeply", 2: None, 3: None, 4: None,
+        5: "arguments are not JSON", 6: "arguments hold a number out of range", 7: None, 99: "$: not of type thing",
+    }
+    sent = {k: json.loads(r.message)["tool_calls"][0]["function"]["arguments"] for k, r in got.items()}
+    assert sent[0] == bodies[0] and sent[1] == deep and sent[4] == "x" and sent[7] == [True]
+    assert sent[2] == {"a": "\ud800 \ude00\U0001f600"} and "\\ud800" in got[2].message and "\U0001f600" in got[2].message
+    assert '"arguments":{"a":0,"b":2,"c":100,"d":0.5}' in got[3].message
+    assert chat.violations(True, {"enum": [1]}) and chat.violations([1], {"enum": [[True]]}) and not chat.violations({"a": 1.0}, {"enum": [{"a": 1}]})
+
+
+def test_many_blocks_of_a_source(spark, monkeypatch):
+    """Blocks without number, of which only those under a few digits of their keys are ordered."""
+    rows = [(i, "w " * (i % 5 + 1), "big") for i in range(3_000)] + [(i, "w w", "small") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = None
+    for digits in (1, 2, 32):
+        monkeypatch.setattr(mixing, "KEY_DIGITS", digits)
+        got = mixing.mix(docs, entropy=0.9, budget=5_000, block_tokens=2).collect()
+        assert len({(r.source, r.block) for r in got}) > 500
+        found = sorted((r.source, r.doc_id, r.epoch, r.block_key, r.doc_key) for r in got)
+        want = want or found
+        assert found == want
+    given = Counter()
+    for r in got:
+        given[r.source] += r.n_tokens
+    weight = {r.source: r.weight for r in got}
+    assert all(5_000 * w - 10 < given[s] <= 5_000 * w + 1e-6 for s, w in weight.items())

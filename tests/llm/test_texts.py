@@ -122,56 +122,81 @@ def languages():
     return texts
 
 
+LANGUAGES_SCHEMA = "text string, lang string, doc_id long"
+
+
+def language_table(spark):
+    return spark.createDataFrame([(t, g, i) for i, (t, g) in enumerate(languages())], LANGUAGES_SCHEMA)
+
+
 def test_code_lengths_fit_in_one(spark):
-    texts = languages()
-    docs = spark.createDataFrame(texts, "text string, lang string")
-    model = language.trained(docs)
+    (model,) = language.trained(language_table(spark))
     assert model.langs == ["aa", "bb", "cc"]
-    place = model.place()
-    # the chances of all symbols after any three add up to one at most, seen context or not
+    # the chances of all bytes after any three add up to one at most, seen context or not
     rng = np.random.default_rng(1)
-    for key in [*rng.choice(model.keys, 20), *rng.integers(0, language.SYMBOLS**4, 20)]:
-        run = key // language.SYMBOLS * language.SYMBOLS + np.arange(language.SYMBOLS)
-        bits = np.where((place[run] >= 0)[:, None], model.four[place[run]], model.escape[run // language.SYMBOLS] + model.three[run % language.SYMBOLS**3])
+    for key in [*rng.choice(model.four_keys, 20), *rng.integers(0, 1 << 32, 20)]:
+        bits = model.of_runs(key // 256 * 256 + np.arange(256))
         assert (np.exp2(-bits).sum(0) <= 1 + 1e-4).all()  # escapes without exclusion lose a part
 
 
-def test_code_lengths_by_brute_force(spark):
-    docs = spark.createDataFrame(languages(), "text string, lang string")
-    model = language.trained(docs)
+@pytest.mark.parametrize("block", [16, 2])
+def test_code_lengths_by_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(language, "LANGUAGES", block)
+    models = language.trained(language_table(spark))
+    assert [m.langs for m in models] == ([["aa", "bb", "cc"]] if block == 16 else [["aa", "bb"], ["cc"]])
     counts = {}
     for text, lang in languages():
-        row = [model.symbol[10]] * 3 + [model.symbol[b] for b in text.encode()]
+        row = [10] * 3 + list(text.encode())
         for i in range(3, len(row)):
             for order in range(4):
                 counts.setdefault((lang, tuple(row[i - order : i])), Counter())[row[i]] += 1
 
     def chance(lang, context, symbol):
         c = counts.get((lang, context))
-        shorter = (lambda: chance(lang, context[1:], symbol)) if context else (lambda: 1 / language.SYMBOLS)
+        shorter = (lambda: chance(lang, context[1:], symbol)) if context else (lambda: 1 / 256)
         if not c:
             return shorter()
         total = c.total() + len(c)
         return c[symbol] / total if c[symbol] else len(c) / total * shorter()
 
-    for text in ("abc", "bcd bcd", "xé w", "ABC"):
-        row = [model.symbol[10]] * 3 + [model.symbol[b] for b in text.translate(str.maketrans("ABC", "abc")).encode()]
-        want = [-sum(math.log2(chance(g, tuple(row[i - 3 : i]), row[i])) for i in range(3, len(row))) for g in model.langs]
-        assert np.allclose(model.bits([text.encode()], model.place())[0], want, rtol=1e-4)
+    for text in ("abc", "bcd bcd", "xé w", "ABC", "", "ж\x00中"):
+        row = [10] * 3 + list(text.translate(str.maketrans("ABC", "abc")).encode())
+        for model in models:
+            want = [-sum(math.log2(chance(g, tuple(row[i - 3 : i]), row[i])) for i in range(3, len(row))) for g in model.langs]
+            assert np.allclose(model.bits([text.encode(), b"x"])[0], want, rtol=1e-4)
 
 
-def test_language_rows(spark, docs):
-    model = language.trained(spark.createDataFrame(languages(), "text string, lang string"))
-    got = language.identified(docs, model).collect()
+def test_language_rows(spark, docs, monkeypatch):
+    table = language_table(spark)
+    models = language.trained(table)
+    got = language.identified(docs, models).collect()
     assert len(got) == docs.count()
     for r in got:
         letters = bool(r.text) and any(c.isalpha() for c in r.text)
         assert (r.lang_pred == "und") == (not letters) and 0 <= r.score <= 1
-    right = language.identified(spark.createDataFrame(languages(), "text string, lang string"), model)
+    right = language.identified(table, models)
     assert right.where("lang = lang_pred").count() >= 0.95 * right.count()
+    monkeypatch.setattr(language, "LANGUAGES", 1)  # a model for each language, and the same results
+    again = language.identified(docs, language.trained(table)).collect()
+    told = lambda rows: Counter((r.doc_id, r.text, r.lang_pred, round(r.score, 9)) for r in rows)
+    assert told(again) == told(got)
     nothing = language.trained(docs.where("lang is null"))
     assert {r.lang_pred for r in language.identified(docs, nothing).collect()} == {"und"}
-    assert language.identified(docs.limit(0), model).isEmpty()
+    assert language.identified(docs.limit(0), models).isEmpty()
+
+
+def test_every_language_and_byte_is_learnt(spark):
+    """Many languages, one with an empty name and one in a rare script, beside one with most of the texts."""
+    rng = random.Random(3)
+    names = ["", *(f"l{i:03d}" for i in range(40))]
+    # each language has its own two letters, of scripts all over the code points
+    letters = {n: [chr(0x400 + 7 * i), chr(0x4E00 + 11 * i)] for i, n in enumerate(names)}
+    rows = [("".join(rng.choices(letters[n], k=60)), n) for n in names for _ in range(4)]
+    rows += [("the hot language has most of the texts " * 3, "hot")] * 300
+    table = spark.createDataFrame([(t, g, i) for i, (t, g) in enumerate(rows)], LANGUAGES_SCHEMA)
+    models = language.trained(table, rows=50)
+    assert [n for m in models for n in m.langs] == sorted([*names, "hot"])
+    assert language.identified(table, models).where("lang <> lang_pred").isEmpty()
 
 
 def test_trees_learn_and_flatten():
@@ -196,6 +221,43 @@ def test_trees_learn_and_flatten():
         assert len(constant.roots) == 0 and np.allclose(constant.scores(x[:3]), constant.scores(x[3:6]))
 
 
+def test_the_first_splits_by_brute_force():
+    """The root of the first tree and its leaves, against a search of all cuts of all features."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 3)).round(1)
+    y = (x[:, 1] + 0.3 * rng.normal(size=400) > 0.4).astype(float)
+    model = classify.boosted(x, y, trees=1, depth=1, rate=1.0, bins=64, least=1.0, ridge=1.0)
+    p = y.mean()
+    g, h = p - y, np.full(len(y), p * (1 - p))
+
+    def gain(part):
+        return g[part].sum() ** 2 / (h[part].sum() + 1)
+
+    cuts = [(f, c) for f in range(3) for c in np.unique(np.quantile(x[:, f], np.linspace(0, 1, 65)[1:-1]))]
+    gains = {
+        (f, c): gain(x[:, f] <= c) + gain(x[:, f] > c)
+        for f, c in cuts if min(h[x[:, f] <= c].sum(), h[x[:, f] > c].sum()) >= 1
+    }
+    f, c = max(gains, key=gains.get)
+    root = int(model.roots[0])
+    assert (model.feature[root], model.split[root]) == (f, c)
+    for side, part in enumerate((x[:, f] <= c, x[:, f] > c)):
+        assert math.isclose(model.value[model.child[root] + side], -g[part].sum() / (h[part].sum() + 1), rel_tol=1e-9)
+
+
+def test_the_labelled_sample_is_bounded_and_fixed(spark, monkeypatch):
+    """An id with most of the rows, half of them copies, does not decide the sample's size or order."""
+    rows = [(5, [float(i % 700)] * len(classify.FEATURES)) for i in range(1_400)]
+    rows += [(i, [float(i)] * len(classify.FEATURES)) for i in range(100, 400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, label int")
+    seen = []
+    monkeypatch.setattr(classify, "boosted", lambda x, y: seen.append((x.tolist(), y.tolist())))
+    for parts in (1, 7):
+        features = spark.createDataFrame(rows, "doc_id long, features array<float>").repartition(parts)
+        classify.trained(features, labels, rows=200)
+    assert seen[0] == seen[1] and 120 < len(seen[0][0]) < 280
+
+
 def test_classifier_rows(spark, docs):
     features = classify.with_statistics(docs).cache()
     assert features.count() == docs.count()

@@ -15,6 +15,8 @@ from .common import fresh, slices
 
 #: Items of a postings block.
 BLOCK = 4
+#: Bounds that are added up at a time, of four bytes each.
+CELLS = 1 << 22
 
 #: A-Z to lower case, other ASCII signs than letters and digits to spaces; bytes of other scripts stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -63,6 +65,7 @@ class Index:
                 t, block = self.term[w], item // BLOCK
                 postings[block][t][item % BLOCK] = x / own
                 self.block_bound[t, block] = max(self.block_bound[t, block], x / own)
+        self.term_bound = self.block_bound.max(axis=1) if len(words) else np.zeros(len(self.term), np.float32)
         self.block_terms = [np.array(sorted(p), np.int64) for p in postings]
         self.block_impacts = [np.array([p[t] for t in sorted(p)]).reshape(-1, BLOCK) for p in postings]
 
@@ -78,7 +81,8 @@ class Index:
         """item: (passages, best score, question overlap, answer overlap) of the verified ones.
 
         A passage's sum of block maxima bounds its score on each item of the block; only blocks where that
-        reaches `least` are scored.
+        reaches `least` are scored. All blocks' bounds are added up side by side, in place of postings
+        cursors that skip from item to item: a passage has many terms, and an index few blocks.
         """
         found: dict[int, tuple[int, float, float, float]] = {}
         known = np.flatnonzero(terms >= 0)
@@ -88,12 +92,8 @@ class Index:
         part, term = pair // len(self.term), pair % len(self.term)
         n = -(-len(words) // self.step)
         edge = np.searchsorted(part, np.arange(n + 1))
-        sums = np.zeros((n + 1, self.block_bound.shape[1]), np.float32)
-        full = np.flatnonzero(edge[1:] > edge[:-1])
-        sums[full] = np.add.reduceat(self.block_bound[term], edge[full], axis=0)
-        passages = sums[:-1] + sums[1:]
         grams_of, grams = -1, set()
-        for p, block in zip(*np.nonzero(passages >= self.least - 1e-4), strict=True):
+        for p, block in self._candidates(term, edge):
             for item, score in self.retrieve(np.unique(term[edge[p] : edge[min(p + 2, n)]]), block):
                 if grams_of != p:
                     grams_of, grams = p, _grams_of_all_sizes(words[p * self.step : (p + 2) * self.step], self.k)
@@ -103,6 +103,36 @@ class Index:
                     found[item] = (before[0] + 1, max(before[1], score), max(before[2], q), max(before[3], a))
         return found
 
+    def _candidates(self, term: np.ndarray, edge: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(passage, block) pairs whose bound reaches `least`, for parts with these distinct terms.
+
+        Passages whose terms' greatest impacts on any item do not add up to `least` have no pivot and
+        are passed over. The others' bounds are added up for a run of parts at a time, so that
+        memory does not grow with the text.
+        """
+        n, blocks = len(edge) - 1, self.block_bound.shape[1]
+        most = np.concatenate([[0], np.cumsum(self.term_bound[term], dtype=np.float64)])
+        reach = np.diff(most[edge])
+        reach = reach + np.append(reach[1:], 0)
+        wanted = np.flatnonzero(reach >= self.least - 1e-4)
+        size = max(1, CELLS // blocks)
+        at = 0
+        while at < len(wanted):
+            first = wanted[at]
+            # passages from here on whose parts' terms fit, one at least
+            end = int(np.searchsorted(edge, edge[first] + size, "right")) - 1
+            stop = max(at + 1, int(np.searchsorted(wanted, max(first + 1, end - 1))))
+            last = min(n, wanted[stop - 1] + 2)
+            parts = np.arange(first, last)
+            sums = np.zeros((len(parts) + 1, blocks), np.float32)
+            full = np.flatnonzero(edge[parts + 1] > edge[parts])
+            if len(full):
+                sums[full] = np.add.reduceat(self.block_bound[term[edge[first] : edge[last]]], edge[parts[full]] - edge[first], axis=0)
+            own = wanted[at:stop] - first
+            for p, block in zip(*np.nonzero(sums[own] + sums[own + 1] >= self.least - 1e-4), strict=True):
+                yield int(own[p] + first), int(block)
+            at = stop
+
 
 def _grams_of_all_sizes(words: list[bytes], k: int) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + n]) for n in range(1, k + 1) for i in range(len(words) - n + 1)}

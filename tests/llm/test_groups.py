@@ -1,7 +1,9 @@
 """Operators across documents, against brute force, with every odd kind of row."""
 
 import json
+import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -278,6 +280,68 @@ def test_passage_scores_are_bm25():
     assert set(found) == {0} and abs(found[0][1] - 1) < 1e-9
 
 
+@pytest.mark.parametrize("cells", [1 << 22, 1, 40])
+def test_every_passage_against_every_item(monkeypatch, cells):
+    """All passages scored on all items by the formula, without blocks, bounds or runs of parts."""
+    monkeypatch.setattr(decontaminate, "CELLS", cells)
+    rng = random.Random(13)
+    text = lambda n: [f"w{min(rng.randrange(60), rng.randrange(60))}".encode() for _ in range(n)]
+    items = [(i, b" ".join(text(rng.randrange(3, 14))), b" ".join(text(rng.randrange(0, 4)))) for i in range(30)]
+    index = decontaminate.Index(items, 0.5, 0.4, 2)
+    sizes = [len((q + b" " + a).split()) for _, q, a in items]
+    df = Counter(w for _, q, a in items for w in {*q.split(), *a.split()})
+    impacts = []
+    for (_, q, a), size in zip(items, sizes):
+        c = Counter([*q.split(), *a.split()])
+        one = {w: math.log(1 + (30 - df[w] + 0.5) / (df[w] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * size / (sum(sizes) / 30))) for w, n in c.items()}
+        impacts.append({w: x / sum(one.values()) for w, x in one.items()})
+    hits = 0
+    for _ in range(40):
+        words = text(rng.randrange(0, 200))
+        for _ in range(2):
+            _, q, a = items[rng.randrange(30)]
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = (q + b" " + a).split()
+        want = {}
+        for p in range(-(-len(words) // index.step)):
+            part = words[p * index.step : (p + 2) * index.step]
+            grams = {tuple(part[i : i + n]) for n in (1, 2) for i in range(len(part))}
+            for i, (_, q, a) in enumerate(items):
+                score = sum(impacts[i].get(w, 0) for w in set(part))
+                shares = [
+                    sum(g in grams for g in own) / len(own) if own else 1.0
+                    for own in (decontaminate._grams(q.split(), 2), decontaminate._grams(a.split(), 2))
+                ]
+                if score >= 0.5 + 1e-9 and min(shares) >= 0.4:
+                    n, best, *most = want.get(i, (0, 0, 0, 0))
+                    want[i] = (n + 1, max(best, score), max(most[0], shares[0]), max(most[1], shares[1]))
+        got = index.matches(words, np.array([index.term.get(w, -1) for w in words], np.int64))
+        assert set(got) == set(want) and all(np.allclose(got[i], want[i]) for i in want)
+        hits += len(want)
+    assert hits >= 80
+
+
+def test_a_million_words_in_bounded_memory():
+    """A text of a million words against 1,600 items takes no more than a text of a tenth."""
+    rng = np.random.default_rng(3)
+    vocabulary = np.array([f"w{i}".encode() for i in range(3_000)], dtype=object)
+    items = [(i, b" ".join(rng.choice(vocabulary, 25)), b" ".join(rng.choice(vocabulary, 3))) for i in range(1_600)]
+    index = decontaminate.Index(items, 0.5, 0.8, 5)
+
+    def peak(n):
+        words = rng.choice(vocabulary, n).tolist()
+        words[n // 2 : n // 2] = items[7][1].split() + items[7][2].split()
+        terms = np.array([index.term.get(w, -1) for w in words], np.int64)
+        tracemalloc.start()
+        found = index.matches(words, terms)
+        size = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert set(found) == {7}
+        return size
+
+    assert peak(1_000_000) < peak(100_000) + 120 * 1_000_000  # the pairs of part and term themselves
+
+
 def mixture(spark, seed=3):
     rng = random.Random(seed)
     rows = [(i, " ".join(["w"] * rng.randrange(0, 30)), rng.choice("aaaaaaaabbc"), 0, None, None) for i in range(400)]

@@ -5,7 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from .common import fresh, shared_folder
+
+#: Rows of a key that meet in a task, at least; keys with more are spread. At most MOST_HOT keys are.
+SPREAD, MOST_HOT = 250, 10_000
+
+
+def hot_keys(rows: DataFrame, key: str) -> list[tuple]:
+    """Keys with so many rows that they are spread, and over how many tasks. At most MOST_HOT keys."""
+    n = rows.count()
+    many = max(SPREAD, n // MOST_HOT)
+    sizes = rows.groupBy(F.col(key).alias("key")).count().where(F.col("count") > many)
+    return [(r["key"], -(-r["count"] // many)) for r in sizes.collect()]
+
+
+def spread_join(rows: DataFrame, by: DataFrame, key: str, hot: list[tuple], spread: str, how: str = "inner") -> DataFrame:
+    """rows joined with `by`, which has a row per key; rows of hot keys are dealt by `spread` to copies of that row."""
+    if not hot:
+        return rows.join(by, key, how)
+    salts, salt = fresh(rows.join(by, key).limit(0), "_salts", "_salt")
+    table = rows.sparkSession.createDataFrame(hot, f"`{key}` {rows.schema[key].dataType.simpleString()}, `{salts}` long")
+    parts = F.coalesce(F.col(salts), F.lit(1))
+    dealt = rows.join(F.broadcast(table), key, "left").withColumn(salt, F.pmod(F.xxhash64(spread), parts))
+    copies = by.join(F.broadcast(table), key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return dealt.drop(salts).join(copies.drop(salts), [key, salt], how).drop(salt)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -14,21 +37,24 @@ def components(links: DataFrame) -> DataFrame:
     links has the columns a and b. Each round takes the smallest label among a node's
     neighbours and then follows labels once more (halving long chains), until no label
     changes. Links with a null end and links to itself are left out. No group is collected: minima are
-    pre-aggregated, and each round is cut with checkpoint().
+    pre-aggregated, the rows of hubs and of labels that many nodes share are spread over tasks, and
+    each round is cut with checkpoint().
     """
     shared_folder(links.sparkSession)
     links = links.select("a", "b").where("a <> b")
     edges = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    edges = edges.checkpoint()
-    labels = edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
+    edges = edges.select("a", F.col("b").alias("node")).checkpoint()
+    hubs = hot_keys(edges, "node")
+    labels = edges.groupBy("node").agg(F.min("a").alias("near"))
     labels = labels.select("node", F.least("node", "near").alias("label")).checkpoint()
     while True:
-        near = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
+        near = spread_join(edges, labels, "node", hubs, "a").groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near, labels.node == near.a).select(
             "node", F.least("label", "near").alias("label"), F.col("label").alias("before")
         ).checkpoint()
         up = step.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        moved = step.join(up, "label", "left").select(
+        shared = hot_keys(step, "label")
+        moved = spread_join(step, up, "label", shared, "node", "left").select(
             "node", F.least("label", F.coalesce("up", "label")).alias("label"), "before"
         ).checkpoint()
         labels = moved.select("node", "label")

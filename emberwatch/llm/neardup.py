@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, WordHashes, fresh, mixed, shared_folder, slices, staged, unstage
-from .components import components
+from .components import components, hot_keys, spread_join
 
 #: Rows of an estimation cell on either side; cells, not whole buckets, meet in a task.
 CELL = 256
@@ -328,7 +328,8 @@ def near_duplicates(
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     grouped = nodes.join(labels, "node").select("node", "rep_id", "label").checkpoint()
     least_id = grouped.groupBy("label").agg(F.min("rep_id").alias("least_id")).checkpoint()
-    named = grouped.join(least_id, "label").join(degree, "node").select("node", "label", "least_id", "n_links").checkpoint()
+    whole = spread_join(grouped, least_id, "label", hot_keys(grouped, "label"), "node")
+    named = whole.join(degree, "node").select("node", "label", "least_id", "n_links").checkpoint()
     named = staged(
         nodes.select("node", "rep_id").join(named, "node", "left").select(
             "node", F.coalesce("label", "node").alias("component"), F.coalesce("least_id", "rep_id").alias("least_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberwatch.llm import chat, decontaminate, mixing, neardup, passages
+from emberwatch.llm import components as component_joins
 from emberwatch.llm.components import components
 
 SCHEMA = "doc_id long, text string, source string, n_words long, node string, _id long"
@@ -77,6 +78,7 @@ def test_near_duplicates(docs, monkeypatch, cell, small):
     """Also with buckets so limited that most comparisons are made in cells."""
     monkeypatch.setattr(neardup, "CELL", cell)
     monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(component_joins, "SPREAD", small)
     rows = docs.collect()
     found = groups(rows, 85)
     least = {}
@@ -124,9 +126,13 @@ def test_registers_merge_and_estimate():
         assert bool(sketch.may_reach(one[None], two[None], np.array([1000]), np.array([1000]), 0.8)[0]) == (share == 0.9)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("spread", [250, 3])
+def test_components(spark, monkeypatch, spread):
+    """Also with hubs and shared labels spread from four rows on."""
+    monkeypatch.setattr(component_joins, "SPREAD", spread)
     rng = random.Random(4)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)]
+    links += [(470, i) for i in range(471, 499)]
     above = list(range(500))
 
     def root(i):

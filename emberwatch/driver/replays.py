@@ -58,7 +58,9 @@ def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     shuffled = [events.where(part == k).orderBy(F.xxhash64("tie")) for k in range(4)]
     stream = _replayed(spark, [*shuffled, _with_last(events).where(F.col("action") == "end")])
     detector = StreamDetector(rules, _folder(spark, "detected"), timedelta(days=9))
-    query = detector.start(stream, _folder(spark, "checkpoint"), availableNow=True)
+    # a part of the state per core of a replay this size
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    query = detector.start(stream, _folder(spark, "checkpoint"), parts, availableNow=True)
     query.awaitTermination()
     return detector.alerts(spark).select("alert_id", "rule_id", "severity", "evidence_count", "n_matches")
 

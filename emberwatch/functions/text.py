@@ -132,12 +132,6 @@ def url_decode(text: Column) -> Column:
     return F.when(bad_escape | decoded.isNull() | gained, text).otherwise(decoded)
 
 
-def first_distinct(values: Column, limit: int) -> Column:
-    """First `limit` distinct values of an array in order, joined by ', '."""
-    kept = F.array_distinct(F.filter(values, lambda v: v.isNotNull()))
-    return F.array_join(F.slice(kept, 1, limit), ", ")
-
-
 def template(text: str, value_of) -> Column:
     """Fill {name} placeholders; `value_of(name)` gives a Column or None.
 

@@ -186,7 +186,7 @@ def pair_labels(pairs: DataFrame) -> DataFrame:
 
 
 def labelled(hits: DataFrame, labels: DataFrame, rules: Seq[Rule]) -> DataFrame:
-    """Hits at the labelled places, with the span of each label.
+    """Hits at the labelled places, with the span of each label. `labels` come from staged tables.
 
     Labels are narrow and often few: Spark then sends them to the hits, which stay where they
     are. Many labels first thin out the hits by a bitmap of (rule, key, window), before any
@@ -194,7 +194,6 @@ def labelled(hits: DataFrame, labels: DataFrame, rules: Seq[Rule]) -> DataFrame:
     """
     on = [c for c in labels.columns if c not in ("s_t", "s_tie", "e_t", "e_tie")]
     rows = _only(hits, rules)
-    labels = staged(labels)
     if staged_bytes(labels) > MANY_BYTES:
         w = per_rule({r.id: window_micros(r) for r in rules}, "bigint")
         place = ["rule_id", "entity_key", F.floor(F.col("t") / F.col("w"))]
@@ -223,13 +222,15 @@ def evidence(
         hot = blocks.hot_keys(hits)
     parts = []
     if _of(Burst, rules):
-        parts.append(labelled(hits, burst_labels(hits, rules, hot), _of(Burst, rules)))
+        found = staged(burst_labels(hits, rules, hot))
+        parts.append(labelled(hits, found, _of(Burst, rules)))
     if _of(Sequence, rules):
-        parts.append(labelled(hits, sequence_labels(hits, rules, hot), _of(Sequence, rules)))
+        found = staged(sequence_labels(hits, rules, hot))
+        parts.append(labelled(hits, found, _of(Sequence, rules)))
     if _of(Travel, rules):
         if pairs is None:
             place = G.shipped_geo(events.sparkSession) if geo is None else geo
-            pairs = travel_pairs(hits, rules, place, hot)
+            pairs = staged(travel_pairs(hits, rules, place, hot))
         parts.append(labelled(hits, pair_labels(pairs), _of(Travel, rules)))
     if not parts:
         raise ValueError("no rule is armed")

@@ -6,8 +6,6 @@ from collections.abc import Iterable
 from dataclasses import dataclass, replace
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
-
 from emberwatch.operators import predicates as P
 from emberwatch.operators.predicates import Predicate
 
@@ -79,19 +77,6 @@ def disable(rules: Iterable[Rule], ids: Iterable[str]) -> list[Rule]:
     return [replace(r, enabled=False) if r.id in off else r for r in rules]
 
 
-def rules_table(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
-    """Rule metadata, one row per rule."""
-    rows = [
-        (r.id, r.name, r.severity, r.mitre_id, r.mitre_name, r.description)
-        for r in rules
-    ]
-    return spark.createDataFrame(
-        rows,
-        "rule_id string, rule_name string, severity string, mitre_id string, "
-        "mitre_name string, description string",
-    )
-
-
 def shipped_rules() -> list[Rule]:
     """The twelve ready-made rules. Ids, thresholds, tags and headlines are fixed values."""
     minutes = lambda n: timedelta(minutes=n)

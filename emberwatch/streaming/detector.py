@@ -357,11 +357,18 @@ class StreamDetector:
             keyed, _ddl(_OUTPUT), "Append", "EventTime"
         )
 
-    def start(self, events: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
-        """Write what is found to `folder`, exactly once."""
+    def start(
+        self, events: DataFrame, checkpoint: str, partitions: int | None = None, **trigger
+    ) -> StreamingQuery:
+        """Write what is found to `folder`, exactly once. The state has `partitions` parts, for good: by default
+        spark.sql.shuffle.partitions."""
         spark = events.sparkSession
-        before = spark.conf.get(_STORE, None)
-        spark.conf.set(_STORE, _ROCKS)  # timers and list state need it; read when the query starts
+        wanted = {_STORE: _ROCKS}  # timers and list state need it
+        if partitions:
+            wanted["spark.sql.shuffle.partitions"] = str(partitions)
+        before = {k: spark.conf.get(k, None) for k in wanted}
+        for k, v in wanted.items():
+            spark.conf.set(k, v)  # read when the query starts
         try:
             writer = (
                 self.found(events).writeStream.format("parquet").partitionBy("kind")
@@ -369,10 +376,8 @@ class StreamDetector:
             )
             return (writer.trigger(**trigger) if trigger else writer).start()
         finally:
-            if before is None:
-                spark.conf.unset(_STORE)
-            else:
-                spark.conf.set(_STORE, before)
+            for k, v in before.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
     def _read(self, spark: SparkSession, kind: str) -> DataFrame:
         return spark.read.schema(_ddl(_OUTPUT)).parquet(self.folder).where(F.col("kind") == kind).drop("kind")

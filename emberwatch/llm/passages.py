@@ -96,18 +96,19 @@ def _first_in_text(digests: np.ndarray) -> np.ndarray:
 
 
 def _occurrences(docs: DataFrame, mean: int, most: int, least: int) -> DataFrame:
-    """(digest, id): each distinct stretch of each text."""
-    schema = pa.schema([("digest", pa.int64()), ("id", pa.int64())])
+    """(digest, id, row): each distinct stretch of each text."""
+    schema = pa.schema([("digest", pa.int64()), ("id", pa.int64()), ("row", pa.int64())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, end, texts in slices(batch, "_bytes"):
                 _, _, digests, edge = Chunks(texts, mean, most).stretches(least)
                 own = [np.unique(digests[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
-                ids = np.repeat(batch.column("_id").slice(start, end - start).to_numpy(), [len(x) for x in own])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(ids)], schema=schema)
+                many = [len(x) for x in own]
+                ids, rows = (np.repeat(batch.column(c).slice(start, end - start).to_numpy(), many) for c in ("_id", "_row"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(ids), pa.array(rows)], schema=schema)
 
-    return docs.select("_id", "_bytes").mapInArrow(emit, "digest long, id long")
+    return docs.select("_id", "_row", "_bytes").mapInArrow(emit, "digest long, id long, row long")
 
 
 def _cut(made: Chunks, row: int, repeated: np.ndarray, least: int) -> tuple[list[tuple[int, int]], int]:
@@ -138,7 +139,8 @@ def without_repeats(
     (start, end) in bytes of the UTF-8 text.
 
     A null text stays null with zeros and no spans; a text may become empty. Rows with the same id do
-    not repeat each other; null ids come last, ordered by a hash of the text. The columns
+    not repeat each other; null ids come last, ordered by a hash of the text, and are the same id if their texts
+    are equal. Digests that a row repeats come to that row only, however many rows share its id. The columns
     n_words, n_chunks, removed_words, spans of docs itself, if any, are replaced.
     """
     shared_folder(docs.sparkSession)
@@ -146,15 +148,19 @@ def without_repeats(
     names = [c for c in docs.columns if c not in new]
     # behind all ids; a place of its own for each text
     last = F.xxhash64(text).bitwiseAND(F.lit((1 << 60) - 1)) + F.lit(7 << 60)
-    key, bytes_, repeats_ = fresh(docs, "_id", "_bytes", "_repeats")
-    own = docs.select(*names, F.coalesce(F.col(doc_id).cast("long"), last).alias(key))
-    bare = own.select(F.col(key).alias("_id"), F.col(text).cast("binary").alias("_bytes"))
+    key, row_, bytes_, repeats_ = fresh(docs, "_id", "_row", "_bytes", "_repeats")
+    place = F.coalesce(F.col(doc_id).cast("long"), last)
+    # rows that share an id are told apart by their texts; where none do, the id will do
+    shared = not docs.groupBy(place.alias("id")).count().where("count > 1").isEmpty()
+    row = F.coalesce(F.xxhash64(text), F.lit(0)) if shared else F.lit(0).cast("long")
+    own = docs.select(*names, place.alias(key), row.alias(row_))
+    bare = own.select(F.col(key).alias("_id"), F.col(row_).alias("_row"), F.col(text).cast("binary").alias("_bytes"))
     found = _occurrences(bare, mean, most, least)
     firsts = found.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("other")).where("first < other")
     firsts = firsts.select("digest", "first").checkpoint()
-    repeats = found.join(firsts, "digest").where("id > first").groupBy("id").agg(
+    repeats = found.join(firsts, "digest").where("id > first").groupBy("id", "row").agg(
         F.collect_set("digest").alias(repeats_)
-    ).withColumnRenamed("id", key).checkpoint()
+    ).withColumnsRenamed({"id": key, "row": row_}).checkpoint()
     schema = T.StructType([
         *own.select(*names).schema.fields,
         *(T.StructField(n, T.LongType()) for n in new[:3]),
@@ -190,5 +196,5 @@ def without_repeats(
                 columns += [pa.array(v, k) for v, k in zip(zip(*info, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, *new])
 
-    joined = own.join(repeats, key, "left").select(*names, F.col(text).cast("binary").alias(bytes_), repeats_)
+    joined = own.join(repeats, [key, row_], "left").select(*names, F.col(text).cast("binary").alias(bytes_), repeats_)
     return joined.mapInArrow(emit, schema)

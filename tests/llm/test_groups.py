@@ -233,6 +233,56 @@ def test_stretches_cover_passages():
         assert (cover == whole).all() and words[chunks.first_chunk[4] :][cover].sum() >= 40
 
 
+def test_rows_that_share_an_id(spark):
+    """Each gets the digests that it repeats itself, not those of all rows of the id."""
+    rng = random.Random(5)
+    text = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    known = [text(60) for _ in range(30)]
+    rows = [(i, t, "s", 0, None, None) for i, t in enumerate(known)]
+    rows += [(99, f"{text(40)} {t} {text(40)}", "s", 0, None, None) for t in known] + [(99, text(100), "s", 0, None, None)]
+    found = [r for r in passages.without_repeats(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect() if r.doc_id == 99]
+    assert len(found) == 31
+    for r in found:
+        assert not any(t in r.text for t in known)
+        assert (r.removed_words >= 25) == (r.n_words == 140) and (r.removed_words == 0) == (r.n_words == 100)
+
+
+def test_repeats_against_all_places(spark):
+    """What is cut, and nothing else, stands in one piece of 20 words in an earlier text or place."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randrange(2, 8)))
+    pool = [[word() for _ in range(rng.choice([15, 30, 60, 90]))] for _ in range(12)]
+    texts = []
+    for _ in range(70):
+        words = []
+        for _ in range(rng.randrange(1, 4)):
+            words += [word() for _ in range(rng.randrange(5, 60))]
+            words += rng.choice(pool)
+        texts.append(words)
+    rows = [(i, " ".join(w), "s", 0, None, None) for i, w in enumerate(texts)]
+    got = {r.doc_id: r for r in passages.without_repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
+    earlier = set()  # runs of 20 words of all earlier texts
+    for i, words in enumerate(texts):
+        runs = [tuple(words[k : k + 20]) for k in range(len(words) - 19)]
+        seen, covered = set(earlier), [0] * len(words)
+        for k, run in enumerate(runs):
+            if run in seen:
+                covered[k : k + 20] = [1] * 20
+            seen.add(run)
+        cut = [0] * len(words)
+        at, data = 0, " ".join(words).encode()
+        for k, w in enumerate(words):
+            cut[k] = any(s.start <= at and at + len(w.encode()) <= s.end for s in got[i].spans)
+            at += len(w.encode()) + 1
+        assert all(c or not x for x, c in zip(cut, covered)), i  # only repeats are cut
+        edges = [k for k in range(len(words) + 1) if (k == 0 or not covered[k - 1]) != (k == len(words) or not covered[k])]
+        for a, b in zip(edges[::2], edges[1::2]):
+            if b - a >= 50:  # all of a long repeat but its ends
+                assert sum(cut[a:b]) >= b - a - 30, (i, a, b)
+        earlier |= set(runs)
+        assert got[i].removed_words == sum(cut) and data
+
+
 def test_chunks_resist_shifts():
     rng = random.Random(8)
     body = " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(400)).encode()

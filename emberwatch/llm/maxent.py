@@ -8,7 +8,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +17,10 @@ from .common import shared_folder, slices, staged, unstage
 END = b""
 #: Rows of weights that travel together, and partial sums that one task adds up.
 BLOCK, FAN_IN = 64, 64
-#: Training tokens of a task, if there are more than the cluster has cores for: each task sends all the rows it met.
-TASK_TOKENS = 1 << 23
+#: Training tokens from which one model learns before models are averaged; it sends all the rows it met.
+PART_TOKENS = 1 << 23
+#: Places whose chances are made at a time.
+CHUNK = 1024
 
 
 @dataclass
@@ -99,56 +100,94 @@ class Weights:
     def rows(hashes: np.ndarray, size: int) -> np.ndarray:
         return (((hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)) % np.uint64(size)).astype(np.uint16 if size <= 1 << 16 else np.int64)
 
-    def logits(self, table: int, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
-        total = bias + self.tables[table].take(rows[0], 0)
+    def logits(self, table: int, rows: np.ndarray, bias: np.ndarray, out: np.ndarray, more: np.ndarray) -> None:
+        """Sums of the places' rows and bias, less the greatest of each place, into `out`; `more` is room for a row each."""
+        weights = self.tables[table]
+        weights.take(rows[0], 0, out=out, mode="clip")
         for r in rows[1:]:
-            total += self.tables[table].take(r, 0)
-        return total
+            weights.take(r, 0, out=more, mode="clip")
+            out += more
+        out += bias
+        out -= out.max(1, keepdims=True)
 
     def parts(self, features: np.ndarray, target: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For classes, then members: table, the places that it concerns, rows of weights, log chances, right column."""
+        """For classes, then members: table, the places that it concerns, rows of weights, biases, right column."""
         shape = self.shape
         known = target < shape.known
         group = np.where(known, target // shape.members, shape.classes + target - shape.known)
-        rows = self.rows(features, shape.class_rows)
-        yield 0, np.arange(len(target)), rows, _log_softmax(self.logits(0, rows, self.class_bias)), group
+        yield 0, np.arange(len(target)), self.rows(features, shape.class_rows), self.class_bias[None], group
         own = np.flatnonzero(known)
         with_class = features[:, own] + (group[own].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-        rows = self.rows(with_class, shape.member_rows)
-        yield 1, own, rows, _log_softmax(self.logits(1, rows, self.member_bias.take(group[own], 0))), target[own] % shape.members
+        yield 1, own, self.rows(with_class, shape.member_rows), self.member_bias.take(group[own], 0), target[own] % shape.members
+
+    def room(self, places: int) -> list[np.ndarray]:
+        return [np.empty((places, t.shape[1]), np.float32) for t in self.tables]
 
     def log_chances(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Natural log of the chance of the symbols at these places."""
         out = np.zeros(len(at))
-        for s in range(0, len(at), self.shape.batch):
-            place = at[s : s + self.shape.batch]
-            for _, own, _, logs, column in self.parts(self.features(symbols, place), symbols[place]):
-                out[s + own] += logs[np.arange(len(own)), column]
+        x_of, more = self.room(CHUNK), self.room(CHUNK)
+        for s in range(0, len(at), CHUNK):
+            place = at[s : s + CHUNK]
+            for t, own, rows, bias, column in self.parts(self.features(symbols, place), symbols[place]):
+                n = len(own)
+                x = x_of[t][:n]
+                self.logits(t, rows, bias, x, more[t][:n])
+                right = x[np.arange(n), column]
+                np.exp(x, out=x)
+                out[s + own] += right - np.log(x.sum(1))
         return out
 
     def learn(self, symbols: np.ndarray, at: np.ndarray, squares: list[np.ndarray], touched: list[np.ndarray]) -> None:
-        """Gradient steps (a rate per row, falling with its past gradients) over batches of places in order."""
+        """Gradient steps (a rate per row, falling with its past gradients) over batches of places in order.
+
+        A batch's chances are made for CHUNK places at a time, which stay in the cache.
+        """
+        slopes, more = self.room(self.shape.batch), self.room(CHUNK)
         for s in range(0, len(at), self.shape.batch):
             place = at[s : s + self.shape.batch]
-            for t, _, rows, logs, column in self.parts(self.features(symbols, place), symbols[place]):
-                if not rows.size:
+            for t, own, rows, bias, column in self.parts(self.features(symbols, place), symbols[place]):
+                n = len(own)
+                if not n:
                     continue
-                slope = np.exp(logs)
-                slope[np.arange(len(column)), column] -= 1
-                flat = rows.ravel()
-                order = np.argsort(flat, kind="stable")
-                first = np.flatnonzero(np.diff(flat[order], prepend=-1))
-                sums = np.add.reduceat(slope.take(order % rows.shape[1], 0), first, axis=0)
-                own = flat[order][first]
-                squares[t][own] += (sums * sums).mean(1)
-                touched[t][own] += np.diff(np.append(first, len(flat)))
-                self.tables[t][own] -= self.shape.rate * sums / np.sqrt(squares[t][own] + 1e-6)[:, None]
-
-
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    x -= np.log(np.exp(x).sum(1, keepdims=True))
-    return x
+                slope = slopes[t][:n]
+                for a in range(0, n, CHUNK):
+                    b = min(n, a + CHUNK)
+                    x = slope[a:b]
+                    self.logits(t, rows[:, a:b], bias if len(bias) == 1 else bias[a:b], x, more[t][: b - a])
+                    np.exp(x, out=x)
+                    x /= x.sum(1, keepdims=True)
+                slope[np.arange(n), column] -= 1
+                met, count, sums = _sums_by_row(slope, rows)
+                squares[t][met] += np.einsum("ij,ij->i", sums, sums) / sums.shape[1]
+                touched[t][met] += count
+                sums *= (self.shape.rate / np.sqrt(squares[t][met] + 1e-6))[:, None]
+                self.tables[t][met] -= sums
+
+
+def _sums_by_row(slope: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row of weights, how often it is met, and the sum of the slopes of the places that meet it.
+
+    Most are met a few times: the first meetings of all rows are added up at once, then the second ones,
+    and so on. The few that are met often are summed one by one.
+    """
+    flat = rows.ravel()
+    order = np.argsort(flat, kind="stable")
+    first = np.flatnonzero(np.diff(flat[order].astype(np.int64), prepend=-1))
+    count = np.diff(np.append(first, len(flat)))
+    by_count = np.argsort(-count, kind="stable")
+    first, count = first[by_count], count[by_count]
+    place = order % rows.shape[1]
+    sums = slope.take(place[first], 0)
+    more_than = lambda n: int(np.searchsorted(-count, -n, side="left"))
+    often = more_than(64)
+    for i in range(often):
+        sums[i] = slope.take(place[first[i] : first[i] + count[i]], 0).sum(0)
+    n = 1
+    while (upto := more_than(n)) > often:
+        sums[often:upto] += slope.take(place[first[often:upto] + n], 0)
+        n += 1
+    return flat[order[first]], count, sums
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
@@ -171,32 +210,51 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("_bytes").mapInArrow(emit, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _round(docs: DataFrame, weights: Weights, vocabulary: Vocabulary) -> None:
-    """One round of distributed updates: each task steps through its texts from the same weights; rows are then
-    averaged, weighted by how often each task met them."""
+def _round(docs: DataFrame, parts: int, weights: Weights, vocabulary: Vocabulary) -> None:
+    """One round of distributed updates: each part's texts (_part, in order) step from the same weights; rows are then
+    averaged, weighted by how often each part met them."""
     context = docs.sparkSession.sparkContext
     sent = context.broadcast((weights, vocabulary))
     widths = [t.shape[1] for t in weights.tables]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, vocabulary = sent.value
-        own = Weights(start.shape, start.class_bias, start.member_bias)
-        own.tables = [t.copy() for t in start.tables]
-        squares, touched = ([np.zeros(len(t), np.float32) for t in own.tables] for _ in range(2))
+        part, own, squares, touched, waiting, size = None, None, [], [], [], 0
+
+        def learn() -> None:
+            symbols, use = vocabulary.tokens([t.lower().split() for t in waiting])
+            own.learn(symbols, np.flatnonzero(use), squares, touched)
+
+        def told() -> pa.RecordBatch:
+            if waiting:
+                learn()
+            blocks, values = [], []
+            for t, table in enumerate(own.tables):
+                sums = np.hstack([(table - start.tables[t]) * touched[t][:, None], touched[t][:, None]]).astype(np.float32)
+                for b in np.unique(np.flatnonzero(touched[t]) // BLOCK):
+                    blocks.append(2 * int(b) + t)
+                    values.append(sums[b * BLOCK : (b + 1) * BLOCK].tobytes())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(blocks, pa.int64()), pa.array([part] * len(blocks), pa.int64()), pa.array(values, pa.binary())], ["block", "task", "sums"]
+            )
+
         for batch in batches:
-            for _, _, texts in slices(batch, "_bytes", 1 << 20):
-                symbols, use = vocabulary.tokens([(t or b"").lower().split() for t in texts])
-                own.learn(symbols, np.flatnonzero(use), squares, touched)
-        task = TaskContext.get().partitionId()
-        blocks, values = [], []
-        for t, table in enumerate(own.tables):
-            sums = np.hstack([(table - start.tables[t]) * touched[t][:, None], touched[t][:, None]]).astype(np.float32)
-            for b in np.unique(np.flatnonzero(touched[t]) // BLOCK):
-                blocks.append(2 * int(b) + t)
-                values.append(sums[b * BLOCK : (b + 1) * BLOCK].tobytes())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(blocks, pa.int64()), pa.array([task] * len(blocks), pa.int64()), pa.array(values, pa.binary())], ["block", "task", "sums"]
-        )
+            for first, _, texts in slices(batch, "_bytes", 1 << 20):
+                for group, text in zip(batch.column("_part").slice(first, len(texts)).to_pylist(), texts, strict=True):
+                    if group != part:
+                        if own is not None:
+                            yield told()
+                        part, own, waiting, size = group, Weights(start.shape, start.class_bias, start.member_bias), [], 0
+                        own.tables = [t.copy() for t in start.tables]
+                        squares, touched = ([np.zeros(len(t), np.float32) for t in own.tables] for _ in range(2))
+                    # steps are over the part's texts, however they come in batches
+                    waiting.append(text or b"")
+                    size += len(waiting[-1])
+                    if size >= 1 << 20:
+                        learn()
+                        waiting, size = [], 0
+        if own is not None:
+            yield told()
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(0, np.float32)
@@ -206,13 +264,13 @@ def _round(docs: DataFrame, weights: Weights, vocabulary: Vocabulary) -> None:
         return pa.table({"block": table.column("block").slice(0, 1), "task": pa.array([table.column("task")[0].as_py()]), "sums": pa.array([total.tobytes()], pa.binary())})
 
     schema = "block long, task long, sums binary"
-    partial = docs.select("_bytes").mapInArrow(emit, schema)
-    tasks, width = docs.rdd.getNumPartitions(), 1
+    partial = docs.select("_part", "_bytes").mapInArrow(emit, schema)
+    width = 1
     while True:
         width *= FAN_IN
         grouped = partial.withColumn("group", F.floor(F.col("task") / width)).groupBy("block", "group")
         partial = grouped.applyInArrow(add, schema)
-        if width >= tasks:
+        if width >= parts:
             break
     for r in partial.collect():  # at most the rows of the tables
         b, t = divmod(r["block"], 2)
@@ -277,9 +335,11 @@ def scored(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text: s
         rare[r["r"]] += r["m"]
     weights = Weights(shape, *_biases(shape, np.array([c for _, c in frequent], float), rare))
     part = F.pmod(F.xxhash64(F.lit(3), "_bytes"), F.lit(shape.rounds))
-    tasks = max(spark.sparkContext.defaultParallelism, -(-n // TASK_TOKENS))
+    # texts are dealt to parts, and ordered, by a hash: tokens alone say how many models are averaged, and of which texts
+    parts, place = max(1, -(-n // (PART_TOKENS * shape.rounds))), F.xxhash64("doc_id", "_bytes")
     for i in range(shape.rounds):
-        _round(training.where(part == i).coalesce(tasks), weights, vocabulary)
+        dealt = training.where(part == i).select(F.pmod(place, F.lit(parts)).alias("_part"), place.alias("_place"), "_bytes")
+        _round(dealt.repartition("_part").sortWithinPartitions("_part", "_place"), parts, weights, vocabulary)
     sent = spark.sparkContext.broadcast((weights, vocabulary, direct, np.log10(rare)))
     floor = np.log10(n + 0.1 * (v + 1))
     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]

@@ -308,6 +308,68 @@ def test_model_chances_add_up():
         assert abs(total - 1) < 1e-4
 
 
+def test_sums_by_row():
+    rng = np.random.default_rng(5)
+    for n, rows in ((1, 3), (50, 4), (3_000, 40), (300, 10_000)):
+        at = np.minimum(rng.zipf(1.3, (4, n)), rows - 1).astype(np.uint16)
+        slope = rng.normal(size=(n, 7)).astype(np.float32)
+        want = np.zeros((rows, 7))
+        for r in at:
+            np.add.at(want, r, slope)
+        met, count, sums = maxent._sums_by_row(slope, at)
+        assert sorted(met) == sorted(set(at.ravel().tolist())) and len(set(met)) == len(met)
+        assert (count == np.bincount(at.ravel(), minlength=rows)[met]).all() and np.allclose(sums, want[met], atol=1e-3)
+
+
+def test_chances_and_a_step_by_brute_force():
+    """The chance of each place, and the weights after one batch, from the definition, place by place."""
+    shape = maxent.Shape(classes=3, members=4, rare=2, class_rows=16, member_rows=16, batch=500)
+    rng = np.random.default_rng(6)
+    weights = maxent.Weights(shape, rng.normal(size=5), np.log(rng.dirichlet(np.ones(4), 3)))
+    weights.tables = [rng.normal(size=t.shape).astype(np.float32) for t in weights.tables]
+    symbols, at = rng.integers(0, 14, 300), np.arange(3, 300)
+    slope = [np.zeros(t.shape) for t in weights.tables]
+    want = []
+
+    def softmax(x):
+        e = np.exp(x - x.max())
+        return e / e.sum()
+
+    for place in at:
+        features, s = weights.features(symbols, np.array([place])), symbols[place]
+        group = s // 4 if s < 12 else 3 + s - 12
+        rows = weights.rows(features, 16)[:, 0]
+        p = softmax(weights.class_bias + weights.tables[0][rows].astype(float).sum(0))
+        want.append(math.log(p[group]))
+        np.add.at(slope[0], rows, p - np.eye(5)[group])
+        if s < 12:
+            with_class = features + (np.uint64(group) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+            rows = weights.rows(with_class, 16)[:, 0]
+            p = softmax(weights.member_bias[group] + weights.tables[1][rows].astype(float).sum(0))
+            want[-1] += math.log(p[s % 4])
+            np.add.at(slope[1], rows, p - np.eye(4)[s % 4])
+    assert np.allclose(weights.log_chances(symbols, at), want, atol=1e-4)
+    before = [t.copy() for t in weights.tables]
+    weights.learn(symbols, at, *[[np.zeros(len(t), np.float32) for t in weights.tables] for _ in range(2)])
+    for t in range(2):
+        step = shape.rate * slope[t] / np.sqrt((slope[t] ** 2).mean(1, keepdims=True) + 1e-6)
+        assert np.allclose(weights.tables[t], before[t] - step, atol=1e-3)
+
+
+def test_scores_do_not_depend_on_the_cluster(spark, docs, monkeypatch):
+    """The same scores, to the rounding of sums, however the rows come and however many tasks there are."""
+    monkeypatch.setattr(maxent, "PART_TOKENS", 5_000)
+    shape = maxent.Shape(classes=2, members=4, rare=3, class_rows=64, member_rows=64, direct=6, batch=64)
+    seen = []
+    for rows, shuffles in ((1, "2"), (9, "13")):
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+        got = maxent.scored(docs.repartition(rows), held_out(F.col("doc_id"), 10, 0), shape=shape).collect()
+        seen.append(sorted((str(r.doc_id), r.n_tokens, r.score) for r in got))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert [x[:2] for x in seen[0]] == [x[:2] for x in seen[1]]
+    assert np.allclose([x[2] for x in seen[0]], [x[2] for x in seen[1]], rtol=1e-4)
+
+
 def test_third_word_before_is_learnt():
     shape = maxent.Shape(classes=2, members=8, rare=2, batch=256)
     rng = np.random.default_rng(7)

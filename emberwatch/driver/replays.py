@@ -33,6 +33,28 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _parts(spark: SparkSession) -> int:
+    """Parts of the state of a replay this size: one per core at most."""
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def _written(rows: DataFrame, name: str) -> DataFrame:
+    """What a stream has written once it has read all its files."""
+    spark = rows.sparkSession
+    out, setting = _folder(spark, name), "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, _parts(spark))
+    try:
+        query = (
+            rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", _folder(spark, "checkpoint"))
+            .trigger(availableNow=True).start()
+        )
+    finally:
+        spark.conf.set(setting, before)
+    query.awaitTermination()
+    return spark.read.parquet(out)
+
+
 def _with_last(events: DataFrame) -> DataFrame:
     """The events and one long after them that no rule knows."""
     last = events.limit(1).withColumns({"ts": F.expr(_LAST), "action": F.lit("end"), "status": F.lit("info")})
@@ -58,9 +80,7 @@ def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     shuffled = [events.where(part == k).orderBy(F.xxhash64("tie")) for k in range(4)]
     stream = _replayed(spark, [*shuffled, _with_last(events).where(F.col("action") == "end")])
     detector = StreamDetector(rules, _folder(spark, "detected"), timedelta(days=9))
-    # a part of the state per core of a replay this size
-    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    query = detector.start(stream, _folder(spark, "checkpoint"), parts, availableNow=True)
+    query = detector.start(stream, _folder(spark, "checkpoint"), _parts(spark), availableNow=True)
     query.awaitTermination()
     return detector.alerts(spark).select("alert_id", "rule_id", "severity", "evidence_count", "n_matches")
 
@@ -84,14 +104,8 @@ def stream_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "file", F.substring("value", -12, 12)
     ).write.partitionBy("file").text(folder)
     lines = ingest.stream_lines(spark, f"{folder}/*", "auth")
-    out = _folder(spark, "lines")
-    query = (
-        lines.writeStream.format("parquet").option("path", out).option("checkpointLocation", _folder(spark, "checkpoint"))
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
     number = F.substring("line", -12, 12).cast("bigint")
-    found = spark.read.parquet(out).select(number.alias("line_no"), "tie", F.shiftright("tie", ingest.PLACE_BITS).alias("file"))
+    found = _written(lines, "lines").select(number.alias("line_no"), "tie", F.shiftright("tie", ingest.PLACE_BITS).alias("file"))
     # positions of a file in order, as the numbers in its lines are
     before = F.lag("line_no").over(Window.partitionBy("file").orderBy("tie"))
     return found.select("line_no", before.alias("before"))
@@ -106,13 +120,7 @@ def repeated_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines.coalesce(1).write.mode("append").text(folder)
     stream = ingest.stream_lines(spark, folder, "access")
     once = ingest.without_repeats(ingest.stream_events(stream, 2024, "web"), "60 days")
-    out = _folder(spark, "events")
-    query = (
-        once.select("ts", "src_ip", "http_status").writeStream.format("parquet").option("path", out)
-        .option("checkpointLocation", _folder(spark, "checkpoint")).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    found = spark.read.parquet(out).groupBy("src_ip", "http_status").agg(F.count(F.lit(1)).alias("events"), F.max("ts").alias("last_seen"))
+    found = _written(once.select("ts", "src_ip", "http_status"), "events").groupBy("src_ip", "http_status").agg(F.count(F.lit(1)).alias("events"), F.max("ts").alias("last_seen"))
     return T.plain_time(found)
 
 
@@ -125,13 +133,7 @@ def late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     newest, oldest = events.where("tie % 2 = 0"), events.where("tie % 2 = 1")
     stream = _replayed(spark, [newest, newest.orderBy(F.desc("ts"), "tie").limit(1), oldest])
     once = ingest.without_repeats(stream, "10 days", on=("ts", "raw"))
-    out = _folder(spark, "events")
-    query = (
-        once.select("tie", "action").writeStream.format("parquet").option("path", out)
-        .option("checkpointLocation", _folder(spark, "checkpoint")).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return spark.read.parquet(out).select("tie", "action")
+    return _written(once.select("tie", "action"), "events").select("tie", "action")
 
 
 def event_sink(spark: SparkSession, sf_dir: str) -> DataFrame:

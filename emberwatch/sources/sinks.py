@@ -38,7 +38,8 @@ def merge_alerts(alerts: DataFrame, path: str) -> None:
     """Bring the table of alerts up to date: new ids are added, known ones replaced.
 
     The table need not exist yet. An alert that has grown keeps its id and the day it began,
-    so only the days of the given alerts are written anew.
+    so only the days of the given alerts are written anew. One writer at a time: of two that run at
+    once, the later one overwrites days without the other's alerts.
     """
     spark = alerts.sparkSession
     days = F.to_date("first_seen")

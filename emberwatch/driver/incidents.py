@@ -18,7 +18,6 @@ from emberwatch.plans import detect as D
 from emberwatch.plans.rules import Burst, Sequence, Travel, shipped_rules
 from emberwatch.sources import normalize as N
 
-YEAR = 2024
 #: Seconds from one episode to the next.
 EPISODE = 10_800
 
@@ -78,7 +77,8 @@ def lines(rows: DataFrame) -> DataFrame:
                                        "PWD=/ ; USER=root ; COMMAND=/bin/id"),
     ).otherwise(text(stamp, "gate sudo: ", c("principal"), " : TTY=pts/0 ; PWD=/ ; USER=root ; COMMAND=/bin/id"))
     ssh = F.when(c("r") == 8, sudo).otherwise(
-        text(stamp, "gate sshd[7]: ", F.when(c("status") == "success", "Accepted").otherwise("Failed"), " password for ",
+        # the process number tells lines apart that are alike else, as `raw` does
+        text(stamp, "gate sshd[", c("raw"), "]: ", F.when(c("status") == "success", "Accepted").otherwise("Failed"), " password for ",
              c("principal"), " from ", c("src_ip"), " port 50022 ssh2")
     )
     web = text(
@@ -101,12 +101,12 @@ def lines(rows: DataFrame) -> DataFrame:
     line = line.when(c("r") == 2, scan).otherwise(flow)
     return rows.select(
         F.lit("replayed").alias("feed"), F.lit(0).alias("feed_order"), c("tie").alias("line_no"), c("source").alias("parser"),
-        line.alias("line"),
+        F.year("ts").alias("year"), line.alias("line"),
     )
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.events(N.parse_routed(lines(scenes(spark, sf_dir)), YEAR))
+    return N.events(N.parse_routed(lines(scenes(spark, sf_dir)), F.col("year"))).drop("year")
 
 
 _COLUMNS = ["alert_id", "rule_id", "severity", "mitre_id", "entity_key", "first_seen", "last_seen", "evidence_count", "n_matches"]

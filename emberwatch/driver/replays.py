@@ -61,12 +61,18 @@ def _with_last(events: DataFrame) -> DataFrame:
     return events.unionByName(last)
 
 
-def _replayed(spark: SparkSession, batches: list[DataFrame]):
-    """The batches as a file stream: one file each, in this order, one per micro-batch."""
+def _replayed(spark: SparkSession, batches: list[DataFrame], files: int = 1):
+    """The batches as a file stream: so many files each, in this order, one batch per micro-batch.
+
+    Rows are dealt to several files, and ordered in them, by a hash. A batch of too few rows for its files
+    takes some of the next one's.
+    """
     folder = _folder(spark, "stream")
     for rows in batches:
-        rows.coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        place = F.xxhash64("tie")
+        dealt = rows.coalesce(1) if files == 1 else rows.repartition(files, place).sortWithinPartitions(place)
+        dealt.write.mode("append").parquet(folder)
+    return spark.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,8 +83,8 @@ def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     if ends.a is None:
         return spark.createDataFrame([], "alert_id string, rule_id string, severity string, evidence_count bigint, n_matches bigint")
     part = F.least(F.floor((F.unix_seconds("ts") - ends.a) * 4 / (ends.b - ends.a + 1)), F.lit(3))
-    shuffled = [events.where(part == k).orderBy(F.xxhash64("tie")) for k in range(4)]
-    stream = _replayed(spark, [*shuffled, _with_last(events).where(F.col("action") == "end")])
+    batches = [events.where(part == k) for k in range(4)]
+    stream = _replayed(spark, [*batches, _with_last(events).where(F.col("action") == "end")], _parts(spark))
     detector = StreamDetector(rules, _folder(spark, "detected"), timedelta(days=9))
     query = detector.start(stream, _folder(spark, "checkpoint"), _parts(spark), availableNow=True)
     query.awaitTermination()

@@ -62,7 +62,7 @@ _FIELDS = [
 
 def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scenes' fields, one row per event, with a time."""
-    T.read(spark, sf_dir, "events").createOrReplaceTempView("events")
+    T.events(spark, sf_dir).createOrReplaceTempView("events")
     rows = spark.sql(f"SELECT {', '.join(_FIELDS)} FROM ({_SCENE})")
     return rows.withColumn("ts", F.timestamp_seconds("sec").cast("timestamp_ntz")).drop("sec")
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from emberwatch.driver import incidents as I
 from emberwatch.driver import tables as T
 from emberwatch.operators.staging import spread
 
@@ -23,7 +24,7 @@ def sizes(rows):
     return [r.n for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
 
 
-@pytest.mark.parametrize("made", [T.security_events])
+@pytest.mark.parametrize("made", [T.security_events, I.scenes])
 def test_a_row_group_is_worked_on_by_many_tasks(spark, folder, made):
     rows = made(spark, folder)
     found = sizes(rows)

@@ -20,6 +20,8 @@ from emberwatch.sources import sinks
 from emberwatch.streaming import ingest
 from emberwatch.streaming.detector import StreamDetector
 
+#: Lines of a log file at most; more go to further files of the same log.
+FILE_LINES = 1 << 20
 #: An event long after all others lets a stream settle everything before it.
 _LAST = "TIMESTAMP '2199-01-01 00:00:00'"
 
@@ -103,18 +105,29 @@ def stream_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log lines of one folder as a stream; the place of each among the lines of its file and second."""
     events = T.security_events(spark, sf_dir)
     folder = _folder(spark, "logs")
-    numbered = T.ssh_lines(events).withColumn("file", F.pmod(F.col("line_no"), F.lit(4)))
+    logs = 4
+    log = lambda n: F.pmod(n, F.lit(logs))
+    run = lambda n: F.floor(n / (logs * FILE_LINES))
+    runs = (events.agg(F.max(run(F.col("tie")))).first()[0] or 0) + 1
     # the text carries the number of its line, by which the result can be told
     text = F.concat("line", F.lit(" #"), F.lpad(F.col("line_no").cast("string"), 12, "0"))
-    numbered.select("file", text.alias("value")).repartition(4, "file").sortWithinPartitions(
-        "file", F.substring("value", -12, 12)
-    ).write.partitionBy("file").text(folder)
-    lines = ingest.stream_lines(spark, f"{folder}/*", "auth")
+    rows = T.ssh_lines(events).select("line_no", text.alias("value"), log(F.col("line_no")).alias("file"), run(F.col("line_no")).alias("run"))
+    # a task writes one file
+    rows.repartitionById(logs * runs, (F.col("run") * logs + F.col("file")).cast("int")).sortWithinPartitions(
+        "file", "run", "line_no"
+    ).select("value", "file", "run").write.partitionBy("file", "run").text(folder)
+    lines = ingest.stream_lines(spark, f"{folder}/*/*", "auth")
     number = F.substring("line", -12, 12).cast("bigint")
-    found = _written(lines, "lines").select(number.alias("line_no"), "tie", F.shiftright("tie", ingest.PLACE_BITS).alias("file"))
+    found = _written(lines, "lines").select(number.alias("line_no"), "tie", F.shiftright("tie", ingest.PLACE_BITS).alias("code"))
+    found = found.withColumns({"file": log(F.col("line_no")), "run": run(F.col("line_no"))})
     # positions of a file in order, as the numbers in its lines are
-    before = F.lag("line_no").over(Window.partitionBy("file").orderBy("tie"))
-    return found.select("line_no", before.alias("before"))
+    file = ["code", "file", "run"]
+    placed = found.withColumn("before", F.lag("line_no").over(Window.partitionBy(*file).orderBy("tie")))
+    # the first line of a file follows the last one of the file before it
+    lasts = found.groupBy(*file).agg(F.max_by("line_no", "tie").alias("last")).select(
+        *file, F.lag("last").over(Window.partitionBy("file").orderBy("run")).alias("earlier")
+    )
+    return placed.join(F.broadcast(lasts), file).select("line_no", F.coalesce("before", "earlier").alias("before"))
 
 
 def repeated_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:

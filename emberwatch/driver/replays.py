@@ -158,10 +158,11 @@ def late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed events and skipped lines appended in two parts and read back, counted by day and source."""
     events = T.security_events(spark, sf_dir)
-    parsed = N.parse_routed(T.all_lines(events), 2024)
+    lines = T.all_lines(events)
     kept, left = _folder(spark, "events"), _folder(spark, "skipped")
     for half in (0, 1):
-        part = staged(parsed.where(F.col("line_no") % 2 == half))
+        # picked before the parse, below which no filter moves
+        part = staged(N.parse_routed(lines.where(F.col("line_no") % 2 == half), 2024))
         sinks.write_events(N.events(part), kept)
         sinks.write_skipped(N.skipped(part), left)
     found = spark.read.parquet(kept).groupBy(F.col("day").cast("string").alias("day"), "source").agg(F.count(F.lit(1)).alias("n"))

@@ -10,9 +10,13 @@ from emberwatch.operators.staging import staged
 
 
 def write_events(events: DataFrame, path: str) -> None:
-    """Append events, partitioned by day and source."""
+    """Append events, partitioned by day and source.
+
+    Rows of a folder come together first, in parts of even size, or each task would write a file to every folder.
+    """
     (
         events.withColumn("day", F.to_date("ts"))
+        .hint("rebalance", "day", "source")
         .write.mode("append")
         .partitionBy("day", "source")
         .parquet(path)

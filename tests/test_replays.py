@@ -24,3 +24,22 @@ def test_a_log_goes_on_in_further_files(spark, folder, monkeypatch):
     monkeypatch.setattr(R, "FILE_LINES", 40)
     rows = R.stream_positions(spark, folder).collect()
     assert {r.line_no: r.before for r in rows} == {n: n - 4 if n > 3 else None for n in range(ROWS)} and len(rows) == ROWS
+
+
+def test_halves_are_parsed_once_and_written_to_few_files(spark, folder, monkeypatch):
+    parse, given, events, written = R.N.parse_routed, [], R.sinks.write_events, []
+
+    def counted(lines, year):
+        given.append(lines.count())
+        return parse(lines, year)
+
+    def kept(rows, path):
+        events(rows, path)
+        written.append(spark.read.parquet(path).select(F.input_file_name()).distinct().count())
+
+    monkeypatch.setattr(R.N, "parse_routed", counted)
+    monkeypatch.setattr(R.sinks, "write_events", kept)
+    found = R.event_sink(spark, folder).collect()
+    assert given == [ROWS // 2, ROWS // 2] and sum(r.n for r in found) == ROWS
+    folders = [10, 20]  # even ties are of two sources on five days each; odd ones likewise
+    assert all(n <= most for n, most in zip(written, folders, strict=True))

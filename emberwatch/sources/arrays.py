@@ -34,24 +34,37 @@ def _pieces(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     )
 
 
+def _marks() -> np.ndarray:
+    marks = np.zeros(256, np.int8)
+    for chars, mark in ((b"[{", 1), (b"]}", -1), (b'"', 2)):
+        marks[list(chars)] = mark
+    return marks
+
+
 def _scan(text: np.ndarray, sizes: np.ndarray, state: int) -> tuple[np.ndarray, np.ndarray]:
     """At the end of each piece: whether it is inside a string, and how many more brackets are open than before.
 
     `text` is the pieces' bytes side by side; `state` is 1 if the first begins inside a string.
     """
-    at = np.arange(len(text))
-    plain = np.maximum.accumulate(np.where(text != _BACKSLASH, at, -1)) if len(text) else at
-    slashes = at - 1 - np.concatenate([[-1], plain[:-1]]) if len(text) else at
     ends = np.cumsum(sizes)
-    # a run of backslashes does not reach over a comma
-    begin = np.repeat(ends - sizes, sizes)
-    slashes = np.minimum(slashes, at - begin)
-    quote = (text == _QUOTE) & (slashes % 2 == 0)
+    marks = _marks().take(text)
+    at = np.flatnonzero(marks)  # quotes and brackets; all else changes nothing
+    mark = marks[at]
+    quote = mark == 2
+    if len(slash := np.flatnonzero(text == _BACKSLASH)):
+        # a run of backslashes ends where the next byte is another one, and does not reach over a comma
+        begins = np.flatnonzero(np.diff(slash, prepend=-2) != 1)
+        run = np.searchsorted(slash[begins], at, "left") - 1
+        last = np.append(slash[begins[1:] - 1], slash[-1])
+        before = (run >= 0) & (last[run] == at - 1)
+        piece = np.searchsorted(ends, at, "right")
+        first = np.maximum(slash[begins][run], (ends - sizes)[piece])
+        quote &= ~(before & ((at - first) % 2 == 1))
     inside = (np.cumsum(quote) + state) % 2 == 1
-    level = np.isin(text, (123, 91)).astype(np.int64) - np.isin(text, (125, 93))
-    open_brackets = np.concatenate([[0], np.cumsum(np.where(inside, 0, level))])
-    quotes = np.concatenate([[state], inside])
-    return quotes[ends] == 1, open_brackets[ends]
+    level = np.where(inside | (mark == 2), 0, mark)
+    upto = np.searchsorted(at, ends, "left")
+    quotes = np.concatenate([[state == 1], inside])
+    return quotes[upto], np.concatenate([[0], np.cumsum(level, dtype=np.int64)])[upto]
 
 
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple, pa.RecordBatch]]:
@@ -67,8 +80,11 @@ def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple, pa.RecordBatch]]:
 
 
 def _bytes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    values = [v.encode() for v in batch.column("value").to_pylist()]
-    return np.frombuffer(b"".join(values), np.uint8), np.fromiter(map(len, values), np.int64, len(values))
+    """The pieces' bytes side by side, and how many each has."""
+    values = batch.column("value").cast(pa.large_binary())
+    _, offsets, text = values.buffers()
+    ends = np.frombuffer(offsets, np.int64)[values.offset : values.offset + len(values) + 1]
+    return np.frombuffer(text or b"", np.uint8)[ends[0] : ends[-1]], np.diff(ends)
 
 
 _OUTCOME = "_file string, _start bigint, entry int, parity int, opens boolean, opened bigint, depth bigint, ends bigint"
@@ -163,11 +179,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             text, sizes = _bytes(rows)
             inside, outer = _scan(text, sizes, state)
-            for value, ended in zip(values, (~inside & (depth + outer == 1)).tolist(), strict=True):
-                waiting.append(value)
-                if ended:
-                    out.append((own[0], element, own[1], whole, False, ",".join(waiting)))
-                    element, waiting, whole = element + 1, [], True
+            begun = 0
+            for ended in (np.flatnonzero(~inside & (depth + outer == 1)) + 1).tolist():
+                out.append((own[0], element, own[1], whole, False, ",".join(waiting + values[begun:ended])))
+                element, waiting, whole, begun = element + 1, [], True, ended
+            waiting += values[begun:]
             state, depth = int(inside[-1]), depth + int(outer[-1])
         yield table(out)
     yield table(rest())

@@ -43,3 +43,11 @@ def test_halves_are_parsed_once_and_written_to_few_files(spark, folder, monkeypa
     assert given == [ROWS // 2, ROWS // 2] and sum(r.n for r in found) == ROWS
     folders = [10, 20]  # even ties are of two sources on five days each; odd ones likewise
     assert all(n <= most for n, most in zip(written, folders, strict=True))
+
+
+def test_lines_of_an_array_are_parsed_once(spark, folder):
+    rows = Q.json_array_files(spark, folder)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2  # whole elements and those across splits
+    found = rows.collect()
+    assert {r.feed for r in found if r.ts is None} == {"5", "15"}

@@ -57,29 +57,34 @@ class Shape:
 
 
 class Vocabulary:
-    """Symbols of tokens: rank for the most frequent, then one per class of rare words."""
+    """Symbols of tokens: rank for the most frequent, then one per class of rare words.
 
-    def __init__(self, shape: Shape, frequent: list[tuple[bytes, int]]) -> None:
+    `more` are rare words that have a number too, after the ranks.
+    """
+
+    def __init__(self, shape: Shape, frequent: list[tuple[bytes, int]], more: list[bytes] | tuple = ()) -> None:
         self.shape = shape
         self.rank = {w: i for i, (w, _) in enumerate(frequent)}
+        self.rank |= {w: i for i, w in enumerate(more, shape.known)}
 
-    def tokens(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols of texts, each led by three ends as context and closed by one; whether each is a token to predict."""
+    def tokens(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols of texts, each led by three ends as context and closed by one; whether each is a token to predict; numbers of words, or -1."""
         rank, marks, all_words, lengths = self.rank.get, (b"\0", b"\0", b"\0"), [], []
         for words in texts:
             all_words += marks
             all_words += words
             all_words.append(b"\0")
             lengths.append(len(words) + 4)
-        symbols = np.array([rank(w, -1) for w in all_words], np.int64)
-        last = np.array([w[-1] for w in all_words], np.int64)
-        symbols = np.where(symbols < 0, self.shape.known + last % self.shape.rare, symbols)
-        use = np.ones(len(symbols), bool)
+        numbers = np.fromiter((rank(w, -1) for w in all_words), np.int64, len(all_words))
+        use = np.ones(len(numbers), bool)
         ends = np.cumsum(lengths)
         starts = ends - lengths
         use[starts] = use[starts + 1] = use[starts + 2] = False
-        symbols[starts] = symbols[starts + 1] = symbols[starts + 2] = symbols[ends - 1] = self.rank[END]
-        return symbols, use
+        numbers[starts] = numbers[starts + 1] = numbers[starts + 2] = numbers[ends - 1] = self.rank[END]
+        symbols = numbers.copy()
+        rare = np.flatnonzero((numbers < 0) | (numbers >= self.shape.known))
+        symbols[rare] = self.shape.known + np.fromiter((all_words[i][-1] for i in rare.tolist()), np.int64, len(rare)) % self.shape.rare
+        return symbols, use, numbers
 
 
 class Weights:
@@ -101,14 +106,34 @@ class Weights:
         return (((hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)) % np.uint64(size)).astype(np.uint16 if size <= 1 << 16 else np.int64)
 
     def logits(self, table: int, rows: np.ndarray, bias: np.ndarray, out: np.ndarray, more: np.ndarray) -> None:
-        """Sums of the places' rows and bias, less the greatest of each place, into `out`; `more` is room for a row each."""
+        """Sums of the places' rows and bias into `out`; `more` is room for a row each."""
         weights = self.tables[table]
         weights.take(rows[0], 0, out=out, mode="clip")
         for r in rows[1:]:
             weights.take(r, 0, out=more, mode="clip")
             out += more
         out += bias
-        out -= out.max(1, keepdims=True)
+
+    def exps(
+        self, table: int, rows: np.ndarray, bias: np.ndarray, out: np.ndarray, more: np.ndarray, column: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """exp of the logits into `out`; their sums, and the logits in the right columns.
+
+        Only where a sum leaves the range of its type are logits taken less the greatest of their place.
+        """
+        ones, place = np.ones(out.shape[1], np.float32), np.arange(len(out))
+        self.logits(table, rows, bias, out, more)
+        right = out[place, column]
+        with np.errstate(over="ignore"):
+            np.exp(out, out=out)
+            sums = out @ ones
+        if len(sums) and not (sums.min() > 1e-30 and sums.max() < 1e30):
+            self.logits(table, rows, bias, out, more)
+            out -= out.max(1, keepdims=True)
+            right = out[place, column]
+            np.exp(out, out=out)
+            sums = out @ ones
+        return sums, right
 
     def parts(self, features: np.ndarray, target: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """For classes, then members: table, the places that it concerns, rows of weights, biases, right column."""
@@ -131,11 +156,8 @@ class Weights:
             place = at[s : s + CHUNK]
             for t, own, rows, bias, column in self.parts(self.features(symbols, place), symbols[place]):
                 n = len(own)
-                x = x_of[t][:n]
-                self.logits(t, rows, bias, x, more[t][:n])
-                right = x[np.arange(n), column]
-                np.exp(x, out=x)
-                out[s + own] += right - np.log(x.sum(1))
+                sums, right = self.exps(t, rows, bias, x_of[t][:n], more[t][:n], column)
+                out[s + own] += right - np.log(sums)
         return out
 
     def learn(self, symbols: np.ndarray, at: np.ndarray, squares: list[np.ndarray], touched: list[np.ndarray]) -> None:
@@ -154,22 +176,26 @@ class Weights:
                 for a in range(0, n, CHUNK):
                     b = min(n, a + CHUNK)
                     x = slope[a:b]
-                    self.logits(t, rows[:, a:b], bias if len(bias) == 1 else bias[a:b], x, more[t][: b - a])
-                    np.exp(x, out=x)
-                    x /= x.sum(1, keepdims=True)
+                    sums, _ = self.exps(t, rows[:, a:b], bias if len(bias) == 1 else bias[a:b], x, more[t][: b - a], column[a:b])
+                    x *= (1 / sums)[:, None]
                 slope[np.arange(n), column] -= 1
+                table = self.tables[t]
                 met, count, sums = _sums_by_row(slope, rows)
-                squares[t][met] += np.einsum("ij,ij->i", sums, sums) / sums.shape[1]
                 touched[t][met] += count
-                sums *= (self.shape.rate / np.sqrt(squares[t][met] + 1e-6))[:, None]
-                self.tables[t][met] -= sums
+                for a in range(0, len(met), CHUNK):
+                    some, step = met[a : a + CHUNK], sums[a : a + CHUNK]
+                    square = squares[t][some] + np.einsum("ij,ij->i", step, step) / step.shape[1]
+                    squares[t][some] = square
+                    step *= (-self.shape.rate / np.sqrt(square + 1e-6))[:, None]
+                    step += table.take(some, 0)
+                    table[some] = step
 
 
 def _sums_by_row(slope: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each row of weights, how often it is met, and the sum of the slopes of the places that meet it.
 
-    Most are met a few times: the first meetings of all rows are added up at once, then the second ones,
-    and so on. The few that are met often are summed one by one.
+    Most are met a few times: the first meetings of CHUNK rows, met about as often, are added up at once, then the
+    second ones, and so on, while their sums stay in the cache. The few that are met often are summed one by one.
     """
     flat = rows.ravel()
     order = np.argsort(flat, kind="stable")
@@ -178,16 +204,18 @@ def _sums_by_row(slope: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.nd
     by_count = np.argsort(-count, kind="stable")
     first, count = first[by_count], count[by_count]
     place = order % rows.shape[1]
-    sums = slope.take(place[first], 0)
-    more_than = lambda n: int(np.searchsorted(-count, -n, side="left"))
-    often = more_than(64)
+    sums = np.empty((len(first), slope.shape[1]), np.float32)
+    often = int(np.searchsorted(-count, -64, side="left"))
+    ones = np.ones(int(count[0]) if often else 0, np.float32)
     for i in range(often):
-        sums[i] = slope.take(place[first[i] : first[i] + count[i]], 0).sum(0)
-    n = 1
-    while (upto := more_than(n)) > often:
-        sums[often:upto] += slope.take(place[first[often:upto] + n], 0)
-        n += 1
-    return flat[order[first]], count, sums
+        np.dot(ones[: count[i]], slope.take(place[first[i] : first[i] + count[i]], 0), out=sums[i])
+    for a in range(often, len(first), CHUNK):
+        begin, times, some = first[a : a + CHUNK], count[a : a + CHUNK], sums[a : a + CHUNK]
+        slope.take(place[begin], 0, out=some, mode="clip")
+        for n in range(1, int(times[0])):
+            upto = int(np.searchsorted(-times, -n, side="left"))
+            some[:upto] += slope.take(place[begin[:upto] + n], 0)
+    return flat[order[first]].astype(np.intp), count, sums
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
@@ -222,7 +250,7 @@ def _round(docs: DataFrame, parts: int, weights: Weights, vocabulary: Vocabulary
         part, own, squares, touched, waiting, size = None, None, [], [], [], 0
 
         def learn() -> None:
-            symbols, use = vocabulary.tokens([t.lower().split() for t in waiting])
+            symbols, use, _ = vocabulary.tokens([t.lower().split() for t in waiting])
             own.learn(symbols, np.flatnonzero(use), squares, touched)
 
         def told() -> pa.RecordBatch:
@@ -340,28 +368,25 @@ def scored(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text: s
     for i in range(shape.rounds):
         dealt = training.where(part == i).select(F.pmod(place, F.lit(parts)).alias("_part"), place.alias("_place"), "_bytes")
         _round(dealt.repartition("_part").sortWithinPartitions("_part", "_place"), parts, weights, vocabulary)
-    sent = spark.sparkContext.broadcast((weights, vocabulary, direct, np.log10(rare)))
+    # one look-up per word gives its symbol and its count
+    own_words = set(w for w, _ in frequent)
+    others = [w for w in direct if w not in own_words]
+    logs10 = np.log10(np.array([c for _, c in frequent] + [direct[w] for w in others], float) + 0.1)
+    sent = spark.sparkContext.broadcast((weights, Vocabulary(shape, frequent, others), logs10, np.log10(rare), direct[END] == 0))
     floor = np.log10(n + 0.1 * (v + 1))
     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
     names_out = ["n_tokens", "n_known", "base", "score", "rest", "times"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, vocabulary, direct, rare = sent.value
-        logs10 = {w: float(np.log10(c + 0.1)) for w, c in direct.items()}
-        zero, get, end = direct[END] == 0, logs10.get, logs10[END]
+        weights, vocabulary, logs10, rare, zero = sent.value
         for batch in batches:
             for start, stop, texts in slices(batch, "_bytes", 1 << 20):
                 split = [(t or b"").lower().split() for t in texts]
-                symbols, use = vocabulary.tokens(split)
+                symbols, use, numbers = vocabulary.tokens(split)
                 at = np.flatnonzero(use)
                 chance = weights.log_chances(symbols, at) / np.log(10)
-                counted: list[float] = []
-                for words in split:  # nan for words whose counts are joined later
-                    counted += [get(w, np.nan) for w in words]
-                    counted.append(end)
-                counted = np.array(counted)
-                later = np.isnan(counted)
-                counted[later] = 0
+                later = numbers[at] < 0  # words whose counts are joined later
+                counted = np.where(later, 0, logs10.take(numbers[at], mode="clip"))
                 is_rare = symbols[at] >= weights.shape.known
                 chance[is_rare] += counted[is_rare] - rare[symbols[at][is_rare] - weights.shape.known]
                 sizes = np.array([len(w) + 1 for w in split])

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +21,14 @@ END = b""
 BLOCK, FAN_IN = 64, 64
 #: Training tokens from which one model learns before models are averaged; it sends all the rows it met.
 PART_TOKENS = 1 << 23
-#: Places whose chances are made at a time.
-CHUNK = 1024
+#: Places whose chances are made at a time, in rows of at least NARROW weights; more of narrower ones.
+CHUNK, NARROW = 1024, 128
+#: Words that a task counts before it sends their counts.
+WAITING = 1 << 22
+#: Rows met so often in a batch are summed one by one.
+OFTEN = 64
+#: Classes of more members than this have sets of members.
+WHOLE = 96
 
 
 @dataclass
@@ -30,7 +38,9 @@ class Shape:
     The classes * members most frequent tokens, ranked, form `classes` classes of `members`. All
     others form `rare` classes by their last byte. Features are the word before, the second and third before (skips) and the
     two before as a pair, hashed to class_rows rows of class weights and, together with the class, to member_rows rows of
-    member weights. At most `direct` of the most frequent words have their counts in each task.
+    member weights. With more than one of `sets`, a softmax gives the set of the member (neighbours in rank) and another
+    one the member in its set. Each has weights of its own, together a quarter more than without sets: with as many, held-out
+    texts of sf0.1 were less likely than without. At most `direct` of the most frequent words have their counts in each task.
     """
 
     classes: int = 16
@@ -42,6 +52,7 @@ class Shape:
     rounds: int = 2
     batch: int = 8192
     rate: float = 0.25
+    sets: int = 1
 
     @classmethod
     def of(cls, tokens: int, vocabulary: int) -> Shape:
@@ -49,12 +60,40 @@ class Shape:
         side = max(1.0, vocabulary / (1 << 16)) ** 0.25
         rows = round((1 << 14) * max(1.0, tokens / (1 << 24)) ** (1 / 3))
         classes, members = round(16 * side), round(64 * side)
-        return cls(classes, members, classes, rows, rows, max(1 << 18, 2 * classes * members))
+        sets = round(members**0.5) if members > WHOLE else 1
+        return cls(classes, members, classes, rows, rows, max(1 << 18, 2 * classes * members), sets=sets)
 
     @property
     def known(self) -> int:
         return self.classes * self.members
 
+    @property
+    def set_members(self) -> int:
+        return -(-self.members // self.sets)
+
+    @property
+    def tables(self) -> list[tuple[int, int]]:
+        """Rows and columns of the weights of classes, of members or sets, and of members in sets."""
+        wide = self.class_rows, self.classes + self.rare
+        if self.sets == 1:
+            return [wide, (self.member_rows, self.members)]
+        each = self.member_rows * self.members * 5 // 8
+        return [wide, *((max(1, each // w), w) for w in (self.sets, self.set_members))]
+
+    @property
+    def rates(self) -> list[float]:
+        """A step's rate by table; rows of few weights have larger gradients by their width, so steps are held back."""
+        return [self.rate, self.rate] if self.sets == 1 else [self.rate, self.rate / 2, self.rate * 2 / 3]
+
+
+def split_words(texts: list[bytes | None]) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words (A-Z) of all texts, and how many each has; null has none."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(pa.array(texts, pa.binary()), b"").view(pa.string())))
+    words, ends = found.flatten().view(pa.binary()), np.asarray(found.offsets)
+    real = np.asarray(pc.binary_length(words)) > 0  # spaces at the ends of a text are led and followed by empty ones
+    sizes = np.diff(np.append(0, np.cumsum(real))[ends - ends[0]])
+    return words.filter(pa.array(real)), sizes
+
 
 class Vocabulary:
     """Symbols of tokens: rank for the most frequent, then one per class of rare words.
@@ -64,26 +103,32 @@ class Vocabulary:
 
     def __init__(self, shape: Shape, frequent: list[tuple[bytes, int]], more: list[bytes] | tuple = ()) -> None:
         self.shape = shape
-        self.rank = {w: i for i, (w, _) in enumerate(frequent)}
-        self.rank |= {w: i for i, w in enumerate(more, shape.known)}
+        self.words = pa.array([w for w, _ in frequent], pa.binary())
+        self.more = {w: i for i, w in enumerate(more, len(frequent))}
+        self.end = [w for w, _ in frequent].index(END)
 
     def tokens(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Symbols of texts, each led by three ends as context and closed by one; whether each is a token to predict; numbers of words, or -1."""
-        rank, marks, all_words, lengths = self.rank.get, (b"\0", b"\0", b"\0"), [], []
-        for words in texts:
-            all_words += marks
-            all_words += words
-            all_words.append(b"\0")
-            lengths.append(len(words) + 4)
-        numbers = np.fromiter((rank(w, -1) for w in all_words), np.int64, len(all_words))
-        use = np.ones(len(numbers), bool)
-        ends = np.cumsum(lengths)
-        starts = ends - lengths
-        use[starts] = use[starts + 1] = use[starts + 2] = False
-        numbers[starts] = numbers[starts + 1] = numbers[starts + 2] = numbers[ends - 1] = self.rank[END]
-        symbols = numbers.copy()
-        rare = np.flatnonzero((numbers < 0) | (numbers >= self.shape.known))
-        symbols[rare] = self.shape.known + np.fromiter((all_words[i][-1] for i in rare.tolist()), np.int64, len(rare)) % self.shape.rare
+        """`symbols` of texts whose words are at hand."""
+        return self.symbols(pa.array([w for words in texts for w in words], pa.binary()), np.array([len(x) for x in texts], np.int64))
+
+    def symbols(self, words: pa.Array, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols of texts of so many words, each led by three ends as context and closed by one; whether each is a token to predict; numbers of words, or -1."""
+        found = np.asarray(pc.fill_null(pc.index_in(words, value_set=self.words), -1)).astype(np.int64)
+        own, rare = found.copy(), np.flatnonzero(found < 0)
+        if self.more:
+            others = words.take(pa.array(rare)).to_numpy(zero_copy_only=False).tolist()
+            found[rare] = np.fromiter(map(self.more.get, others, repeat(-1)), np.int64, len(rare))
+        _, offsets, data = words.buffers()
+        last = np.frombuffer(offsets, np.int32)[words.offset + 1 :][rare] - 1
+        own[rare] = self.shape.known + np.frombuffer(data or b"", np.uint8)[last].astype(np.int64) % self.shape.rare
+        ends = np.cumsum(sizes + 4)
+        use = np.ones(len(found) + 4 * len(sizes), bool)
+        word = use.copy()
+        for i in range(1, 5):
+            word[ends - (i if i == 1 else sizes + i)] = False
+        use[np.concatenate([ends - sizes - i for i in (2, 3, 4)])] = False
+        symbols, numbers = (np.full(len(use), self.end) for _ in range(2))
+        symbols[word], numbers[word] = own, found
         return symbols, use, numbers
 
 
@@ -91,9 +136,16 @@ class Weights:
     def __init__(self, shape: Shape, class_bias: np.ndarray, member_bias: np.ndarray) -> None:
         self.shape = shape
         self.class_bias, self.member_bias = class_bias.astype(np.float32), member_bias.astype(np.float32)
-        self.tables = [
-            np.zeros((shape.class_rows, shape.classes + shape.rare), np.float32), np.zeros((shape.member_rows, shape.members), np.float32),
-        ]
+        if shape.sets > 1:
+            chance = np.zeros((shape.classes, shape.sets * shape.set_members))
+            chance[:, : shape.members] = np.exp(member_bias)
+            chance = chance.reshape(shape.classes, shape.sets, shape.set_members)
+            of_set = chance.sum(2)
+            with np.errstate(divide="ignore", invalid="ignore"):  # places without a member: no chance
+                self.set_bias = np.log(of_set).astype(np.float32)
+                inner = np.log(chance / of_set[:, :, None]).astype(np.float32)
+            self.inner_bias = np.nan_to_num(inner, nan=0, neginf=-np.inf).reshape(-1, shape.set_members)
+        self.tables = [np.zeros(x, np.float32) for x in shape.tables]
 
     def features(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Four hashes of the context of each place, one per row."""
@@ -103,7 +155,11 @@ class Weights:
 
     @staticmethod
     def rows(hashes: np.ndarray, size: int) -> np.ndarray:
-        return (((hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)) % np.uint64(size)).astype(np.uint16 if size <= 1 << 16 else np.int64)
+        return (((hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.intp)
+
+    def chunk(self, table: int) -> int:
+        """Places whose chances by this table are made at a time."""
+        return CHUNK * max(1, NARROW // self.tables[table].shape[1])
 
     def logits(self, table: int, rows: np.ndarray, bias: np.ndarray, out: np.ndarray, more: np.ndarray) -> None:
         """Sums of the places' rows and bias into `out`; `more` is room for a row each."""
@@ -121,119 +177,130 @@ class Weights:
 
         Only where a sum leaves the range of its type are logits taken less the greatest of their place.
         """
-        ones, place = np.ones(out.shape[1], np.float32), np.arange(len(out))
+        ones, place = np.ones(out.shape[1], np.float32), np.arange(len(out)) * out.shape[1] + column
         self.logits(table, rows, bias, out, more)
-        right = out[place, column]
+        right = out.take(place)
         with np.errstate(over="ignore"):
             np.exp(out, out=out)
             sums = out @ ones
         if len(sums) and not (sums.min() > 1e-30 and sums.max() < 1e30):
             self.logits(table, rows, bias, out, more)
             out -= out.max(1, keepdims=True)
-            right = out[place, column]
+            right = out.take(place)
             np.exp(out, out=out)
             sums = out @ ones
         return sums, right
 
     def parts(self, features: np.ndarray, target: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For classes, then members: table, the places that it concerns, rows of weights, biases, right column."""
+        """For classes, then members, or sets and members in them: table, the places that it concerns, rows of weights,
+        biases, right column."""
         shape = self.shape
         known = target < shape.known
         group = np.where(known, target // shape.members, shape.classes + target - shape.known)
-        yield 0, np.arange(len(target)), self.rows(features, shape.class_rows), self.class_bias[None], group
+        yield 0, np.arange(len(target)), self.rows(features, len(self.tables[0])), self.class_bias[None], group
         own = np.flatnonzero(known)
-        with_class = features[:, own] + (group[own].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-        yield 1, own, self.rows(with_class, shape.member_rows), self.member_bias.take(group[own], 0), target[own] % shape.members
-
-    def room(self, places: int) -> list[np.ndarray]:
-        return [np.empty((places, t.shape[1]), np.float32) for t in self.tables]
+        group, member = group[own], target[own] % shape.members
+        hashes = features[:, own] + (group.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        rows = self.rows(hashes, len(self.tables[1]))
+        if shape.sets == 1:
+            yield 1, own, rows, self.member_bias.take(group, 0), member
+            return
+        of, inner = np.divmod(member, shape.set_members)
+        yield 1, own, rows, self.set_bias.take(group, 0), of
+        hashes += (of.astype(np.uint64) + np.uint64(1)) * np.uint64(0xA0761D6478BD642F)
+        yield 2, own, self.rows(hashes, len(self.tables[2])), self.inner_bias.take(group * shape.sets + of, 0), inner
 
     def log_chances(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Natural log of the chance of the symbols at these places."""
         out = np.zeros(len(at))
-        x_of, more = self.room(CHUNK), self.room(CHUNK)
-        for s in range(0, len(at), CHUNK):
-            place = at[s : s + CHUNK]
+        x_of, more = ([np.empty((self.chunk(t), x.shape[1]), np.float32) for t, x in enumerate(self.tables)] for _ in range(2))
+        for s in range(0, len(at), self.shape.batch):
+            place = at[s : s + self.shape.batch]
             for t, own, rows, bias, column in self.parts(self.features(symbols, place), symbols[place]):
-                n = len(own)
-                sums, right = self.exps(t, rows, bias, x_of[t][:n], more[t][:n], column)
-                out[s + own] += right - np.log(sums)
+                for a in range(0, len(own), self.chunk(t)):
+                    b = min(len(own), a + self.chunk(t))
+                    sums, right = self.exps(t, rows[:, a:b], bias if len(bias) == 1 else bias[a:b], x_of[t][: b - a], more[t][: b - a], column[a:b])
+                    out[s + own[a:b]] += right - np.log(sums)
         return out
 
     def learn(self, symbols: np.ndarray, at: np.ndarray, squares: list[np.ndarray], touched: list[np.ndarray]) -> None:
         """Gradient steps (a rate per row, falling with its past gradients) over batches of places in order.
 
-        A batch's chances are made for CHUNK places at a time, which stay in the cache.
+        A batch's chances are made for a chunk of places at a time, which stay in the cache.
         """
-        slopes, more = self.room(self.shape.batch), self.room(CHUNK)
+        slopes = [np.empty((self.shape.batch, x.shape[1]), np.float32) for x in self.tables]
+        more = [np.empty((self.chunk(t), x.shape[1]), np.float32) for t, x in enumerate(self.tables)]
         for s in range(0, len(at), self.shape.batch):
             place = at[s : s + self.shape.batch]
             for t, own, rows, bias, column in self.parts(self.features(symbols, place), symbols[place]):
-                n = len(own)
+                n, chunk = len(own), self.chunk(t)
                 if not n:
                     continue
-                slope = slopes[t][:n]
-                for a in range(0, n, CHUNK):
-                    b = min(n, a + CHUNK)
+                slope, table = slopes[t][:n], self.tables[t]
+                for a in range(0, n, chunk):
+                    b = min(n, a + chunk)
                     x = slope[a:b]
                     sums, _ = self.exps(t, rows[:, a:b], bias if len(bias) == 1 else bias[a:b], x, more[t][: b - a], column[a:b])
                     x *= (1 / sums)[:, None]
-                slope[np.arange(n), column] -= 1
-                table = self.tables[t]
-                met, count, sums = _sums_by_row(slope, rows)
+                slope.reshape(-1)[np.arange(n) * slope.shape[1] + column] -= 1
+                met, count, sums = _sums_by_row(slope, rows, chunk)
                 touched[t][met] += count
-                for a in range(0, len(met), CHUNK):
-                    some, step = met[a : a + CHUNK], sums[a : a + CHUNK]
+                for a in range(0, len(met), chunk):
+                    some, step = met[a : a + chunk], sums[a : a + chunk]
                     square = squares[t][some] + np.einsum("ij,ij->i", step, step) / step.shape[1]
                     squares[t][some] = square
-                    step *= (-self.shape.rate / np.sqrt(square + 1e-6))[:, None]
-                    step += table.take(some, 0)
+                    step *= (-self.shape.rates[t] / np.sqrt(square + 1e-6))[:, None]
+                    step += table.take(some, 0, out=more[t][: len(some)], mode="clip")
                     table[some] = step
 
 
-def _sums_by_row(slope: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _sums_by_row(slope: np.ndarray, rows: np.ndarray, chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each row of weights, how often it is met, and the sum of the slopes of the places that meet it.
 
-    Most are met a few times: the first meetings of CHUNK rows, met about as often, are added up at once, then the
+    Most are met a few times: the first meetings of `chunk` rows, met about as often, are added up at once, then the
     second ones, and so on, while their sums stay in the cache. The few that are met often are summed one by one.
     """
-    flat = rows.ravel()
-    order = np.argsort(flat, kind="stable")
-    first = np.flatnonzero(np.diff(flat[order].astype(np.int64), prepend=-1))
-    count = np.diff(np.append(first, len(flat)))
-    by_count = np.argsort(-count, kind="stable")
+    met = np.sort((rows.astype(np.int64) << 32 | np.arange(rows.shape[1])).ravel())  # a row's meetings, in order of places
+    place, met = met & 0xFFFFFFFF, met >> 32
+    first = np.append(0, np.flatnonzero(met[1:] != met[:-1]) + 1)
+    count = np.diff(first, append=len(met))
+    by_count = np.argsort(OFTEN - np.minimum(count, OFTEN).astype(np.uint8), kind="stable")
     first, count = first[by_count], count[by_count]
-    place = order % rows.shape[1]
     sums = np.empty((len(first), slope.shape[1]), np.float32)
-    often = int(np.searchsorted(-count, -64, side="left"))
-    ones = np.ones(int(count[0]) if often else 0, np.float32)
+    often = int((count >= OFTEN).sum())
+    ones = np.ones(int(count[:often].max(initial=0)), np.float32)
+    more = np.empty((min(chunk, len(first)), slope.shape[1]), np.float32)
     for i in range(often):
         np.dot(ones[: count[i]], slope.take(place[first[i] : first[i] + count[i]], 0), out=sums[i])
-    for a in range(often, len(first), CHUNK):
-        begin, times, some = first[a : a + CHUNK], count[a : a + CHUNK], sums[a : a + CHUNK]
+    for a in range(often, len(first), chunk):
+        begin, times, some = first[a : a + chunk], count[a : a + chunk], sums[a : a + chunk]
         slope.take(place[begin], 0, out=some, mode="clip")
-        for n in range(1, int(times[0])):
-            upto = int(np.searchsorted(-times, -n, side="left"))
-            some[:upto] += slope.take(place[begin[:upto] + n], 0)
-    return flat[order[first]].astype(np.intp), count, sums
+        for n, upto in enumerate(np.searchsorted(-times, -np.arange(1, times[0]), side="left").tolist(), 1):
+            some[:upto] += slope.take(place[begin[:upto] + n], 0, out=more[:upto], mode="clip")
+    return met[first], count, sums
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
     """(word, n) of the column _bytes: lower-cased words (A-Z), and END once per row."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+        waiting, size, rows = [], 0, 0
         for batch in batches:
-            for _, _, texts in slices(batch, "_bytes"):
-                for value in texts:
-                    counts.update((value or b"").lower().split())
-                counts[END] += len(texts)
-                if len(counts) > 400_000:
-                    yield flush()
-                    counts.clear()
-        if counts:
-            yield flush()
+            for _, _, texts in slices(batch, "_bytes", 1 << 20):
+                words, _ = split_words(texts)
+                waiting.append(words)
+                size, rows = size + len(words), rows + len(texts)
+                if size >= WAITING:
+                    yield counted(waiting, rows)
+                    waiting, size, rows = [], 0, 0
+        if rows:
+            yield counted(waiting, rows)
+
+    def counted(words: list[pa.Array], rows: int) -> pa.RecordBatch:
+        found = pa.chunked_array(words, pa.binary()).value_counts()
+        return pa.RecordBatch.from_arrays(
+            [pa.concat_arrays([found.field("values"), pa.array([END], pa.binary())]), pa.concat_arrays([found.field("counts"), pa.array([rows], pa.int64())])], ["word", "n"]
+        )
 
     return docs.select("_bytes").mapInArrow(emit, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -250,7 +317,7 @@ def _round(docs: DataFrame, parts: int, weights: Weights, vocabulary: Vocabulary
         part, own, squares, touched, waiting, size = None, None, [], [], [], 0
 
         def learn() -> None:
-            symbols, use, _ = vocabulary.tokens([t.lower().split() for t in waiting])
+            symbols, use, _ = vocabulary.symbols(*split_words(waiting))
             own.learn(symbols, np.flatnonzero(use), squares, touched)
 
         def told() -> pa.RecordBatch:
@@ -260,7 +327,7 @@ def _round(docs: DataFrame, parts: int, weights: Weights, vocabulary: Vocabulary
             for t, table in enumerate(own.tables):
                 sums = np.hstack([(table - start.tables[t]) * touched[t][:, None], touched[t][:, None]]).astype(np.float32)
                 for b in np.unique(np.flatnonzero(touched[t]) // BLOCK):
-                    blocks.append(2 * int(b) + t)
+                    blocks.append(len(own.tables) * int(b) + t)
                     values.append(sums[b * BLOCK : (b + 1) * BLOCK].tobytes())
             return pa.RecordBatch.from_arrays(
                 [pa.array(blocks, pa.int64()), pa.array([part] * len(blocks), pa.int64()), pa.array(values, pa.binary())], ["block", "task", "sums"]
@@ -301,7 +368,7 @@ def _round(docs: DataFrame, parts: int, weights: Weights, vocabulary: Vocabulary
         if width >= parts:
             break
     for r in partial.collect():  # at most the rows of the tables
-        b, t = divmod(r["block"], 2)
+        b, t = divmod(r["block"], len(widths))
         sums = np.frombuffer(r["sums"], np.float32).reshape(-1, widths[t] + 1)
         weights.tables[t][b * BLOCK : (b + 1) * BLOCK] += sums[:, :-1] / np.maximum(sums[:, -1:], 1)
 
@@ -380,23 +447,21 @@ def scored(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text: s
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, vocabulary, logs10, rare, zero = sent.value
         for batch in batches:
-            for start, stop, texts in slices(batch, "_bytes", 1 << 20):
-                split = [(t or b"").lower().split() for t in texts]
-                symbols, use, numbers = vocabulary.tokens(split)
+            for start, stop, texts in slices(batch, "_bytes", 1 << 21):
+                words, sizes = split_words(texts)
+                symbols, use, numbers = vocabulary.symbols(words, sizes)
                 at = np.flatnonzero(use)
                 chance = weights.log_chances(symbols, at) / np.log(10)
                 later = numbers[at] < 0  # words whose counts are joined later
                 counted = np.where(later, 0, logs10.take(numbers[at], mode="clip"))
                 is_rare = symbols[at] >= weights.shape.known
                 chance[is_rare] += counted[is_rare] - rare[symbols[at][is_rare] - weights.shape.known]
-                sizes = np.array([len(w) + 1 for w in split])
-                first = np.cumsum(sizes) - sizes
+                first = np.cumsum(sizes + 1) - sizes - 1
                 base, score, open_ = (np.add.reduceat(x, first) for x in (counted - floor, chance, later.astype(np.int64)))
-                rest = []
-                for words, k, row in zip(split, open_.tolist(), first, strict=True):
-                    rest.append(Counter(words[i] for i in np.flatnonzero(later[row : row + len(words)])) if k else {})
+                unknown = iter(words.take(pa.array(np.flatnonzero(later[np.delete(np.arange(len(at)), first + sizes)]))).to_pylist())
+                rest = [Counter(islice(unknown, k)) if k else {} for k in open_.tolist()]
                 columns = [batch.column(c).slice(start, stop - start) for c in ("rid", "doc_id", "held_out")]
-                made = (sizes, sizes - open_ - zero, base, score, [list(x) for x in rest], [list(x.values()) for x in rest])
+                made = (sizes + 1, sizes + 1 - open_ - zero, base, score, [list(x) for x in rest], [list(x.values()) for x in rest])
                 columns += [pa.array(c, k) for c, k in zip(made, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, ["rid", "doc_id", "held_out", *names_out])
 

@@ -10,6 +10,7 @@ from itertools import islice, repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ BLOCK, FAN_IN = 64, 64
 PART_TOKENS = 1 << 23
 #: Places whose chances are made at a time, in rows of at least NARROW weights; more of narrower ones.
 CHUNK, NARROW = 1024, 128
+#: Symbols that a part learns from at a time.
+RUN = 1 << 18
 #: Words that a task counts before it sends their counts.
 WAITING = 1 << 22
 #: Rows met so often in a batch are summed one by one.
@@ -67,6 +70,11 @@ class Shape:
     def known(self) -> int:
         return self.classes * self.members
 
+    @property
+    def symbol(self) -> type:
+        """The least type that holds all symbols."""
+        return np.uint16 if self.known + self.rare <= 1 << 16 else np.uint32
+
     @property
     def set_members(self) -> int:
         return -(-self.members // self.sets)
@@ -305,19 +313,40 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("_bytes").mapInArrow(emit, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _round(docs: DataFrame, parts: int, weights: Weights, vocabulary: Vocabulary) -> None:
+def _numbered(docs: DataFrame, sent: Broadcast[Vocabulary]) -> DataFrame:
+    """(_part, _place, _symbols): the symbols of each text, led by three ends and closed by one, as bytes."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = sent.value
+        kind = np.dtype(vocabulary.shape.symbol)
+        for batch in batches:
+            for start, stop, texts in slices(batch, "_bytes", 1 << 20):
+                words, sizes = split_words(texts)
+                symbols = vocabulary.symbols(words, sizes)[0].astype(kind)
+                ends = np.append(0, np.cumsum(sizes + 4) * kind.itemsize).astype(np.int32)
+                made = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(symbols)])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(start, stop - start) for c in ("_part", "_place")), made], ["_part", "_place", "_symbols"])
+
+    return docs.select("_part", "_place", "_bytes").mapInArrow(emit, "_part long, _place long, _symbols binary")
+
+
+def _round(docs: DataFrame, parts: int, weights: Weights) -> None:
     """One round of distributed updates: each part's texts (_part, in order) step from the same weights; rows are then
     averaged, weighted by how often each part met them."""
-    context = docs.sparkSession.sparkContext
-    sent = context.broadcast((weights, vocabulary))
+    sent = docs.sparkSession.sparkContext.broadcast(weights)
     widths = [t.shape[1] for t in weights.tables]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, vocabulary = sent.value
+        start = sent.value
+        kind = start.shape.symbol
         part, own, squares, touched, waiting, size = None, None, [], [], [], 0
 
         def learn() -> None:
-            symbols, use, _ = vocabulary.symbols(*split_words(waiting))
+            symbols = np.frombuffer(b"".join(waiting), kind).astype(np.int64)
+            use = np.ones(len(symbols), bool)
+            first = np.cumsum([0, *map(len, waiting)])[:-1] // np.dtype(kind).itemsize
+            for i in range(3):
+                use[first + i] = False
             own.learn(symbols, np.flatnonzero(use), squares, touched)
 
         def told() -> pa.RecordBatch:
@@ -334,7 +363,7 @@ def _round(docs: DataFrame, parts: int, weights: Weights, vocabulary: Vocabulary
             )
 
         for batch in batches:
-            for first, _, texts in slices(batch, "_bytes", 1 << 20):
+            for first, _, texts in slices(batch, "_symbols", 1 << 20):
                 for group, text in zip(batch.column("_part").slice(first, len(texts)).to_pylist(), texts, strict=True):
                     if group != part:
                         if own is not None:
@@ -343,9 +372,9 @@ def _round(docs: DataFrame, parts: int, weights: Weights, vocabulary: Vocabulary
                         own.tables = [t.copy() for t in start.tables]
                         squares, touched = ([np.zeros(len(t), np.float32) for t in own.tables] for _ in range(2))
                     # steps are over the part's texts, however they come in batches
-                    waiting.append(text or b"")
-                    size += len(waiting[-1])
-                    if size >= 1 << 20:
+                    waiting.append(text)
+                    size += len(text) // np.dtype(kind).itemsize
+                    if size >= RUN:
                         learn()
                         waiting, size = [], 0
         if own is not None:
@@ -359,7 +388,7 @@ def _round(docs: DataFrame, parts: int, weights: Weights, vocabulary: Vocabulary
         return pa.table({"block": table.column("block").slice(0, 1), "task": pa.array([table.column("task")[0].as_py()]), "sums": pa.array([total.tobytes()], pa.binary())})
 
     schema = "block long, task long, sums binary"
-    partial = docs.select("_part", "_bytes").mapInArrow(emit, schema)
+    partial = docs.select("_part", "_symbols").mapInArrow(emit, schema)
     width = 1
     while True:
         width *= FAN_IN
@@ -421,7 +450,6 @@ def scored(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text: s
     frequent = sorted(((w, c) for w, c in direct.items() if w != END), key=lambda x: (-x[1], x[0]))[: shape.known - 1]
     frequent = sorted([*frequent, (END, direct[END])], key=lambda x: -x[1])
     frequent += [(b"\x00 %d" % i, 0) for i in range(shape.known - len(frequent))]  # fillers: no word has a space
-    vocabulary = Vocabulary(shape, frequent)
     names = spark.createDataFrame([(bytearray(w),) for w, _ in frequent], "word binary")
     last = F.conv(F.hex(F.substring("word", -1, 1)), 16, 10).cast("int")
     masses = counts.join(F.broadcast(names), "word", "left_anti").groupBy((last % shape.rare).alias("r")).agg(F.sum(F.col("n") + 0.1).alias("m")).collect()
@@ -432,9 +460,11 @@ def scored(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", text: s
     part = F.pmod(F.xxhash64(F.lit(3), "_bytes"), F.lit(shape.rounds))
     # texts are dealt to parts, and ordered, by a hash: tokens alone say how many models are averaged, and of which texts
     parts, place = max(1, -(-n // (PART_TOKENS * shape.rounds))), F.xxhash64("doc_id", "_bytes")
+    known = spark.sparkContext.broadcast(Vocabulary(shape, frequent))
     for i in range(shape.rounds):
-        dealt = training.where(part == i).select(F.pmod(place, F.lit(parts)).alias("_part"), place.alias("_place"), "_bytes")
-        _round(dealt.repartition("_part").sortWithinPartitions("_part", "_place"), parts, weights, vocabulary)
+        own_texts = training.where(part == i).select(F.pmod(place, F.lit(parts)).alias("_part"), place.alias("_place"), "_bytes")
+        # symbols are dealt, which are shorter than texts
+        _round(_numbered(own_texts, known).repartition("_part").sortWithinPartitions("_part", "_place"), parts, weights)
     # one look-up per word gives its symbol and its count
     own_words = set(w for w, _ in frequent)
     others = [w for w in direct if w not in own_words]

@@ -101,3 +101,21 @@ def test_counts_are_sent_in_runs(spark, monkeypatch):
         got = {bytes(r["word"]): r["n"] for r in maxent.token_counts(docs).collect()}
         assert got == want
     assert maxent.token_counts(docs.limit(0)).isEmpty()
+
+
+@pytest.mark.parametrize("rare", [3, 70_000])
+def test_texts_are_dealt_as_their_symbols(spark, rare):
+    """Every symbol of every text goes to its part, in as few bytes as hold all symbols."""
+    shape = maxent.Shape(classes=2, members=2, rare=rare)
+    vocabulary = maxent.Vocabulary(shape, [(maxent.END, 9), (b"a", 5), (b"b", 4), (b"e", 3)])
+    rows = [(i % 3, i, None if t is None else bytearray(t.encode())) for i, t in enumerate(ODD)]
+    docs = spark.createDataFrame(rows, "_part long, _place long, _bytes binary")
+    got = maxent._numbered(docs, spark.sparkContext.broadcast(vocabulary)).collect()
+    assert sorted((r["_part"], r["_place"]) for r in got) == sorted(r[:2] for r in rows)
+    assert shape.symbol == (np.uint16 if rare == 3 else np.uint32)
+    number = {b"a": 1, b"b": 2, b"e": 3}
+    for r in got:
+        words = (ODD[r["_place"]] or "").encode().lower().split()
+        want = [0, 0, 0, *(number.get(w, 4 + w[-1] % rare) for w in words), 0]
+        assert np.frombuffer(r["_symbols"], shape.symbol).tolist() == want
+    assert maxent._numbered(docs.limit(0), spark.sparkContext.broadcast(vocabulary)).isEmpty()
